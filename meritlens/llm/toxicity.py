@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon under Aho-Corasick.
 
-Texts are folded first: lower case, accents and homoglyphs to their Latin letters, digit and symbol
+Texts are folded first: lower case, homoglyphs and letters with unusual marks to their Latin
+letters (the accents of Latin-1 and Extended-A stay, as they tell words apart), digit and symbol
 substitutions to the letters they stand for, i/l/1 to one letter, all else to spaces.  The lexicon
 holds word beginnings with weights learned from labelled texts; an automaton finds all of them in
 one pass.  Exception phrases, given or learned, take back the weight of the entry they contain.
@@ -30,6 +31,7 @@ from meritlens.llm.common import fold_of, labelled_sample, slices, texts_of
 MAX_EXAMPLES = 6000
 MAX_CHARS = 100_000
 THRESHOLD = 0.3
+LEAST_SURPRISE = 30.0
 FOLDS, HELD_OUT = 4, 2
 #: Benign phrases that contain words often used as insults.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "soap scum")
@@ -38,10 +40,12 @@ HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t",
     "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
-    "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j", "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l", "ß": "ss", "æ": "ae", "ø": "o",
+    "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j", "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l",
 }
 #: Digits and symbols that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "i"}
+#: Accented letters that tell words apart in their languages; all other accents are taken off.
+ACCENTED = "".join(map(chr, range(0xC0, 0x180)))
 INVISIBLE = "­​‌‍⁠﻿"
 
 
@@ -55,7 +59,8 @@ class Folding(dict):
         elif c in SUBSTITUTES:
             found = SUBSTITUTES[c]
         else:
-            plain = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
+            form = "NFKC" if c in ACCENTED else "NFKD"
+            plain = "".join(x for x in unicodedata.normalize(form, c).lower() if not unicodedata.combining(x))
             found = "".join(HOMOGLYPHS.get(x, x if x.isalnum() else " ") for x in plain)
             found = found.translate({ord("l"): "i"})
             if not found and not unicodedata.combining(c):
@@ -125,14 +130,25 @@ def _entries(examples: list[tuple[str, int]], ratio: float, support: int) -> dic
         for b, n in found[1].items()
         if min(n, len(before[b])) >= support
     }
-    weights = {b: w for b, w in weights.items() if w >= math.log(ratio)}
-    # a beginning that nearly always goes on in one way gives way to the longer one
-    kept = set(weights)
-    for b in sorted(weights, key=len, reverse=True):
-        if len(b) > 4 and b[:-1] in kept and found[1][b] >= 0.9 * found[1][b[:-1]]:
-            kept.discard(b[:-1])
-    # and one that goes on in many ways stands for all of them
-    return {b: weights[b] for b in kept if not any(b[:k] in kept for k in range(4, len(b)))}
+    strength = {
+        b: _surprise(found[1][b], kinds[1], found[0][b], kinds[0]) for b, w in weights.items() if w >= math.log(ratio)
+    }
+    kept: set[str] = set()
+    inside: set[str] = set()  # beginnings of what is kept
+    for b in sorted(strength, key=lambda b: (-strength[b], -len(b), b)):
+        if strength[b] < LEAST_SURPRISE:
+            break
+        if b not in inside and not any(b[:k] in kept for k in range(4, len(b))):
+            kept.add(b)
+            inside.update(_beginnings(b))
+    return {b: weights[b] for b in kept}
+
+
+def _surprise(a: int, m: int, b: int, n: int) -> float:
+    """Log-likelihood ratio (G squared) of a of m toxic against b of n other texts."""
+    rate = (a + b) / (m + n)
+    terms = ((a, m * rate), (m - a, m * (1 - rate)), (b, n * rate), (n - b, n * (1 - rate)))
+    return 2 * sum(seen * math.log(seen / due) for seen, due in terms if seen > 0 and due > 0)
 
 
 def _exceptions(examples: list[tuple[str, int]], entries: dict[str, float]) -> dict[str, float]:
@@ -168,7 +184,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     return w
 
 
-def fit(examples: list[tuple[str, int]], ratio: float = 20.0, support: int = 8) -> Lexicon:
+def fit(examples: list[tuple[str, int]], ratio: float = 4.0, support: int = 5) -> Lexicon:
     """Learn entries, exceptions and the curve from (text, label) examples."""
     folded = [(fold(t), int(bool(y))) for t, y in examples]
     if len({y for _, y in folded}) < 2:
