@@ -12,8 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch, so that long texts do not add up in a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, opened by Spark so that any store it knows will do."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ as they occur; an empty table gives no pieces; other columns of the input are ig
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from functools import lru_cache
 
@@ -35,21 +35,109 @@ from meritlens.llm.common import materialize, slices, texts_of
 
 LENGTH = 1024
 SEPARATOR = 0
-#: Distinct chunks whose ids a Python worker remembers between batches.
-MEMORY = 800_000
+#: Slots of a worker's chunk table (a power of two); it starts anew when half full.
+SLOTS = 1 << 22
 #: New chunks that go to the tokenizer as one text.
-TOGETHER = 128
-#: A space next to other white space: cutting at every single space would not be safe.
-ODD = re.compile(r" \s|\s ")
-SAFE = re.compile(r"(?<=\S)(?= \S)")
+TOGETHER = 64
+#: Bytes that are looked at together; longer texts are encoded in parts.
+WINDOW = 2 << 20
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at single spaces between non-space characters."""
-    if ODD.search(text) or text[:1] == " " or text[-1:] == " ":
-        return SAFE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + r for r in rest)] if first or rest else []
+def _white(codes: range) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(codes)] = True
+    return out
+
+
+#: Bytes that are white space themselves, and lead bytes of characters that may be.
+SPACES = _white(range(9, 14)) | _white(range(28, 33))
+LEADS2, LEADS3 = _white(range(0xC2, 0xC3)), _white(range(0xE1, 0xE4))
+
+
+def cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where chunks start in the UTF-8 texts that begin at ``begins``: at each text and at each
+    single space between characters that surely are no white space."""
+    at = np.flatnonzero(data == 32)
+    ahead = data[np.minimum(at + 1, len(data) - 1)]
+    odd = SPACES[ahead] | LEADS2[ahead] | LEADS3[ahead] | (at + 1 == len(data))
+    for back, leads in ((1, SPACES), (2, LEADS2), (3, LEADS3)):
+        odd |= (at >= back) & leads[data[np.maximum(at - back, 0)]]
+    start = np.zeros(len(data), dtype=bool)
+    start[at[~odd]] = True
+    start[begins[begins < len(data)]] = True
+    return np.flatnonzero(start)
+
+
+class ChunkTable:
+    """Open-addressing table from 128-bit chunk hashes to entry numbers."""
+
+    def __init__(self, slots: int):
+        self.shift = np.uint64(64 - slots.bit_length() + 1)
+        self.slots = slots
+        self.clear()
+
+    def clear(self) -> None:
+        self.entry = np.full(self.slots, -1, dtype=np.int32)
+        self.first = np.zeros(1 << 12, dtype=np.uint64)
+        self.second = np.zeros(1 << 12, dtype=np.uint64)
+        self.size = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Entry number of each hash, or -1."""
+        slot = self._slot(first)
+        out = np.full(len(first), -1, dtype=np.int64)
+        todo = np.arange(len(first))
+        while len(todo):
+            e = self.entry[slot]
+            used = e >= 0
+            hit = used & (self.first[e] == first[todo]) & (self.second[e] == second[todo])
+            out[todo[hit]] = e[hit]
+            more = used & ~hit
+            todo, slot = todo[more], (slot[more] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray) -> None:
+        """Enter distinct new hashes, numbered on from ``size``."""
+        while len(self.first) < self.size + len(first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+            self.second = np.concatenate([self.second, np.zeros_like(self.second)])
+        numbers = np.arange(self.size, self.size + len(first), dtype=np.int32)
+        self.first[numbers], self.second[numbers] = first, second
+        self.size += len(first)
+        slot = self._slot(first)
+        while len(numbers):
+            free = self.entry[slot] < 0
+            self.entry[slot[free]] = numbers[free]  # of several, the last stays
+            left = self.entry[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & (self.slots - 1)
+
+
+class ChunkHasher:
+    """Two polynomial hashes of many byte ranges at once, from prefix sums modulo 2**64."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.base = int(rng.integers(1, 1 << 62)) * 4 + 1
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(n, dtype=np.uint64)
+        out[1:] = base % (1 << 64)
+        return np.multiply.accumulate(out)
+
+    def hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.powers) <= len(data):
+            self.powers = self._powers(self.base, len(data) + 1)
+            self.inverses = self._powers(self.inverse, len(data) + 1)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        own = (sums[ends] - sums[starts]) * self.inverses[starts]
+        return (own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64)
 
 
 class ChunkEncoder:
@@ -58,51 +146,99 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # a byte-level vocabulary writes each byte as one character
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.table = ChunkTable(SLOTS)
+        self.hashers = ChunkHasher(1), ChunkHasher(2)
+        self.flat = np.zeros(1 << 16, dtype=np.uint16)
         self.bounds = np.zeros(1 << 16, dtype=np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        """Add the ids of new chunks.  Chunks that begin with a space and end with none are
-        joined for the tokenizer; the tokens' byte lengths tell where each chunk's ids end."""
-        joined, alone = [], []
-        for c in new:
-            (joined if c[0] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace() else alone).append(c)
-        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[c] for c in alone]
-        found = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
-        ids = np.array([i for e in found for i in e.ids], dtype=np.uint32)
-        ordered = [*joined, *alone]
-        byte_ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in ordered])
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), byte_ends, side="left") + 1
-        base = len(self.known)
-        self.known.update(zip(ordered, range(base, base + len(ordered))))
-        first = self.bounds[base]
-        while len(self.bounds) <= base + len(ordered):
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.uint16) for e in found]
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add the ids of new chunks, in the order given.
+
+        Chunks that begin with a space, end with none and hold no other go to the tokenizer
+        together: where each one's ids end follows from the tokens' byte lengths."""
+        spaces = np.concatenate([[0], np.cumsum(data == 32)])
+        last = data[np.maximum(ends - 1, 0)]
+        plain = (data[starts] == 32) & (spaces[ends] - spaces[starts] == 1) & ~SPACES[last]
+        for back, leads in ((2, LEADS2), (3, LEADS3)):
+            plain &= ~leads[data[np.maximum(ends - back, 0)]]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        alone = len(order) - int(plain.sum())
+        lengths = ends[order] - starts[order]
+        text = gather(data, starts[order], lengths).tobytes()
+        stops = np.cumsum(lengths)
+        edges = [*range(0, len(order) - alone, TOGETHER), *range(len(order) - alone, len(order) + 1)]
+        places = np.concatenate([[0], stops])[edges]
+        ids = np.concatenate(self._ids([text[a:b] for a, b in zip(places, places[1:])]))
+        begin = np.searchsorted(np.cumsum(self.sizes[ids]), stops, side="left") + 1
+        sizes = np.empty(len(order), dtype=np.int64)
+        sizes[order] = np.diff(begin, prepend=0)
+        first = np.empty(len(order), dtype=np.int64)
+        first[order] = begin
+        flat = gather(ids, first - sizes, sizes)
+        base, at = self.table.size, self.bounds[self.table.size]
+        while len(self.bounds) <= base + len(order):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        while len(self.flat) < first + len(ids):
+        while len(self.flat) < at + len(flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[first : first + len(ids)] = ids
-        self.bounds[base + 1 : base + 1 + len(ordered)] = first + ends
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        cut = [chunks(t) for t in texts]
-        new = {c for own in cut for c in own}.difference(self.known)
-        if new:
-            self._learn(list(new))
-        out = []
-        for own in cut:
-            k = np.fromiter(map(self.known.__getitem__, own), dtype=np.int64, count=len(own))
-            starts = self.bounds[k]
-            out.append(gather(self.flat, starts, self.bounds[k + 1] - starts))
-        return out
+        self.flat[at : at + len(flat)] = flat
+        self.bounds[base + 1 : base + 1 + len(order)] = at + np.cumsum(sizes)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text as 16-bit integers."""
+        if any(len(t) > WINDOW for t in texts):
+            return [self._parts(t) if len(t) > WINDOW else self._encode([t])[0] for t in texts]
+        return self._encode(texts)
+
+    def _parts(self, text: bytes) -> np.ndarray:
+        """Ids of a long text, a window at a time."""
+        out, at, size = [], 0, WINDOW
+        while at < len(text):
+            window = np.frombuffer(text, dtype=np.uint8, count=min(size, len(text) - at), offset=at)
+            if at + len(window) < len(text):
+                inner = cuts(window[:-3], np.zeros(1, dtype=np.int64))[1:]
+                if not len(inner):
+                    size *= 2
+                    continue
+                window = window[: inner[-1]]
+            out += self._encode([window.tobytes()])
+            at, size = at + len(window), WINDOW
+        return np.concatenate(out)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.table.size > SLOTS // 2:
+            self.table.clear()
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        if not len(data):
+            return [np.zeros(0, dtype=np.uint16) for _ in texts]
+        lengths = np.array([len(t) for t in texts])
+        begins = np.cumsum(lengths) - lengths
+        starts = cuts(data, begins)
+        ends = np.append(starts[1:], len(data))
+        first, second = (h.hash(data, starts, ends) for h in self.hashers)
+        entry = self.table.find(first, second)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            _, one, back = np.unique(first[missing], return_index=True, return_inverse=True)
+            new = missing[one]
+            self._learn(data, starts[new], ends[new])
+            entry[missing] = self.table.size + back
+            self.table.add(first[new], second[new])
+        sizes = self.bounds[entry + 1] - self.bounds[entry]
+        ids = gather(self.flat, self.bounds[entry], sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        stops = upto[np.searchsorted(starts, begins + lengths)]
+        return np.split(ids, stops[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -116,8 +252,8 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encoder, part, start = _loaded(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b in slices(batch, "text", 2 << 20):
-                ids = [np.append(x, SEPARATOR).astype("<u2") for x in encoder.encode(texts_of(batch, "text", a, b))]
+            for a, b in slices(batch, "text", 1 << 20):
+                ids = [np.append(x, np.uint16(SEPARATOR)) for x in encoder.encode([t.encode() for t in texts_of(batch, "text", a, b)])]
                 n = np.array([len(x) for x in ids], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [

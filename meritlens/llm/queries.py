@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meritlens.llm import bpe, packing, simhash, toxicity
+from meritlens.llm import bpe, langid, packing, quality, simhash, toxicity
 from meritlens.llm.common import table
 
 
@@ -24,13 +24,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op10(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_byte_bpe, op6_simhash, op8_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op5_byte_bpe, op6_simhash, op7_quality, op8_packing, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
