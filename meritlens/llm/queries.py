@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meritlens.llm import bpe, langid, packing, quality, simhash, toxicity
+from meritlens.llm import bpe, fingerprints, langid, packing, quality, simhash, toxicity
 from meritlens.llm.common import table
 
 
@@ -33,12 +33,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op9(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_byte_bpe, op6_simhash, op7_quality, op8_packing, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op5_byte_bpe, op6_simhash, op7_quality, op8_packing, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
