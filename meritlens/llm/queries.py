@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meritlens.llm import bpe, fingerprints, langid, packing, quality, simhash, toxicity
+from meritlens.llm import bpe, chat, fingerprints, langid, media, packing, quality, simhash, toxicity, urls
 from meritlens.llm.common import table
 
 
@@ -15,6 +15,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op1(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op2(spark, table(spark, sf_dir, "conversations"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.op3(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.op5(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -42,7 +54,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_byte_bpe, op6_simhash, op7_quality, op8_packing, op9_fingerprints, op10_language)}
+    own = (
+        op1_toxicity, op2_chat, op3_urls, op4_media, op5_byte_bpe, op6_simhash, op7_quality, op8_packing,
+        op9_fingerprints, op10_language,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
