@@ -202,33 +202,38 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     return fit([(text, y) for _, text, y in rows])
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the score of every row's whole text."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row's whole text."""
     shared = spark.sparkContext.broadcast(model)  # bounded by MAX_WORDS
 
     def run(batches):
-        own_model = shared.value
-        pooler = Pooler(own_model)
+        pooler = Pooler(shared.value)
         for batch in batches:
             for start, stop in slices(batch, "text"):
-                p = own_model.probability(pooler.pool(texts_of(batch, "text", start, stop)))
-                own = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(p.astype(float))], names=[*keep, "score"])
+                p = shared.value.probability(pooler.pool(texts_of(batch, "text", start, stop)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, stop - start), pa.array(p.astype(float))], names=["doc_id", "score"]
+                )
 
-    columns = [F.col(c).alias(c) for c in keep]
-    return docs.select(*columns, *([] if "text" in keep else ["text"])).mapInArrow(run, f"{schema}, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``."""
-    scored = score(spark, docs, learn(spark, docs, labels), tuple(docs.columns))
-    return scored.where(F.col("score") >= threshold).select(docs.columns)
+    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
+    shared = spark.sparkContext.broadcast(learn(spark, docs, labels))
+
+    def run(batches):
+        pooler = Pooler(shared.value)
+        for batch in batches:
+            for start, stop in slices(batch, "text"):
+                kept = shared.value.probability(pooler.pool(texts_of(batch, "text", start, stop))) >= threshold
+                yield batch.slice(start, stop - start).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return score(spark, own, learn(spark, docs, labels)).select(
+    return score(spark, docs, learn(spark, docs, labels)).select(
         "doc_id",
         (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
         "score",

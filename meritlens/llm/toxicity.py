@@ -212,42 +212,53 @@ def _automaton(entries: tuple[tuple[str, float], ...]):
     return Lexicon(dict(entries)).automaton() if entries else None
 
 
-def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, then score, hits (weighted) and words of every row's whole text."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    entries = tuple(sorted(lexicon.weights.items()))
+def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, score, hits, words) of every row's whole text; hits are weighted."""
+    weigh = _weigher(lexicon)
 
     def run(batches):
-        automaton = _automaton(entries)
         for batch in batches:
             for start, stop in slices(batch, "text"):
-                folded = [fold(t) for t in texts_of(batch, "text", start, stop)]
-                if automaton is None:
-                    hits, words = np.zeros(len(folded)), np.array([t.count(" ") for t in folded], dtype=float)
-                else:
-                    hits, words = _weigh(automaton, folded)
-                own = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
+                hits, words = weigh(texts_of(batch, "text", start, stop))
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(lexicon.score(hits, words)), pa.array(hits), pa.array(words)],
-                    names=[*keep, "score", "hits", "words"],
+                    [batch.column(0).slice(start, stop - start), pa.array(lexicon.score(hits, words)), pa.array(hits), pa.array(words)],
+                    names=["doc_id", "score", "hits", "words"],
                 )
 
-    text = F.col("text").alias("text")
-    columns = [F.col(c).alias(c) for c in keep]
-    return docs.select(*columns, *([] if "text" in keep else [text])).mapInArrow(
-        run, f"{schema}, score double, hits double, words double"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, score double, hits double, words double"
     )
 
 
+def _weigher(lexicon: Lexicon):
+    """A function from texts to weighted hits and words; each worker builds the automaton once."""
+    entries = tuple(sorted(lexicon.weights.items()))
+
+    def weigh(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        folded = [fold(t) for t in texts]
+        if not entries:
+            return np.zeros(len(folded)), np.array([t.count(" ") for t in folded], dtype=float)
+        return _weigh(_automaton(entries), folded)
+
+    return weigh
+
+
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score stays under ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score stays under ``threshold``."""
     lexicon = learn(spark, docs, labels)
-    return score(docs, lexicon, tuple(docs.columns)).where(F.col("score") < threshold).select(docs.columns)
+    weigh = _weigher(lexicon)
+
+    def run(batches):
+        for batch in batches:
+            for start, stop in slices(batch, "text"):
+                kept = lexicon.score(*weigh(texts_of(batch, "text", start, stop))) < threshold
+                yield batch.slice(start, stop - start).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(spark, docs, labels))
-    return scored.select(
+    return score(docs, learn(spark, docs, labels)).select(
         "doc_id",
         (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
         "score",
