@@ -130,7 +130,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     turns = format_turns(conversations).withColumn("place", F.monotonically_increasing_id())
     return turns.groupBy("conv_id").agg(
         F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("place", F.decode("segment", F.lit("UTF-8")).alias("s")))), lambda x: x["s"]), ""
+            F.transform(F.sort_array(F.collect_list(F.struct("place", F.decode("segment", "UTF-8").alias("s")))), lambda x: x["s"]), ""
         ).alias("formatted")
     )
 

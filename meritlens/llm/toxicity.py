@@ -95,6 +95,8 @@ class Lexicon:
 
     def score(self, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
         bias, a, b = self.coefficients
+        if bias == -math.inf:
+            return np.zeros(len(hits))
         hits = np.maximum(hits, 0)
         z = bias + a * np.log1p(hits) + b * np.log1p(1000 * hits / np.maximum(words, 1))
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
