@@ -120,8 +120,7 @@ class Pooler:
 def random_indexing(texts: list[str]) -> tuple[list[str], list[str], np.ndarray]:
     """Vocabulary, shapes and context vectors learned from the texts."""
     counts, shapes = Counter(), Counter()
-    split = [t.split() for t in texts]
-    for words in split:
+    for words in map(str.split, texts):
         counts.update(w.lower() for w in words)
         shapes.update(map(shape_of, words))
     vocabulary = [w for w, n in counts.most_common(MAX_WORDS) if n > 1]
@@ -130,7 +129,7 @@ def random_indexing(texts: list[str]) -> tuple[list[str], list[str], np.ndarray]
     kind = {s: len(vocabulary) + i for i, s in enumerate(kinds)}
     index = np.array([index_vector(t) for t in [*vocabulary, *kinds]], dtype=np.float32)
     context = np.zeros_like(index)
-    for words in split:
+    for words in map(str.split, texts):
         ids = np.array([place.get(w.lower(), kind[UNKNOWN]) for w in words], dtype=np.int64)
         forms = np.array([kind.get(shape_of(w), kind[UNKNOWN]) for w in words], dtype=np.int64)
         for d in range(1, REACH + 1):
