@@ -36,7 +36,7 @@ from meritlens.llm.common import materialize, slices, texts_of
 LENGTH = 1024
 SEPARATOR = 0
 #: Slots of a worker's chunk table (a power of two); it starts anew when half full.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: New chunks that go to the tokenizer as one text.
 TOGETHER = 64
 #: Bytes that are looked at together; longer texts are encoded in parts.
