@@ -87,3 +87,15 @@ def truthy(name: str) -> Column:
     """A flag as Python would read it: null if absent, false for false, 0 and empty."""
     raw = F.try_element_at("signals", F.lit(name))
     return F.when(raw.isNotNull(), ~F.lower(raw).isin("false", "", "0", "0.0", "{}", "[]"))
+
+
+def generated_id(seed: Column) -> Column:
+    """CAND_ and 15 digits: the seed's SHA-256 modulo 10**15, worked out 32 bits at a time."""
+    digest = F.sha2(seed, 256)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("decimal(20,0)"))
+    rest = F.aggregate(
+        pieces,
+        F.lit(0).cast("decimal(20,0)"),
+        lambda r, x: F.pmod(r * F.lit(1 << 32).cast("decimal(11,0)") + x, F.lit(10**15).cast("decimal(16,0)")).cast("decimal(20,0)"),
+    )
+    return F.concat(F.lit("CAND_"), F.lpad(rest.cast("string"), 15, "0"))
