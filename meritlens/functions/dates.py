@@ -20,7 +20,7 @@ def months_since(c: Column | str, as_of: dt.date = AS_OF) -> Column:
     months = (
         (F.lit(as_of.year) - F.year(day)) * 12 + (F.lit(as_of.month) - F.month(day)) - (F.lit(as_of.day) < F.dayofmonth(day)).cast("int")
     )
-    return F.coalesce(F.greatest(F.lit(0), months), F.lit(UNKNOWN_MONTHS)).cast("int")
+    return F.when(day.isNull(), UNKNOWN_MONTHS).otherwise(F.greatest(F.lit(0), months)).cast("int")
 
 
 def year_month(c: Column | str) -> Column:
@@ -45,7 +45,7 @@ def date_before(a: Column | str, b: Column | str) -> Column:
 def recency(c: Column | str, as_of: dt.date = AS_OF, cap: float = 6.0) -> Column:
     """1 this month down to 0 after ``cap`` months, by month alone; 0.5 without a date."""
     months = F.lit(as_of.year * 12 + as_of.month) - year_month(c)
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - months / cap)), F.lit(0.5))
+    return F.when(months.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - months / cap)))
 
 
 def duration_months(start: Column | str, end: Column | str, as_of: dt.date = AS_OF) -> Column:

@@ -53,11 +53,11 @@ def reason_problems(rows: DataFrame, tokens: str = "tokens", expected: int = ROW
         F.array(*map(F.lit, CHECKED_TERMS)),
         lambda t: F.regexp_like(F.lower(text), F.concat(F.lit(r"\b"), t, F.lit(r"\b"))) & ~F.array_contains(tokens, t),
     )
-    twice = F.count("*").over(Window.partitionBy("reasoning")) > 1
     named = F.array_compact(F.array(
-        F.when(twice, "duplicate"), F.when(F.trim(text) == "", "empty"), F.when(F.length(text) < 40, "short"),
+        F.when(F.col("_times") > 1, "duplicate"), F.when(F.trim(text) == "", "empty"), F.when(F.length(text) < 40, "short"),
         F.when(F.length(text) > 500, "long"),
         F.when((F.col("rank") > 75) & F.contains(F.lower(text), F.lit("excellent")), "overstated"),
         F.when(F.size(unknown) > 0, F.concat(F.lit("not_in_record: "), F.array_join(unknown, ", "))),
     ))
-    return rows.withColumn("problem", F.explode(named)).select("candidate_id", "problem")
+    counted = rows.withColumn("_times", F.count("*").over(Window.partitionBy("reasoning")))
+    return counted.withColumn("problem", F.explode(named)).select("candidate_id", "problem")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def resolve_job(job: Spec | Mapping | str, category: str = "ai_ml_search_ranking
 
 def embed_column(texts: DataFrame, column: str, embedder: Embedder, out: str = "vec") -> DataFrame:
     """``texts`` with vectors from an injected model, a batch of rows at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in embedder(values.fillna("").tolist())])
