@@ -29,6 +29,8 @@ from meritlens.llm.common import materialize
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
 MIN_PAGES = 25
+#: Parts that pages of one token combination are dealt into when verdicts are joined to them.
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "verdict="
 
@@ -168,7 +170,10 @@ def by_mined(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("confidence", "support", "n", F.col("verdict") == "block", "verdict")).alias("best"))
         .select("signature", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
     )
-    return signed.join(best, "signature", "left").drop("signature")
+    # most pages share a few combinations, so each verdict goes to several places
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = signed.withColumn("salt", F.pmod(F.xxhash64("page_id", F.array_join("tokens", " ")), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["signature", "salt"], "left").drop("signature", "salt")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
