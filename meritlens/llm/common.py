@@ -30,13 +30,17 @@ def fold_of(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="meritlens-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="meritlens-"))
+    return _local[0]
 
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:

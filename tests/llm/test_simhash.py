@@ -116,3 +116,17 @@ def test_large_group_of_copies(spark):
     texts = {i: prose(1) for i in range(300)} | {1000 + i: prose(100 + i) for i in range(20)}
     got = {r.doc_id: r.component_id for r in simhash.op6(spark, documents(spark, texts)).collect()}
     assert got == plain_components({i: plain_fingerprint(t) for i, t in texts.items()})
+
+
+@pytest.mark.parametrize("chosen", [[(range(0, 64, 2), 1), (range(1, 64, 2), 0)], [(range(64), 2)], [(range(20), -1), (range(20, 40), 0), (range(40, 64), 1)]])
+def test_unequal_thresholds_lose_no_link(spark, monkeypatch, chosen):
+    """Probing within a threshold finds what exact partition values would miss."""
+    parts = [(list(bits), t) for bits, t in chosen if t >= 0]
+    monkeypatch.setattr(simhash, "plan", lambda nodes: parts)
+    prints = near_prints(5, 80)
+    distinct = {v: i for i, v in sorted(prints.items(), reverse=True)}
+    signed = [(v - (1 << 64) if v >= 1 << 63 else v, i) for v, i in distinct.items()]
+    got = {(r.u, r.v) for r in simhash.links(spark, spark.createDataFrame(signed, "fp long, node long")).collect()}
+    ids = sorted(distinct.items(), key=lambda x: x[1])
+    expected = {(a, b) for x, a in ids for y, b in ids if a < b and (x ^ y).bit_count() <= 2}
+    assert expected and got == expected
