@@ -69,7 +69,8 @@ def term_coverage(tokens: Column | str, terms: Sequence[str]) -> Column:
         hits = F.size(F.filter(strings(words), lambda w: F.array_contains(have, w)))
         enough = (hits >= 1) if len(words) == 1 else (hits >= 2) | (hits / len(words) >= 0.6)
         credits = credits + F.when(enough, 1.0).when(hits >= 1, 0.4).otherwise(0.0)
-    return credits / F.lit(float(len(terms)))
+    # never null, so that joins on what is made of it need no filter that would repeat the work
+    return F.coalesce(credits / F.lit(float(len(terms))), F.lit(0.0))
 
 
 def keywords(c: Column | str, limit: int = 6) -> Column:

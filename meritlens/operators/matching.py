@@ -134,5 +134,6 @@ def baseline_score(tokens: Column, spec_must: Sequence[str], spec_nice: Sequence
     total = sum(w for _, w in words)
     if not total:
         return F.lit(0.0)
-    return sum((F.when(F.array_contains(tokens, k), w).otherwise(0.0) for k, w in words), F.lit(0.0)) / total
+    found = sum((F.when(F.array_contains(tokens, k), w).otherwise(0.0) for k, w in words), F.lit(0.0))
+    return F.coalesce(found / total, F.lit(0.0))
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from meritlens.functions import scalars as sc
 from meritlens.functions import text as tx
+from meritlens.functions.ranges import bounds_of, range_of
 from meritlens.operators.audits import risk_flags
 
 
@@ -18,26 +19,30 @@ def most_common(rows: DataFrame, column: str, k: int) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(column)).limit(k)
 
 
-def nearest_rank(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+def nearest_rank(rows: DataFrame, column: str, shares: Sequence[float], ranges: int = 256) -> DataFrame:
     """(share, value) with value = sorted[min(n - 1, int(n * share))].
 
-    Found by counts of distinct values and a running sum over ranges, not by collecting the column:
-    values are range-partitioned, partition totals are prefix-summed and only matching rows remain."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    sorted_ = counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
-    upto = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = sorted_.withColumn("inside", F.sum("n").over(upto))
-    totals = running.groupBy("part").agg(F.max("inside").alias("t"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    placed = running.join(bases, "part").withColumn("last", F.col("base") + F.col("inside") - 1)
-    size = rows.where(F.col(column).isNotNull()).count()
-    wanted = [(float(p), min(size - 1, int(size * p))) for p in shares] if size else []
-    places = rows.sparkSession.createDataFrame(wanted, "share double, place long")
-    return (
-        placed.join(F.broadcast(places), (F.col("place") <= F.col("last")) & (F.col("place") > F.col("last") - F.col("n")))
-        .select("share", "value")
-    )
+    Rows are counted by ranges of values (at most ``ranges`` numbers reach the driver); only the ranges
+    that hold a wanted place are then looked at value by value."""
+    spark = rows.sparkSession
+    kind = rows.schema[column].dataType.simpleString()
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
+    dealt = values.withColumn("range", range_of(F.col("value"), bounds_of(rows, column, ranges), kind))
+    sizes = sorted((r.range, r.n) for r in dealt.groupBy("range").agg(F.count("*").alias("n")).collect())
+    n, wanted = sum(c for _, c in sizes), []
+    for share in shares if n else ():
+        place = min(n - 1, int(n * share))
+        for range_, count in sizes:
+            if place < count:
+                wanted.append((float(share), range_, place))
+                break
+            place -= count
+    places = spark.createDataFrame(wanted, "share double, range int, place long")
+    counts = dealt.where(F.col("range").isin(*{r for _, r, _ in wanted})).groupBy("range", "value").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counts.withColumn("last", F.sum("n").over(upto) - 1)
+    here = (F.col("place") <= F.col("last")) & (F.col("place") > F.col("last") - F.col("n"))
+    return running.join(F.broadcast(places), "range").where(here).select("share", "value")
 
 
 def archetypes() -> Column:

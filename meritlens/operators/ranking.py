@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meritlens.functions import scalars as sc
+from meritlens.functions.ranges import bounds_of, range_of
 
 EPSILON = 0.000001
 
@@ -65,16 +66,20 @@ def rerank(ranked: DataFrame, second: str, k: int = 50, blend: float = 0.5, scor
     return again.unionByName(tail.withColumns({"blended": F.col(score), "new_rank": F.col("rank")}))
 
 
-def rank_by_keywords(rows: DataFrame, score: str, key: str) -> DataFrame:
-    """Every row with ``keyword_rank`` by (score desc, id), without one task that sorts everything.
-
-    Ranks are an offset for each distinct score (few, as a score is a share of a word list's weight)
-    and a row number within the score."""
-    counts = rows.groupBy(score).count()
-    before = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(score, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy(score).orderBy(key))
-    return rows.withColumn("_n", within).join(starts, score).withColumn("keyword_rank", (F.col("start") + F.col("_n")).cast("int")).drop("_n", "start")
+def rank_by_keywords(rows: DataFrame, score: str, key: str, ranges: int = 64) -> DataFrame:
+    """Every row with ``keyword_rank`` by (score desc, key), without one task that sorts everything.
+
+    Rows are numbered within a score and a range of keys, after an offset for each of those; scores
+    are few, as each is a share of a word list's weight.  A null score counts as the lowest."""
+    low = F.coalesce(F.col(score), F.lit(-1).cast(rows.schema[score].dataType))  # scores start at 0
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.withColumns({"_s": low, "_r": range_of(F.col(key), bounds_of(rows, key, ranges), kind)})
+    counts = dealt.groupBy("_s", "_r").count()
+    before = Window.orderBy(F.col("_s").desc(), "_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_s", "_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_r").orderBy(key)))
+    rank = (F.col("_start") + F.col("_n")).cast("int")
+    return numbered.join(starts, ["_s", "_r"]).withColumn("keyword_rank", rank).drop("_s", "_r", "_n", "_start")
 
 
 def rescued(head: DataFrame, keyword_ranks: DataFrame, key: str, cutoff: int, pool: int) -> DataFrame:

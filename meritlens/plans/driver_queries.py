@@ -82,18 +82,25 @@ def _micro_sql(x: str) -> str:
 
 def _gated(docs: DataFrame, must=MUST, nice=NICE, title=TITLE) -> DataFrame:
     """Documents with micro-scores of the gate: the flagship without its cut."""
-    covered = docs.select("doc_id", "lang", "source", "n_chars", tx.token_set("text").alias("tokens")).withColumns({
-        "m": tx.term_coverage("tokens", must), "n": tx.term_coverage("tokens", nice), "t": tx.term_coverage("tokens", (title,)),
-    })
-    relevance = sc.clamp(F.greatest(0.85 * F.col("m"), 0.5 * F.col("t")) + 0.10 * F.col("n"))
-    parts = {
-        "seniority": sc.clamp(F.col("n_chars") / 5000.0), "logistics": F.when(F.col("lang") == "en", 0.55).otherwise(0.15),
-        "behavioral": F.col("m"), "trust": F.when(F.col("source").isNotNull(), 0.22).otherwise(0.0),
-    }
-    quality = sc.quality(parts, requirements.weights_of("ai_ml_search_ranking"))
-    return covered.withColumn("relevance", relevance).withColumn("quality", quality).withColumn(
-        "micro", micro(sc.gate(F.col("relevance"), F.col("quality")))
-    )
+    return _gated_jobs(docs, {"all": (must, nice)}, title).withColumnsRenamed({f"{c}_all": c for c in ("m", "n", "t", "relevance", "quality", "micro")})
+
+
+def _gated_jobs(docs: DataFrame, jobs: dict, title=TITLE) -> DataFrame:
+    """Documents with the gate's columns for each job, from one pass over the texts."""
+    rows = docs.select("doc_id", "lang", "source", "n_chars", tx.token_set("text").alias("tokens"))
+    rows = rows.withColumns({f"{c}_{j}": tx.term_coverage("tokens", terms) for j, (must, nice) in jobs.items() for c, terms in (("m", must), ("n", nice), ("t", (title,)))})
+    weights = requirements.weights_of("ai_ml_search_ranking")
+    graded = {}
+    for j in jobs:
+        m, n, t = (F.col(f"{c}_{j}") for c in "mnt")
+        graded[f"relevance_{j}"] = sc.clamp(F.greatest(0.85 * m, 0.5 * t) + 0.10 * n)
+        parts = {
+            "seniority": sc.clamp(F.col("n_chars") / 5000.0), "logistics": F.when(F.col("lang") == "en", 0.55).otherwise(0.15),
+            "behavioral": m, "trust": F.when(F.col("source").isNotNull(), 0.22).otherwise(0.0),
+        }
+        graded[f"quality_{j}"] = sc.quality(parts, weights)
+    rows = rows.withColumns(graded)
+    return rows.withColumns({f"micro_{j}": micro(sc.gate(F.col(f"relevance_{j}"), F.col(f"quality_{j}"))) for j in jobs})
 
 
 def _gated_sql(must=MUST, nice=NICE, title=TITLE, source="documents") -> str:
@@ -554,14 +561,12 @@ _HEADS_SQL = f"SELECT * FROM (SELECT 'all' AS job, doc_id, row_number() OVER (OR
 
 
 def _heads(spark, sf, n: int = 50) -> DataFrame:
-    """The head of each of several jobs over one pool: one scan, scores as an array."""
-    docs = read(spark, sf, "documents")
-    out = None
-    for job, (must, nice) in {"all": (MUST, NICE), **JOBS}.items():
-        own = _gated(docs, must, nice).select(F.lit(job).alias("job"), "doc_id", "micro")
-        head = ranking.top(own, n, [F.col("micro").desc(), F.col("doc_id")])
-        out = head if out is None else out.unionByName(head)
-    return out
+    """The head of each of several jobs over one pool: one scan, a score for each job, group limits."""
+    jobs = {"all": (MUST, NICE), **JOBS}
+    rows = _gated_jobs(read(spark, sf, "documents"), jobs)
+    listed = F.array(*(F.struct(F.lit(j).alias("job"), F.col(f"micro_{j}").alias("micro")) for j in jobs))
+    scored = rows.select("doc_id", F.explode(listed).alias("x")).select("x.job", "doc_id", "x.micro")
+    return ranking.top(scored, n, [F.col("micro").desc(), F.col("doc_id")], by=["job"])
 
 
 @query("q31_jaccard_topk", f"""
