@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meritlens.functions.ranges import range_of
+
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
@@ -72,19 +74,6 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below ``key``, by a search on two levels."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*(F.lit(g[0]).cast("long") for g in groups))
-    listed = F.array(*(F.array(*(F.lit(b).cast("long") for b in g)) for g in groups))
-    group = F.size(F.filter(heads, lambda b: b <= key))
-    inside = F.size(F.filter(F.get(listed, group - 1), lambda b: b <= key))
-    return F.when(group == 0, 0).otherwise((group - 1) * step + inside)
-
-
 def neighbours(spark: SparkSession, docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<c>`` for each c of ``columns``: its value in the next row by
     descending doc_id."""
@@ -95,7 +84,7 @@ def neighbours(spark: SparkSession, docs: DataFrame, columns: list[str]) -> Data
     keys = docs.select(key.alias("key"))
     found = keys.agg(F.percentile_approx("key", share, max(10_000, 20 * count)).alias("b")).first().b if share else None
     bounds = sorted(set(found or []))
-    span = _range_of(F.col("key"), bounds)
+    span = range_of(F.col("key"), bounds, "long")
     # one number for each range that has rows
     firsts = {r.range: r.key for r in keys.groupBy(span.alias("range")).agg(F.max("key").alias("key")).collect()}
     have = sorted(firsts)
