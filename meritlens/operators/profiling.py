@@ -24,7 +24,6 @@ def nearest_rank(rows: DataFrame, column: str, shares: Sequence[float], ranges:
 
     Rows are counted by ranges of values (at most ``ranges`` numbers reach the driver); only the ranges
     that hold a wanted place are then looked at value by value."""
-    spark = rows.sparkSession
     kind = rows.schema[column].dataType.simpleString()
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
     dealt = values.withColumn("range", range_of(F.col("value"), bounds_of(rows, column, ranges), kind))
@@ -37,12 +36,17 @@ def nearest_rank(rows: DataFrame, column: str, shares: Sequence[float], ranges:
                 wanted.append((float(share), range_, place))
                 break
             place -= count
-    places = spark.createDataFrame(wanted, "share double, range int, place long")
-    counts = dealt.where(F.col("range").isin(*{r for _, r, _ in wanted})).groupBy("range", "value").agg(F.count("*").alias("n"))
+    # the few places are literals of their range, so that no join condition is inferred on the ranges
+    ranges_wanted = sorted({r for _, r, _ in wanted})
+    inside = F.lit(None).cast("array<struct<share:double,place:bigint>>")
+    for r in ranges_wanted:
+        own = [F.struct(F.lit(s).alias("share"), F.lit(p).cast("long").alias("place")) for s, q, p in wanted if q == r]
+        inside = F.when(F.col("range") == r, F.array(*own)).otherwise(inside)
+    counts = dealt.where(F.col("range").isin(*ranges_wanted) if ranges_wanted else F.lit(False)).groupBy("range", "value").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = counts.withColumn("last", F.sum("n").over(upto) - 1)
-    here = (F.col("place") <= F.col("last")) & (F.col("place") > F.col("last") - F.col("n"))
-    return running.join(F.broadcast(places), "range").where(here).select("share", "value")
+    hit = F.filter(inside, lambda x: (x["place"] <= F.col("last")) & (x["place"] > F.col("last") - F.col("n")))
+    return running.select(F.explode(hit).alias("x"), "value").select("x.share", "value")
 
 
 def archetypes() -> Column:
