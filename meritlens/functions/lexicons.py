@@ -121,3 +121,7 @@ SIGNAL_RULES = (
     (r"endorsements.?received", "trust", 100.0),
 )
 RESERVED_ACCOUNTS = ("about", "features", "pricing", "topics", "orgs", "sponsors")
+COUNTED_KEYWORDS = (
+    "embeddings", "embedding", "retrieval", "ranking", "ranker", "nlp", "ml", "ai", "python", "search", "recommendation",
+    "bm25", "faiss", "vector",
+)

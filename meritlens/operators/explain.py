@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritlens.functions import lexicons as lx
+from meritlens.functions import scalars as sc
 from meritlens.functions import text as tx
 from meritlens.functions.text import strings
 from meritlens.operators.matching import top_matches
@@ -174,8 +175,18 @@ def interview_questions(packets_: DataFrame, spec: Spec) -> DataFrame:
 
 
 def decision() -> Column:
-    """keep or investigate, by flags, eligibility and confidence of a ranked row."""
-    return F.when(F.col("vetoed") | ~F.col("top10_eligible") | (F.size("risk_flags") >= 2) | (F.col("confidence") < 0.35), "investigate").otherwise("keep")
+    """struct(decision, concerns) of a ranked row: keep, or investigate where the place is prominent.
+
+    Any concern counts within the first ten, flags alone within the first twenty-five."""
+    top, flagged = F.col("rank") <= 10, F.size("risk_flags") > 0
+    concerns = sc.present(
+        (top & ~F.col("top10_eligible"), "not eligible for the first ten"),
+        (F.size("career_retrieval_terms") == 0, "no retrieval or ranking in the career"),
+        (F.size("career_production_terms") == 0, "little production work in the career"),
+        (flagged, "risk flags"),
+    )
+    look = (top & (F.size(concerns) > 0)) | ((F.col("rank") <= 25) & flagged)
+    return F.struct(F.when(look, "investigate").otherwise("keep").alias("decision"), concerns.alias("concerns"))
 
 
 def fit_label() -> Column:
@@ -189,6 +200,6 @@ def hidden_fit() -> Column:
     return (F.col("semantic_fit") >= 0.5) & (F.col("lexical_fit") < 0.3)
 
 
-def occurrences(text: Column, words: list[str]) -> Column:
-    """How often the words occur anywhere in a text, summed (the old substring rank)."""
+def occurrences(text: Column, words: tuple[str, ...] = lx.COUNTED_KEYWORDS) -> Column:
+    """How often the words occur anywhere in a text, summed: a naive rank to compare with."""
     return sum((F.size(F.split(F.lower(text), F.concat(F.lit(r"\Q"), F.lit(w), F.lit(r"\E")))) - 1 for w in words), F.lit(0))

@@ -119,3 +119,17 @@ def markdown_table(df: DataFrame, most: int = 100) -> str:
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [df.columns, ["---"] * len(df.columns), *([cell(v) for v in r] for r in rows)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
+
+
+def write_rescue_ledger(ledger: DataFrame, path: str, cutoff: int) -> None:
+    """Rows that a keyword ranking has behind ``cutoff``, as CSV, and their number as JSON beside it."""
+    _one_csv(ledger.orderBy("rank"), f"{path}/ledger")
+    summary = ledger.agg(F.count("*").alias("rescued"), F.min("keyword_rank").alias("first_keyword_rank")).withColumn("cutoff", F.lit(cutoff))
+    summary.coalesce(1).select(F.to_json(F.struct("*"))).write.mode("overwrite").text(f"{path}/summary")
+
+
+def write_pool(lines: DataFrame, labels: DataFrame, job: str, path: str) -> None:
+    """A labelled pool: JSON lines of records, a table of labels and the job's text."""
+    lines.write.mode("overwrite").text(f"{path}/candidates")
+    labels.write.mode("overwrite").parquet(f"{path}/labels")
+    labels.sparkSession.createDataFrame([(job,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/job")

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from meritlens.operators import adversarial, audits, evaluation, explain, profiling, signals, synthetic
 from meritlens.operators.features import features
-from meritlens.plans import engine
-from meritlens.sources import sinks
+from meritlens.plans import engine, reports
+from meritlens.sources import readers, sinks
 from meritlens.sources.schema import from_json_lines
 
 
@@ -98,12 +98,13 @@ def test_open_flag_and_signals(spark):
 
 @pytest.fixture(scope="module")
 def pools(spark):
-    return {(n, v): tuple(x.cache() for x in synthetic.pool(spark, role, vocabulary=v)) for n, role in synthetic.ROLES.items() for v in ("full", "alt")}
+    return {(n, v): tuple(x.cache() for x in synthetic.pool(spark, role, vocabulary=v)) for n, role in synthetic.ROLES.items() for v in (("full", "alt") if n == "search" else ("full",))}
 
 
-@pytest.mark.parametrize("name", list(synthetic.ROLES))
-@pytest.mark.parametrize("kind", ["spine", "hybrid"])
-@pytest.mark.parametrize("vocabulary", ["full", "alt"])
+CASES = [(n, k, "full") for n in synthetic.ROLES for k in ("spine", "hybrid")] + [("search", k, "alt") for k in ("spine", "hybrid")]
+
+
+@pytest.mark.parametrize(("name", "kind", "vocabulary"), CASES)
 def test_synthetic_pools_are_ranked_well(spark, pools, name, kind, vocabulary):
     rows, labels = pools[name, vocabulary]
     result = engine.rank(spark, synthetic.ROLES[name].job, rows, engine=kind, top_n=90)
@@ -128,7 +129,8 @@ def test_head_is_ordered_and_explained(spark, pools):
     ranked_pool = engine.ranking.top(result.pool, 90, engine.ranking.rank_order())
     report = explain.transparency(ranked_pool, head[0]["candidate_id"], result.spec).first()
     assert report.met and report["rank"] == 1
-    assert result.head.select(explain.decision().alias("d"), explain.fit_label().alias("f"), explain.hidden_fit()).count() == 20
+    rated = result.head.select("rank", "risk_flags", explain.decision().alias("d"), explain.fit_label().alias("f"), explain.hidden_fit()).collect()
+    assert len(rated) == 20 and all(r.d.decision == ("investigate" if r.d.concerns and r["rank"] <= 10 or r.risk_flags else "keep") for r in rated)
     spine = engine.ranking.top(engine.score_pool(rows, result.spec), 90, engine.ranking.rank_order())
     assert 0 < explain.traps(spine).count() <= 5
 
@@ -158,7 +160,7 @@ def test_vectors_help_paraphrases(spark, pools):
 
 def test_many_jobs_and_cache(spark, pools):
     rows, _ = pools["search", "full"]
-    jobs = {n: r.job for n, r in synthetic.ROLES.items()}
+    jobs = {n: synthetic.ROLES[n].job for n in ("search", "sales")}
     many = engine.rank_many(spark, jobs, rows, top_n=10)
     assert many.groupBy("job_id").count().collect() and many.count() == 20
     cache = engine.Cache(spark)
@@ -222,4 +224,29 @@ def test_sinks(spark, pools, tmp_path):
     assert spark.read.json(str(tmp_path / "packets")).count() == 12
     sinks.write_workbook([("a", "b & <c>"), (1, None)], str(tmp_path / "book.xlsx"))
     assert (tmp_path / "book.xlsx").stat().st_size > 500
+    lines = readers.lines_of(spark, ["{}"])
+    labels = pools["search", "full"][1]
+    sinks.write_pool(lines, labels, "a job", str(tmp_path / "pool"))
+    assert spark.read.parquet(str(tmp_path / "pool" / "labels")).count() == 90
+    ledger = result.head.select("candidate_id", "rank").withColumn("keyword_rank", F.lit(200))
+    sinks.write_rescue_ledger(ledger, str(tmp_path / "rescue"), 100)
+    assert json.loads(spark.read.text(str(tmp_path / "rescue" / "summary")).first().value)["rescued"] == 12
     assert sinks.markdown_table(result.head.select("rank")).count("\n") == 14
+
+
+def test_reports(spark, pools):
+    rows = pools["search", "full"][0]
+    profile = {(r.section, r.name): r.value for r in reports.dataset_profile(features(rows)).collect()}
+    assert profile["size", "rows"] == "90" and profile["size", "repeated ids"] == "0"
+    assert {"years p10", "years p50", "years p90"} <= {n for s, n in profile if s == "percentiles"}
+    jobs = {n: synthetic.ROLES[n].job for n in ("search", "sales")}
+    review = reports.multi_job_review(spark, jobs, rows, top_n=10)
+    assert review["overlap"].count() == 1 and review["titles"].groupBy("job_id").count().count() == 2
+    assert review["flags"].columns == ["job_id", "flag", "n"]
+    text = reports.as_markdown("Review", {"Overlap": review["overlap"], "Titles": review["titles"]})
+    assert text.startswith("# Review") and "## Titles" in text
+
+
+def test_counted_keywords(spark):
+    df = spark.createDataFrame([("ML html and search, search",)], "t string")
+    assert df.select(explain.occurrences(df.t).alias("n")).first().n == 4
