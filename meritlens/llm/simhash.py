@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meritlens.llm.common import discard, materialize, slices, texts_of
 
@@ -39,22 +40,42 @@ CROWD = 48
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str) -> int:
-    """SimHash of one text: a bit is 1 if set in over half of the 3-word shingles' hashes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def _sums(words: list[bytes], size: int, extra: int = 0) -> tuple[np.ndarray, int]:
+    """How many hashes of the shingles of ``size`` words have each bit, and how many there are.
+
+    With ``extra`` each hash is followed by that many mixed ones, for fingerprints of more bits."""
     h = xxhash.xxh64_intdigest
-    if len(words) < 3:
-        return h(b" ".join(words), 42)
-    hashes = (h(b" ".join(s), 42) for s in zip(words, islice(words, 1, None), islice(words, 2, None)))
-    total = len(words) - 2
-    counts = np.zeros(64, dtype=np.int64)
+    if len(words) < size:
+        hashes, total = iter([h(b" ".join(words), 42)]), 1
+    else:
+        hashes = (h(b" ".join(s), 42) for s in zip(*(islice(words, k, None) for k in range(size))))
+        total = len(words) - size + 1
+    counts = np.zeros(64 * (extra + 1), dtype=np.int64)
     for _ in range(0, total, BLOCK):
         block = np.fromiter(islice(hashes, BLOCK), dtype="<u8")
-        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+        for k in range(extra + 1):
+            if k:  # the finaliser of splitmix64
+                block = block + np.uint64(0x9E3779B97F4A7C15)
+                block = (block ^ (block >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                block = (block ^ (block >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                block = block ^ (block >> np.uint64(31))
+            bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int32)
+    return counts, total
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _packed(counts: np.ndarray, total: int) -> np.ndarray:
+    return np.packbits(counts * 2 > total, bitorder="little").view("<u8")
+
+
+def fingerprint(text: str) -> int:
+    """SimHash of one text: a bit is 1 if set in over half of the 3-word shingles' hashes."""
+    words = _words(text)
+    return int(_packed(*_sums(words, 3))[0]) if words else 0
 
 
 def _fingerprint_batches(batches):
@@ -273,11 +294,140 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
+# Near copies by similarity: candidates by unsure bits, verified on a longer fingerprint.
+
+#: Similarity of 5-word shingle sets that near copies have, and bits of the fingerprint that verifies it.
+SIMILARITY, CHECK_WORDS, CHECK_LONGS = 0.8, 5, 3
+#: Partitions, and bits of each that lie nearest to even: those are the ones that an edit flips.
+PARTS, UNSURE = 3, 3
+#: Bits of 64 in which candidates may differ before they are verified.
+FAR = 18
+
+
+def check_distance(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of sets this similar differ: the expected number and one deviation."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+
+
+def part_bits() -> list[np.ndarray]:
+    return np.array_split(np.arange(64), PARTS)
+
+
+def profile(text: str) -> tuple[int, int, list[int]]:
+    """Fingerprint, the unsure bits of each partition (six bits a place) and the verifying fingerprint."""
+    words = _words(text)
+    if not words:
+        return 0, sum(int(b[k]) << 6 * (UNSURE * i + k) for i, b in enumerate(part_bits()) for k in range(UNSURE)), [0] * CHECK_LONGS
+    counts, total = _sums(words, 3)
+    margin = np.abs(2 * counts - total)
+    unsure, place = 0, 0
+    for bits in part_bits():
+        for b in bits[np.argsort(margin[bits], kind="stable")[:UNSURE]]:
+            unsure |= int(b) << 6 * place
+            place += 1
+    return int(_packed(counts, total)[0]), unsure, [int(x) for x in _packed(*_sums(words, CHECK_WORDS, CHECK_LONGS - 1))]
+
+
+def _profile_batches(batches):
+    for batch in batches:
+        for start, stop in slices(batch, "text"):
+            rows = [profile(t) for t in texts_of(batch, "text", start, stop)]
+            signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+            columns = [signed([r[0] for r in rows]), signed([r[1] for r in rows]), *(signed([r[2][k] for r in rows]) for k in range(CHECK_LONGS))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(start, stop - start), *columns], names=["doc_id", "fp", "unsure", *(f"c{k}" for k in range(CHECK_LONGS))]
+            )
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    schema = "doc_id long, fp long, unsure long, " + ", ".join(f"c{k} long" for k in range(CHECK_LONGS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profile_batches, schema)
+
+
+def _unsure_probes() -> Column:
+    """Keys (part, v, d): a partition's value with each subset of its unsure bits flipped."""
+    out = []
+    for i, bits in enumerate(part_bits()):
+        mask = F.lit(_mask([int(b) for b in bits])).cast("long")
+        flips = [
+            F.call_function(
+                "shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("unsure", 6 * (UNSURE * i + k)).bitwiseAND(F.lit(63)).cast("int")
+            )
+            for k in range(UNSURE)
+        ]
+        for subset in range(1 << UNSURE):
+            v = F.col("fp")
+            for k in range(UNSURE):
+                if subset >> k & 1:
+                    v = v.bitwiseXOR(flips[k])
+            out.append(F.struct(F.lit(i).alias("part"), v.bitwiseAND(mask).alias("v"), F.lit(int(subset > 0)).alias("d")))
+    return F.array(*out)
+
+
+def _verified(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose verifying fingerprints are close enough."""
+    checks = [f"c{k}" for k in range(CHECK_LONGS)]
+    of = lambda side: nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{side}") for c in checks))
+    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in checks), F.lit(0))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    return joined.where(apart <= check_distance(similarity, 64 * CHECK_LONGS)).select("a", "b")
+
+
+def similar_links(spark: SparkSession, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (u, v) between nodes (fp, unsure, c*, node) of like texts.
+
+    An edit flips the bits that are nearly even, so each fingerprint probes its partitions with every
+    subset of their unsure bits flipped.  Small buckets are compared pair by pair.  In a crowded one
+    every row is compared with CROWD pivots; rows near no pivot go on to the next round with others."""
+    listed = nodes.select("fp", "node", F.explode(_unsure_probes()).alias("k")).select("fp", "node", "k.part", "k.v", "k.d")
+    sizes = listed.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n0")).where("n > 1 and n0 > 0")
+    left = materialize(spark, listed.join(sizes, ["part", "v"]).where(~((F.col("n0") == 1) & (F.col("n") == 1))), "simhash-similar")
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
+    found = None
+    while True:
+        small = F.col("n") <= CROWD
+        index = left.where("d = 0")
+        order = Window.partitionBy("part", "v").orderBy(F.xxhash64("node"), "node")
+        pivots = index.where(~small).withColumn("r", F.row_number().over(order)).where(F.col("r") <= CROWD).drop("r")
+        a = index.where(small).unionByName(pivots).select("part", "v", F.col("fp").alias("fa"), F.col("node").alias("a"))
+        b = left.select("part", "v", F.col("fp").alias("fb"), F.col("node").alias("b"))
+        pairs = a.join(b, ["part", "v"]).where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = materialize(spark, _verified(spark, pairs, nodes, similarity), "simhash-similar-edges")
+        found = edges if found is None else found.unionByName(edges)
+        linked = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        done = linked.unionByName(pivots.select("node")).distinct()
+        rest = left.where(~small).drop("n", "n0").join(done, "node", "left_anti")
+        again = rest.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n0")).where("n > 1 and n0 > 0")
+        following = materialize(spark, rest.join(again, ["part", "v"]), "simhash-similar")
+        discard(spark, left)
+        left = following
+        if left.isEmpty():
+            return found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): groups by fingerprints within TAU bits and by similarity."""
+    own = materialize(spark, profiles(docs), "simhash-profiles")
+    checks = [f"c{k}" for k in range(CHECK_LONGS)]
+    first = F.min(F.struct("doc_id", "unsure", *checks)).alias("x")
+    nodes = materialize(
+        spark,
+        own.where("doc_id is not null").groupBy("fp").agg(first).select("fp", F.col("x.doc_id").alias("node"), "x.unsure", *(f"x.{c}" for c in checks)),
+        "simhash-nodes",
+    )
+    edges = links(spark, nodes.select("fp", "node")).unionByName(similar_links(spark, nodes, similarity)).distinct()
+    roots = components(spark, edges)
+    named = nodes.select("fp", "node").join(roots.withColumnRenamed("v", "node"), "node", "left")
+    return own.select("doc_id", "fp").join(named.select("fp", F.coalesce("root", "node").alias("component_id")), "fp", "left").select("doc_id", "component_id")
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest; one row for repeated ids.
 
+    Groups are those of :func:`similar_groups`; without ``similarity`` those within TAU bits alone.
     Rows without a doc_id are kept."""
-    found = near_duplicates(spark, docs)
+    found = near_duplicates(spark, docs) if similarity is None else similar_groups(spark, docs, similarity)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

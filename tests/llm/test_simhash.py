@@ -130,3 +130,54 @@ def test_unequal_thresholds_lose_no_link(spark, monkeypatch, chosen):
     ids = sorted(distinct.items(), key=lambda x: x[1])
     expected = {(a, b) for x, a in ids for y, b in ids if a < b and (x ^ y).bit_count() <= 2}
     assert expected and got == expected
+
+
+def edited(text, seed, share):
+    rng = np.random.default_rng(seed)
+    words = text.split()
+    for i in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
+        words[i] = f"changed{seed}{i}"
+    return " ".join(words)
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("crowd", [3, 48])
+def test_similar_groups(spark, monkeypatch, crowd):
+    """Edited copies are found, other texts are left alone; crowded buckets go through pivots."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    texts = {}
+    for g in range(12):
+        base = prose(1000 + g, 300)
+        texts[g * 100] = base
+        for k in range(1, 12 if g == 0 else 4):
+            texts[g * 100 + k] = edited(base, g * 100 + k, 0.015)
+    texts |= {5000 + i: prose(3000 + i, 200) for i in range(60)}
+    texts |= {9000: None, 9001: "", 9002: " "}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, documents(spark, texts)).collect()}
+    sets = {i: shingles(t) for i, t in texts.items() if t and t.strip()}
+    near = [(g * 100, g * 100 + k) for g in range(12) for k in range(1, 4)]
+    near = [(a, b) for a, b in near if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert len(near) > 25
+    assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    assert all(got[i] == i for i in texts if 5000 <= i < 9000)
+    assert all(got[i] // 100 == i // 100 for i in texts if i < 5000)
+    assert got[9000] == got[9001] == got[9002] == 9000
+    exact = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, documents(spark, texts)).collect()}
+    by_exact = {}
+    for i, c in exact.items():
+        by_exact.setdefault(c, set()).add(got[i])
+    assert all(len(v) == 1 for v in by_exact.values())  # no link of op6 is lost
+
+
+def test_profile_agrees_with_the_fingerprint():
+    for text in ("", "one", prose(1), prose(2, 2000)):
+        fp, unsure, _ = simhash.profile(text)
+        assert fp == simhash.fingerprint(text)
+        for i, bits in enumerate(simhash.part_bits()):
+            places = [unsure >> 6 * (simhash.UNSURE * i + k) & 63 for k in range(simhash.UNSURE)]
+            assert len(set(places)) == simhash.UNSURE and set(places) <= set(bits.tolist())
+    assert simhash.check_distance(0.8, 192) < simhash.check_distance(0.5, 192) < 96
