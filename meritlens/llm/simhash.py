@@ -302,6 +302,8 @@ SIMILARITY, CHECK_WORDS, CHECK_LONGS = 0.8, 5, 3
 PARTS, UNSURE = 3, 3
 #: Bits of 64 in which candidates may differ before they are verified.
 FAR = 18
+#: Rows of a bucket up to which all pairs are compared, and pivots of a larger one in each round.
+SMALL, PIVOTS = 12, 6
 
 
 def check_distance(similarity: float, bits: int) -> int:
@@ -379,17 +381,17 @@ def similar_links(spark: SparkSession, nodes: DataFrame, similarity: float = SIM
 
     An edit flips the bits that are nearly even, so each fingerprint probes its partitions with every
     subset of their unsure bits flipped.  Small buckets are compared pair by pair.  In a crowded one
-    every row is compared with CROWD pivots; rows near no pivot go on to the next round with others."""
+    every row is compared with PIVOTS others; rows near no pivot go on to the next round with others."""
     listed = nodes.select("fp", "node", F.explode(_unsure_probes()).alias("k")).select("fp", "node", "k.part", "k.v", "k.d")
     sizes = listed.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n0")).where("n > 1 and n0 > 0")
     left = materialize(spark, listed.join(sizes, ["part", "v"]).where(~((F.col("n0") == 1) & (F.col("n") == 1))), "simhash-similar")
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
     found = None
     while True:
-        small = F.col("n") <= CROWD
+        small = F.col("n") <= SMALL
         index = left.where("d = 0")
         order = Window.partitionBy("part", "v").orderBy(F.xxhash64("node"), "node")
-        pivots = index.where(~small).withColumn("r", F.row_number().over(order)).where(F.col("r") <= CROWD).drop("r")
+        pivots = index.where(~small).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).drop("r")
         a = index.where(small).unionByName(pivots).select("part", "v", F.col("fp").alias("fa"), F.col("node").alias("a"))
         b = left.select("part", "v", F.col("fp").alias("fb"), F.col("node").alias("b"))
         pairs = a.join(b, ["part", "v"]).where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

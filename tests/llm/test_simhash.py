@@ -145,10 +145,11 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("crowd", [3, 48])
-def test_similar_groups(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("small", [3, 12])
+def test_similar_groups(spark, monkeypatch, small):
     """Edited copies are found, other texts are left alone; crowded buckets go through pivots."""
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
     texts = {}
     for g in range(12):
         base = prose(1000 + g, 300)
