@@ -12,10 +12,11 @@ from collections.abc import Mapping
 from typing import Any
 
 from meritlens.functions.dates import AS_OF
+from meritlens.sources.schema import SIGNAL_KEYS
 
 COMPANY_SIZES = ("1-10", "11-50", "51-200", "201-500", "501-1000", "1001-5000", "5001-10000", "10001+")
 NEUTRAL_SIZE = "51-200"
-CONTAINERS = {"profile": dict, "career_history": list, "education": list, "skills": list, "redrob_signals": dict}
+CONTAINERS = {"profile": dict, "career_history": list, "education": list, "skills": list, "signals": dict}
 
 
 def generated_id(seed: str) -> str:
@@ -60,6 +61,8 @@ def normalized(record: dict[str, Any]) -> dict[str, Any]:
 
     The open-to-work flag is never filled in."""
     out = dict(record)
+    given = [v for v in (out.pop(k, None) for k in SIGNAL_KEYS) if isinstance(v, Mapping)]
+    out["signals"] = dict(given[0]) if given else {}
     for key, kind in CONTAINERS.items():
         value = out.get(key)
         out[key] = kind(value) if isinstance(value, kind) else kind()
@@ -68,7 +71,7 @@ def normalized(record: dict[str, Any]) -> dict[str, Any]:
     for part in (*career, *(s for s in skills if isinstance(s, dict))):
         if "duration_months" in part:
             part["duration_months"] = _count(part["duration_months"])
-    profile, signals = dict(out["profile"]), dict(out["redrob_signals"])
+    profile, signals = dict(out["profile"]), dict(out["signals"])
     if not profile.get("years_of_experience"):
         months = sum(_count(j.get("duration_months")) for j in career)
         if months:
@@ -80,7 +83,7 @@ def normalized(record: dict[str, Any]) -> dict[str, Any]:
     out |= {"career_history": career, "skills": skills, "profile": profile}
     signals.setdefault("profile_completeness_score", completeness(out))
     signals.setdefault("verified_email", False)
-    out["redrob_signals"] = signals
+    out["signals"] = signals
     return out
 
 
@@ -102,7 +105,7 @@ def canonical(fields: Mapping[str, Any], source: str, confidence: float = 0.0, r
             "current_industry": get("current_industry"),
         },
         "career_history": career, "education": list(fields.get("education") or []), "skills": skills,
-        "redrob_signals": dict(fields.get("signals") or {}),
+        "signals": dict(fields.get("signals") or {}),
         "_ingest": {"source": source, "confidence": round(confidence, 3)},
     })
 

@@ -19,6 +19,7 @@ signals map<string,string>,
 links array<string>
 """
 
+#: Keys that records may hold their signals under; fixed values of the input format.
 SIGNAL_KEYS = ("redrob_signals", "signals")
 PROFILE_FIELDS = (
     "anonymized_name", "headline", "summary", "location", "country", "years_of_experience", "current_title",

@@ -23,7 +23,7 @@ def person(**changes):
             {"title": "Engineer", "company": "B", "start_date": "2022-01-01", "end_date": None, "duration_months": 36, "description": "ranking"},
         ],
         "skills": [{"name": "search", "proficiency": "expert", "duration_months": 24}],
-        "redrob_signals": {"endorsements_received": 5},
+        "signals": {"endorsements_received": 5},
     }
     return {**base, **changes}
 
@@ -58,7 +58,7 @@ PROFILE = person()["profile"]
         ({"career_history": [job(start_date="2022-01-01", end_date="2020-01-01")]}, "date_integrity", 0.15),
         ({"career_history": [job(start_date="2027-01-01", end_date=None)]}, "date_integrity", 0.15),
         ({"skills": [expert(12, n) for n in ("aaaa", "bbbb", "cccc", "dddd", "eeee")]}, "skill_not_in_evidence", 0.10),
-        ({"redrob_signals": {}}, "endorsement_inconsistency", 0.08),
+        ({"signals": {}}, "endorsement_inconsistency", 0.08),
     ],
 )
 def test_consistency(spark, changes, code, severity):
@@ -74,8 +74,8 @@ def test_missing_duration_is_not_zero_for_the_auditor(spark):
 
 def test_malformed_records_do_not_break(spark):
     odd = [
-        {"candidate_id": "a", "profile": None, "career_history": None, "skills": ["python", {"name": "sql"}, None, 3], "redrob_signals": None},
-        {"candidate_id": "b", "profile": "x", "career_history": {"a": 1}, "skills": "s", "redrob_signals": [1]},
+        {"candidate_id": "a", "profile": None, "career_history": None, "skills": ["python", {"name": "sql"}, None, 3], "signals": None},
+        {"candidate_id": "b", "profile": "x", "career_history": {"a": 1}, "skills": "s", "signals": [1]},
         {"id": 3, "name": "n", "experience": 4}, {"foo": "bar"}, '["not", "an object"]', "no json at all", "17",
     ]
     rows = rows_of(spark, *odd)
@@ -87,12 +87,12 @@ def test_malformed_records_do_not_break(spark):
 
 def test_open_flag_and_signals(spark):
     def score(signals_):
-        return features(rows_of(spark, person(redrob_signals=signals_))).first()
+        return features(rows_of(spark, person(signals=signals_))).first()
 
     assert score({"open_to_work_flag": False}).open_to_work is False and score({}).open_to_work is None
-    neutral = rows_of(spark, person(redrob_signals={"colour": "blue"})).select(signals.schema_signals().alias("s")).first().s
+    neutral = rows_of(spark, person(signals={"colour": "blue"})).select(signals.schema_signals().alias("s")).first().s
     assert tuple(neutral) == (0.5, 0.5, 0.5)
-    alt = rows_of(spark, person(redrob_signals={"available": True, "days_since_login": 0, "reply_rate": 0.5, "completeness": 80, "is_email_verified": False}))
+    alt = rows_of(spark, person(signals={"available": True, "days_since_login": 0, "reply_rate": 0.5, "completeness": 80, "is_email_verified": False}))
     assert tuple(alt.select(signals.schema_signals().alias("s")).first().s) == (1.0, 0.5, 0.4)
 
 

@@ -28,7 +28,7 @@ def test_messy_resumes(name, years, n_skills, n_jobs):
     assert years[0] <= got["profile"]["years_of_experience"] <= years[1]
     assert len(got["skills"]) >= n_skills and len(got["career_history"]) >= n_jobs
     assert 0.2 <= got["_ingest"]["confidence"] <= 1.0
-    assert "open_to_work_flag" not in got["redrob_signals"]
+    assert "open_to_work_flag" not in got["signals"]
 
 
 def test_resume_details():
@@ -101,7 +101,7 @@ def test_ids(spark):
 def test_repair():
     got = records.normalized({"career_history": [{"title": "T", "company": "C", "duration_months": "30", "is_current": True}, "x"], "skills": None, "profile": 3})
     assert got["profile"] == {"years_of_experience": 2.5, "current_title": "T", "current_company": "C"}
-    assert got["redrob_signals"] == {"profile_completeness_score": 52, "verified_email": False} and len(got["career_history"]) == 1
+    assert got["signals"] == {"profile_completeness_score": 52, "verified_email": False} and len(got["career_history"]) == 1
     assert [r["candidate_id"] for r in records.hardened([{"a": 1}, "x", None, {"candidate_id": 7}])] == ["CAND_0000000", "7"]
 
 
@@ -121,3 +121,11 @@ def test_registry_and_labels(spark, tmp_path):
 def test_rank_from_text(spark):
     result = engine.rank(spark, "Engineer.\nMust have python, kafka and retrieval.", [RESUMES["paragraph"], RESUMES["split"]], top_n=2)
     assert len(result.collect()) == 2
+
+
+def test_signal_keys():
+    from meritlens.sources.schema import SIGNAL_KEYS
+
+    for key in SIGNAL_KEYS:
+        got = records.normalized({key: {"verified_email": True}})
+        assert got["signals"]["verified_email"] is True and [k for k in got if k in SIGNAL_KEYS] == ["signals"]
