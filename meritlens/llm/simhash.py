@@ -40,30 +40,28 @@ CROWD = 48
 BLOCK = 1 << 16
 
 
-def _sums(words: list[bytes], size: int, extra: int = 0) -> tuple[np.ndarray, int]:
-    """How many hashes of the shingles of ``size`` words have each bit, and how many there are.
-
-    With ``extra`` each hash is followed by that many mixed ones, for fingerprints of more bits."""
+def _hashes(words: list[bytes], size: int):
+    """The hashes of the shingles of ``size`` words, repeats included, and how many there are."""
     h = xxhash.xxh64_intdigest
     if len(words) < size:
-        hashes, total = iter([h(b" ".join(words), 42)]), 1
-    else:
-        hashes = (h(b" ".join(s), 42) for s in zip(*(islice(words, k, None) for k in range(size))))
-        total = len(words) - size + 1
-    counts = np.zeros(64 * (extra + 1), dtype=np.int64)
+        return iter([h(b" ".join(words), 42)]), 1
+    return (h(b" ".join(s), 42) for s in zip(*(islice(words, k, None) for k in range(size)))), len(words) - size + 1
+
+
+def _sums(words: list[bytes], size: int) -> tuple[np.ndarray, int]:
+    """How many hashes of the shingles of ``size`` words have each bit, and how many there are."""
+    hashes, total = _hashes(words, size)
+    counts = np.zeros(64, dtype=np.int64)
     for _ in range(0, total, BLOCK):
-        block = np.fromiter(islice(hashes, BLOCK), dtype="<u8")
-        for k in range(extra + 1):
-            if k:  # the finaliser of splitmix64
-                block = block + np.uint64(0x9E3779B97F4A7C15)
-                block = (block ^ (block >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                block = (block ^ (block >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                block = block ^ (block >> np.uint64(31))
-            bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int32)
+        counts += _ones(np.fromiter(islice(hashes, BLOCK), dtype="<u8"))
     return counts, total
 
 
+def _ones(block: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
@@ -302,14 +300,39 @@ SIMILARITY, CHECK_WORDS, CHECK_LONGS = 0.8, 5, 3
 PARTS, UNSURE = 3, 3
 #: Bits of 64 in which candidates may differ before they are verified.
 FAR = 18
+#: Deviations of the verifying fingerprint's distance within which pairs go on to the comparison of sets.
+SLACK = 4
+#: Rows of a crowded bucket that one task compares with all others of it.
+CHUNK = 256
 #: Rows of a bucket up to which all pairs are compared, and pivots of a larger one in each round.
 SMALL, PIVOTS = 12, 6
 
 
 def check_distance(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of sets this similar differ: the expected number and one deviation."""
+    """Bits in which fingerprints of sets this similar differ: the expected number and SLACK deviations."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+    return int(bits * angle + SLACK * np.sqrt(bits * angle * (1 - angle)))
+
+
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes of the shingles of CHECK_WORDS words, ascending; none without words."""
+    hashes, total = _hashes(words, CHECK_WORDS) if words else (iter(()), 0)
+    return np.unique(np.fromiter(hashes, dtype="<u8", count=total))
+
+
+def _set_print(hashes: np.ndarray) -> list[int]:
+    """CHECK_LONGS words of 64 bits; a bit is 1 if over half of the set's (mixed) hashes have it."""
+    counts = np.zeros((CHECK_LONGS, 64), dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        block = hashes[at : at + BLOCK]
+        for k in range(CHECK_LONGS):
+            if k:  # the finaliser of splitmix64
+                block = block + np.uint64(0x9E3779B97F4A7C15)
+                block = (block ^ (block >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                block = (block ^ (block >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                block = block ^ (block >> np.uint64(31))
+            counts[k] += _ones(block)
+    return [int(x) for x in _packed(counts.ravel(), len(hashes))]
 
 
 def part_bits() -> list[np.ndarray]:
@@ -328,7 +351,7 @@ def profile(text: str) -> tuple[int, int, list[int]]:
         for b in bits[np.argsort(margin[bits], kind="stable")[:UNSURE]]:
             unsure |= int(b) << 6 * place
             place += 1
-    return int(_packed(counts, total)[0]), unsure, [int(x) for x in _packed(*_sums(words, CHECK_WORDS, CHECK_LONGS - 1))]
+    return int(_packed(counts, total)[0]), unsure, _set_print(shingle_set(words))
 
 
 def _profile_batches(batches):
@@ -367,61 +390,104 @@ def _unsure_probes() -> Column:
     return F.array(*out)
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose verifying fingerprints are close enough."""
-    checks = [f"c{k}" for k in range(CHECK_LONGS)]
-    of = lambda side: nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{side}") for c in checks))
-    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in checks), F.lit(0))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    return joined.where(apart <= check_distance(similarity, 64 * CHECK_LONGS)).select("a", "b")
+def _set_batches(batches):
+    for batch in batches:
+        for start, stop in slices(batch, "text"):
+            sets = [shingle_set(_words(t)).view(np.int64) for t in texts_of(batch, "text", start, stop)]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), listed], names=["node", "shingles"])
 
 
-def similar_links(spark: SparkSession, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) between nodes (fp, unsure, c*, node) of like texts.
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles): the distinct 5-word shingle hashes of the documents in ``wanted`` (node)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+    return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_set_batches, "node long, shingles array<long>")
+
+
+def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough, by exact counts."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = both / F.greatest(F.size("sa") + F.size("sb") - both, F.lit(1)) >= similarity
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(alike).select("a", "b")
+
+
+def _worth(similarity: float) -> Column:
+    """Whether a pair with fingerprints fa, fb, c*a, c*b may be similar enough; wide, as sets decide."""
+    apart = sum((F.bit_count(F.col(f"c{k}a").bitwiseXOR(F.col(f"c{k}b"))) for k in range(CHECK_LONGS)), F.lit(0))
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
+    return near & (apart <= check_distance(similarity, 64 * CHECK_LONGS))
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with the root of each one's component so far."""
+    return nodes.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (u, v) that connect, with those of ``known``, the nodes (fp, unsure, c*, node) of like texts.
 
     An edit flips the bits that are nearly even, so each fingerprint probes its partitions with every
-    subset of their unsure bits flipped.  Small buckets are compared pair by pair.  In a crowded one
-    every row is compared with PIVOTS others; rows near no pivot go on to the next round with others."""
+    subset of their unsure bits flipped.  Small buckets are compared pair by pair; in a crowded one
+    every row first meets PIVOTS others.  Then each crowded bucket is finished: all of its pairs that
+    are not connected yet are compared.  As members of one component need no comparison, one side of
+    such a pair is always outside the bucket's most frequent component, and a bucket that is one
+    component costs nothing.  Pairs are verified on their shingle sets."""
+    checks = [f"c{k}" for k in range(CHECK_LONGS)]
     listed = nodes.select("fp", "node", F.explode(_unsure_probes()).alias("k")).select("fp", "node", "k.part", "k.v", "k.d")
     sizes = listed.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n0")).where("n > 1 and n0 > 0")
-    left = materialize(spark, listed.join(sizes, ["part", "v"]).where(~((F.col("n0") == 1) & (F.col("n") == 1))), "simhash-similar")
+    shared = materialize(spark, listed.join(sizes, ["part", "v"]), "simhash-similar")
+    small = F.col("n") <= SMALL
+    crowded = shared.where(~small)
+    index = shared.where("d = 0")
+    order = Window.partitionBy("part", "v").orderBy(F.xxhash64("node"), "node")
+    pivots = index.where(~small).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).drop("r")
+    a = index.where(small).unionByName(pivots).select("part", "v", F.col("fp").alias("fa"), F.col("node").alias("a"))
+    b = shared.select("part", "v", F.col("fp").alias("fb"), F.col("node").alias("b"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
-    found = None
-    while True:
-        small = F.col("n") <= SMALL
-        index = left.where("d = 0")
-        order = Window.partitionBy("part", "v").orderBy(F.xxhash64("node"), "node")
-        pivots = index.where(~small).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).drop("r")
-        a = index.where(small).unionByName(pivots).select("part", "v", F.col("fp").alias("fa"), F.col("node").alias("a"))
-        b = left.select("part", "v", F.col("fp").alias("fb"), F.col("node").alias("b"))
-        pairs = a.join(b, ["part", "v"]).where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = materialize(spark, _verified(spark, pairs, nodes, similarity), "simhash-similar-edges")
-        found = edges if found is None else found.unionByName(edges)
-        linked = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-        done = linked.unionByName(pivots.select("node")).distinct()
-        rest = left.where(~small).drop("n", "n0").join(done, "node", "left_anti")
-        again = rest.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n0")).where("n > 1 and n0 > 0")
-        following = materialize(spark, rest.join(again, ["part", "v"]), "simhash-similar")
-        discard(spark, left)
-        left = following
-        if left.isEmpty():
-            return found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    met = a.join(b, ["part", "v"]).where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rooted = materialize(spark, _rooted(nodes, components(spark, known)), "simhash-rooted")
+    of = lambda side: rooted.select(F.col("node").alias(side), *(F.col(c).alias(f"{x}{side}") for c, x in [("fp", "f"), ("root", "root"), *zip(checks, checks)]))
+    first = materialize(spark, met.join(of("a"), "a").join(of("b"), "b").where(_worth(similarity) & (F.col("roota") != F.col("rootb"))).select("a", "b"), "simhash-similar-pairs")
+    wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
+    sets = materialize(spark, shingle_sets(docs, wanted), "simhash-sets")
+    edges = materialize(spark, _verified(spark, first, sets, similarity), "simhash-similar-edges").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    discard(spark, first)
+    discard(spark, rooted)
+
+    rows = crowded.select("part", "v", "d", "node").join(_rooted(nodes.select("fp", "node", *checks), components(spark, known.unionByName(edges))), "node")
+    rows = materialize(spark, rows, "simhash-crowded")
+    parts = rows.groupBy("part", "v", "root").agg(F.count("*").alias("n"))
+    common = parts.groupBy("part", "v").agg(F.max(F.struct("n", "root")).alias("x"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    common = common.select("part", "v", F.col("x.root").alias("common"), F.ceil(F.col("others") / CHUNK).cast("int").alias("chunks"))
+    open_ = rows.join(common, ["part", "v"])
+    side = lambda df, s: df.select("part", "v", "chunk", *(F.col(c).alias(f"{x}{s}") for c, x in [("node", ""), ("fp", "f"), ("d", "d"), ("root", "root"), *zip(checks, checks)]))
+    a = side(open_.where("root != common").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "a")
+    b = side(open_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "b")
+    left = a.join(b, ["part", "v", "chunk"]).where((F.col("roota") != F.col("rootb")) & ((F.col("da") == 0) | (F.col("db") == 0)) & _worth(similarity))
+    left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialize(spark, _verified(spark, left, sets, similarity), "simhash-similar-edges").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    for used in (shared, rows, sets):
+        discard(spark, used)
+    return edges.unionByName(more)
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): groups by fingerprints within TAU bits and by similarity."""
+    """(doc_id, component_id): groups by fingerprints within TAU bits and by similarity.
+
+    Texts with one fingerprint but different shingles are nodes of their own, linked to the first."""
     own = materialize(spark, profiles(docs), "simhash-profiles")
     checks = [f"c{k}" for k in range(CHECK_LONGS)]
-    first = F.min(F.struct("doc_id", "unsure", *checks)).alias("x")
     nodes = materialize(
-        spark,
-        own.where("doc_id is not null").groupBy("fp").agg(first).select("fp", F.col("x.doc_id").alias("node"), "x.unsure", *(f"x.{c}" for c in checks)),
-        "simhash-nodes",
+        spark, own.where("doc_id is not null").groupBy("fp", "unsure", *checks).agg(F.min("doc_id").alias("node")), "simhash-nodes"
     )
-    edges = links(spark, nodes.select("fp", "node")).unionByName(similar_links(spark, nodes, similarity)).distinct()
-    roots = components(spark, edges)
-    named = nodes.select("fp", "node").join(roots.withColumnRenamed("v", "node"), "node", "left")
-    return own.select("doc_id", "fp").join(named.select("fp", F.coalesce("root", "node").alias("component_id")), "fp", "left").select("doc_id", "component_id")
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(prints, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    known = materialize(spark, links(spark, prints.withColumnRenamed("first", "node")).unionByName(same), "simhash-known")
+    roots = components(spark, known.unionByName(similar_links(spark, docs, nodes, known, similarity)).distinct())
+    named = prints.join(roots.withColumnRenamed("v", "first"), "first", "left")
+    return own.select("doc_id", "fp").join(named.select("fp", F.coalesce("root", "first").alias("component_id")), "fp", "left").select("doc_id", "component_id")
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:

@@ -182,3 +182,47 @@ def test_profile_agrees_with_the_fingerprint():
             places = [unsure >> 6 * (simhash.UNSURE * i + k) & 63 for k in range(simhash.UNSURE)]
             assert len(set(places)) == simhash.UNSURE and set(places) <= set(bits.tolist())
     assert simhash.check_distance(0.8, 192) < simhash.check_distance(0.5, 192) < 96
+
+
+def like(seed, base, changes):
+    """``base`` with the words at ``changes`` replaced."""
+    words = base.split()
+    for i in changes:
+        words[i] = f"changed{seed}x{i}"
+    return " ".join(words)
+
+
+def plain_links(texts, nodes, similarity=0.8):
+    """Pairs that share a bucket, are within FAR bits and whose shingle sets are similar enough."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    listed = {}
+    for r in nodes.select("fp", "node", simhash._unsure_probes().alias("k")).collect():
+        for k in r.k:
+            listed.setdefault((k.part, k.v), []).append((r.node, r.fp, k.d))
+    found = set()
+    for rows in listed.values():
+        for a, fa, da in rows:
+            for b, fb, db in rows:
+                if a < b and 0 in (da, db) and ((fa ^ fb) & (1 << 64) - 1).bit_count() <= simhash.FAR:
+                    if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
+                        found.add((a, b))
+    return found
+
+
+def test_crowded_buckets_are_finished(spark, monkeypatch):
+    """Every similar pair of a bucket is connected though its rows are no pivots' neighbours, or are pivots or linked elsewhere."""
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    monkeypatch.setattr(simhash, "CHUNK", 3, raising=False)
+    base = prose(77, 300)
+    rng = np.random.default_rng(1)
+    texts = {}
+    for g in range(40):  # pairs of like texts, all with about two thirds of their shingles in common
+        own = like(g, base, rng.choice(300, 6, replace=False))
+        texts |= {10 * g: own, 10 * g + 1: like(100 + g, own, rng.choice(300, 3, replace=False))}
+    docs = documents(spark, texts)
+    nodes = simhash.profiles(docs).withColumnRenamed("doc_id", "node")
+    expected = plain_links(texts, nodes)
+    assert len(expected) >= 30
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, docs).collect()}
+    assert all(got[a] == got[b] for a, b in expected)
