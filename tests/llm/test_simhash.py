@@ -226,3 +226,33 @@ def test_crowded_buckets_are_finished(spark, monkeypatch):
     assert len(expected) >= 30
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, docs).collect()}
     assert all(got[a] == got[b] for a, b in expected)
+
+
+def test_no_pair_below_the_similarity_is_linked(spark):
+    """Estimates do not decide: pairs of 0.6 to 0.8 stay apart unless op6's rule links them."""
+    texts = {}
+    for g in range(40):
+        own = prose(500 + g, 300)
+        texts |= {10 * g: own, 10 * g + 1: like(g, own, range(3, 300, 300 // (8 + g % 3)))}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    assert all(0.6 < len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.8 for i in range(0, 400, 10))
+    docs = documents(spark, texts)
+    exact = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, docs).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, docs).collect()}
+    assert got == exact
+
+
+def test_similarity_is_that_of_sets(spark):
+    """Links are exact at 0.8, and repeats of a line do not count."""
+    words = [f"w{i}" for i in range(94)]  # 90 shingles
+    at = {50 + k: words[:-k] + [f"n{k}x{i}" for i in range(k)] for k in (10, 11)}
+    texts = {0: " ".join(words)} | {i: " ".join(t) for i, t in at.items()}  # 80 / 100 and 79 / 101
+    line = "this text may be used by all who keep this line with every copy of it " * 100
+    texts |= {200: line + prose(5, 200), 201: line + prose(6, 200)}
+    docs = documents(spark, texts)
+    pairs = spark.createDataFrame([(0, 60), (0, 61), (200, 201)], "a long, b long")
+    wanted = spark.createDataFrame([(i,) for i in texts], "node long")
+    got = {(r.a, r.b) for r in simhash._verified(spark, pairs, simhash.shingle_sets(docs, wanted), 0.8).collect()}
+    assert got == {(0, 60)}
+    far = [sum((x ^ y).bit_count() for x, y in zip(simhash.profile(texts[200])[2], simhash.profile(texts[201])[2]))]
+    assert far[0] > simhash.check_distance(0.8, 192)
