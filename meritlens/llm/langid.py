@@ -5,8 +5,9 @@ fewest phrases that all occur in that text: each phrase is the longest match fro
 one ended.  The language that needs the fewest phrases wins (ties go to the language that sorts
 first); the counts are over the same letters, so they compare as they are.
 
-The automaton is turned into a dense table over folded letters in which a step without a match
-goes on from the start and counts a phrase.  Texts are walked many at a time, one numpy step per
+The automaton is turned into a table in which a step without a match goes on from the start and
+counts a phrase.  All letters of the sample are kept: the table is dense for the DENSE most frequent
+ones, the steps by others are found by binary search.  Texts are walked many at a time, one numpy step per
 position, for all languages at once.  Long texts are parsed in blocks of ``BLOCK`` letters, which
 adds less than one phrase for each block and language.
 
@@ -34,6 +35,8 @@ MAX_EXAMPLES = 2000
 MAX_CHARS = 20_000
 LETTERS = 24_000
 MAX_LANGUAGES = 200
+#: Letters with a column of their own in the table; the steps by others are listed.
+DENSE = 62
 FOLDS, HELD_OUT = 5, 0
 BLOCK = 2048
 LANES = 2048
@@ -70,30 +73,44 @@ class SuffixAutomaton:
                         p = link[p]
             last = here
 
-    def table(self, letters: int) -> np.ndarray:
-        """Entry [state * letters + letter]: twice the next state, plus 1 if a new phrase begins.
+    def table(self, width: int) -> np.ndarray:
+        """Entry [state * width + letter]: twice the next state, plus 1 if a new phrase begins.
 
         The last state, after all of the automaton's, is that between two phrases: there a text
-        begins, and a letter that the automaton lacks is a phrase of its own and leads there."""
-        start = np.full(letters, 2 * len(self.next) + 1, dtype=np.int64)
+        begins, and a letter that the automaton lacks is a phrase of its own and leads there.  The
+        last column is that of such letters; the steps by letters from there on are in :meth:`listed`."""
+        start = np.full(width, 2 * len(self.next) + 1, dtype=np.int64)
         for c, s in self.next[0].items():
-            start[c] = 2 * s + 1
+            if c < width - 1:
+                start[c] = 2 * s + 1
         out = np.tile(start, (len(self.next) + 1, 1))
         for state, steps in enumerate(self.next):
-            if steps:
-                out[state, list(steps)] = 2 * np.fromiter(steps.values(), dtype=np.int64)
+            own = {c: s for c, s in steps.items() if c < width - 1}
+            if own:
+                out[state, list(own)] = 2 * np.fromiter(own.values(), dtype=np.int64)
         return out.ravel()
 
+    def listed(self, width: int) -> list[tuple[int, int, int]]:
+        """(state, letter, next state) of the letters without a column of their own."""
+        return [(state, c, s) for state, steps in enumerate(self.next) for c, s in steps.items() if c >= width - 1]
+
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, the folded alphabet (code points to letters) and their stacked tables."""
+    """Languages, the folded alphabet (code points to letters) and their stacked tables.
+
+    ``keys`` (state * letters + letter, ascending) and ``values`` are the listed steps; ``first``
+    has for each language and listed letter the step that begins a phrase."""
 
     languages: tuple[str, ...]
     alphabet: dict[int, int]
     letters: int
+    width: int
     table: np.ndarray
     starts: tuple[int, ...]
+    keys: np.ndarray
+    values: np.ndarray
+    first: np.ndarray
 
 
 class Folder:
@@ -119,12 +136,12 @@ class Folder:
         return kinds[~(space & np.concatenate([[True], space[:-1]]))]
 
 
-def _alphabet(texts: list[str], most: int = 62) -> tuple[dict[int, int], int]:
+def _alphabet(texts: list[str]) -> tuple[dict[int, int], int]:
     """Letters by frequency from 1 on; 0 is the space and the last letter is any other."""
     counts: Counter = Counter()
     for t in texts:
         counts.update(c for c in unicodedata.normalize("NFC", t.lower()) if c.isalpha())
-    ranked = sorted(counts, key=lambda c: (-counts[c], c))[:most]
+    ranked = sorted(counts, key=lambda c: (-counts[c], c))
     return {ord(c): i + 1 for i, c in enumerate(ranked)}, len(ranked) + 2
 
 
@@ -136,8 +153,10 @@ def fit(examples: list[tuple[str, str]], letters: int = LETTERS) -> Model:
     languages = tuple(sorted(by))[:MAX_LANGUAGES]
     alphabet, size = _alphabet([t for lang in languages for t in by[lang]])
     folder = Folder(alphabet, size)
+    width = min(size, DENSE + 2)
     tables, starts, states = [], [], 0
-    for lang in languages:
+    listed, first = [], np.zeros((len(languages), size - width), dtype=np.int64)
+    for k, lang in enumerate(languages):
         parts, have = [], 0
         for text in by[lang]:
             own = folder.fold(text)[: letters // 8]  # so that several documents take part
@@ -146,14 +165,21 @@ def fit(examples: list[tuple[str, str]], letters: int = LETTERS) -> Model:
             if have >= letters:
                 break
         sequence = np.concatenate([np.append(p, 0) for p in parts])[:letters] if parts else np.zeros(0, np.int32)
-        table = SuffixAutomaton(sequence).table(size)
+        automaton = SuffixAutomaton(sequence)
+        table = automaton.table(width)
         tables.append(table + 2 * states)
-        states += len(table) // size
+        first[k] = table[-1] + 2 * states
+        for state, c, s in automaton.listed(width):
+            listed.append(((state + states) * size + c, 2 * (s + states)))
+            if state == 0:
+                first[k, c - width + 1] = 2 * (s + states) + 1
+        states += len(table) // width
         starts.append(states - 1)
     table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
     # pre-multiplied, so that a step is one addition and one look-up
-    table = ((table >> 1) * size * 2 + (table & 1)).astype(np.int32)
-    return Model(languages, alphabet, size, table, tuple(starts))
+    scaled = lambda x: ((x >> 1) * width * 2 + (x & 1)).astype(np.int32)
+    steps = np.array(sorted(listed), dtype=np.int64).reshape(-1, 2)
+    return Model(languages, alphabet, size, width, scaled(table), tuple(starts), steps[:, 0].copy(), scaled(steps[:, 1]), scaled(first))
 
 
 class Parser:
@@ -176,22 +202,37 @@ class Parser:
         return counts, sizes
 
     def _walk(self, folded: list[np.ndarray], own: list[tuple[int, int, int]]) -> np.ndarray:
-        table, m = self.model.table, len(self.model.languages)
+        table, m, last = self.model.table, len(self.model.languages), self.model.width - 1
         lengths = np.array([b - a for _, a, b in own])
         steps = np.zeros((lengths[0], len(own)), dtype=np.int32)
         for k, (i, a, b) in enumerate(own):
             steps[: b - a, k] = folded[i][a:b]
-        begin = np.array(self.model.starts, dtype=np.int32) * self.model.letters
+        begin = np.array(self.model.starts, dtype=np.int32) * self.model.width
         state = np.repeat(begin[:, None], len(own), axis=1)
         count = np.zeros((m, len(own)), dtype=np.int32)
         live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         for row, n in zip(steps, live.tolist()):
-            step = table[state[:, :n] + row[:n]]
+            own = row[:n]
+            step = table[state[:, :n] + np.minimum(own, last)]
+            rare = np.flatnonzero((own >= last) & (own < self.model.letters - 1))
+            if len(rare):
+                step[:, rare] = self._listed(state[:, rare], own[rare])
             count[:, :n] += step & 1
             state = step >> 1
         return count.T
 
 
+    def _listed(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Steps by letters without a column of their own."""
+        model = self.model
+        begin = model.first[:, letter - model.width + 1]
+        if not len(model.keys):
+            return begin
+        wanted = (state // model.width).astype(np.int64) * model.letters + letter
+        at = np.minimum(np.searchsorted(model.keys, wanted), len(model.keys) - 1)
+        return np.where(model.keys[at] == wanted, model.values[at], begin)
+
+
 def predict(languages: tuple[str, ...], counts: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The language of fewest phrases; the score is its share of lead over the next, from 0.5 on."""
     if not languages:

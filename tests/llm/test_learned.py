@@ -142,3 +142,23 @@ def test_language_awkward(spark):
     assert langid.op10(spark, frame(spark, [])).count() == 0
     unlabelled = frame(spark, [(1, "some text", None, None, None, None, None)])
     assert langid.op10(spark, unlabelled).first().lang_pred == "und"
+
+
+def test_every_letter_of_the_sample_counts():
+    """Languages whose letters come after the most frequent ones are told apart, and parsed exactly."""
+    rng = random.Random(4)
+    text = lambda low, n, words=80: " ".join("".join(chr(low + rng.randrange(n)) for _ in range(4)) for _ in range(words))
+    scripts = {"aa": (0x61, 26), "el": (0x3B1, 17), "ru": (0x430, 32), "th": (0x0E01, 40), "zh": (0x4E00, 300), "ja": (0x5E00, 300)}
+    model = langid.fit([(text(low, n), lang) for lang, (low, n) in scripts.items() for _ in range(60 if lang == "aa" else 5)], 3000)
+    parser = langid.Parser(model)
+    new = [(lang, text(low, n)) for lang, (low, n) in scripts.items() for _ in range(4)]
+    counts, sizes = parser.phrases([t for _, t in new])
+    assert langid.predict(model.languages, counts, sizes)[0] == [lang for lang, _ in new]
+
+    train = [text(0x4E00, 90, 30) for _ in range(4)]
+    parser = langid.Parser(langid.fit([(t, "x") for t in train], 800))
+    as_text = lambda f: "".join(chr(48 + int(v)) for v in f)
+    reference = as_text(np.concatenate([np.append(parser.folder.fold(t)[:100], 0) for t in train])[:800])
+    texts = [text(0x4E00, 95, 20) + train[k % 4][:40] for k in range(8)]
+    counts, _ = parser.phrases(texts)
+    assert counts[:, 0].tolist() == [brute_phrases(as_text(parser.folder.fold(t)), reference) for t in texts]
