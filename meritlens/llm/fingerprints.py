@@ -4,6 +4,7 @@ A sketch holds every 5-word shingle hash below a fixed fraction of the hash rang
 follows the document, sketches of parts merge by union, and containment of a short text in a long
 one can be estimated from the two sketches alone.  A text none of whose hashes is that low keeps
 its smallest one; a text of fewer than five words has one shingle, and one without words none.
+Where one of two sketches is such a lone hash, both texts are compared up to it (:func:`with_comparable`).
 
 ``neighbours`` pairs each row with the next one by descending doc_id without a global sort: ids are
 cut into ranges at quantiles, each range's first row is also sent to the end of the range before
@@ -30,8 +31,8 @@ RANGES, MOST_RANGES = 4, 1 << 16
 LOWEST = -(1 << 63)
 
 
-def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
-    """``df`` with the sketch of column ``text``: an ascending array of 63-bit hashes."""
+def with_hashes(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with all 63-bit shingle hashes of column ``text``, in its order and with repeats."""
     plain = F.translate(F.lower(F.col(text)), "\t\n\x0b\f\r", "     ")
     hashed = df.withColumn(
         "_w", F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -44,7 +45,12 @@ def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> Data
         .when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(F.col("_w")), 1)))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    listed = hashed.withColumn("_h", all_hashes).drop("_w")
+    return hashed.withColumn(name, all_hashes).drop("_w")
+
+
+def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
+    """``df`` with the sketch of column ``text``: an ascending array of 63-bit hashes."""
+    listed = with_hashes(df, text, "_h")
     low = listed.withColumn("_l", F.filter("_h", lambda h: h < (1 << 63) // scale))
     kept = F.when((F.size("_l") == 0) & (F.size("_h") > 0), F.array(F.array_min("_h"))).otherwise(
         F.sort_array(F.array_distinct("_l"))
@@ -52,6 +58,20 @@ def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> Data
     return low.withColumn(name, kept).drop("_h", "_l")
 
 
+def with_comparable(df: DataFrame, a: tuple[str, str], b: tuple[str, str], names: tuple[str, str], scale: int = SCALE) -> DataFrame:
+    """``df`` with two arrays to compare, of the (text, sketch) columns ``a`` and ``b``.
+
+    They are the sketches, but where one is the lone hash of a text without low hashes, all hashes
+    of both texts up to that hash: the other sketch would not hold it.  Only then texts are hashed."""
+    lone = lambda s: F.when(F.get(F.col(s), F.lit(0)) >= (1 << 63) // scale, F.get(F.col(s), F.lit(0)))
+    out = df.withColumn("_top", F.greatest(lone(a[1]), lone(b[1])))
+    for (text, sketch), name in zip((a, b), names):
+        out = with_hashes(out.withColumn("_t", F.when(F.col("_top").isNotNull(), F.col(text)).otherwise("")), "_t", "_h")
+        up_to = F.sort_array(F.array_distinct(F.filter("_h", lambda h: h <= F.col("_top"))))
+        out = out.withColumn(name, F.when(F.col("_top").isNotNull(), up_to).otherwise(F.col(sketch))).drop("_h", "_t")
+    return out.drop("_top")
+
+
 def written(sketch: str) -> Column:
     """A sketch as text: 16 hex digits for each hash."""
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
@@ -115,14 +135,16 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
         ),
     )
     sketched = with_sketch(
-        edited.select("doc_id", "n_chars", "sketch", "next_sketch", "edited"), "edited", "edited_sketch"
+        edited.select("doc_id", "n_chars", "text", "sketch", "next_text", "next_sketch", "edited"), "edited", "edited_sketch"
     )
-    return sketched.select(
+    beside = with_comparable(sketched, ("text", "sketch"), ("edited", "edited_sketch"), ("own_e", "edited_e"))
+    beside = with_comparable(beside, ("text", "sketch"), ("next_text", "next_sketch"), ("own_n", "next_n"))
+    return beside.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         written("sketch").alias("fingerprint"),
         written("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        likeness("own_e", "edited_e").alias("near_edited"),
+        likeness("own_n", "next_n").alias("near_next"),
     )

@@ -293,3 +293,26 @@ def test_mined_rules_match_brute_force(spark):
     for r in urls.by_mined(pages, mined).collect():
         fit = [(score, v) for (t, v), score in best.items() if set(t) <= set(r.tokens)]
         assert r.mined == (max(fit)[1] if fit else None)
+
+
+def test_short_texts_without_low_hashes_meet_long_ones(spark):
+    """A text's lone hash above the cut is compared with all hashes up to it of the text that holds it."""
+    texts = {}
+    for k in range(40):
+        short = prose(k, 8)
+        texts |= {2 * k + 1: short, 2 * k: f"{short} {prose(900 + k, 80)}"}
+    rows = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in texts.items()], frame(spark).schema)
+    sketches = {r.doc_id: r.s for r in fingerprints.with_sketch(rows, "text", "s").select("doc_id", "s").collect()}
+    lone = [i for i in range(1, 80, 2) if sketches[i][0] >= (1 << 63) // fingerprints.SCALE]
+    assert len(lone) > 10
+    got = {r.doc_id: r.near_next for r in fingerprints.op9(spark, rows).collect()}
+    assert all(got[i] > 0 for i in lone)
+    pairs = spark.createDataFrame([(i, texts[i], texts[i - 1]) for i in range(1, 80, 2)], "i int, a string, b string")
+    both = fingerprints.with_sketch(fingerprints.with_sketch(pairs, "a", "sa"), "b", "sb")
+    both = fingerprints.with_hashes(fingerprints.with_hashes(both, "a", "ha"), "b", "hb")
+    beside = fingerprints.with_comparable(both, ("a", "sa"), ("b", "sb"), ("ca", "cb")).withColumn("inside", fingerprints.containment("ca", "cb"))
+    for r in beside.collect():
+        assert r.inside == 1.0
+        top = r.sa[0] if r.i in lone else (1 << 63) // fingerprints.SCALE - 1
+        a, b = ({h for h in x if h <= top} for x in (r.ha, r.hb))
+        assert got[r.i] == len(a & b) / len(a | b)
