@@ -16,9 +16,10 @@ exactly if their balls meet, and at most 65 distinct ones can be listed under on
 links are complete, need no verification, and no group grows with the input.
 
 Edge cases: null or empty text and text without words has fingerprint zero and is linked like any
-other; repeated rows are returned as often as they occur; a null doc_id never becomes a component
-id unless its whole component has none; an empty table gives an empty result; further columns of
-the input are ignored.
+other; repeated rows are returned as often as they occur; rows that share a doc_id join the
+components of all their texts, as results name documents by id; a null doc_id never becomes a component
+id unless its whole component has none; very long texts are hashed in blocks of shingles; an empty
+table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meritlens.llm.common import discard, materialize, slices, texts_of
 
@@ -40,7 +40,7 @@ CROWD = 48
 BLOCK = 1 << 16
 
 
-def _hashes(words: list[bytes], size: int):
+def hashes_of(words: list[bytes], size: int):
     """The hashes of the shingles of ``size`` words, repeats included, and how many there are."""
     h = xxhash.xxh64_intdigest
     if len(words) < size:
@@ -50,30 +50,30 @@ def _hashes(words: list[bytes], size: int):
 
 def _sums(words: list[bytes], size: int) -> tuple[np.ndarray, int]:
     """How many hashes of the shingles of ``size`` words have each bit, and how many there are."""
-    hashes, total = _hashes(words, size)
+    hashes, total = hashes_of(words, size)
     counts = np.zeros(64, dtype=np.int64)
     for _ in range(0, total, BLOCK):
-        counts += _ones(np.fromiter(islice(hashes, BLOCK), dtype="<u8"))
+        counts += ones(np.fromiter(islice(hashes, BLOCK), dtype="<u8"))
     return counts, total
 
 
-def _ones(block: np.ndarray) -> np.ndarray:
+def ones(block: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return bits.sum(axis=0, dtype=np.int64)
 
 
-def _words(text: str) -> list[bytes]:
+def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _packed(counts: np.ndarray, total: int) -> np.ndarray:
+def packed(counts: np.ndarray, total: int) -> np.ndarray:
     return np.packbits(counts * 2 > total, bitorder="little").view("<u8")
 
 
 def fingerprint(text: str) -> int:
     """SimHash of one text: a bit is 1 if set in over half of the 3-word shingles' hashes."""
-    words = _words(text)
-    return int(_packed(*_sums(words, 3))[0]) if words else 0
+    words = words_of(text)
+    return int(packed(*_sums(words, 3))[0]) if words else 0
 
 
 def _fingerprint_batches(batches):
@@ -92,33 +92,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _bit_counts(batches):
-    together = np.zeros((64, 64))
+    together, n = None, 0
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(fps), BLOCK):
-            block = np.ascontiguousarray(fps[at : at + BLOCK])
-            bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            together += bits.T @ bits
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(64, dtype=np.int32)), *(pa.array(together[:, j]) for j in range(64))],
-        names=["bit", *(f"c{j}" for j in range(64))],
-    )
+        n += batch.num_rows
+        if together is None:
+            together = np.zeros((batch.num_columns, 64, 64))
+        for k, column in enumerate(batch.columns):
+            fps = column.to_numpy(zero_copy_only=False)
+            for at in range(0, len(fps), BLOCK):
+                block = np.ascontiguousarray(fps[at : at + BLOCK])
+                bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                together[k] += bits.T @ bits
+    if n:
+        flat = together.reshape(-1, 64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(len(flat), dtype=np.int32)),
+                pa.array(np.full(len(flat), n, dtype=np.int64)),
+                *(pa.array(flat[:, j]) for j in range(64)),
+            ],
+            names=["bit", "n", *(f"c{j}" for j in range(64))],
+        )
 
 
-def bit_statistics(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Share of ones for each bit, absolute correlations and the number of fingerprints."""
-    parts = nodes.select("fp").mapInArrow(_bit_counts, "bit int, " + ", ".join(f"c{j} double" for j in range(64)))
-    rows = parts.groupBy("bit").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(64))).collect()
-    together = np.zeros((64, 64))
-    for r in rows:
-        together[r[0]] = r[1:]
-    n = nodes.count()
-    if n == 0:
-        return np.full(64, 0.5), np.eye(64), 0
-    p = together.diagonal() / n
-    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    corr = np.abs(together / n - np.outer(p, p)) / np.outer(spread, spread)
-    return p, corr, n
+def bit_statistics(nodes: DataFrame, columns: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """For each fingerprint column the share of ones of its bits and their absolute correlations; the number of rows."""
+    schema = "bit int, n long, " + ", ".join(f"c{j} double" for j in range(64))
+    parts = nodes.select(*columns).mapInArrow(_bit_counts, schema)
+    together, n = np.zeros((64 * len(columns), 64)), 0
+    for r in parts.groupBy("bit").agg(F.sum("n"), *(F.sum(f"c{j}") for j in range(64))).collect():
+        together[r[0]], n = r[2:], r[1]
+    shares, correlations = [], []
+    for counts in np.split(together, len(columns)):
+        p = counts.diagonal() / n if n else np.full(64, 0.5)
+        spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+        shares.append(p)
+        correlations.append(np.abs(counts / n - np.outer(p, p)) / np.outer(spread, spread) if n else np.eye(64))
+    return shares, correlations, n
 
 
 def arrange(corr: np.ndarray, m: int) -> list[list[int]]:
@@ -139,7 +149,7 @@ def arrange(corr: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def _mask(bits: list[int]) -> int:
+def mask_of(bits: list[int]) -> int:
     value = sum(1 << b for b in bits)
     return value - (1 << 64) if value >= 1 << 63 else value
 
@@ -160,10 +170,10 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan(nodes: DataFrame) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is used."""
-    p, corr, n = bit_statistics(nodes)
+    (p,), (corr,), n = bit_statistics(nodes, ["fp"])
     layouts = {m: arrange(corr, m) for m in (2, 3)}
     parts = [(m, k, bits) for m, layout in layouts.items() for k, bits in enumerate(layout)]
-    keys = F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("v")) for i, (_, _, b) in enumerate(parts)))
+    keys = F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask_of(b))).alias("v")) for i, (_, _, b) in enumerate(parts)))
     same = {
         r.part: r.pairs
         for r in nodes.select(F.explode(keys).alias("k"))
@@ -193,15 +203,15 @@ def _flips(bits: list[int], threshold: int) -> list[tuple[int, int]]:
     """(bits to flip, how many) within the threshold."""
     out = [(0, 0)]
     if threshold >= 1:
-        out += [(_mask([b]), 1) for b in bits]
+        out += [(mask_of([b]), 1) for b in bits]
     if threshold >= 2:
-        out += [(_mask([a, b]), 2) for i, a in enumerate(bits) for b in bits[:i]]
+        out += [(mask_of([a, b]), 2) for i, a in enumerate(bits) for b in bits[:i]]
     return out
 
 
 def _probe(part: int, bits: list[int], threshold: int) -> Column:
     """Keys (part, v, d) under which a fingerprint looks; d = 0 is also where it is indexed."""
-    mask = F.lit(_mask(bits)).cast("long")
+    mask = F.lit(mask_of(bits)).cast("long")
     flips = F.array(
         *(F.struct(F.lit(f).cast("long").alias("f"), F.lit(d).alias("d")) for f, d in _flips(bits, threshold))
     )
@@ -232,7 +242,7 @@ def links(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     )
     crowded = shared.where(F.col("n") > CROWD).groupBy("fp").agg(F.min("node").alias("node"))
     ball = F.transform(
-        F.array(F.lit(0).cast("long"), *(F.lit(_mask([j])).cast("long") for j in range(64))),
+        F.array(F.lit(0).cast("long"), *(F.lit(mask_of([j])).cast("long") for j in range(64))),
         lambda f: F.col("fp").bitwiseXOR(f),
     )
     met = (
@@ -292,215 +302,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies by similarity: candidates by unsure bits, verified on a longer fingerprint.
-
-#: Similarity of 5-word shingle sets that near copies have, and bits of the fingerprint that verifies it.
-SIMILARITY, CHECK_WORDS, CHECK_LONGS = 0.8, 5, 3
-#: Partitions, and bits of each that lie nearest to even: those are the ones that an edit flips.
-PARTS, UNSURE = 3, 3
-#: Bits of 64 in which candidates may differ before they are verified.
-FAR = 18
-#: Deviations of the verifying fingerprint's distance within which pairs go on to the comparison of sets.
-SLACK = 4
-#: Rows of a crowded bucket that one task compares with all others of it.
-CHUNK = 256
-#: Rows of a bucket up to which all pairs are compared, and pivots of a larger one in each round.
-SMALL, PIVOTS = 12, 6
-
-
-def check_distance(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of sets this similar differ: the expected number and SLACK deviations."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * angle + SLACK * np.sqrt(bits * angle * (1 - angle)))
-
-
-def shingle_set(words: list[bytes]) -> np.ndarray:
-    """The distinct hashes of the shingles of CHECK_WORDS words, ascending; none without words."""
-    hashes, total = _hashes(words, CHECK_WORDS) if words else (iter(()), 0)
-    return np.unique(np.fromiter(hashes, dtype="<u8", count=total))
-
-
-def _set_print(hashes: np.ndarray) -> list[int]:
-    """CHECK_LONGS words of 64 bits; a bit is 1 if over half of the set's (mixed) hashes have it."""
-    counts = np.zeros((CHECK_LONGS, 64), dtype=np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        block = hashes[at : at + BLOCK]
-        for k in range(CHECK_LONGS):
-            if k:  # the finaliser of splitmix64
-                block = block + np.uint64(0x9E3779B97F4A7C15)
-                block = (block ^ (block >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                block = (block ^ (block >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                block = block ^ (block >> np.uint64(31))
-            counts[k] += _ones(block)
-    return [int(x) for x in _packed(counts.ravel(), len(hashes))]
-
-
-def part_bits() -> list[np.ndarray]:
-    return np.array_split(np.arange(64), PARTS)
-
-
-def profile(text: str) -> tuple[int, int, list[int]]:
-    """Fingerprint, the unsure bits of each partition (six bits a place) and the verifying fingerprint."""
-    words = _words(text)
-    if not words:
-        return 0, sum(int(b[k]) << 6 * (UNSURE * i + k) for i, b in enumerate(part_bits()) for k in range(UNSURE)), [0] * CHECK_LONGS
-    counts, total = _sums(words, 3)
-    margin = np.abs(2 * counts - total)
-    unsure, place = 0, 0
-    for bits in part_bits():
-        for b in bits[np.argsort(margin[bits], kind="stable")[:UNSURE]]:
-            unsure |= int(b) << 6 * place
-            place += 1
-    return int(_packed(counts, total)[0]), unsure, _set_print(shingle_set(words))
-
-
-def _profile_batches(batches):
-    for batch in batches:
-        for start, stop in slices(batch, "text"):
-            rows = [profile(t) for t in texts_of(batch, "text", start, stop)]
-            signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-            columns = [signed([r[0] for r in rows]), signed([r[1] for r in rows]), *(signed([r[2][k] for r in rows]) for k in range(CHECK_LONGS))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, stop - start), *columns], names=["doc_id", "fp", "unsure", *(f"c{k}" for k in range(CHECK_LONGS))]
-            )
-
-
-def profiles(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, fp long, unsure long, " + ", ".join(f"c{k} long" for k in range(CHECK_LONGS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profile_batches, schema)
-
-
-def _unsure_probes() -> Column:
-    """Keys (part, v, d): a partition's value with each subset of its unsure bits flipped."""
-    out = []
-    for i, bits in enumerate(part_bits()):
-        mask = F.lit(_mask([int(b) for b in bits])).cast("long")
-        flips = [
-            F.call_function(
-                "shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("unsure", 6 * (UNSURE * i + k)).bitwiseAND(F.lit(63)).cast("int")
-            )
-            for k in range(UNSURE)
-        ]
-        for subset in range(1 << UNSURE):
-            v = F.col("fp")
-            for k in range(UNSURE):
-                if subset >> k & 1:
-                    v = v.bitwiseXOR(flips[k])
-            out.append(F.struct(F.lit(i).alias("part"), v.bitwiseAND(mask).alias("v"), F.lit(int(subset > 0)).alias("d")))
-    return F.array(*out)
-
-
-def _set_batches(batches):
-    for batch in batches:
-        for start, stop in slices(batch, "text"):
-            sets = [shingle_set(_words(t)).view(np.int64) for t in texts_of(batch, "text", start, stop)]
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), listed], names=["node", "shingles"])
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles): the distinct 5-word shingle hashes of the documents in ``wanted`` (node)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(_set_batches, "node long, shingles array<long>")
-
-
-def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough, by exact counts."""
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = both / F.greatest(F.size("sa") + F.size("sb") - both, F.lit(1)) >= similarity
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(alike).select("a", "b")
-
-
-def _worth(similarity: float) -> Column:
-    """Whether a pair with fingerprints fa, fb, c*a, c*b may be similar enough; wide, as sets decide."""
-    apart = sum((F.bit_count(F.col(f"c{k}a").bitwiseXOR(F.col(f"c{k}b"))) for k in range(CHECK_LONGS)), F.lit(0))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
-    return near & (apart <= check_distance(similarity, 64 * CHECK_LONGS))
-
-
-def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``nodes`` with the root of each one's component so far."""
-    return nodes.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) that connect, with those of ``known``, the nodes (fp, unsure, c*, node) of like texts.
-
-    An edit flips the bits that are nearly even, so each fingerprint probes its partitions with every
-    subset of their unsure bits flipped.  Small buckets are compared pair by pair; in a crowded one
-    every row first meets PIVOTS others.  Then each crowded bucket is finished: all of its pairs that
-    are not connected yet are compared.  As members of one component need no comparison, one side of
-    such a pair is always outside the bucket's most frequent component, and a bucket that is one
-    component costs nothing.  Pairs are verified on their shingle sets."""
-    checks = [f"c{k}" for k in range(CHECK_LONGS)]
-    listed = nodes.select("fp", "node", F.explode(_unsure_probes()).alias("k")).select("fp", "node", "k.part", "k.v", "k.d")
-    sizes = listed.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n0")).where("n > 1 and n0 > 0")
-    shared = materialize(spark, listed.join(sizes, ["part", "v"]), "simhash-similar")
-    small = F.col("n") <= SMALL
-    crowded = shared.where(~small)
-    index = shared.where("d = 0")
-    order = Window.partitionBy("part", "v").orderBy(F.xxhash64("node"), "node")
-    pivots = index.where(~small).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).drop("r")
-    a = index.where(small).unionByName(pivots).select("part", "v", F.col("fp").alias("fa"), F.col("node").alias("a"))
-    b = shared.select("part", "v", F.col("fp").alias("fb"), F.col("node").alias("b"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR
-    met = a.join(b, ["part", "v"]).where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rooted = materialize(spark, _rooted(nodes, components(spark, known)), "simhash-rooted")
-    of = lambda side: rooted.select(F.col("node").alias(side), *(F.col(c).alias(f"{x}{side}") for c, x in [("fp", "f"), ("root", "root"), *zip(checks, checks)]))
-    first = materialize(spark, met.join(of("a"), "a").join(of("b"), "b").where(_worth(similarity) & (F.col("roota") != F.col("rootb"))).select("a", "b"), "simhash-similar-pairs")
-    wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
-    sets = materialize(spark, shingle_sets(docs, wanted), "simhash-sets")
-    edges = materialize(spark, _verified(spark, first, sets, similarity), "simhash-similar-edges").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    discard(spark, first)
-    discard(spark, rooted)
-
-    rows = crowded.select("part", "v", "d", "node").join(_rooted(nodes.select("fp", "node", *checks), components(spark, known.unionByName(edges))), "node")
-    rows = materialize(spark, rows, "simhash-crowded")
-    parts = rows.groupBy("part", "v", "root").agg(F.count("*").alias("n"))
-    common = parts.groupBy("part", "v").agg(F.max(F.struct("n", "root")).alias("x"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    common = common.select("part", "v", F.col("x.root").alias("common"), F.ceil(F.col("others") / CHUNK).cast("int").alias("chunks"))
-    open_ = rows.join(common, ["part", "v"])
-    side = lambda df, s: df.select("part", "v", "chunk", *(F.col(c).alias(f"{x}{s}") for c, x in [("node", ""), ("fp", "f"), ("d", "d"), ("root", "root"), *zip(checks, checks)]))
-    a = side(open_.where("root != common").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "a")
-    b = side(open_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "b")
-    left = a.join(b, ["part", "v", "chunk"]).where((F.col("roota") != F.col("rootb")) & ((F.col("da") == 0) | (F.col("db") == 0)) & _worth(similarity))
-    left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(spark, _verified(spark, left, sets, similarity), "simhash-similar-edges").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    for used in (shared, rows, sets):
-        discard(spark, used)
-    return edges.unionByName(more)
-
-
-def similar_groups(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): groups by fingerprints within TAU bits and by similarity.
-
-    Texts with one fingerprint but different shingles are nodes of their own, linked to the first."""
-    own = materialize(spark, profiles(docs), "simhash-profiles")
-    checks = [f"c{k}" for k in range(CHECK_LONGS)]
-    nodes = materialize(
-        spark, own.where("doc_id is not null").groupBy("fp", "unsure", *checks).agg(F.min("doc_id").alias("node")), "simhash-nodes"
-    )
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same = nodes.join(prints, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    known = materialize(spark, links(spark, prints.withColumnRenamed("first", "node")).unionByName(same), "simhash-known")
-    roots = components(spark, known.unionByName(similar_links(spark, docs, nodes, known, similarity)).distinct())
-    named = prints.join(roots.withColumnRenamed("v", "first"), "first", "left")
-    return own.select("doc_id", "fp").join(named.select("fp", F.coalesce("root", "first").alias("component_id")), "fp", "left").select("doc_id", "component_id")
-
-
-def one_per_group(spark: SparkSession, docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; one row for repeated ids.
-
-    Groups are those of :func:`similar_groups`; without ``similarity`` those within TAU bits alone.
-    Rows without a doc_id are kept."""
-    found = near_duplicates(spark, docs) if similarity is None else similar_groups(spark, docs, similarity)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = near_duplicates(spark, docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

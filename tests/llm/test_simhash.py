@@ -100,16 +100,6 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert simhash.op6(spark, frame(spark, [])).count() == 0
-    assert simhash.one_per_group(spark, frame(spark, [])).count() == 0
-
-
-def test_one_per_group(spark):
-    docs = frame(spark)
-    kept = simhash.one_per_group(spark, docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [0, 3, 4, 5, 7, 8, 9]
-    assert ids.count(None) == 1
 
 
 def test_large_group_of_copies(spark):
@@ -130,129 +120,3 @@ def test_unequal_thresholds_lose_no_link(spark, monkeypatch, chosen):
     ids = sorted(distinct.items(), key=lambda x: x[1])
     expected = {(a, b) for x, a in ids for y, b in ids if a < b and (x ^ y).bit_count() <= 2}
     assert expected and got == expected
-
-
-def edited(text, seed, share):
-    rng = np.random.default_rng(seed)
-    words = text.split()
-    for i in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
-        words[i] = f"changed{seed}{i}"
-    return " ".join(words)
-
-
-def shingles(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-@pytest.mark.parametrize("small", [3, 12])
-def test_similar_groups(spark, monkeypatch, small):
-    """Edited copies are found, other texts are left alone; crowded buckets go through pivots."""
-    monkeypatch.setattr(simhash, "SMALL", small)
-    monkeypatch.setattr(simhash, "PIVOTS", 2)
-    texts = {}
-    for g in range(12):
-        base = prose(1000 + g, 300)
-        texts[g * 100] = base
-        for k in range(1, 12 if g == 0 else 4):
-            texts[g * 100 + k] = edited(base, g * 100 + k, 0.015)
-    texts |= {5000 + i: prose(3000 + i, 200) for i in range(60)}
-    texts |= {9000: None, 9001: "", 9002: " "}
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, documents(spark, texts)).collect()}
-    sets = {i: shingles(t) for i, t in texts.items() if t and t.strip()}
-    near = [(g * 100, g * 100 + k) for g in range(12) for k in range(1, 4)]
-    near = [(a, b) for a, b in near if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
-    assert len(near) > 25
-    assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
-    assert all(got[i] == i for i in texts if 5000 <= i < 9000)
-    assert all(got[i] // 100 == i // 100 for i in texts if i < 5000)
-    assert got[9000] == got[9001] == got[9002] == 9000
-    exact = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, documents(spark, texts)).collect()}
-    by_exact = {}
-    for i, c in exact.items():
-        by_exact.setdefault(c, set()).add(got[i])
-    assert all(len(v) == 1 for v in by_exact.values())  # no link of op6 is lost
-
-
-def test_profile_agrees_with_the_fingerprint():
-    for text in ("", "one", prose(1), prose(2, 2000)):
-        fp, unsure, _ = simhash.profile(text)
-        assert fp == simhash.fingerprint(text)
-        for i, bits in enumerate(simhash.part_bits()):
-            places = [unsure >> 6 * (simhash.UNSURE * i + k) & 63 for k in range(simhash.UNSURE)]
-            assert len(set(places)) == simhash.UNSURE and set(places) <= set(bits.tolist())
-    assert simhash.check_distance(0.8, 192) < simhash.check_distance(0.5, 192) < 96
-
-
-def like(seed, base, changes):
-    """``base`` with the words at ``changes`` replaced."""
-    words = base.split()
-    for i in changes:
-        words[i] = f"changed{seed}x{i}"
-    return " ".join(words)
-
-
-def plain_links(texts, nodes, similarity=0.8):
-    """Pairs that share a bucket, are within FAR bits and whose shingle sets are similar enough."""
-    sets = {i: shingles(t) for i, t in texts.items()}
-    listed = {}
-    for r in nodes.select("fp", "node", simhash._unsure_probes().alias("k")).collect():
-        for k in r.k:
-            listed.setdefault((k.part, k.v), []).append((r.node, r.fp, k.d))
-    found = set()
-    for rows in listed.values():
-        for a, fa, da in rows:
-            for b, fb, db in rows:
-                if a < b and 0 in (da, db) and ((fa ^ fb) & (1 << 64) - 1).bit_count() <= simhash.FAR:
-                    if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
-                        found.add((a, b))
-    return found
-
-
-def test_crowded_buckets_are_finished(spark, monkeypatch):
-    """Every similar pair of a bucket is connected though its rows are no pivots' neighbours, or are pivots or linked elsewhere."""
-    monkeypatch.setattr(simhash, "SMALL", 2)
-    monkeypatch.setattr(simhash, "PIVOTS", 1)
-    monkeypatch.setattr(simhash, "CHUNK", 3, raising=False)
-    base = prose(77, 300)
-    rng = np.random.default_rng(1)
-    texts = {}
-    for g in range(40):  # pairs of like texts, all with about two thirds of their shingles in common
-        own = like(g, base, rng.choice(300, 6, replace=False))
-        texts |= {10 * g: own, 10 * g + 1: like(100 + g, own, rng.choice(300, 3, replace=False))}
-    docs = documents(spark, texts)
-    nodes = simhash.profiles(docs).withColumnRenamed("doc_id", "node")
-    expected = plain_links(texts, nodes)
-    assert len(expected) >= 30
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, docs).collect()}
-    assert all(got[a] == got[b] for a, b in expected)
-
-
-def test_no_pair_below_the_similarity_is_linked(spark):
-    """Estimates do not decide: pairs of 0.6 to 0.8 stay apart unless op6's rule links them."""
-    texts = {}
-    for g in range(40):
-        own = prose(500 + g, 300)
-        texts |= {10 * g: own, 10 * g + 1: like(g, own, range(3, 300, 300 // (8 + g % 3)))}
-    sets = {i: shingles(t) for i, t in texts.items()}
-    assert all(0.6 < len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.8 for i in range(0, 400, 10))
-    docs = documents(spark, texts)
-    exact = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, docs).collect()}
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, docs).collect()}
-    assert got == exact
-
-
-def test_similarity_is_that_of_sets(spark):
-    """Links are exact at 0.8, and repeats of a line do not count."""
-    words = [f"w{i}" for i in range(94)]  # 90 shingles
-    at = {50 + k: words[:-k] + [f"n{k}x{i}" for i in range(k)] for k in (10, 11)}
-    texts = {0: " ".join(words)} | {i: " ".join(t) for i, t in at.items()}  # 80 / 100 and 79 / 101
-    line = "this text may be used by all who keep this line with every copy of it " * 100
-    texts |= {200: line + prose(5, 200), 201: line + prose(6, 200)}
-    docs = documents(spark, texts)
-    pairs = spark.createDataFrame([(0, 60), (0, 61), (200, 201)], "a long, b long")
-    wanted = spark.createDataFrame([(i,) for i in texts], "node long")
-    got = {(r.a, r.b) for r in simhash._verified(spark, pairs, simhash.shingle_sets(docs, wanted), 0.8).collect()}
-    assert got == {(0, 60)}
-    far = [sum((x ^ y).bit_count() for x, y in zip(simhash.profile(texts[200])[2], simhash.profile(texts[201])[2]))]
-    assert far[0] > simhash.check_distance(0.8, 192)
