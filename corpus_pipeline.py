@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meritlens.llm import packing, quality, simhash, toxicity
+from meritlens.llm import packing, quality, similar, toxicity
 from meritlens.llm.common import bound_batches, materialize, ship_package, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, that with the smallest doc_id, of each group of near-duplicates."""
     bound_batches(spark)
     ship_package(spark)
-    return simhash.one_per_group(spark, docs)
+    return similar.one_per_group(spark, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
