@@ -14,8 +14,9 @@ groups are the connected components of these links.
 
 Buckets over SMALL rows are not compared pair by pair at once: each row first meets PIVOTS others,
 which connects nearly all of a group of copies.  Then all pairs of each such bucket that are not
-connected yet are compared, in blocks of bounded size; blocks give only links between components, so
-nothing grows with the pairs of a group and no pair is left out.
+connected yet are compared, in blocks of bounded size, each pair in the first bucket where it meets;
+blocks give only links between components, so nothing grows with the pairs of a group and no pair is
+left out.
 
 Edge cases: texts without words (null or empty, too) have the empty set and are one group; texts of
 fewer than five words have one shingle; repeated rows and rows that share a doc_id are judged by their
@@ -42,11 +43,13 @@ from meritlens.llm.simhash import BLOCK, arrange, bit_statistics, components, ha
 SIMILARITY, SHINGLE = 0.8, 5
 #: 64-bit words of a fingerprint, and how many of its least sure bits are kept.
 WORDS, SOFT = 6, 128
-PRINTS = [f"p{k}" for k in range(WORDS)]
+PRINTS, FLIPS = [f"p{k}" for k in range(WORDS)], [f"f{k}" for k in range(WORDS)]
 #: Chance of meeting a pair at the similarity that the plan must reach, and steps of its logarithm.
-GOAL, STEP = 0.98, 0.02
-#: Partitions that a word may be cut into, most bits flipped in one, cost of a listed row in pairs compared.
-LAYOUTS, MOST, ROW = (2, 3, 4), 5, 20.0
+GOAL, STEP = 0.95, 0.02
+#: Partitions that a word may be cut into, and most bits flipped in one.
+LAYOUTS, MOST = (2, 3, 4), 5
+#: Cost of a listed row, and of one in a crowded bucket, in pairs compared.
+ROW, CROWDED = 20.0, 400.0
 #: Deviations of the fingerprints' distance within which pairs go on, for the first word and for all.
 SLACK = 4
 #: Rows of a bucket up to which all pairs are compared at once, and pivots of a larger one.
@@ -180,14 +183,18 @@ def plan(nodes: DataFrame, similarity: float = SIMILARITY) -> list[tuple[int, li
     """(word, bits, threshold) of each partition in use.
 
     Rows that share a value are counted over all fingerprints for the partitions of the first word; other
-    words are mixes of the same hashes, and their counts follow from how even and how correlated their bits are."""
-    shares, correlations, n = bit_statistics(nodes, PRINTS)
+    words are mixes of the same hashes, and their counts follow from how even their bits are."""
+    shares, correlations, _ = bit_statistics(nodes, PRINTS)
     layouts = {(k, m): arrange(correlations[k], m) for k in range(WORDS) for m in LAYOUTS}
     first = [(m, i, bits) for m in LAYOUTS for i, bits in enumerate(layouts[0, m])]
     keys = F.array(*(F.struct(F.lit(j).alias("part"), F.col("p0").bitwiseAND(F.lit(mask_of(b))).alias("v")) for j, (_, _, b) in enumerate(first)))
     counted = nodes.select(F.explode(keys).alias("k")).groupBy("k.part", "k.v").agg(F.count("*").alias("n"))
-    pairs = dict(counted.groupBy("part").agg(F.sum(F.col("n") * F.least(F.col("n") - 1, F.lit(SMALL + PIVOTS))).cast("double")).collect())
-    same = {first[j][:2]: c for j, c in pairs.items()}
+    held = counted.groupBy("part", F.least("n", F.lit(SMALL + 1)).alias("n")).agg(F.sum("n").alias("rows")).collect()
+
+    def cost(place: tuple[int, int], scale: float, t: int) -> float:
+        """Of the partition at ``place`` of a layout, with t flips: listed rows, and pairs while buckets are small."""
+        each = [(r.rows, scale * r.n * 2**t) for r in held if first[r.part][:2] == place]
+        return 2**t * sum(rows * (ROW + (n if n <= SMALL else CROWDED)) for rows, n in each)
 
     def chance(k: int, bits: list[int]) -> float:
         """How likely two fingerprints agree in these bits if they were independent."""
@@ -201,50 +208,80 @@ def plan(nodes: DataFrame, similarity: float = SIMILARITY) -> list[tuple[int, li
         for m in LAYOUTS:
             parts = []
             for i, bits in enumerate(layouts[k, m]):
-                alike = same.get((m, i), 0.0) * chance(k, bits) / chance(0, layouts[0, m][i])
-                parts.append((bits, [2**t * (ROW * n + alike) for t in range(MOST + 1)], success(len(bits), similarity)))
-            for gain, (cost, chosen) in word_choices(parts, limit).items():
-                if gain not in options or cost < options[gain][0]:
-                    options[gain] = (cost, tuple((k, bits, t) for (bits, _, _), t in zip(parts, chosen) if t >= 0))
+                scale = chance(k, bits) / chance(0, layouts[0, m][i])
+                parts.append((bits, [cost((m, i), scale, t) for t in range(MOST + 1)], success(len(bits), similarity)))
+            for gain, (total, chosen) in word_choices(parts, limit).items():
+                if gain not in options or total < options[gain][0]:
+                    options[gain] = (total, tuple((k, bits, t) for (bits, _, _), t in zip(parts, chosen) if t >= 0))
         words.append(options)
     return [part for choice in allocate(words, limit) for part in choice]
 
 
-def keys_of(prints: np.ndarray, soft: np.ndarray, parts: list[tuple[int, list[int], int]]):
-    """(part, rows, values, probe) in turn: the values under which rows look in a partition; those with
-    probe 0 are also where they are indexed.  ``prints`` is rows x WORDS, ``soft`` rows x SOFT."""
-    everyone = np.arange(len(prints))
-    for number, (word, bits, most) in enumerate(parts):
+def flips_of(soft: np.ndarray, parts: list[tuple[int, list[int], int]]) -> list[list[np.ndarray]]:
+    """For each partition the masks of the bits that rows flip in it, least sure first (0: no more)."""
+    everyone, out = np.arange(len(soft)), []
+    for word, bits, most in parts:
         member = np.zeros(64 * WORDS, dtype=bool)
         member[[64 * word + b for b in bits]] = True
-        mask = np.uint64(mask_of(bits) % (1 << 64))
-        own = prints[:, word] & mask
         rank = np.cumsum(member[soft], axis=1)
-        flips, there = [], []
+        own = []
         for t in range(1, most + 1):
-            there.append(rank[:, -1] >= t)
-            at = (rank >= t).argmax(axis=1)
-            flips.append(np.uint64(1) << (soft[everyone, at] & 63).astype(np.uint64))
+            bit = np.uint64(1) << (soft[everyone, (rank >= t).argmax(axis=1)] & 63).astype(np.uint64)
+            own.append(np.where(rank[:, -1] >= t, bit, np.uint64(0)))
+        out.append(own)
+    return out
+
+
+def keys_of(prints: np.ndarray, soft: np.ndarray, parts: list[tuple[int, list[int], int]]):
+    """(part, rows, values, probe) in turn: the values under which rows look in a partition; those with
+    probe 0 are also where they are indexed.  ``prints`` is rows x WORDS, ``soft`` rows x SOFT."""
+    for number, ((word, bits, most), flips) in enumerate(zip(parts, flips_of(soft, parts))):
+        own = prints[:, word] & np.uint64(mask_of(bits) % (1 << 64))
         for subset in range(1 << most):
             value, rows = own.copy(), np.ones(len(own), dtype=bool)
             for t in range(most):
                 if subset >> t & 1:
                     value ^= flips[t]
-                    rows &= there[t]
+                    rows &= flips[t] != 0
             rows = np.flatnonzero(rows)
             yield number, rows, value[rows], int(subset > 0)
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, fingerprints and least sure bits of a batch (node, p0.., soft, ...)."""
+    prints = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], axis=1)
+    soft = np.frombuffer(b"".join(batch.column(1 + WORDS).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1)
+    return batch.column(0).to_numpy(zero_copy_only=False), prints, soft
+
+
+def with_flips(nodes: DataFrame, parts: list[tuple[int, list[int], int]]) -> DataFrame:
+    """(node, size, p0.., f0..): the bits that a node flips, in all partitions together, instead of its least sure ones."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                _, _, soft = _columns(batch)
+                masks = np.zeros((batch.num_rows, WORDS), dtype=np.uint64)
+                for (word, _, _), flips in zip(parts, flips_of(soft, parts)):
+                    for f in flips:
+                        masks[:, word] |= f
+                kept = [batch.column(0), batch.column(2 + WORDS), *(batch.column(1 + k) for k in range(WORDS))]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *(pa.array(np.ascontiguousarray(masks[:, k]).view(np.int64)) for k in range(WORDS))], names=["node", "size", *PRINTS, *FLIPS]
+                )
+
+    longs = ", ".join(f"{c} long" for c in (*PRINTS, *FLIPS))
+    return nodes.select("node", *PRINTS, "soft", "size").mapInArrow(run, f"node long, size long, {longs}")
+
+
 def listed_keys(nodes: DataFrame, parts: list[tuple[int, list[int], int]]) -> DataFrame:
     """(part, v, d, node, p0): every node under each value it is indexed under (d = 0) or probes."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                node = batch.column(0).to_numpy(zero_copy_only=False)
-                prints = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], axis=1)
-                soft = np.frombuffer(b"".join(batch.column(1 + WORDS).to_pylist()), dtype="<u2").reshape(len(node), -1)
+                node, prints, soft = _columns(whole.slice(at, 1024))
                 for number, rows, values, probe in keys_of(prints, soft, parts):
                     if len(rows):
                         yield pa.RecordBatch.from_arrays(
@@ -296,49 +333,88 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 class Block:
-    """At most about CHUNK rows of a bucket, against which its other rows are compared."""
+    """At most about CHUNK rows of a bucket, against which its other rows are compared.
 
-    def __init__(self, similarity: float):
-        self.similarity, self.limit = similarity, check_distance(similarity, 64 * WORDS)
-        self.parts: list[tuple] = []
-        self.ready = False
-        self.linked: set[tuple[int, int]] = set()
+    Rows are (node, root, d, size, prints, flips) as arrays and, for exact counts, a list of sets."""
 
-    def add(self, rows: tuple) -> None:
-        self.parts.append(rows)
+    def __init__(self, key: tuple, parts: list[tuple[int, int]], similarity: float):
+        self.part, self.value = int(key[0]), np.int64(key[1]).view(np.uint64)
+        self.parts, self.similarity, self.limit = parts, similarity, check_distance(similarity, 64 * WORDS)
+        self.waiting: list[tuple] = []
+        self.rows: tuple | None = None
+        self.linked: set[tuple[int, int]] = set()
 
-    def _close(self) -> None:
-        self.root, self.d, self.size, self.prints = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
-        sets = [s for p in self.parts for s in p[4]]
-        tokens = np.concatenate(sets)
-        order = np.argsort(tokens, kind="stable")
-        self.tokens = tokens[order]
-        self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-        self.ready, self.parts = True, []
+    def add(self, rows: tuple, sets: list | None = None) -> None:
+        self.waiting.append((*rows, sets))
+
+    def close(self) -> bool:
+        if self.waiting:
+            self.rows = tuple(np.concatenate([w[k] for w in self.waiting]) for k in range(6))
+            self.marked = np.zeros(len(self.rows[0]), dtype=bool)
+            if self.waiting[0][6] is not None:
+                sets = [s for w in self.waiting for s in w[6]]
+                tokens = np.concatenate(sets)
+                order = np.argsort(tokens, kind="stable")
+                self.tokens = tokens[order]
+                self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+            self.waiting = []
+        return self.rows is not None
+
+    def _first_meeting(self, a: tuple, b: tuple) -> np.ndarray:
+        """Whether each pair of rows (aligned arrays) has not met in a bucket before this one.
+
+        Rows meet in a partition if the bits in which they differ there are all flipped by one of them:
+        under the other's value, or, if both flip them, under both values; then that of the lesser node counts."""
+        (node_a, _, _, _, print_a, flip_a), (node_b, _, _, _, print_b, flip_b) = a, b
+        fresh = np.ones(len(node_a), dtype=bool)
+        for number, (word, mask) in enumerate(self.parts[: self.part + 1]):
+            apart = (print_a[:, word] ^ print_b[:, word]) & np.uint64(mask)
+            by_a, by_b = apart & ~flip_a[:, word] == 0, apart & ~flip_b[:, word] == 0
+            if number < self.part:
+                fresh &= ~(by_a | by_b)
+            else:
+                own = np.where(by_a & (~by_b | (node_b < node_a)), print_b[:, word], print_a[:, word]) & np.uint64(mask)
+                fresh &= (by_a | by_b) & (own == self.value)
+        return fresh
+
+    def _open(self, rows: tuple, at: int) -> np.ndarray:
+        """Pairs of up to CHUNK rows from ``at`` with the block's that remain to be compared."""
+        node, root, d, size, prints, flips = (x[at : at + CHUNK] for x in rows)
+        own = self.rows
+        found = (root[:, None] != own[1]) & ((d[:, None] == 0) | (own[2] == 0))
+        found &= np.minimum(size[:, None], own[3]) >= self.similarity * np.maximum(size[:, None], own[3])
+        apart = sum(np.bitwise_count(prints[:, None, k] ^ own[4][None, :, k]).astype(np.int16) for k in range(WORDS))
+        found &= apart <= self.limit
+        i, j = np.nonzero(found)
+        found[i, j] = self._first_meeting(tuple(x[i] for x in (node, root, d, size, prints, flips)), tuple(x[j] for x in own))
+        return found
 
-    def compare(self, rows: tuple) -> list[tuple[int, int]]:
+    def mark(self, rows: tuple) -> np.ndarray:
+        """Which of the rows have a pair to compare; those of the block are noted in ``marked``."""
+        out = np.zeros(len(rows[0]), dtype=bool)
+        if self.close():
+            for at in range(0, len(out), CHUNK):
+                open_ = self._open(rows, at)
+                out[at : at + CHUNK] = open_.any(axis=1)
+                self.marked |= open_.any(axis=0)
+        return out
+
+    def compare(self, rows: tuple, sets: list) -> list[tuple[int, int]]:
         """New links between components (root, root) that the rows give."""
-        if not self.ready:
-            if not self.parts:
-                return []
-            self._close()
-        root, d, size, prints, sets = rows
-        found = []
+        found: list[tuple[int, int]] = []
+        if not self.close():
+            return found
+        root, size = rows[1], rows[3]
         for at in range(0, len(root), CHUNK):
-            part = slice(at, at + CHUNK)
-            open_ = (root[part, None] != self.root) & ((d[part, None] == 0) | (self.d == 0))
-            small, large = np.minimum(size[part, None], self.size), np.maximum(size[part, None], self.size)
-            open_ &= small >= self.similarity * large
-            apart = sum(np.bitwise_count(prints[part, None, k] ^ self.prints[None, :, k]).astype(np.int16) for k in range(WORDS))
-            open_ &= apart <= self.limit
+            open_ = self._open(rows, at)
             for i in np.flatnonzero(open_.any(axis=1)):
                 own = sets[at + i]
                 low, high = np.searchsorted(self.tokens, own, "left"), np.searchsorted(self.tokens, own, "right")
                 hits = high - low
                 place = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
-                both = np.bincount(self.owner[place], minlength=len(self.root))
-                alike = open_[i] & (both / np.maximum(self.size + size[at + i] - both, 1) >= self.similarity)
-                for other in np.unique(self.root[alike]).tolist():
+                both = np.bincount(self.owner[place], minlength=len(self.rows[0]))
+                alike = open_[i] & (both / np.maximum(self.rows[3] + size[at + i] - both, 1) >= self.similarity)
+                for other in np.unique(self.rows[1][alike]).tolist():
                     link = (min(other, int(root[at + i])), max(other, int(root[at + i])))
                     if link not in self.linked:
                         self.linked.add(link)
@@ -346,42 +422,77 @@ class Block:
         return found
 
 
-def _block_batches(similarity: float):
-    names = ["part", "v", "chunk", "stream", "side", "root", "d", "size", *PRINTS, "shingles"]
+KEY = ["part", "v", "chunk", "stream"]
+ROWS = [*KEY, "side", "node", "root", "d", "size", *PRINTS, *FLIPS]
+
+
+def _runs(batch: pa.RecordBatch):
+    """(key, side, start, stop, rows) of each run of one block and side in a batch of ROWS."""
+    numbers = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(ROWS))]
+    keys = np.stack(numbers[:5], axis=1)
+    edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    for start, stop in zip([0, *edges], [*edges, len(keys)]):
+        node, root, d, size, *bits = (x[start:stop] for x in numbers[5:])
+        stacked = np.stack(bits, axis=1).view(np.uint64)
+        yield tuple(keys[start, :4]), keys[start, 4], start, stop, (node, root, d, size, stacked[:, :WORDS], stacked[:, WORDS:])
+
+
+def _mark_batches(parts: list[tuple[int, int]], similarity: float):
+    """Keeps the rows (ROWS, by block, the block's own first) that have a pair to compare."""
 
     def run(batches):
-        block, current = None, None
+        block, current, own = None, None, []
+
+        def closing():
+            if block is not None and block.rows is not None and block.marked.any():
+                held = pa.Table.from_batches(own)
+                yield from held.filter(pa.array(block.marked)).to_batches()
+
         for batch in batches:
-            column = {n: batch.column(i) for i, n in enumerate(names)}
-            keys = np.stack([column[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in names[:5]], axis=1)
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for start, stop in zip([0, *edges], [*edges, len(keys)]):
-                key = tuple(keys[start, :4])
+            for key, side, start, stop, rows in _runs(batch):
                 if key != current:
-                    block, current = Block(similarity), key
-                cut = lambda n: column[n].slice(start, stop - start)  # noqa: E731, B023
-                lists = cut("shingles")
-                ends = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy(zero_copy_only=False)
-                sets = [flat[a:b] for a, b in zip(ends, ends[1:])]
-                prints = np.stack([cut(p).to_numpy(zero_copy_only=False).view(np.uint64) for p in PRINTS], axis=1)
-                rows = (*(cut(n).to_numpy(zero_copy_only=False) for n in ("root", "d", "size")), prints, sets)
-                if keys[start, 4] == 0:
+                    yield from closing()
+                    block, current, own = Block(key, parts, similarity), key, []
+                if side == 0:
                     block.add(rows)
-                elif links := block.compare(rows):
+                    own.append(batch.slice(start, stop - start))
+                elif (marked := block.mark(rows)).any():
+                    yield batch.slice(start, stop - start).filter(pa.array(marked))
+        yield from closing()
+
+    return run
+
+
+def _block_batches(parts: list[tuple[int, int]], similarity: float):
+    """Links (u, v) between components that the rows (ROWS and shingles, in the same order) give."""
+
+    def run(batches):
+        block, current = None, None
+        for batch in batches:
+            lists = batch.column(len(ROWS))
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for key, side, start, stop, rows in _runs(batch):
+                if key != current:
+                    block, current = Block(key, parts, similarity), key
+                sets = [flat[a:b] for a, b in zip(ends[start:stop], ends[start + 1 : stop + 1])]
+                if side == 0:
+                    block.add(rows, sets)
+                elif links := block.compare(rows, sets):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["u", "v"])
 
     return run
 
 
-def finish(spark: SparkSession, rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def finish(spark: SparkSession, rows: DataFrame, sets: DataFrame, parts: list[tuple[int, list[int], int]], similarity: float) -> DataFrame:
     """Links (u, v) between components that pairs of one bucket give, for buckets of ``rows``
-    (part, v, d, node, root, size, p0..) that hold several.
+    (part, v, d, node, root, size, p0.., f0..) that hold several.
 
     One side of a pair that is not connected yet is always outside the bucket's most frequent
-    component, so those rows are cut into chunks and all rows of the bucket stream past each."""
-    parts = rows.groupBy("part", "v", "root").agg(F.count("*").alias("n"))
-    common = parts.groupBy("part", "v").agg(
+    component, so those rows are cut into chunks and all rows of the bucket stream past each: once to find
+    the rows that have a pair worth counting, and once more, those alone, with their sets."""
+    masks = [(word, mask_of(bits) % (1 << 64)) for word, bits, _ in parts]
+    counts = rows.groupBy("part", "v", "root").agg(F.count("*").alias("n"))
+    common = counts.groupBy("part", "v").agg(
         F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")
     )
     split = lambda c, size: F.ceil(F.col(c) / size).cast("int")
@@ -391,15 +502,19 @@ def finish(spark: SparkSession, rows: DataFrame, sets: DataFrame, similarity: fl
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     held = open_.where("root != common").withColumn("chunk", number("chunks")).withColumn("stream", every("streams")).withColumn("side", F.lit(0))
     passing = open_.withColumn("chunk", every("chunks")).withColumn("stream", number("streams")).withColumn("side", F.lit(1))
-    key = ["part", "v", "chunk", "stream"]
-    columns = [*key, "side", "root", "d", "size", *PRINTS, "shingles"]
-    met = held.unionByName(passing).join(sets, "node").select(columns).repartition(*key).sortWithinPartitions(*key, "side")
-    return met.mapInArrow(_block_batches(similarity), "u long, v long").distinct()
+    ordered = lambda df: df.repartition(*KEY).sortWithinPartitions(*KEY, "side")
+    met = ordered(held.unionByName(passing).select(ROWS))
+    worth = materialize(spark, met.mapInArrow(_mark_batches(masks, similarity), met.schema), "similar-worth")
+    listed = ordered(worth.join(sets, "node").select(*ROWS, "shingles"))
+    out = materialize(spark, listed.mapInArrow(_block_batches(masks, similarity), "u long, v long").distinct(), "similar-more")
+    discard(spark, worth)
+    return out
 
 
 def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(v, root) as :func:`simhash.components` gives it, for the links between ``nodes``."""
-    listed = listed_keys(nodes, plan(nodes, similarity))
+    parts = plan(nodes, similarity)
+    listed = listed_keys(nodes, parts)
     sizes = listed.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n0")).where("n > 1 and n0 > 0")
     shared = materialize(spark, listed.join(sizes.drop("n0"), ["part", "v"]), "similar-buckets")
     small = F.col("n") <= SMALL
@@ -417,9 +532,10 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: fl
     sets = materialize(spark, shingle_sets(docs, nodes.select("node", "first").join(wanted, "node", "left_semi")), "similar-sets")
     edges = materialize(spark, verified(first, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar-edges")
     roots = components(spark, edges)
-    named = nodes.join(roots.withColumnRenamed("v", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", *PRINTS)
+    rooted = with_flips(nodes, parts).join(roots.withColumnRenamed("v", "node"), "node", "left")
+    named = rooted.select("node", F.coalesce("root", "node").alias("root"), "size", *PRINTS, *FLIPS)
     rows = materialize(spark, crowded.select("part", "v", "d", "node").join(named, "node"), "similar-crowded")
-    more = materialize(spark, finish(spark, rows, sets, similarity), "similar-more")
+    more = finish(spark, rows, sets, parts, similarity)
     whole = roots.select(F.col("root").alias("u"), "v").unionByName(more)
     out = roots if more.isEmpty() else components(spark, whole)
     for used in (shared, first, sets, edges, rows, more):

@@ -77,7 +77,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, small, pivots):
 
 def test_pairs_of_one_crowded_bucket_are_all_compared(spark, monkeypatch):
     """All rows share one bucket; pairs of like texts are found though rows are pivots, or no pivot's neighbours."""
-    monkeypatch.setattr(similar, "listed_keys", lambda nodes, parts: nodes.selectExpr("0 part", "0L v", "0 d", "node", "p0"))
+    monkeypatch.setattr(similar, "plan", lambda nodes, similarity: [(0, [], 0)])
     monkeypatch.setattr(similar, "SMALL", 2)
     monkeypatch.setattr(similar, "PIVOTS", 1)
     monkeypatch.setattr(similar, "CHUNK", 7)
