@@ -8,13 +8,16 @@ No rows are shuffled.
 
 Texts go to the tokenizer in chunks that start at a single space between two non-space
 characters.  The byte-level pre-tokenizer always cuts there, whatever stands on either side, so a
-chunk's ids do not depend on its neighbours, and each distinct chunk is encoded once per batch.
+chunk's ids do not depend on its neighbours, and each worker encodes a distinct chunk once.  Chunks are
+found again by hash and then compared byte by byte, so texts whose hashes collide keep their own ids.
 
 All sequences are full but the last, which is padded to ``length`` unless it holds a power of two
 of tokens.
 
 Edge cases: null text counts as empty and gives one separator; repeated rows are packed as often
-as they occur; an empty table gives no pieces; other columns of the input are ignored.
+as they occur; rows that share a doc_id, or have none, are documents of their own; very long texts are
+encoded a window at a time and span as many sequences as they need; the order of documents is that of the
+scan and ties nothing to their ids; an empty table gives no pieces; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ from meritlens.llm.common import materialize, slices, texts_of
 
 LENGTH = 1024
 SEPARATOR = 0
-#: Slots of a worker's chunk table (a power of two); it starts anew when half full.
-SLOTS = 1 << 21
+#: Slots of a worker's chunk table (a power of two); it starts anew when half full, or when its chunks
+#: hold so many bytes.
+SLOTS, HELD = 1 << 21, 48 << 20
 #: New chunks that go to the tokenizer as one text.
 TOGETHER = 64
 #: Bytes that are looked at together; longer texts are encoded in parts.
@@ -140,6 +144,18 @@ class ChunkHasher:
         return (own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64)
 
 
+def _append(store: np.ndarray, bounds: np.ndarray, base: int, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``store`` and ``bounds`` with entries of these sizes from number ``base`` on; both double as needed."""
+    at = bounds[base]
+    while len(bounds) <= base + len(sizes):
+        bounds = np.concatenate([bounds, np.zeros_like(bounds)])
+    while len(store) < at + len(values):
+        store = np.concatenate([store, np.zeros_like(store)])
+    store[at : at + len(values)] = values
+    bounds[base + 1 : base + 1 + len(sizes)] = at + np.cumsum(sizes)
+    return store, bounds
+
+
 class ChunkEncoder:
     """Encodes texts with a byte-level tokenizer, each distinct chunk once."""
 
@@ -157,13 +173,15 @@ class ChunkEncoder:
         self.hashers = ChunkHasher(1), ChunkHasher(2)
         self.flat = np.zeros(1 << 16, dtype=np.uint16)
         self.bounds = np.zeros(1 << 16, dtype=np.int64)
+        self.text = np.zeros(1 << 18, dtype=np.uint8)
+        self.text_bounds = np.zeros(1 << 16, dtype=np.int64)
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint16) for e in found]
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Add the ids of new chunks, in the order given.
+        """Add the ids and the bytes of new chunks, in the order given.
 
         Chunks that begin with a space, end with none and hold no other go to the tokenizer
         together: where each one's ids end follows from the tokens' byte lengths."""
@@ -186,13 +204,21 @@ class ChunkEncoder:
         first = np.empty(len(order), dtype=np.int64)
         first[order] = begin
         flat = gather(ids, first - sizes, sizes)
-        base, at = self.table.size, self.bounds[self.table.size]
-        while len(self.bounds) <= base + len(order):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        while len(self.flat) < at + len(flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + len(flat)] = flat
-        self.bounds[base + 1 : base + 1 + len(order)] = at + np.cumsum(sizes)
+        base = self.table.size
+        self.flat, self.bounds = _append(self.flat, self.bounds, base, flat, sizes)
+        own = ends - starts
+        self.text, self.text_bounds = _append(self.text, self.text_bounds, base, gather(data, starts, own), own)
+
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Chunks that are not the ones their entries were made from."""
+        begin, sizes = self.text_bounds[entry], ends - starts
+        differ = self.text_bounds[entry + 1] - begin != sizes
+        held = gather(self.text, np.where(differ, 0, begin), np.where(differ, 0, sizes))
+        own = data if not differ.any() else gather(data, np.where(differ, 0, starts), np.where(differ, 0, sizes))
+        if not np.array_equal(held, own):
+            at = np.cumsum(np.where(differ, 0, sizes))
+            differ[np.searchsorted(at, np.flatnonzero(held != own), side="right")] = True
+        return np.flatnonzero(differ)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text as 16-bit integers."""
@@ -216,7 +242,7 @@ class ChunkEncoder:
         return np.concatenate(out)
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if self.table.size > SLOTS // 2:
+        if self.table.size > SLOTS // 2 or self.text_bounds[self.table.size] > HELD:
             self.table.clear()
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         if not len(data):
@@ -234,6 +260,11 @@ class ChunkEncoder:
             self._learn(data, starts[new], ends[new])
             entry[missing] = self.table.size + back
             self.table.add(first[new], second[new])
+        wrong = self._unlike(data, starts, ends, entry)
+        if len(wrong):  # their hashes are those of other chunks, so they get numbers that no hash leads to
+            self._learn(data, starts[wrong], ends[wrong])
+            entry[wrong] = self.table.size + np.arange(len(wrong))
+            self.table.size += len(wrong)
         sizes = self.bounds[entry + 1] - self.bounds[entry]
         ids = gather(self.flat, self.bounds[entry], sizes)
         upto = np.concatenate([[0], np.cumsum(sizes)])

@@ -127,3 +127,35 @@ def test_packing(spark, tokenizer):
 
 def test_packing_nothing(spark):
     assert packing.pack(spark, frame(spark, []), VOCABULARY).count() == 0
+
+
+def thue_morse(length, first):
+    return "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(length))
+
+
+@pytest.mark.parametrize("length", [256, 512, 1024, 2048, 4096])
+@pytest.mark.parametrize("first", [0, 1])
+def test_texts_whose_polynomial_hashes_collide(tokenizer, length, first):
+    """Thue-Morse texts collide modulo 2**64 whatever the base; each keeps its own ids."""
+    encoder = packing.ChunkEncoder(VOCABULARY)
+    for text in (thue_morse(length, first), thue_morse(length, 1 - first), "x " + thue_morse(length, first) + " y"):
+        assert encoder.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_all_hashes_collide(tokenizer, monkeypatch):
+    """Ids do not depend on the hashes at all, within a call and between calls."""
+    monkeypatch.setattr(packing.ChunkHasher, "hash", lambda self, data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    encoder = packing.ChunkEncoder(VOCABULARY)
+    for i in range(3):
+        texts = [prose(i, 20), prose(i + 50, 12), prose(i, 20)]
+        got = encoder.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_table_forgets_by_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 100)
+    encoder = packing.ChunkEncoder(VOCABULARY)
+    for i in range(4):
+        text = prose(i, 40)
+        assert encoder.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.text_bounds[encoder.table.size] < 1000
