@@ -1,18 +1,21 @@
 """Threshold-scaled document fingerprints, in DataFrame operations only.
 
 A sketch holds every 5-word shingle hash below a fixed fraction of the hash range, so its size
-follows the document, sketches of parts merge by union, and containment of a short text in a long
-one can be estimated from the two sketches alone.  A text none of whose hashes is that low keeps
-its smallest one; a text of fewer than five words has one shingle, and one without words none.
-Where one of two sketches is such a lone hash, both texts are compared up to it (:func:`with_comparable`).
+follows the document, the sketch of a union is the union of sketches, and containment of a short
+text in a long one can be estimated from the two sketches alone; likeness follows from the two
+containments.  A text of fewer than five words has one shingle, one without words none.  The sketch
+of a text none of whose hashes is that low is empty; its written fingerprint is then the smallest
+hash after a "~", so that different texts are told apart, and its likeness to another text, of which
+an empty sketch says nothing, is counted on all hashes of both (:func:`with_comparable`).
 
 ``neighbours`` pairs each row with the next one by descending doc_id without a global sort: ids are
 cut into ranges at quantiles, each range's first row is also sent to the end of the range before
 it, and ``lead`` works within ranges.  Texts are shuffled once.
 
 Edge cases: null text counts as empty; a null doc_id sorts after all others; rows with the same
-doc_id follow each other by descending text; a single row is its own neighbour; an empty table
-gives an empty result; other columns of the input are ignored.  Two empty sketches are alike (1).
+doc_id follow each other by descending text; a single row is its own neighbour; very long texts are
+hashed whole; an empty table gives an empty result; other columns of the input are ignored.  Two
+texts without words are alike (1), one is unlike any other text (0).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from meritlens.functions.ranges import range_of
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 4
 #: Ranges of doc_id for each shuffle partition, and at most.
 RANGES, MOST_RANGES = 4, 1 << 16
 LOWEST = -(1 << 63)
@@ -49,32 +52,29 @@ def with_hashes(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
-    """``df`` with the sketch of column ``text``: an ascending array of 63-bit hashes."""
+    """``df`` with the sketch of column ``text``, an ascending array of 63-bit hashes, and ``<name>_least``,
+    its smallest hash of all (null without words)."""
     listed = with_hashes(df, text, "_h")
-    low = listed.withColumn("_l", F.filter("_h", lambda h: h < (1 << 63) // scale))
-    kept = F.when((F.size("_l") == 0) & (F.size("_h") > 0), F.array(F.array_min("_h"))).otherwise(
-        F.sort_array(F.array_distinct("_l"))
-    )
-    return low.withColumn(name, kept).drop("_h", "_l")
+    low = F.filter("_h", lambda h: h < (1 << 63) // scale)
+    return listed.withColumns({name: F.sort_array(F.array_distinct(low)), f"{name}_least": F.array_min("_h")}).drop("_h")
 
 
-def with_comparable(df: DataFrame, a: tuple[str, str], b: tuple[str, str], names: tuple[str, str], scale: int = SCALE) -> DataFrame:
+def with_comparable(df: DataFrame, a: tuple[str, str], b: tuple[str, str], names: tuple[str, str]) -> DataFrame:
     """``df`` with two arrays to compare, of the (text, sketch) columns ``a`` and ``b``.
 
-    They are the sketches, but where one is the lone hash of a text without low hashes, all hashes
-    of both texts up to that hash: the other sketch would not hold it.  Only then texts are hashed."""
-    lone = lambda s: F.when(F.get(F.col(s), F.lit(0)) >= (1 << 63) // scale, F.get(F.col(s), F.lit(0)))
-    out = df.withColumn("_top", F.greatest(lone(a[1]), lone(b[1])))
+    They are the sketches, but where one is empty all hashes of both texts; only then are texts hashed."""
+    out = df.withColumn("_all", (F.size(a[1]) == 0) | (F.size(b[1]) == 0))
     for (text, sketch), name in zip((a, b), names):
-        out = with_hashes(out.withColumn("_t", F.when(F.col("_top").isNotNull(), F.col(text)).otherwise("")), "_t", "_h")
-        up_to = F.sort_array(F.array_distinct(F.filter("_h", lambda h: h <= F.col("_top"))))
-        out = out.withColumn(name, F.when(F.col("_top").isNotNull(), up_to).otherwise(F.col(sketch))).drop("_h", "_t")
-    return out.drop("_top")
+        out = with_hashes(out.withColumn("_t", F.when(F.col("_all"), F.col(text)).otherwise("")), "_t", "_h")
+        out = out.withColumn(name, F.when(F.col("_all"), F.array_distinct("_h")).otherwise(F.col(sketch))).drop("_h", "_t")
+    return out.drop("_all")
 
 
 def written(sketch: str) -> Column:
-    """A sketch as text: 16 hex digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """A sketch as text: 16 hex digits for each hash; "~" and the smallest hash if it is empty."""
+    digits = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    lone = F.coalesce(F.concat(F.lit("~"), digits(F.col(f"{sketch}_least"))), F.lit(""))
+    return F.when(F.size(sketch) > 0, F.array_join(F.transform(sketch, digits), "")).otherwise(lone)
 
 
 def merged(a: str, b: str) -> Column:
@@ -83,7 +83,8 @@ def merged(a: str, b: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated Jaccard similarity of the shingle sets."""
+    """Estimated Jaccard similarity of the shingle sets, from the containments c of a in b and d of b
+    in a: 1 / (1 / c + 1 / d - 1), which is the share of the union that is common."""
     both = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - both
     return F.when(either == 0, 1.0).otherwise(both / either).cast("double")
@@ -135,7 +136,7 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
         ),
     )
     sketched = with_sketch(
-        edited.select("doc_id", "n_chars", "text", "sketch", "next_text", "next_sketch", "edited"), "edited", "edited_sketch"
+        edited.select("doc_id", "n_chars", "text", "sketch", "sketch_least", "next_text", "next_sketch", "edited"), "edited", "edited_sketch"
     )
     beside = with_comparable(sketched, ("text", "sketch"), ("edited", "edited_sketch"), ("own_e", "edited_e"))
     beside = with_comparable(beside, ("text", "sketch"), ("next_text", "next_sketch"), ("own_n", "next_n"))
@@ -147,4 +148,6 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
         written("edited_sketch").alias("edited_fingerprint"),
         likeness("own_e", "edited_e").alias("near_edited"),
         likeness("own_n", "next_n").alias("near_next"),
+        containment("own_e", "edited_e").alias("kept_in_edited"),
+        containment("own_n", "next_n").alias("kept_in_next"),
     )
