@@ -5,18 +5,19 @@ once: pieces of like byte length form one padded matrix of token ids, and in eac
 merges its leftmost pair of least rank.  Pairs are looked up in an open-addressing hash table; the
 rows are compacted after each merge, and finished rows leave the matrix.
 
-A piece of over ``LONG`` bytes would need as many rounds as it has merges, so it goes through a
-heap of (rank, position) with the same merge order, in O(n log n).
+A piece of over ``LONG`` bytes is a matrix of its own, in which a round merges every occurrence of the
+least rank, leftmost first.  The ids are the same as long as the merged id is part of no pair of lower
+rank; for the few ids that are (``fickle``), a round merges the leftmost occurrence alone.
 
-Edge cases: null text counts as empty and encodes to no ids; repeated texts give equal rows; an
-empty table gives an empty result; other columns of the input are ignored.
+Edge cases: null text counts as empty and encodes to no ids; repeated texts give equal rows; very long
+texts are encoded whole; pairs of one rank go leftmost first, and no other ties arise; an empty table
+gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from meritlens.llm.common import slices, texts_of
 
-#: Bytes of a piece up to which it is merged in a matrix.
+#: Bytes of a piece up to which it shares a matrix with others.
 LONG = 128
 #: Distinct pieces whose ids a Python worker remembers between batches.
 MEMORY = 400_000
@@ -90,7 +91,11 @@ class ByteBPE:
             for k in range(1, len(t))
             if t[:k] in ranks and t[k:] in ranks
         ]
-        self.pairs = PairTable(*np.array(pairs, dtype=np.int64).reshape(-1, 3).T)
+        left, right, merged = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
+        self.pairs = PairTable(left, right, merged)
+        self.fickle = np.zeros(int(merged.max(initial=255)) + 1, dtype=bool)
+        for part in (left, right):
+            self.fickle[part[merged < part]] = True
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.bounds = np.zeros(1 << 16, dtype=np.int64)
@@ -146,29 +151,25 @@ class ByteBPE:
         return out
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, by a heap over a linked list."""
-        ids = [int(self.byte_ids[b]) for b in piece]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs.find(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else n
-                if left >= 0 and right < n:
-                    token = self.tokens[ids[left]] + self.tokens[ids[right]]
-                    if (found := self.ranks.get(token)) is not None:
-                        heapq.heappush(heap, (found, left, ids[left], ids[right]))
-        return np.array([t for t in ids if t >= 0], dtype=np.int64)
+        """The same merges for one long piece, all occurrences of a pair in one round."""
+        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            at = np.flatnonzero(rank == least)
+            if not self.fickle[least]:
+                begins = np.concatenate([[True], np.diff(at) > 1])  # of neighbouring pairs every other one merges
+                at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
+            else:
+                at = at[:1]
+            ids[at] = least
+            kept = np.ones(len(ids), dtype=bool)
+            kept[at + 1] = False
+            ids = ids[kept]
+            rank = rank[kept[1:]]
+            place = at - np.arange(len(at))
+            for near in (place[place > 0] - 1, place[place < len(rank)]):
+                rank[near] = self.pairs.find(ids[near], ids[near + 1])
+        return ids
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""

@@ -66,6 +66,20 @@ def test_long_and_short_pieces_agree(own, monkeypatch):
     assert [x.tolist() for x in own.encode_pieces(pieces)] == short
 
 
+@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, "aab" * 999, prose(3, 4000).replace(" ", ""), "漢字" * 700, "=-" * 2048, "a" * 129])
+def test_pieces_of_any_length(own, reference, text):
+    assert own.encode_texts([text])[0].tolist() == reference.encode_ordinary(text)
+
+
+def test_single_merges(own, monkeypatch):
+    """One merge a round gives what all occurrences at once give."""
+    assert 0 < own.fickle.sum() < len(own.fickle) // 2
+    pieces = [prose(i, 60).replace(" ", "").encode() for i in range(5)] + [b"a" * 300]
+    several = [x.tolist() for x in own.encode_pieces(pieces)]
+    monkeypatch.setattr(own, "fickle", np.ones_like(own.fickle))
+    assert [x.tolist() for x in own.encode_pieces(pieces)] == several
+
+
 def test_forgetting(own, reference, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 3)
     for i in range(4):
