@@ -2,39 +2,45 @@
 
 For each language a suffix automaton of labelled text is built.  A document is parsed into the
 fewest phrases that all occur in that text: each phrase is the longest match from where the last
-one ended.  The language that needs the fewest phrases wins (ties go to the language that sorts
-first); the counts are over the same letters, so they compare as they are.
+one ended.  Phrases grow with the logarithm of the text they are looked up in, so the counts are
+multiplied by the logarithm of the labelled letters: that is the cross entropy of the document, up to its
+length, and a language with little labelled text is not at a loss.  The language of the least
+product wins (ties go to the language that sorts first).
 
 The automaton is turned into a table in which a step without a match goes on from the start and
 counts a phrase.  All letters of the sample are kept: the table is dense for the DENSE most frequent
 ones, the steps by others are found by binary search.  Texts are walked many at a time, one numpy step per
-position, for all languages at once.  Long texts are parsed in blocks of ``BLOCK`` letters, which
-adds less than one phrase for each block and language.
+position, for all languages at once; a long text is walked to its end, BLOCK positions laid out at a time.
+
+The labelled sample is bounded: LANGUAGES languages, the most frequent first (ties by name), EXAMPLES
+rows shared evenly among them, chosen by a hash of the id, and of those whole texts as long as they
+fit into the language's share of LETTERS letters.  Texts over that share are passed over, unless a language
+has no other; then its text is cut.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0; without labelled
-documents every other text gets ``und`` too; repeated rows get equal results; an empty table gives
-an empty result; other columns of the input are ignored.
+documents every other text gets ``und`` too; texts of any length are parsed whole; repeated rows get
+equal results; a doc_id that occurs with several languages or texts gives one example for each; an
+empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from meritlens.llm.common import fold_of, labelled_sample, slices, texts_of
+from meritlens.llm.common import fold_of, slices, texts_of
 
-#: Bounds of the labelled sample; letters of it that go into a language's automaton.
-MAX_EXAMPLES = 2000
-MAX_CHARS = 20_000
-LETTERS = 24_000
-MAX_LANGUAGES = 200
+#: Bounds of the labelled sample: rows, languages, letters of all automata together and of one.
+EXAMPLES, LANGUAGES = 2000, 1000
+LETTERS, EACH = 192_000, 24_000
 #: Letters with a column of their own in the table; the steps by others are listed.
 DENSE = 62
 FOLDS, HELD_OUT = 5, 0
@@ -100,7 +106,8 @@ class Model:
     """Languages, the folded alphabet (code points to letters) and their stacked tables.
 
     ``keys`` (state * letters + letter, ascending) and ``values`` are the listed steps; ``first``
-    has for each language and listed letter the step that begins a phrase."""
+    has for each language and listed letter the step that begins a phrase; ``weights`` are the
+    logarithms of the languages' labelled letters."""
 
     languages: tuple[str, ...]
     alphabet: dict[int, int]
@@ -111,6 +118,7 @@ class Model:
     keys: np.ndarray
     values: np.ndarray
     first: np.ndarray
+    weights: np.ndarray
 
 
 class Folder:
@@ -145,26 +153,33 @@ def _alphabet(texts: list[str]) -> tuple[dict[int, int], int]:
     return {ord(c): i + 1 for i, c in enumerate(ranked)}, len(ranked) + 2
 
 
-def fit(examples: list[tuple[str, str]], letters: int = LETTERS) -> Model:
-    """Automata from (text, language) examples, in the order given."""
+def share(languages: int) -> int:
+    """Labelled letters of one language."""
+    return min(EACH, max(1, LETTERS // max(1, languages)))
+
+
+def fit(examples: list[tuple[str, str]], letters: int | None = None) -> Model:
+    """Automata from (text, language) examples, in the order given; whole texts while they fit into ``letters``."""
     by: dict[str, list[str]] = {}
     for text, lang in examples:
         by.setdefault(lang, []).append(text)
-    languages = tuple(sorted(by))[:MAX_LANGUAGES]
+    languages = tuple(sorted(by))
+    letters = share(len(languages)) if letters is None else letters
     alphabet, size = _alphabet([t for lang in languages for t in by[lang]])
     folder = Folder(alphabet, size)
     width = min(size, DENSE + 2)
-    tables, starts, states = [], [], 0
+    tables, starts, weights, states = [], [], [], 0
     listed, first = [], np.zeros((len(languages), size - width), dtype=np.int64)
     for k, lang in enumerate(languages):
         parts, have = [], 0
-        for text in by[lang]:
-            own = folder.fold(text)[: letters // 8]  # so that several documents take part
-            parts.append(own)
-            have += len(own)
-            if have >= letters:
-                break
-        sequence = np.concatenate([np.append(p, 0) for p in parts])[:letters] if parts else np.zeros(0, np.int32)
+        for own in map(folder.fold, by[lang]):
+            if have + len(own) < letters:
+                parts.append(np.append(own, 0))
+                have += len(own) + 1
+        if not parts:
+            parts = [folder.fold(min(by[lang], key=lambda t: (len(t), t)))[:letters]]
+        sequence = np.concatenate(parts)
+        weights.append(math.log(len(sequence) + 2))
         automaton = SuffixAutomaton(sequence)
         table = automaton.table(width)
         tables.append(table + 2 * states)
@@ -179,7 +194,9 @@ def fit(examples: list[tuple[str, str]], letters: int = LETTERS) -> Model:
     # pre-multiplied, so that a step is one addition and one look-up
     scaled = lambda x: ((x >> 1) * width * 2 + (x & 1)).astype(np.int32)
     steps = np.array(sorted(listed), dtype=np.int64).reshape(-1, 2)
-    return Model(languages, alphabet, size, width, scaled(table), tuple(starts), steps[:, 0].copy(), scaled(steps[:, 1]), scaled(first))
+    return Model(
+        languages, alphabet, size, width, scaled(table), tuple(starts), steps[:, 0].copy(), scaled(steps[:, 1]), scaled(first), np.array(weights)
+    )
 
 
 class Parser:
@@ -194,34 +211,38 @@ class Parser:
         folded = [self.folder.fold(t) for t in texts]
         sizes = np.array([len(f) for f in folded])
         counts = np.zeros((len(texts), len(self.model.languages)), dtype=np.int64)
-        blocks = [(i, a, min(a + BLOCK, len(f))) for i, f in enumerate(folded) for a in range(0, len(f), BLOCK)]
-        blocks.sort(key=lambda b: b[1] - b[2])
-        for at in range(0, len(blocks), LANES):
-            own = blocks[at : at + LANES]
-            np.add.at(counts, [b[0] for b in own], self._walk(folded, own))
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        for at in range(0, len(order), LANES):
+            own = order[at : at + LANES]
+            counts[own] = self._walk([folded[i] for i in own])
         return counts, sizes
 
-    def _walk(self, folded: list[np.ndarray], own: list[tuple[int, int, int]]) -> np.ndarray:
+    def _walk(self, own: list[np.ndarray]) -> np.ndarray:
+        """Phrase counts of folded texts, the longest first."""
         table, m, last = self.model.table, len(self.model.languages), self.model.width - 1
-        lengths = np.array([b - a for _, a, b in own])
-        steps = np.zeros((lengths[0], len(own)), dtype=np.int32)
-        for k, (i, a, b) in enumerate(own):
-            steps[: b - a, k] = folded[i][a:b]
+        lengths = np.array([len(f) for f in own])
         begin = np.array(self.model.starts, dtype=np.int32) * self.model.width
         state = np.repeat(begin[:, None], len(own), axis=1)
-        count = np.zeros((m, len(own)), dtype=np.int32)
-        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-        for row, n in zip(steps, live.tolist()):
-            own = row[:n]
-            step = table[state[:, :n] + np.minimum(own, last)]
-            rare = np.flatnonzero((own >= last) & (own < self.model.letters - 1))
-            if len(rare):
-                step[:, rare] = self._listed(state[:, rare], own[rare])
-            count[:, :n] += step & 1
-            state = step >> 1
+        count = np.zeros((m, len(own)), dtype=np.int64)
+        for at in range(0, lengths[0], BLOCK):
+            lanes = int(np.searchsorted(-lengths, -at))
+            rows = min(BLOCK, lengths[0] - at)
+            steps = np.zeros((rows, lanes), dtype=np.int32)
+            for k in range(lanes):
+                part = own[k][at : at + BLOCK]
+                steps[: len(part), k] = part
+            live = np.searchsorted(-lengths, -np.arange(at + 1, at + rows + 1), side="right")
+            for row, n in zip(steps, live.tolist()):
+                letter = row[:n]
+                step = table[state[:, :n] + np.minimum(letter, last)]
+                rare = np.flatnonzero((letter >= last) & (letter < self.model.letters - 1))
+                if len(rare):
+                    step[:, rare] = self._listed(state[:, rare], letter[rare])
+                count[:, :n] += step & 1
+                state = step >> 1
         return count.T
 
-
     def _listed(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """Steps by letters without a column of their own."""
         model = self.model
@@ -233,12 +254,14 @@ class Parser:
         return np.where(model.keys[at] == wanted, model.values[at], begin)
 
 
-def predict(languages: tuple[str, ...], counts: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The language of fewest phrases; the score is its share of lead over the next, from 0.5 on."""
+def predict(model: Model, phrases: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language of fewest normalised phrases; the score is its share of lead over the next, from 0.5 on."""
+    languages = model.languages
     if not languages:
         return [UND] * len(sizes), np.zeros(len(sizes))
+    counts = phrases * (model.weights / model.weights.max())
     best = counts.argmin(axis=1)
-    least = counts[np.arange(len(sizes)), best].astype(float)
+    least = counts[np.arange(len(sizes)), best]
     if len(languages) == 1:
         score = np.ones(len(sizes))
     else:
@@ -248,28 +271,34 @@ def predict(languages: tuple[str, ...], counts: np.ndarray, sizes: np.ndarray) -
     return names, np.where(sizes > 0, score, 0.0)
 
 
-def learn(spark: SparkSession, docs: DataFrame, max_rows: int = MAX_EXAMPLES) -> Model:
+def learn(spark: SparkSession, docs: DataFrame, max_rows: int = EXAMPLES) -> Model:
     """Model from a bounded sample of documents with a language outside the held-out fold."""
-    known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang")
-    names = sorted(r.lang for r in known.select("lang").distinct().limit(MAX_LANGUAGES).collect())
-    codes = known.select("doc_id", F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int").alias("code")) if names else None
-    if codes is None:
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
+    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not found:
         return fit([])
-    rows = labelled_sample(spark, docs, codes, "code", FOLDS, HELD_OUT, max_rows, MAX_CHARS)
-    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0]).encode()))
-    return fit([(text, names[code - 1]) for _, text, code in rows if code])
+    names, most = sorted(r.lang for r in found), share(len(found))
+    long = F.length("text") > most
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "hash", "size"))
+    ranked = known.where(F.col("lang").isin(names)).select(
+        "lang", long.alias("long"), F.xxhash64("doc_id").alias("hash"), F.length("text").alias("size"), F.substring("text", 1, most).alias("text")
+    )
+    rows = ranked.withColumn("rank", rank).where(F.col("rank") <= max(1, max_rows // len(names))).collect()
+    whole = {r.lang for r in rows if not r.long}
+    rows = sorted((r.lang, r["rank"], r.text) for r in rows if not r.long or r.lang not in whole)
+    return fit([(text, lang) for lang, _, text in rows], most)
 
 
 def detect(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, phrases) of every row's whole text."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by LETTERS and MAX_LANGUAGES
+    shared = spark.sparkContext.broadcast(model)  # bounded by LETTERS
 
     def run(batches):
         parser = Parser(shared.value)
         for batch in batches:
             for start, stop in slices(batch, "text", 3 << 20):
                 counts, sizes = parser.phrases(texts_of(batch, "text", start, stop))
-                names, score = predict(parser.model.languages, counts, sizes)
+                names, score = predict(parser.model, counts, sizes)
                 least = counts.min(axis=1) if counts.shape[1] else np.zeros(len(sizes), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, stop - start), pa.array(names, pa.string()), pa.array(score), pa.array(least)],

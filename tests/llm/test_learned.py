@@ -117,7 +117,7 @@ def test_phrases_match_brute_force(seed):
     model = langid.fit([(t, "x") for t in train], 200)
     parser = langid.Parser(model)
     as_text = lambda f: "".join(chr(48 + int(v)) for v in f)
-    reference = as_text(np.concatenate([np.append(parser.folder.fold(t)[:25], 0) for t in train]))
+    reference = as_text(np.concatenate([np.append(parser.folder.fold(t), 0) for t in train]))
     texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 90))) for _ in range(20)]
     counts, _ = parser.phrases(texts)
     assert counts[:, 0].tolist() == [brute_phrases(as_text(parser.folder.fold(t)), reference) for t in texts]
@@ -153,12 +153,50 @@ def test_every_letter_of_the_sample_counts():
     parser = langid.Parser(model)
     new = [(lang, text(low, n)) for lang, (low, n) in scripts.items() for _ in range(4)]
     counts, sizes = parser.phrases([t for _, t in new])
-    assert langid.predict(model.languages, counts, sizes)[0] == [lang for lang, _ in new]
+    assert langid.predict(model, counts, sizes)[0] == [lang for lang, _ in new]
 
     train = [text(0x4E00, 90, 30) for _ in range(4)]
     parser = langid.Parser(langid.fit([(t, "x") for t in train], 800))
     as_text = lambda f: "".join(chr(48 + int(v)) for v in f)
-    reference = as_text(np.concatenate([np.append(parser.folder.fold(t)[:100], 0) for t in train])[:800])
+    reference = as_text(np.concatenate([np.append(parser.folder.fold(t), 0) for t in train]))
     texts = [text(0x4E00, 95, 20) + train[k % 4][:40] for k in range(8)]
     counts, _ = parser.phrases(texts)
     assert counts[:, 0].tolist() == [brute_phrases(as_text(parser.folder.fold(t)), reference) for t in texts]
+
+
+def test_long_texts_are_parsed_without_a_break(monkeypatch):
+    """Counts do not depend on how many letters are laid out at a time, and equal brute force."""
+    rng = random.Random(11)
+    train = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(3)]
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (900, 1, 400, 37, 0, 900)]
+    parser = langid.Parser(langid.fit([(t, "x") for t in train], 200))
+    as_text = lambda f: "".join(chr(48 + int(v)) for v in f)
+    reference = as_text(np.concatenate([np.append(parser.folder.fold(t), 0) for t in train]))
+    for block, lanes in ((2048, 2048), (7, 2048), (64, 2)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "LANES", lanes)
+        counts, _ = parser.phrases(texts)
+        assert counts[:, 0].tolist() == [brute_phrases(as_text(parser.folder.fold(t)), reference) for t in texts]
+
+
+def test_little_labelled_text_is_no_loss():
+    """A language with a fiftieth of the other's letters is still found."""
+    other = lambda i: " ".join("".join(c for c in w if c not in "bg") + "e" for w in prose(i, 60).split())
+    model = langid.fit([(prose(i, 60), "xx") for i in range(50)] + [(other(900), "yy")])
+    parser = langid.Parser(model)
+    texts = [other(i) for i in range(300, 340)]
+    counts, sizes = parser.phrases(texts)
+    assert counts.argmin(axis=1).mean() < 0.9  # by bare counts the larger sample wins some
+    assert langid.predict(model, counts, sizes)[0].count("yy") >= 38
+
+
+def test_sample_of_languages(spark, monkeypatch):
+    """The most frequent ones, and one whose only text is over its share is learned from a part of it."""
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "EACH", 500)
+    rows = [(i, prose(i, 40), ("aa", "bb", "bb", "cc", "cc")[i % 5], "s", None, 0.1, "h") for i in range(200)]
+    rows += [(1000 + i, prose(i, 500), "long", "s", None, 0.1, "h") for i in range(60)]
+    rows += [(2000 + i, prose(i, 40), "odd", "s", None, 0.1, "h") for i in range(3)]
+    model = langid.learn(spark, frame(spark, rows))
+    assert model.languages == ("bb", "cc", "long")
+    assert (model.weights <= np.log(503)).all() and (model.weights > np.log(200)).all()
