@@ -54,10 +54,12 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares; a local one only where the session names none (tests)."""
+    """The folder every executor shares; one of this machine only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="meritlens-"))
     return _local[0]
@@ -91,12 +93,14 @@ def labelled_sample(
     parts: int,
     held_out: int,
     max_rows: int,
-    max_chars: int,
+    max_bytes: int,
 ) -> list[tuple[int, str, int]]:
-    """At most about ``max_rows`` labelled (doc_id, text, label) rows outside the held-out fold.
+    """At most about ``max_rows`` labelled (doc_id, text, label) rows of ``max_bytes`` of text in all,
+    outside the held-out fold.
 
-    The choice depends on a hash of doc_id alone, so it is the same on every run.  Texts over
-    ``max_chars`` are not used as examples, which bounds what reaches the driver.
+    The choice goes by a hash of doc_id, so it is the same on every run: rows are taken in its order
+    as long as their whole texts fit.  Both bounds together bound what reaches the driver.  Of several texts
+    of one doc_id the least counts, of several labels the greatest.
     """
     known = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -110,10 +114,19 @@ def labelled_sample(
     scale = 1 << 30
     share = min(scale, int(scale * max_rows / total) + 1)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).limit(2 * max_rows)
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    sizes = texts.withColumn("size", F.octet_length("text")).join(F.broadcast(chosen), "doc_id")
+    found = sizes.groupBy("doc_id").agg(F.max("size").alias("size"), F.xxhash64("doc_id").alias("hash")).collect()
+    taken, held = [], 0
+    for r in sorted(found, key=lambda r: (r.hash, r.doc_id)):
+        if held + r.size <= max_bytes:
+            taken.append((r.doc_id,))
+            held += r.size
+    if not taken:
+        return []
+    wanted = spark.createDataFrame(taken, known.select("doc_id").schema).join(F.broadcast(chosen), "doc_id")
     rows = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(chosen), "doc_id")
+        texts.join(F.broadcast(wanted), "doc_id")
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.max("label").alias("label"))
         .collect()

@@ -8,9 +8,14 @@ to the one before it and one for a word that the training texts lack.  A network
 layer scores the pooled vector; its logit is divided by a temperature fitted on examples kept out
 of the training.
 
+Everything is fitted on a bounded sample: EXAMPLES labelled rows, chosen by a hash of the id, and of
+those whole texts up to BYTES in all; the model keeps the WORDS most frequent words and SHAPES shapes.
+
 Edge cases: null and empty texts pool to the zero vector; a null label is no example; without
-examples of both kinds every score is the share of label 1 (0 without examples); repeated rows are
-scored alike; other columns of the input are ignored.
+examples of both kinds every score is the share of label 1 (0 without examples); very long texts are
+pooled whole; repeated rows are scored alike, and equal words and shapes count as often as they occur;
+words of equal frequency enter the vocabulary in the order of the sample; an empty table gives an empty
+result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from pyspark.sql import functions as F
 
 from meritlens.llm.common import fold_of, labelled_sample, slices, texts_of
 
-#: Bounds of the sample that vectors, network and temperature are fitted on.
-MAX_EXAMPLES = 5000
-MAX_CHARS = 60_000
-MAX_WORDS = 50_000
+#: Bounds of the sample that vectors, network and temperature are fitted on: rows and bytes of text.
+EXAMPLES, BYTES = 5000, 32 << 20
+#: Words and shapes of the model.
+WORDS, SHAPES = 50_000, 500
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 DIM, HIDDEN, SPARSE, REACH = 64, 32, 6, 2
@@ -39,7 +44,7 @@ AGAIN, UNKNOWN = "<again>", "<unknown>"
 def shape_of(word: str) -> str:
     """Runs of character kinds: 'Abc!!' becomes '<Aa!>' (first four runs)."""
     runs: list[str] = []
-    for c in word[:64]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalnum() else c
         if not runs or runs[-1] != kind:
             runs.append(kind)
@@ -123,8 +128,8 @@ def random_indexing(texts: list[str]) -> tuple[list[str], list[str], np.ndarray]
     for words in map(str.split, texts):
         counts.update(w.lower() for w in words)
         shapes.update(map(shape_of, words))
-    vocabulary = [w for w, n in counts.most_common(MAX_WORDS) if n > 1]
-    kinds = [AGAIN, UNKNOWN, *(s for s, n in shapes.most_common(500) if n > 2)]
+    vocabulary = [w for w, n in counts.most_common(WORDS) if n > 1]
+    kinds = [AGAIN, UNKNOWN, *(s for s, n in shapes.most_common(SHAPES) if n > 2)]
     place = {w: i for i, w in enumerate(vocabulary)}
     kind = {s: len(vocabulary) + i for i, s in enumerate(kinds)}
     index = np.array([index_vector(t) for t in [*vocabulary, *kinds]], dtype=np.float32)
@@ -194,16 +199,16 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     return Model(tuple(words), tuple(shapes), vectors, w1, b1 - mean @ w1, w2, float(b2[0]), temperature, float(y.mean()))
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_EXAMPLES) -> Model:
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = EXAMPLES) -> Model:
     """Model from a bounded sample of labelled documents outside the held-out fold."""
-    rows = labelled_sample(spark, docs, labels, "quality", FOLDS, HELD_OUT, max_rows, MAX_CHARS)
+    rows = labelled_sample(spark, docs, labels, "quality", FOLDS, HELD_OUT, max_rows, BYTES)
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0]).encode()))
     return fit([(text, y) for _, text, y in rows])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row's whole text."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_WORDS
+    shared = spark.sparkContext.broadcast(model)  # bounded by WORDS
 
     def run(batches):
         pooler = Pooler(shared.value)

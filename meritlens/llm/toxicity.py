@@ -7,9 +7,13 @@ holds word beginnings with weights learned from labelled texts; an automaton fin
 one pass.  Exception phrases, given or learned, take back the weight of the entry they contain.
 The weighted hits and their share of the text's words go through a logistic curve.
 
+The lexicon is learned from a bounded sample: EXAMPLES labelled rows, chosen by a hash of the id, and
+of those whole texts up to BYTES in all.
+
 Edge cases: null and empty texts have no hits and get the base score; a null label is no example;
-without examples of both kinds there is no lexicon and every score is 0; repeated rows are scored
-alike; other columns of the input are ignored.
+without examples of both kinds there is no lexicon and every score is 0; very long texts are scored
+whole; repeated rows are scored alike; entries of equal strength go by length, then alphabet; an empty
+table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 
 from meritlens.llm.common import fold_of, labelled_sample, slices, texts_of
 
-#: Bounds of the sample that the lexicon is learned from.
-MAX_EXAMPLES = 6000
-MAX_CHARS = 100_000
+#: Bounds of the sample that the lexicon is learned from: rows and bytes of text.
+EXAMPLES, BYTES = 6000, 48 << 20
+#: Letters of a word beginning; shorter words are entries as a whole.
+LEAST, MOST = 4, 20
 THRESHOLD = 0.3
 LEAST_SURPRISE = 30.0
 FOLDS, HELD_OUT = 4, 2
@@ -109,7 +114,7 @@ def _weigh(automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _beginnings(word: str) -> list[str]:
-    return [word[:k] for k in range(4, min(len(word), 12) + 1)]
+    return [word[:k] for k in range(LEAST, min(len(word), MOST) + 1)] or [f"{word} "]
 
 
 def _entries(examples: list[tuple[str, int]], ratio: float, support: int) -> dict[str, float]:
@@ -140,9 +145,9 @@ def _entries(examples: list[tuple[str, int]], ratio: float, support: int) -> dic
     for b in sorted(strength, key=lambda b: (-strength[b], -len(b), b)):
         if strength[b] < LEAST_SURPRISE:
             break
-        if b not in inside and not any(b[:k] in kept for k in range(4, len(b))):
+        if b not in inside and not any(b[:k] in kept for k in range(LEAST, len(b))):
             kept.add(b)
-            inside.update(_beginnings(b))
+            inside.update(_beginnings(b.strip()))
     return {b: weights[b] for b in kept}
 
 
@@ -166,7 +171,7 @@ def _exceptions(examples: list[tuple[str, int]], entries: dict[str, float]) -> d
     for text, y in examples:
         words = text.split()
         for a, b in zip(words, words[1:]):
-            if a.startswith(starts) or b.startswith(starts):
+            if f"{a} ".startswith(starts) or f"{b} ".startswith(starts):
                 counts[f" {a} {b} "][y] += 1
     for phrase, n in counts.items():
         if n[0] >= 5 and not n[1]:
@@ -203,9 +208,9 @@ def fit(examples: list[tuple[str, int]], ratio: float = 4.0, support: int = 5) -
     return Lexicon(weights, tuple(_logistic(x, y)))
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_EXAMPLES) -> Lexicon:
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = EXAMPLES) -> Lexicon:
     """Lexicon from a bounded sample of labelled documents outside the held-out fold."""
-    rows = labelled_sample(spark, docs, labels, "toxic", FOLDS, HELD_OUT, max_rows, MAX_CHARS)
+    rows = labelled_sample(spark, docs, labels, "toxic", FOLDS, HELD_OUT, max_rows, BYTES)
     return fit([(text, y) for _, text, y in rows])
 
 

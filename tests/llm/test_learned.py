@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from meritlens.llm import langid, quality, toxicity
+from meritlens.llm.common import labelled_sample
 from tests.llm.samples import awkward, frame, prose
 
 LABELS = "doc_id long, quality int, toxic int, extra string"
@@ -63,6 +64,45 @@ def test_toxicity_awkward(spark):
     assert kept.columns == docs.columns and kept.count() == len(awkward())
 
 
+def test_scores_equal_a_plain_scan(spark):
+    """Hits by looking for each entry at each place, and the curve written out."""
+    rows, labels = toxic_rows()
+    rows += [(1000 + i, t, None, None, None, None, None) for i, t in enumerate(["V1LENAME", "", "an old rotword, rotwords!", prose(3, 4000) + " rotword", "é"])]
+    benign = [(2000 + i, f"{prose(900 + i, 30)} old rotword {prose(950 + i, 5)}", None, None, None, None, None) for i in range(12)]
+    table = spark.createDataFrame([*labels, *((i, 1, 0, "e") for i, *_ in benign)], LABELS)
+    docs = frame(spark, rows + benign)
+    lexicon = toxicity.learn(spark, docs, table)
+    assert any(w < 0 for w in lexicon.weights.values())
+    bias, a, b = lexicon.coefficients
+    got = {r.doc_id: r for r in toxicity.op1(spark, docs, table).collect()}
+    for i, text, *_ in rows + benign:
+        folded = toxicity.fold(text)
+        hits = sum(w for e, w in lexicon.weights.items() for at in range(len(folded)) if folded.startswith(e, at))
+        raw, words = max(hits, 0), max(folded.count(" "), 1)
+        expected = 1 / (1 + np.exp(-(bias + a * np.log(1 + raw) + b * np.log(1 + 1000 * raw / words))))
+        assert got[i].hits == pytest.approx(hits) and got[i].score == pytest.approx(expected, abs=1e-9)
+
+
+def test_short_insults_are_entries_as_whole_words():
+    examples = [(prose(i, 30) + (" zuk " if i % 3 == 0 else " zukari ") + prose(500 + i, 10), int(i % 3 == 0)) for i in range(240)]
+    lexicon = toxicity.fit(examples)
+    assert " zuk " in lexicon.weights
+    hits, _ = toxicity._weigh(lexicon.automaton(), [toxicity.fold("Zuk, zuk!"), toxicity.fold("zukari")])
+    assert hits[0] > 0 == hits[1]
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    rows = [(i, prose(i, 20), None, None, None, None, None) for i in range(300)] + [(300, prose(1, 5000), None, None, None, None, None)]
+    docs, table = frame(spark, rows), spark.createDataFrame([(i, 1, i % 2, "e") for i in range(301)], LABELS)
+    take = lambda n, size: labelled_sample(spark, docs, table, "toxic", 4, 2, n, size)
+    every = take(10_000, 1 << 30)
+    assert len(every) > 200 and every == take(10_000, 1 << 30)
+    assert {i for i, *_ in take(30, 1 << 30)} < {i for i, *_ in every} and len(take(30, 1 << 30)) <= 60
+    some = take(10_000, 5000)
+    assert 30 < len(some) < 60 and sum(len(t.encode()) for _, t, _ in some) <= 5000
+    assert take(10_000, 1) == []
+
+
 def quality_rows(n=300):
     rows, labels = [], []
     for i in range(n):
@@ -92,6 +132,28 @@ def test_quality_awkward(spark):
     assert quality.op7(spark, frame(spark, []), labels).count() == 0
 
 
+def test_scores_equal_a_plain_network(spark):
+    """Pooling word by word and the network written out."""
+    rows, labels = quality_rows()
+    rows += [(1000 + i, t, None, None, None, None, None) for i, t in enumerate(["", "same same same", "x" * 500 + "!", prose(3, 3000) + " 12ab!?"])]
+    table = spark.createDataFrame(labels, LABELS)
+    docs = frame(spark, rows)
+    model = quality.learn(spark, docs, table)
+    place = {w: i for i, w in enumerate([*model.words, *model.shapes])}
+    shapes = {s: len(model.words) + i for i, s in enumerate(model.shapes)}
+    got = {r.doc_id: r.score for r in quality.op7(spark, docs, table).collect()}
+    for i, text, *_ in rows:
+        words, total = text.split(), np.zeros(quality.DIM)
+        for k, w in enumerate(words):
+            total += model.vectors[place[w.lower()] if w.lower() in model.words else shapes[quality.UNKNOWN]]
+            total += model.vectors[shapes.get(quality.shape_of(w), shapes[quality.UNKNOWN])]
+            if k and w == words[k - 1]:
+                total += model.vectors[shapes[quality.AGAIN]]
+        pooled = total / max(1, 2 * len(words))
+        hidden = np.tanh(pooled @ model.w1 + model.b1)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(hidden @ model.w2 + model.b2) / model.temperature)), abs=1e-4)
+
+
 def test_temperature_and_vectors():
     z, y = np.array([4.0, -4.0, 4.0, -4.0, 4.0]), np.array([1, 0, 1, 0, 0])
     assert quality._temperature(z, y) > 1
