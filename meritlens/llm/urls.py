@@ -1,19 +1,19 @@
 """URL filtering by host and path rules, then by mined association rules; DataFrame operations only.
 
 A page that an explicit rule fits gets that rule's verdict (the longest rule wins).  For all other
-pages Spark's FP-growth mines which combinations of URL tokens go with which label.  Labels come
-from the explicit rules' verdicts and from a table of labelled pages.  Association rules under the
-support or the confidence asked for are pruned, and so is a rule that says no more than one with
-fewer tokens.  Pages are matched by an inverted index from tokens to rules: a rule holds if as many
-of its tokens are found as it has.  The rule of most confidence, then support, then tokens decides
-(block before allow in a tie); without one the page is allowed.
+pages Spark's FP-growth mines which combinations of URL tokens go with which label, from the labelled
+ones among them: pages that an explicit rule judges say nothing about those it leaves.  Association
+rules under the support or the confidence asked for are pruned, and so is a rule that says no more than
+one with fewer tokens.  Pages are matched by an inverted index from each rule's rarest token, and a
+rule holds if the page has all of its tokens.  The rule of most confidence, then support, then tokens
+decides (block before allow in a tie); without one the page is allowed.
 
 The index is small for any input: a token of a kept rule occurs in at least the minimum share of
 the labelled pages.  Matching runs over distinct token combinations, not over pages.
 
-Edge cases: a null url or one without "://" has an empty host and path and no tokens; repeated rows
-are judged alike; without labels nothing is mined; an empty table gives an empty result; other
-columns of the input are ignored.
+Edge cases: a null url or one without "://" has an empty host and path and no tokens; a very long url
+is parsed whole; repeated rows are judged alike; of several labels of one page block wins; without labels
+nothing is mined; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritlens.llm.common import materialize
+from meritlens.llm.common import discard, materialize
 
-MIN_SUPPORT = 0.01
-MIN_CONFIDENCE = 0.9
-MIN_PAGES = 25
+#: Least share of the labelled pages, and least pages, that hold a rule's tokens and verdict; least share
+#: of the pages with its tokens that have its verdict.
+MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE = 0.01, 25, 0.7
 #: Parts that pages of one token combination are dealt into when verdicts are joined to them.
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,6 +130,7 @@ def mine(
         )
     )
     rules = materialize(spark, rules, "urls-rules")
+    discard(spark, items)
     shorter = rules.select(F.col("tokens").alias("s"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     # rules that share their first or any other token are compared through that token
     keyed = rules.withColumn("key", F.explode("tokens"))
@@ -152,22 +153,25 @@ def by_mined(pages: DataFrame, rules: DataFrame) -> DataFrame:
     kept = rules.select(
         F.concat_ws("\n", F.col("verdict"), F.col("tokens")).alias("id"), "tokens", "verdict", "confidence", "support"
     )
-    index = kept.select(F.explode("tokens").alias("token"), "id", F.size("tokens").alias("n"), "verdict", "confidence", "support")
     # at most (tokens of a page) / (minimum support) different tokens
-    known = index.agg(F.sort_array(F.collect_set("token")).alias("known")).first().known
+    known = kept.select(F.explode("tokens").alias("token")).agg(F.sort_array(F.collect_set("token")).alias("known")).first().known
     signed = pages.withColumn(
         "signature",
         F.array_join(F.sort_array(F.array_intersect("tokens", F.array(*map(F.lit, known)).cast("array<string>"))), "\n"),
     )
-    signatures = signed.select("signature").distinct()
+    signatures = signed.select("signature", F.split("signature", "\n").alias("held")).distinct()
+    listed = signatures.select("signature", "held", F.explode("held").alias("token"))
+    often = listed.groupBy("token").agg(F.count("*").alias("n"))
+    # each rule under its rarest token, so that common ones lead nowhere
+    index = kept.withColumn("token", F.explode("tokens")).join(often, "token", "left").groupBy("id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"),
+        *(F.first(c).alias(c) for c in ("tokens", "verdict", "confidence", "support")),
+    )
     best = (
-        signatures.select("signature", F.explode(F.split("signature", "\n")).alias("token"))
-        .join(index, "token")
-        .groupBy("signature", "id", "n", "verdict", "confidence", "support")
-        .agg(F.count("*").alias("found"))
-        .where("found = n")
+        listed.join(index.withColumn("token", F.col("rarest.token")).drop("rarest"), "token")
+        .where(F.size(F.array_except("tokens", "held")) == 0)
         .groupBy("signature")
-        .agg(F.max(F.struct("confidence", "support", "n", F.col("verdict") == "block", "verdict")).alias("best"))
+        .agg(F.max(F.struct("confidence", "support", F.size("tokens").alias("n"), F.col("verdict") == "block", "verdict")).alias("best"))
         .select("signature", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
     )
     # most pages share a few combinations, so each verdict goes to several places
@@ -179,13 +183,11 @@ def by_mined(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict and the mined rule's confidence.
 
-    ``labels`` has (page_id, block boolean); an explicit rule's verdict goes before it."""
+    ``labels`` has (page_id, block boolean); those of pages that no explicit rule judges are mined."""
     own = by_rules(parts(pages.select("page_id", "url")), rules).withColumn("tokens", tokens())
     named = labels.where("block is not null").groupBy("page_id").agg(F.max("block").alias("block"))
-    labelled = own.select("page_id", "tokens", "ruled").join(named, "page_id", "left").select(
-        "tokens", F.coalesce("ruled", F.when(F.col("block"), "block").when(~F.col("block"), "allow")).alias("verdict")
-    )
-    mined = mine(labelled.where("verdict is not null"))
+    left = own.where("ruled is null").join(named, "page_id")
+    mined = mine(left.select("tokens", F.when(F.col("block"), "block").otherwise("allow").alias("verdict")))
     matched = by_mined(own, mined)
     return matched.select(
         "page_id", "host", "path", "rule",

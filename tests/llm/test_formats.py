@@ -296,6 +296,20 @@ def test_url_rules(spark):
     assert urls.op3(pages, labels.limit(0)).count() == len(URLS)
 
 
+def test_mined_rules_decide_pages_without_a_rule(spark):
+    """From labels of such pages alone; without a telling label the default stands."""
+    hosts = ["http://spam.shop.org/buy", "http://news.site.org/story"]
+    pages = [(i, f"{hosts[i % 2]}/{i}" if i < 200 else f"http://x{i}.example.net/es/{i}") for i in range(400)]
+    labels = [(i, int(i % 2), 0) for i in range(0, 150)] + [(i, 1, 0) for i in range(200, 400)]
+    schema = "page_id long, url string", "doc_id long, quality int, toxic int"
+    got = {r.page_id: r for r in urls.judge(
+        spark.createDataFrame(pages, schema[0]),
+        spark.createDataFrame(labels, schema[1]).selectExpr("doc_id page_id", "toxic = 1 or quality = 0 block"),
+    ).collect()}
+    assert all(got[i].verdict == ("allow" if i % 2 else "block") and got[i].confidence == 1.0 for i in range(200))
+    assert all(got[i].verdict == "block" and got[i].rule == "net/es/" and got[i].confidence is None for i in range(200, 400))
+
+
 def brute_rules(rows, support, confidence):
     from itertools import combinations
 
