@@ -12,7 +12,11 @@ bits and four refinements the rest, each refinement as runs of blocks without ne
 Luma takes two thirds of the blocks and either chroma component (subsampled 2 x 2) a sixth.  A
 comment segment holds the payload's length.
 
-Edge cases: null and empty texts make one block of zeros; repeated texts give equal bytes; an empty
+Samples that leave 0 to 255 are clipped, as the format has it; the payload is read from coefficients and
+loses nothing by it.
+
+Edge cases: null and empty texts make one block of zeros; repeated texts give equal bytes; very long
+texts make one image whose width grows once it is MOST_ROWS high; there are no ties to break; an empty
 table gives an empty result; other columns of the input are ignored.
 """
 
@@ -494,27 +498,28 @@ def decode(media: DataFrame) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    """The contract's digest, all of it from the stored bytes read back."""
+    """The contract's digest, all of it from the stored bytes read back, and the RGB tensor (height x width x 3)."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc_id, n_bytes, media in zip(*(c.to_pylist() for c in batch.columns)):
                 image = read(media)
-                payload = payload_of(image)
+                payload, rgb = payload_of(image), image.rgb()
                 rows.append((
                     doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
-                    len(media), hashlib.sha256(media).hexdigest(), feature(image.rgb()),
+                    len(media), hashlib.sha256(media).hexdigest(), feature(rgb),
+                    rgb.shape[1], rgb.shape[0], rgb.tobytes(),
                 ))
-            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int32()] * 2 + [pa.binary()]
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=NAMES)
 
     return encode(docs).mapInArrow(
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string",
+        "media_bytes long, media_sha256 string, feature string, width int, height int, rgb binary",
     )
 
 
-NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "rgb"]

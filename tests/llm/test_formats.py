@@ -172,6 +172,7 @@ def test_media_awkward(spark):
     assert media.op4(frame(spark, [])).count() == 0
     tensors = media.decode(media.encode(frame(spark).limit(3))).collect()
     assert all(len(t.rgb) == 3 * t.width * t.height for t in tensors)
+    assert all((t.width, t.height, t.rgb) == (by[t.doc_id].width, by[t.doc_id].height, by[t.doc_id].rgb) for t in tensors)
 
 
 def test_media_refuses_other_files():
