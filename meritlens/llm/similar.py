@@ -53,7 +53,7 @@ ROW, CROWDED = 20.0, 400.0
 #: Deviations of the fingerprints' distance within which pairs go on, for the first word and for all.
 SLACK = 4
 #: Rows of a bucket up to which all pairs are compared at once, and pivots of a larger one.
-SMALL, PIVOTS = 12, 6
+SMALL, PIVOTS = 32, 2
 #: Rows of a crowded bucket that a block holds, and rows that stream past them.
 CHUNK, STREAM = 256, 4096
 
@@ -276,7 +276,9 @@ def with_flips(nodes: DataFrame, parts: list[tuple[int, list[int], int]]) -> Dat
 
 
 def listed_keys(nodes: DataFrame, parts: list[tuple[int, list[int], int]]) -> DataFrame:
-    """(part, v, d, node, p0): every node under each value it is indexed under (d = 0) or probes."""
+    """(part, v, d, node, other): every node under each value it is indexed under (d = 0) or probes.
+
+    ``other`` is a word that the partition does not cut, by which candidates are sifted."""
 
     def run(batches):
         for whole in batches:
@@ -290,12 +292,12 @@ def listed_keys(nodes: DataFrame, parts: list[tuple[int, list[int], int]]) -> Da
                                 pa.array(values.view(np.int64)),
                                 pa.array(np.full(len(rows), probe, dtype=np.int32)),
                                 pa.array(node[rows]),
-                                pa.array(prints[rows, 0].view(np.int64)),
+                                pa.array(prints[rows, (parts[number][0] + 1) % WORDS].view(np.int64)),
                             ],
-                            names=["part", "v", "d", "node", "p0"],
+                            names=["part", "v", "d", "node", "other"],
                         )
 
-    return nodes.where("size > 0").select("node", *PRINTS, "soft").mapInArrow(run, "part int, v long, d int, node long, p0 long")
+    return nodes.where("size > 0").select("node", *PRINTS, "soft").mapInArrow(run, "part int, v long, d int, node long, other long")
 
 
 def _set_batches(batches):
@@ -521,8 +523,8 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: fl
     index = shared.where("d = 0")
     order = Window.partitionBy("part", "v").orderBy(F.xxhash64("node"), "node")
     pivots = index.where(~small).withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).drop("r")
-    a = index.where(small).unionByName(pivots).select("part", "v", F.col("p0").alias("pa"), F.col("node").alias("a"))
-    b = shared.select("part", "v", F.col("p0").alias("pb"), F.col("node").alias("b"))
+    a = index.where(small).unionByName(pivots).select("part", "v", F.col("other").alias("pa"), F.col("node").alias("a"))
+    b = shared.select("part", "v", F.col("other").alias("pb"), F.col("node").alias("b"))
     near = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= check_distance(similarity, 64)
     met = a.join(b, ["part", "v"]).where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda side: nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{side}") for c in ("size", *PRINTS)))

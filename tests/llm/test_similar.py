@@ -62,7 +62,7 @@ def edited_copies():
     return texts | {5000 + i: prose(3000 + i, 200) for i in range(60)} | {9000: None, 9001: "", 9002: " "}
 
 
-@pytest.mark.parametrize("small, pivots", [(12, 6), (2, 1)])
+@pytest.mark.parametrize("small, pivots", [(32, 2), (2, 1)])
 def test_groups_equal_brute_force(spark, monkeypatch, small, pivots):
     """Also where nearly every bucket is crowded and its rows meet one pivot only."""
     monkeypatch.setattr(similar, "SMALL", small)
