@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 RELEVANT = 3
 CUTS = (10, 50)
+#: Ranks whose hits one task numbers.
+BLOCK = 1 << 17
 
 
 def labelled(ranking: DataFrame, labels: DataFrame, key: str, default: float = 0.0) -> DataFrame:
@@ -18,29 +20,38 @@ def labelled(ranking: DataFrame, labels: DataFrame, key: str, default: float = 0
     return ranking.join(grades, key, "left").withColumn("grade", F.coalesce("grade", F.lit(float(default))))
 
 
+def _precisions(hits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean over the hits (by, rank) of the share of hits up to each one.
+
+    Hits are numbered within blocks of BLOCK ranks, after the counts of the blocks before."""
+    dealt = hits.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK))
+    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*by, "block").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    own = dealt.withColumn("n", F.row_number().over(Window.partitionBy(*by, "block").orderBy("rank")))
+    same = [own["block"] == starts["block"], *(own[c].eqNullSafe(starts[c]) for c in by)]
+    joined = own.join(starts.select(*by, "block", "start"), same).select(*(own[c] for c in by), "rank", (F.col("start") + F.col("n")).alias("upto"))
+    return joined.groupBy(*by).agg(F.avg(F.col("upto") / F.col("rank")).alias("map"))
+
+
 def metrics(graded: DataFrame, by: Sequence[str]) -> DataFrame:
     """NDCG, average precision, precision, honeypot rates and the composite of each query.
 
     ``graded`` has ``by``, ``rank`` (from 1, without gaps) and ``grade``.  The ideal order is that of
-    the list itself; a list shorter than a cut is not charged for missing places."""
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (F.col("grade") >= RELEVANT).cast("int")
-    rows = graded.withColumns({
-        "ideal_rank": F.row_number().over(whole.orderBy(F.col("grade").desc(), F.col("rank"))),
-        "hit": hit,
-        "precision": F.sum(hit).over(upto) / F.col("rank"),
-    })
+    the list itself; a list shorter than a cut is not charged for missing places.  Only heads, best grades
+    and hits are shuffled, and no task sorts a whole list."""
+    rows = graded.select(*by, "rank", "grade").withColumn("hit", (F.col("grade") >= RELEVANT).cast("int"))
+    best = rows.withColumn("ideal", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("grade").desc(), F.col("rank")))).where(F.col("ideal") <= max(CUTS))
     within = lambda c, k, v: F.when(F.col(c) <= k, v)
     gain = lambda c: F.col("grade") / F.log2(F.col(c) + 1)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = rows.groupBy(*by).agg(
-        *(zero(F.sum(within("rank", k, gain("rank")))).alias(f"dcg_{k}") for k in CUTS),
-        *(zero(F.sum(within("ideal_rank", k, gain("ideal_rank")))).alias(f"ideal_{k}") for k in CUTS),
-        zero(F.avg(F.when(F.col("hit") == 1, F.col("precision")))).alias("map"),
-        *(zero(F.avg(within("rank", k, F.col("hit")))).alias(f"p_{k}") for k in (5, 10)),
-        *(zero(F.avg(within("rank", k, (F.col("grade") == 0).cast("int")))).alias(f"honeypot_{k}") for k in (10, 100)),
+    heads = rows.groupBy(*by).agg(
+        *(F.sum(within("rank", k, gain("rank"))).alias(f"dcg_{k}") for k in CUTS),
+        *(F.avg(within("rank", k, F.col("hit"))).alias(f"p_{k}") for k in (5, 10)),
+        *(F.avg(within("rank", k, (F.col("grade") == 0).cast("int"))).alias(f"honeypot_{k}") for k in (10, 100)),
     )
+    ideals = best.groupBy(*by).agg(*(F.sum(within("ideal", k, gain("ideal"))).alias(f"ideal_{k}") for k in CUTS))
+    found = heads.unionByName(ideals, True).unionByName(_precisions(rows.where("hit = 1").select(*by, "rank"), by), True)
+    values = [c for c in found.columns if c not in by]
+    out = found.groupBy(*by).agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in values))
     for k in CUTS:
         out = out.withColumn(f"ndcg_{k}", F.when(F.col(f"ideal_{k}") == 0, 0.0).otherwise(F.col(f"dcg_{k}") / F.col(f"ideal_{k}")))
     composite = 0.50 * F.col("ndcg_10") + 0.30 * F.col("ndcg_50") + 0.15 * F.col("map") + 0.05 * F.col("p_10")

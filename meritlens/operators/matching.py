@@ -93,10 +93,12 @@ def match_table(rows: DataFrame, requirements: DataFrame, id_col: str, tokens: s
     )
 
 
-def aggregate_table(pairs: DataFrame, requirements: DataFrame, id_col: str, score: str = "lexical") -> DataFrame:
-    """(id, job_id, semantic_fit, lexical_fit, coverage, disqualifier) from rows of :func:`match_table`.
+def aggregate_table(pairs: DataFrame, requirements: DataFrame, id_col: str, rows: DataFrame, score: str = "lexical") -> DataFrame:
+    """(id, job_id, semantic_fit, lexical_fit, coverage, disqualifier) of every row of ``rows`` (id) for each
+    job, from pairs of :func:`match_table`.
 
-    The denominators come from the requirements, so pairs that were not formed count as 0."""
+    The denominators come from the requirements, so pairs that were not formed count as 0, and a row
+    without any has 0 throughout.  Jobs are few and become literals."""
     kinds = {"must": ~F.col("kind").isin(lx.NICE, lx.DISQUALIFIER), "nice": F.col("kind") == lx.NICE}
     totals = requirements.groupBy("job_id").agg(
         F.sum("weight").alias("all_weight"),
@@ -107,10 +109,13 @@ def aggregate_table(pairs: DataFrame, requirements: DataFrame, id_col: str, scor
         F.sum(F.col("weight") * F.col("lexical")).alias("lexical_sum"),
         *(F.sum(F.when(c, F.col("weight") * F.col(score)).otherwise(0.0)).alias(f"{k}_sum") for k, c in kinds.items()),
         F.count_if(kinds["must"] & (F.col(score) >= COVERED)).alias("covered"),
-        F.coalesce(F.max(F.when(F.col("kind") == lx.DISQUALIFIER, F.col(score))), F.lit(0.0)).alias("worst"),
+        F.max(F.when(F.col("kind") == lx.DISQUALIFIER, F.col(score))).alias("worst"),
     )
+    jobs = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in t.asDict().items())) for t in totals.collect()))
+    wanted = rows.select(id_col, F.explode(jobs).alias("job")).select(id_col, "job.*")
+    found = wanted.join(sums, [id_col, "job_id"], "left").na.fill(0.0, ["lexical_sum", "must_sum", "nice_sum", "worst"]).na.fill(0, ["covered"])
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return sums.join(totals, "job_id").select(
+    return found.select(
         id_col,
         "job_id",
         F.round(F.least(F.lit(1.0), 0.85 * over("must_sum", "must_weight") + 0.15 * over("nice_sum", "nice_weight")), 4).alias("semantic_fit"),
@@ -120,6 +125,18 @@ def aggregate_table(pairs: DataFrame, requirements: DataFrame, id_col: str, scor
     )
 
 
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = 64) -> DataFrame:
+    """(query, key, score): the rescaled cosine of every row with every query but itself.
+
+    Queries are dealt into blocks, and each row meets a block at a time; callers keep the best of each
+    query, which Spark does before anything is shuffled."""
+    blocks = max(1, -(-queries.count() // block))
+    held = queries.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col(key).alias("query"), F.col(vector).alias("v"))).alias("_q"))
+    dealt = rows.select(key, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    scored = F.transform("_q", lambda q: F.struct(q["query"].alias("query"), vx.rescaled_cosine(F.col(vector), q["v"]).alias("score")))
+    return dealt.join(held, "_b").select(key, F.explode(scored).alias("x")).select("x.query", key, "x.score").where(F.col("query") != F.col(key))
+
+
 def top_matches(matched: str = "matches", most: int = 4) -> Column:
     """The best positive matches (score, then requirement order)."""
     good = F.filter(matched, lambda m: (m["kind"] != lx.DISQUALIFIER) & (m["score"] >= COVERED))

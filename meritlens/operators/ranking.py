@@ -66,20 +66,27 @@ def rerank(ranked: DataFrame, second: str, k: int = 50, blend: float = 0.5, scor
     return again.unionByName(tail.withColumns({"blended": F.col(score), "new_rank": F.col("rank")}))
 
 
-def rank_by_keywords(rows: DataFrame, score: str, key: str, ranges: int = 64) -> DataFrame:
-    """Every row with ``keyword_rank`` by (score desc, key), without one task that sorts everything.
+def rank_all(rows: DataFrame, score: str, key: str, by: Sequence[str] = (), ranges: int = 64, name: str = "rank") -> DataFrame:
+    """Every row with its rank by (score desc, key), of all or within groups, without one task that sorts everything.
 
     Rows are numbered within a score and a range of keys, after an offset for each of those; scores
-    are few, as each is a share of a word list's weight.  A null score counts as the lowest."""
+    must be of few values (shares of a word list's weight, millionths).  A null score counts as the lowest."""
     low = F.coalesce(F.col(score), F.lit(-1).cast(rows.schema[score].dataType))  # scores start at 0
     kind = rows.schema[key].dataType.simpleString()
+    place = ["_s", "_r", *by]
     dealt = rows.withColumns({"_s": low, "_r": range_of(F.col(key), bounds_of(rows, key, ranges), kind)})
-    counts = dealt.groupBy("_s", "_r").count()
-    before = Window.orderBy(F.col("_s").desc(), "_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_s", "_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_r").orderBy(key)))
+    counts = dealt.groupBy(*place).count()
+    before = Window.partitionBy(*by).orderBy(F.col("_s").desc(), "_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(place)), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy(key)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(place)]
     rank = (F.col("_start") + F.col("_n")).cast("int")
-    return numbered.join(starts, ["_s", "_r"]).withColumn("keyword_rank", rank).drop("_s", "_r", "_n", "_start")
+    return numbered.join(starts, same).withColumn(name, rank).drop("_s", "_r", "_n", "_start", *(f"_k{i}" for i in range(len(place))))
+
+
+def rank_by_keywords(rows: DataFrame, score: str, key: str, ranges: int = 64) -> DataFrame:
+    """Every row with ``keyword_rank`` by (score desc, key)."""
+    return rank_all(rows, score, key, ranges=ranges, name="keyword_rank")
 
 
 def rescued(head: DataFrame, keyword_ranks: DataFrame, key: str, cutoff: int, pool: int) -> DataFrame:

@@ -16,7 +16,10 @@ CHECKED_TERMS = (
 
 
 def problems(submission: DataFrame, known: DataFrame | None = None, rows: int = ROWS) -> DataFrame:
-    """(problem, detail) of everything wrong with a submission; empty if it is valid."""
+    """(problem, detail) of everything wrong with a submission; empty if it is valid.
+
+    Scores are compared in the order of ranks over the first ``rows`` + 1 rows; a longer submission is
+    invalid by its length."""
     spark = submission.sparkSession
     if tuple(submission.columns) != COLUMNS:
         return spark.createDataFrame([("header", ",".join(submission.columns))], "problem string, detail string")
@@ -35,7 +38,8 @@ def problems(submission: DataFrame, known: DataFrame | None = None, rows: int =
             "missing_rank", F.col("id"),
         ),
         say(
-            s.withColumn("before", F.lag("v").over(Window.orderBy("r"))).where("v > before"), "score_rises", F.col("rank")
+            s.orderBy("r").limit(rows + 1).withColumn("before", F.lag("v").over(Window.orderBy("r"))).where("v > before"),
+            "score_rises", F.col("rank"),
         ),
     ]
     if known is not None:

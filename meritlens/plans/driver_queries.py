@@ -17,7 +17,7 @@ from meritlens.functions import dates as dt
 from meritlens.functions import scalars as sc
 from meritlens.functions import text as tx
 from meritlens.functions import vectors as vx
-from meritlens.operators import compliance, evaluation, matching, profiling, ranking, requirements
+from meritlens.operators import compliance, evaluation, matching, profiling, ranking, requirements, scoring
 from meritlens.operators.audits import skill_exceeds, tenure_exceeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,9 +86,11 @@ def _gated(docs: DataFrame, must=MUST, nice=NICE, title=TITLE) -> DataFrame:
 
 
 def _gated_jobs(docs: DataFrame, jobs: dict, title=TITLE) -> DataFrame:
-    """Documents with the gate's columns for each job, from one pass over the texts."""
-    rows = docs.select("doc_id", "lang", "source", "n_chars", tx.token_set("text").alias("tokens"))
-    rows = rows.withColumns({f"{c}_{j}": tx.term_coverage("tokens", terms) for j, (must, nice) in jobs.items() for c, terms in (("m", must), ("n", nice), ("t", (title,)))})
+    """Documents with the gate's columns for each job (must, nice and the text's column, else ``text``), from one pass."""
+    texts = {j: (own[2] if len(own) > 2 else "text") for j, own in jobs.items()}
+    tokens = {c: f"tokens_{c}" if c != "text" else "tokens" for c in texts.values()}
+    rows = docs.select("doc_id", "lang", "source", "n_chars", *(tx.token_set(c).alias(t) for c, t in tokens.items()))
+    rows = rows.withColumns({f"{c}_{j}": tx.term_coverage(tokens[texts[j]], terms) for j, own in jobs.items() for c, terms in (("m", own[0]), ("n", own[1]), ("t", (title,)))})
     weights = requirements.weights_of("ai_ml_search_ranking")
     graded = {}
     for j in jobs:
@@ -207,14 +209,14 @@ a AS (SELECT doc_id,
   sum(CASE WHEN kind = 'must_have' THEN weight * s ELSE 0.0 END) / sum(CASE WHEN kind = 'must_have' THEN weight END) AS must,
   sum(CASE WHEN kind = 'nice_to_have' THEN weight * s ELSE 0.0 END) / sum(CASE WHEN kind = 'nice_to_have' THEN weight END) AS nice,
   sum(weight * s) / sum(weight) AS lex, count(CASE WHEN kind = 'must_have' AND s >= 0.3 THEN 1 END) AS covered,
-  count(CASE WHEN kind = 'must_have' THEN 1 END) AS n, max(CASE WHEN kind = 'disqualifier' THEN s END) AS worst,
-  max(s) AS best FROM p GROUP BY doc_id)
+  count(CASE WHEN kind = 'must_have' THEN 1 END) AS n, max(CASE WHEN kind = 'disqualifier' THEN s END) AS worst FROM p GROUP BY doc_id)
 SELECT doc_id, floor(least(1.0, 0.85 * must + 0.15 * nice) * 10000 + 0.5)::BIGINT AS semantic_fit,
   floor(lex * 10000 + 0.5)::BIGINT AS lexical_fit, floor(covered / n::DOUBLE * 10000 + 0.5)::BIGINT AS coverage,
-  floor(worst * 10000 + 0.5)::BIGINT AS disqualifier FROM a WHERE best > 0""")
+  floor(worst * 10000 + 0.5)::BIGINT AS disqualifier FROM a""")
 def q08(spark, sf):
+    """Every document, also those without any keyword."""
     pairs, table = _pairs(spark, sf)
-    fit = matching.aggregate_table(pairs, table, "doc_id")
+    fit = matching.aggregate_table(pairs, table, "doc_id", read(spark, sf, "documents"))
     units = lambda c: F.floor(F.col(c) * 10000 + 0.5).cast("long").alias(c)  # noqa: E731  rounded to four places
     return fit.select("doc_id", *map(units, ("semantic_fit", "lexical_fit", "coverage", "disqualifier")))
 
@@ -224,21 +226,14 @@ _SPAN_WORDS = ("the", "ing", "able", "thing", "was", "from")
 
 @query("q09_evidence_span", f"""
 WITH s AS (SELECT doc_id, i, trim(x) AS s FROM (SELECT doc_id, unnest(list_transform(
-    regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x, i: {{'i': i, 'x': x}}), recursive := true) FROM documents WHERE lang = 'en')),
+    string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x, i: {{'i': i, 'x': x}}), recursive := true) FROM documents)),
 h AS (SELECT doc_id, i, s, len(list_filter({_list(_SPAN_WORDS)}, lambda k: list_contains({_tokens_sql('s', '[a-z0-9+#./-]{3,}')}, k))) AS hits
-  FROM s WHERE length(s) >= 12)
-SELECT doc_id, CASE WHEN length(s) > 160 THEN left(s, 159) || '…' ELSE s END AS span, hits::INTEGER AS hits FROM
- (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, length(s), i) AS r FROM h WHERE hits > 0) WHERE r = 1""")
+  FROM s WHERE length(s) >= 12),
+b AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, length(s), i) AS r FROM h WHERE hits > 0) WHERE r = 1)
+SELECT d.doc_id, CASE WHEN s IS NULL THEN '' WHEN length(s) > 160 THEN left(s, 159) || '…' ELSE s END AS span FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""")
 def q09(spark, sf):
-    """Sentences by a pattern both engines have (no lookbehind), then the best span of each text."""
-    docs = read(spark, sf, "documents").where("lang = 'en'")
-    words = tx.strings(_SPAN_WORDS)
-    pieces = F.transform(F.regexp_extract_all("text", F.lit("([^.!?\\n]+[.!?]*)"), 1), lambda s: F.trim(s))
-    rated = F.transform(pieces, lambda s, i: F.struct(
-        F.size(F.array_intersect(words, tx.token_set(s, tx.MATCH_TOKEN))).alias("hits"), (-F.length(s)).alias("l"), (-i).alias("i"), s.alias("s")))
-    best = docs.select("doc_id", F.array_max(F.filter(rated, lambda x: (x["l"] <= -12) & (x["hits"] > 0))).alias("b")).where("b is not null")
-    cut = F.when(F.length("b.s") > 160, F.concat(F.substring("b.s", 1, 159), F.lit("…"))).otherwise(F.col("b.s"))
-    return best.select("doc_id", cut.alias("span"), "b.hits")
+    """The best span of every document; the SQL marks sentence ends first, as it has no lookbehind."""
+    return read(spark, sf, "documents").select("doc_id", tx.best_span(tx.strings(_SPAN_WORDS), "text").alias("span"))
 
 
 @query("q10_section_carry_forward", """
@@ -255,29 +250,26 @@ def q10(spark, sf):
 
 @query("q11_l2_norm", """
 SELECT vec_id, floor(list_sum(list_transform(e, lambda x: x * x)) * 1000 + 0.5)::BIGINT AS norm2,
-  floor(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))) * 10000 + 0.5)::BIGINT AS first
+  floor(list_sum(list_transform(e, lambda x, i: i * x)) / sqrt(list_sum(list_transform(e, lambda x: x * x))) * 10000 + 0.5)::BIGINT AS weighted
 FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
 def q11(spark, sf):
     rows = read(spark, sf, "embeddings").select("vec_id", vx.unit(F.col("embedding")).alias("u"), F.col("embedding"))
     return rows.select(
         "vec_id", F.floor(vx.dot(F.col("embedding"), F.col("embedding")) * 1000 + 0.5).cast("long").alias("norm2"),
-        F.floor(F.col("u")[0] * 10000 + 0.5).cast("long").alias("first"),
+        F.floor(F.aggregate(F.transform("u", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x) * 10000 + 0.5).cast("long").alias("weighted"),
     )
 
 
 @query("q12_rescaled_cosine_topk", """
-WITH q AS (SELECT vec_id AS q_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS q_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q_id, vec_id, floor(least(1.0, greatest(0.0, (list_cosine_similarity(q.e, v.embedding::DOUBLE[]) - 0.12) / 0.53)) * 100000 + 0.5)::BIGINT AS score
   FROM q, embeddings v WHERE v.vec_id <> q_id)
 SELECT q_id, vec_id, score, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""")
 def q12(spark, sf):
-    """Five stated query vectors (literals, as one job's requirements are) against all rows."""
-    vectors = read(spark, sf, "embeddings")
-    wanted = vectors.where("vec_id < 5").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).orderBy("vec_id").collect()
-    scored = F.array(*(F.struct(F.lit(q.vec_id).cast("long").alias("q_id"), vx.rescaled_cosine(
-        F.col("embedding"), F.array(*(F.lit(x) for x in q.e))).alias("s")) for q in wanted))
-    rows = vectors.select("vec_id", F.explode(scored).alias("x")).select(
-        "x.q_id", "vec_id", F.floor(F.col("x.s") * 100000 + 0.5).cast("long").alias("score")).where("vec_id <> q_id")
+    """Every vector whose id is divisible by 100 against all rows, in blocks."""
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    pairs = matching.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding")
+    rows = pairs.select(F.col("query").alias("q_id"), "vec_id", F.floor(F.col("score") * 100000 + 0.5).cast("long").alias("score"))
     return ranking.top(rows, 10, [F.col("score").desc(), F.col("vec_id")], by=["q_id"]).select("q_id", "vec_id", "score", "rank")
 
 
@@ -315,19 +307,15 @@ def q14(spark, sf):
 
 
 @query("q15_minmax_blend_rerank", """
-WITH h AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b,
-  row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings),
-k AS (SELECT *, (b - min(b) OVER w) / CASE WHEN max(b) OVER w > min(b) OVER w THEN max(b) OVER w - min(b) OVER w ELSE 1.0 END AS s
-  FROM h WHERE rank <= 20 WINDOW w AS (PARTITION BY label))
-SELECT label, vec_id, floor((0.5::DOUBLE * a + 0.5::DOUBLE * s) * 1000000 + 0.5)::BIGINT AS blended, rank::INTEGER AS old_rank,
-  row_number() OVER (PARTITION BY label ORDER BY floor((0.5::DOUBLE * a + 0.5::DOUBLE * s) * 1000000 + 0.5) DESC, rank)::INTEGER AS new_rank FROM k""")
+WITH h AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings),
+k AS (SELECT *, CASE WHEN rank <= 50 THEN round(0.5::DOUBLE * a + 0.5::DOUBLE * (b - min(b) OVER w) / CASE WHEN max(b) OVER w > min(b) OVER w
+  THEN max(b) OVER w - min(b) OVER w ELSE 1.0 END, 6) ELSE a END AS blended FROM h WHERE rank <= 200 WINDOW w AS (PARTITION BY rank <= 50))
+SELECT vec_id, rank::INTEGER AS old_rank, row_number() OVER (ORDER BY rank > 50, CASE WHEN rank <= 50 THEN blended END DESC, rank)::INTEGER AS new_rank FROM k""")
 def q15(spark, sf):
-    rows = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("a0"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    head = ranking.top(rows, 20, [F.col("a0").desc(), F.col("vec_id")], by=["label"])
-    scaled = head.withColumn("s", sc.min_max(F.col("b"), Window.partitionBy("label")))
-    mixed = scaled.withColumn("blended", micro(0.5 * F.col("a") + 0.5 * F.col("s")))
-    new = F.row_number().over(Window.partitionBy("label").orderBy(F.col("blended").desc(), "rank"))
-    return mixed.select("label", "vec_id", "blended", F.col("rank").alias("old_rank"), new.alias("new_rank"))
+    """The first 50 of 200 reordered by a second score."""
+    rows = read(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("final_score"), F.col("embedding")[1].cast("double").alias("second"))
+    head = ranking.top(rows, 200, [F.col("final_score").desc(), F.col("vec_id")])
+    return ranking.rerank(head, "second", 50).select("vec_id", F.col("rank").alias("old_rank"), "new_rank")
 
 
 @query("q16_neighbor_delta", """
@@ -369,11 +357,12 @@ def q19(spark, sf):
         .join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    score = sc.clamp(
-        F.when(F.col("r_name") == "ASIA", 0.55).otherwise(0.15) + F.when(F.contains(F.lower("n_name"), F.lit("in")), 0.25).otherwise(0.0)
-        + F.when(F.col("c_acctbal") > 0, 0.15).otherwise(0.0) + F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 0.05).otherwise(0.0)
+    own = rows.select(
+        "c_custkey", F.col("r_name").alias("country"), F.col("n_name").alias("location"), (F.col("c_acctbal") > 0).alias("willing_to_relocate"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "hybrid").when(F.col("c_mktsegment") == "MACHINERY", "flexible").otherwise("").alias("preferred_work_mode"),
     )
-    return rows.select("c_custkey", F.floor(score * 100 + 0.5).cast("long").alias("logistics"))
+    spec = requirements.Spec("j", "", "", (5, 9), (6, 8), ("IN",), "Asia", ())
+    return own.select("c_custkey", F.floor(scoring.logistics(spec) * 100 + 0.5).cast("long").alias("logistics"))
 
 
 _USERS_SQL = """
@@ -401,14 +390,13 @@ def _users(spark, sf) -> DataFrame:
 @query("q20_reachability", f"""
 SELECT user_id, months::INTEGER AS months, CASE WHEN months <= 3 OR rate >= 0.4 THEN (CASE WHEN open = false THEN 'passive' ELSE 'reachable' END)
   WHEN months >= 6 OR rate < 0.15 THEN 'stale' ELSE 'passive' END AS label,
-  floor(least(1.0, greatest(0.0, 0.45::DOUBLE * {_RECENT_SQL} + 0.35::DOUBLE * rate + 0.2::DOUBLE * {_OPEN_SQL})) * 100000 + 0.5)::BIGINT AS score
+  floor(least(1.0, greatest(0.0, 0.45::DOUBLE * {_RECENT_SQL} + 0.35::DOUBLE * rate + 0.2::DOUBLE * {_OPEN_SQL})) * 1000 + 0.5)::BIGINT AS score
 FROM (SELECT *, greatest(0, raw) AS months FROM ({_USERS_SQL}))""")
 def q20(spark, sf):
     users = _users(spark, sf)
     months, rate, flag = F.col("months"), F.col("rate"), F.col("open")
-    label = sc.reachability(months, rate, flag)["label"]
-    score = sc.clamp(0.45 * sc.recency_factor(months) + 0.35 * rate + 0.20 * sc.open_term(flag, months))
-    return users.select("user_id", "months", label.alias("label"), F.floor(score * 100000 + 0.5).cast("long").alias("score"))
+    reach = sc.reachability(months, rate, flag)
+    return users.select("user_id", "months", reach["label"].alias("label"), F.floor(reach["score"] * 1000 + 0.5).cast("long").alias("score"))
 
 
 @query("q21_behavioral_trust", f"""
@@ -525,7 +513,7 @@ m AS (SELECT lang, CASE WHEN i10 = 0 THEN 0.0 ELSE d10 / i10 END AS ndcg_10, CAS
 
 def _ranked_docs(spark, sf) -> DataFrame:
     rows = _gated(read(spark, sf, "documents")).select("lang", "doc_id", "micro")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("micro").desc(), "doc_id")))
+    ranked = ranking.rank_all(rows, "micro", "doc_id", ["lang"])
     grades = read(spark, sf, "labels").groupBy("doc_id").agg(F.max(F.col("quality") * 3 + F.col("toxic")).alias("grade"))
     return evaluation.labelled(ranked, grades, "doc_id")
 
@@ -723,12 +711,17 @@ def q40(spark, sf):
     return rows.groupBy("user_id").agg(F.floor(mean * 10000 + 0.5).cast("long").alias("blended"))
 
 
-@query("q41_monotone_display")
+@query("q41_monotone_display", f"""
+WITH RECURSIVE h AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id)::INTEGER AS rank, s * 10000 AS own FROM
+  (SELECT doc_id, micro // 10000 AS s FROM ({_gated_sql()})) ORDER BY s DESC, doc_id LIMIT 100),
+f AS (SELECT doc_id, rank, own AS shown FROM h WHERE rank = 1 UNION ALL
+  SELECT h.doc_id, h.rank, CASE WHEN h.own >= f.shown THEN greatest(0, f.shown - 1) ELSE h.own END FROM f JOIN h ON h.rank = f.rank + 1)
+SELECT doc_id, rank, shown::BIGINT AS shown FROM f""")
 def q41(spark, sf):
-    """Display scores of the flagship's head; a sequential fold, checked in the tests."""
+    """Display scores of the flagship's head, in millionths."""
     rows = _gated(read(spark, sf, "documents")).select("doc_id", (F.floor(F.col("micro") / 10000) / 100.0).alias("final_score"))
     head = ranking.top(rows, 100, [F.round("final_score", 3).desc(), F.col("doc_id")])
-    return ranking.display_scores(head).select("doc_id", "rank", "display_score")
+    return ranking.display_scores(head).select("doc_id", "rank", micro(F.col("display_score")).alias("shown"))
 
 
 _STUFFING = " ".join(MUST + NICE)
@@ -740,10 +733,11 @@ SELECT a.lang, count(*) AS n, floor(avg((b.micro - a.micro <= 20000)::INTEGER) *
   floor(avg(b.micro - a.micro) + 0.5)::BIGINT AS mean_gain FROM a JOIN b ON a.doc_id = b.doc_id GROUP BY GROUPING SETS ((a.lang), ())""")
 def q42(spark, sf):
     """Documents with all terms stuffed in, against themselves."""
-    docs = read(spark, sf, "documents")
-    before = _gated(docs).select("doc_id", F.col("lang").alias("attack"), F.col("micro").alias("score_before"))
-    after = _gated(docs.withColumn("text", F.concat("text", F.lit(f" {_STUFFING}")))).select("doc_id", F.col("micro").alias("score_after"))
-    pairs = before.join(after, "doc_id").withColumn("flagged", F.lit(False))
+    docs = read(spark, sf, "documents").withColumn("stuffed", F.concat("text", F.lit(f" {_STUFFING}")))
+    both = _gated_jobs(docs, {"before": (MUST, NICE), "after": (MUST, NICE, "stuffed")})
+    pairs = both.select(
+        F.col("lang").alias("attack"), F.col("micro_before").alias("score_before"), F.col("micro_after").alias("score_after"), F.lit(False).alias("flagged"),
+    )
     rates = evaluation.attack_rates(pairs, 20000)
     return rates.select(
         F.col("attack").alias("lang"), "n", F.floor(F.col("resistance") * 100000 + 0.5).cast("long").alias("resistance"),

@@ -141,15 +141,18 @@ def rank_file(spark: SparkSession, job: Any, path: str, **options) -> RankResult
 def rank_many(spark: SparkSession, jobs: Mapping[str, Any], candidates: DataFrame, *, top_n: int = 100, categories: Mapping[str, str] | None = None) -> DataFrame:
     """(job_id, rank, candidate_id, final_score) of many jobs over one pool.
 
-    Features are worked out once a row; each job adds a score and its own small head."""
-    rows = audits.audited(features(candidates)).cache()
-    out = None
-    for name, job in jobs.items():
+    Features are worked out once a row, every job adds its score to the same rows, and the heads of all
+    jobs come from one group limit."""
+    rows = audits.audited(features(candidates))
+    kept, listed = rows.columns, []
+    for k, (name, job) in enumerate(jobs.items()):
         spec = resolve_job(job, (categories or {}).get(name, "ai_ml_search_ranking"))
-        head = ranking.top(scoring.score_lexical(rows, spec), top_n, ranking.rank_order())
-        own = head.select(F.lit(name).alias("job_id"), "rank", "candidate_id", "final_score", "title", "risk_flags")
-        out = own if out is None else out.unionByName(own)
-    return out
+        own = F.struct(F.lit(name).alias("job_id"), "final_score", F.col("reach.score").alias("reach"), "risk_flags")
+        listed.append(f"_job{k}")
+        rows = scoring.score_lexical(rows, spec).select(*kept, *listed[:-1], own.alias(listed[-1]))
+    scored = rows.select("candidate_id", "title", F.explode(F.array(*listed)).alias("_job")).select("candidate_id", "title", "_job.*")
+    head = ranking.top(scored, top_n, ranking.rank_order(reach="reach"), by=["job_id"])
+    return head.select("job_id", "rank", "candidate_id", "final_score", "title", "risk_flags")
 
 
 def rank_to_csv(spark: SparkSession, job: Any, candidates: Any, path: str, **options) -> RankResult:
