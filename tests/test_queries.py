@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
-from meritlens.plans import driver_queries
+from meritlens.plans import driver_queries, record_queries  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_display_query_falls(spark):
     rows = driver_queries.QUERIES["q41_monotone_display"](spark, SF).orderBy("rank").collect()
-    shown = [r.display_score for r in rows]
+    shown = [r.shown for r in rows]
     assert len(rows) == 100 and all(a > b or a == b == 0 for a, b in zip(shown, shown[1:]))
 
 
