@@ -14,8 +14,8 @@ position, for all languages at once; a long text is walked to its end, BLOCK pos
 
 The labelled sample is bounded: LANGUAGES languages, the most frequent first (ties by name), EXAMPLES
 rows shared evenly among them, chosen by a hash of the id, and of those whole texts as long as they
-fit into the language's share of LETTERS letters.  Texts over that share are passed over, unless a language
-has no other; then its text is cut.
+fit into the language's share of LETTERS letters.  Texts over that share are passed over, unless the rows
+chosen of a language hold no other; then a text is cut.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0; without labelled
 documents every other text gets ``und`` too; texts of any length are parsed whole; repeated rows get
@@ -278,12 +278,16 @@ def learn(spark: SparkSession, docs: DataFrame, max_rows: int = EXAMPLES) -> Mod
     if not found:
         return fit([])
     names, most = sorted(r.lang for r in found), share(len(found))
-    long = F.length("text") > most
+    each, scale = max(1, max_rows // len(names)), 1 << 30
+    # about twice the rows wanted of each language, by a hash of the id; of those the first in order
+    parts = F.create_map(*(F.lit(x) for r in found for x in (r.lang, min(scale, 2 * each * scale // r["count"] + 1))))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.coalesce(F.try_element_at(parts, F.col("lang")), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "hash", "size"))
-    ranked = known.where(F.col("lang").isin(names)).select(
-        "lang", long.alias("long"), F.xxhash64("doc_id").alias("hash"), F.length("text").alias("size"), F.substring("text", 1, most).alias("text")
-    )
-    rows = ranked.withColumn("rank", rank).where(F.col("rank") <= max(1, max_rows // len(names))).collect()
+    listed = chosen.select(
+        "lang", (F.length("text") > most).alias("long"), F.xxhash64("doc_id").alias("hash"), F.length("text").alias("size"),
+        F.substring("text", 1, most).alias("text"),
+    )
+    rows = listed.withColumn("rank", rank).where(F.col("rank") <= each).collect()
     whole = {r.lang for r in rows if not r.long}
     rows = sorted((r.lang, r["rank"], r.text) for r in rows if not r.long or r.lang not in whole)
     return fit([(text, lang) for lang, _, text in rows], most)
