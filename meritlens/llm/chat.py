@@ -11,8 +11,10 @@ and one more where there are some already, so reading takes one off again; line
 written as control strings of their own.
 
 Edge cases: null role and text count as empty; turns with equal numbers are ordered by role, then
-text; rows without a turn come first; a null conv_id is a conversation of its own; an empty table
-gives only the added conversation; other columns of the input are ignored.
+text; repeated rows are turns of their own; rows without a turn come first; rows without a conv_id are one
+conversation; a very long text is one segment, and a conversation of any length is read as a stream, by
+one task, as its hash must be; an empty table gives only the added conversation; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -142,17 +145,18 @@ class Digest:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.counts = Counter()
 
-    def add(self, segment: str, masked: str) -> None:
-        for role, body in TURN.findall(segment):
+    def add(self, text: str, masked: list[str]) -> None:
+        """More of the conversation's text, cut into turns by its control strings alone, and what is learned of it."""
+        for role, body in TURN.findall(text):
             role = unescape_role(role)
             if role == "user":
                 body = body.removeprefix(f"{USER_BEGIN} ").removesuffix(f" {USER_END}")
             self.turns.update(f"{role}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))
             self.counts["turns"] += 1
-        learned = unescape(masked)
-        self.loss.update(learned.encode("utf-8", "surrogatepass"))
-        self.counts["loss"] += len(learned)
-        self.counts["all"] += len(segment)
+        for learned in map(unescape, masked):
+            self.loss.update(learned.encode("utf-8", "surrogatepass"))
+            self.counts["loss"] += len(learned)
+        self.counts["all"] += len(text)
 
     def row(self, conv_id):
         return (conv_id, self.counts["turns"], self.turns.hexdigest(), self.counts["loss"], self.loss.hexdigest(), self.counts["all"])
@@ -167,12 +171,14 @@ def _digest_batches(batches):
     current, digest = None, None
     for batch in batches:
         rows = []
-        for conv_id, segment, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+        for conv_id, run in groupby(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))), key=lambda r: r[0]):
             if digest is None or conv_id != current:
                 if digest is not None:
                     rows.append(digest.row(current))
                 current, digest = conv_id, Digest()
-            digest.add(segment.decode("utf-8", "surrogatepass"), segment[start:end].decode("utf-8", "surrogatepass"))
+            parts = [r[1:] for r in run]
+            text = b"".join(p for p, _, _ in parts).decode("utf-8", "surrogatepass")
+            digest.add(text, [p[start:end].decode("utf-8", "surrogatepass") for p, start, end in parts])
         if rows:
             yield emit(rows)
     if digest is not None:
@@ -180,7 +186,7 @@ def _digest_batches(batches):
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The contract's digest of the rows of :func:`format_turns`, a segment at a time."""
+    """The contract's digest, read from the joined segments of :func:`format_turns`, a batch of a conversation at a time."""
     return formatted.mapInArrow(
         _digest_batches,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",

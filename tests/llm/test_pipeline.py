@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 
@@ -64,10 +66,35 @@ def test_every_operator_is_registered():
     assert set(oracle_sql()) <= set(names)
 
 
-def test_stages_take_awkward_and_empty_tables(spark, folder):
-    rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, prose(2, 30000), "en", "s", 1), (2, prose(2, 30000), "en", "s", 1)]
-    for table in (rows, []):
-        docs = spark.createDataFrame(table, COLUMNS)
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, folder)
-        docs.count()
+AWKWARD = [
+    (None, None, None, None, None), (None, prose(5, 60), "en", "s", 1), (1, "", None, None, 0), (2, prose(2, 30000), "en", "s", 1),
+    (2, prose(2, 30000), "en", "s", 1), (3, None, "en", None, 0), (4, prose(4, 60), None, "s", 2), (5, prose(4, 60), None, "s", 2),
+    (6, prose(6, 60), "en", "s", 1), (6, prose(7, 60), "en", "s", 1),
+]
+
+
+def test_stages_take_awkward_tables(spark, folder):
+    docs = spark.createDataFrame(AWKWARD, COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, folder)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    good = Counter(r.text or "" for r in stages["quality"](spark, docs, folder).collect())
+    every = Counter(t or "" for _, t, *_ in AWKWARD)
+    assert good and all(n == every[t] for t, n in good.items())  # rows of one text share its fate
+    single = stages["near_duplicates"](spark, docs, folder).collect()
+    kept = sorted(((r.doc_id, r.text) for r in single if r.doc_id is not None), key=str)
+    assert kept == sorted([(1, ""), (2, prose(2, 30000)), (4, prose(4, 60)), (6, prose(6, 60)), (6, prose(7, 60))], key=str)
+    assert sum(r.doc_id is None for r in single) == 2
+    pieces = stages["packing"](spark, docs, folder).collect()
+    assert sum(r.start == 0 for r in pieces) == len(AWKWARD)
+    assert sorted({r.doc_tokens for r in pieces if r.doc_id in (1, 3)}) == [1]
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, folder):
+    empty = spark.createDataFrame([], COLUMNS)
+    wide = spark.createDataFrame([(*r, 0.5, "x") for r in AWKWARD], COLUMNS + ", score double, node string")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+        if name != "packing":
+            assert stage(spark, wide, folder).columns == wide.columns
+            assert {(r.score, r.node) for r in stage(spark, wide, folder).collect()} <= {(0.5, "x")}
