@@ -43,7 +43,9 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("meritlens").getOrCreate()
     if given.command == "rank":
         rows = readers.read_candidates(spark, given.candidates)
-        engine.rank_to_csv(spark, given.job, rows, given.out, top_n=given.top, engine=given.engine, category=given.category, embedder=given.embedder)
+        parts = f"{given.out}.parts"
+        engine.rank_to_csv(spark, given.job, rows, parts, top_n=given.top, engine=given.engine, category=given.category, embedder=given.embedder)
+        sinks.as_file(spark, parts, given.out)
     else:
         rows = features(readers.read_candidates(spark, given.candidates))
         vectors = engine.embed_column(rows.select("candidate_id", "match_text"), "match_text", given.embedder)

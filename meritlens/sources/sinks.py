@@ -8,7 +8,7 @@ from __future__ import annotations
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritlens.functions import vectors as vx
@@ -25,6 +25,18 @@ def _one_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def as_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Make the only part of a folder written by one task the file ``path``, in any store that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    store = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in store.listStatus(source) if f.getPath().getName().startswith("part-")]
+    store.delete(target, True)
+    if not store.rename(part, target):
+        raise OSError(f"could not move {part.toString()} to {path}")
+    store.delete(source, True)
+
+
 def joined(column: str) -> Column:
     return F.array_join(column, "|")
 
