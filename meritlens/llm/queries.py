@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meritlens.llm import bpe, chat, fingerprints, langid, media, packing, quality, simhash, toxicity, urls
+from meritlens.llm import bpe, chat, fingerprints, langid, media, packing, quality, simhash, toxicity, urls, whitening
 from meritlens.llm.common import table
 
 
@@ -53,10 +53,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_chat, op3_urls, op4_media, op5_byte_bpe, op6_simhash, op7_quality, op8_packing,
-        op9_fingerprints, op10_language,
+        op9_fingerprints, op10_language, op11_whitening,
     )
     return {f.__name__: f for f in own}
 
