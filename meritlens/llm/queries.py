@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meritlens.llm import bpe, chat, fingerprints, langid, media, packing, quality, simhash, toxicity, urls, whitening
+from meritlens.llm import bpe, chat, fingerprints, langid, media, packing, quality, repair, simhash, toxicity, urls, whitening
 from meritlens.llm.common import table
 
 
@@ -57,13 +57,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op11(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op12(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_chat, op3_urls, op4_media, op5_byte_bpe, op6_simhash, op7_quality, op8_packing,
-        op9_fingerprints, op10_language, op11_whitening,
+        op9_fingerprints, op10_language, op11_whitening, op12_repair,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_repair": repair.SQL}
