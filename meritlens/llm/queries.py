@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meritlens.llm import bpe, chat, fingerprints, langid, media, packing, quality, repair, simhash, toxicity, urls, whitening
+from meritlens.llm import bpe, chat, fingerprints, langid, media, minhash, packing, quality, repair, simhash, toxicity, urls, whitening
 from meritlens.llm.common import table
 
 
@@ -61,10 +61,14 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op12(spark, table(spark, sf_dir, "conversations"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op13(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_chat, op3_urls, op4_media, op5_byte_bpe, op6_simhash, op7_quality, op8_packing,
-        op9_fingerprints, op10_language, op11_whitening, op12_repair,
+        op9_fingerprints, op10_language, op11_whitening, op12_repair, op13_minhash,
     )
     return {f.__name__: f for f in own}
 
