@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 RELEVANT = 3
 CUTS = (10, 50)
-#: Ranks whose hits one task numbers.
-BLOCK = 1 << 17
+#: Ranks that count for the rates of the head, and ranks that one block of the aggregation takes.
+HEAD, BLOCK = 100, 1 << 16
 
 
 def labelled(ranking: DataFrame, labels: DataFrame, key: str, default: float = 0.0) -> DataFrame:
@@ -20,42 +20,45 @@ def labelled(ranking: DataFrame, labels: DataFrame, key: str, default: float = 0
     return ranking.join(grades, key, "left").withColumn("grade", F.coalesce("grade", F.lit(float(default))))
 
 
-def _precisions(hits: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean over the hits (by, rank) of the share of hits up to each one.
-
-    Hits are numbered within blocks of BLOCK ranks, after the counts of the blocks before."""
-    dealt = hits.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK))
-    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(*by, "block").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    own = dealt.withColumn("n", F.row_number().over(Window.partitionBy(*by, "block").orderBy("rank")))
-    same = [own["block"] == starts["block"], *(own[c].eqNullSafe(starts[c]) for c in by)]
-    joined = own.join(starts.select(*by, "block", "start"), same).select(*(own[c] for c in by), "rank", (F.col("start") + F.col("n")).alias("upto"))
-    return joined.groupBy(*by).agg(F.avg(F.col("upto") / F.col("rank")).alias("map"))
-
-
 def metrics(graded: DataFrame, by: Sequence[str]) -> DataFrame:
     """NDCG, average precision, precision, honeypot rates and the composite of each query.
 
-    ``graded`` has ``by``, ``rank`` (from 1, without gaps) and ``grade``.  The ideal order is that of
-    the list itself; a list shorter than a cut is not charged for missing places.  Only heads, best grades
-    and hits are shuffled, and no task sorts a whole list."""
-    rows = graded.select(*by, "rank", "grade").withColumn("hit", (F.col("grade") >= RELEVANT).cast("int"))
-    best = rows.withColumn("ideal", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("grade").desc(), F.col("rank")))).where(F.col("ideal") <= max(CUTS))
-    within = lambda c, k, v: F.when(F.col(c) <= k, v)
-    gain = lambda c: F.col("grade") / F.log2(F.col(c) + 1)
-    heads = rows.groupBy(*by).agg(
-        *(F.sum(within("rank", k, gain("rank"))).alias(f"dcg_{k}") for k in CUTS),
-        *(F.avg(within("rank", k, F.col("hit"))).alias(f"p_{k}") for k in (5, 10)),
-        *(F.avg(within("rank", k, (F.col("grade") == 0).cast("int"))).alias(f"honeypot_{k}") for k in (10, 100)),
+    ``graded`` has ``by``, ``rank`` (from 1, without gaps) and ``grade`` (not negative).  The ideal order is that of
+    the list itself; a list shorter than a cut is not charged for missing places.
+
+    Rows without a grade count in the head alone and go no further.  One aggregation by blocks of BLOCK ranks gives
+    each block's sums, its best grades, and of its hits their number n, the sum of 1 / rank, and the sum
+    of (place within the block) / rank; with s hits in the blocks before, the block adds the latter
+    plus s times the former to the sum of precisions.  No list is sorted or numbered as a whole."""
+    rows = graded.select(*by, "rank", "grade").where((F.col("grade") != 0) | (F.col("rank") <= HEAD))
+    hit = F.col("grade") >= RELEVANT
+    within = lambda k, v: F.when(F.col("rank") <= k, v)
+    rates = {f"p_{k}": (k, hit) for k in (5, 10)} | {f"honeypot_{k}": (k, F.col("grade") == 0) for k in (10, HEAD)}
+    blocks = rows.groupBy(*by, F.floor((F.col("rank") - 1) / BLOCK).alias("_block")).agg(
+        *(F.sum(within(k, F.col("grade") / F.log2(F.col("rank") + 1))).alias(f"dcg_{k}") for k in CUTS),
+        *(F.sum(within(k, v.cast("int"))).alias(c) for c, (k, v) in rates.items()),
+        *(F.count(within(k, F.lit(1))).alias(f"_of_{c}") for c, (k, _) in rates.items()),
+        F.slice(F.sort_array(F.collect_list("grade"), asc=False), 1, max(CUTS)).alias("_best"),
+        F.sort_array(F.collect_list(F.when(hit, F.col("rank")))).alias("_hits"),
+    )
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumns({
+        "_n": F.size("_hits"),
+        "_own": total(F.transform("_hits", lambda r, i: (i + 1) / r)),
+        "_each": total(F.transform("_hits", lambda r: 1 / r)),
+    }).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    found = placed.groupBy(*by).agg(
+        *(F.coalesce(F.sum(f"dcg_{k}"), F.lit(0.0)).alias(f"dcg_{k}") for k in CUTS),
+        *(F.when(F.sum(f"_of_{c}") > 0, F.sum(c) / F.sum(f"_of_{c}")).otherwise(0.0).alias(c) for c in rates),
+        F.slice(F.sort_array(F.flatten(F.collect_list("_best")), asc=False), 1, max(CUTS)).alias("_ideal"),
+        F.when(F.sum("_n") > 0, F.sum(F.col("_own") + F.col("_before") * F.col("_each")) / F.sum("_n")).otherwise(0.0).alias("map"),
     )
-    ideals = best.groupBy(*by).agg(*(F.sum(within("ideal", k, gain("ideal"))).alias(f"ideal_{k}") for k in CUTS))
-    found = heads.unionByName(ideals, True).unionByName(_precisions(rows.where("hit = 1").select(*by, "rank"), by), True)
-    values = [c for c in found.columns if c not in by]
-    out = found.groupBy(*by).agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in values))
     for k in CUTS:
-        out = out.withColumn(f"ndcg_{k}", F.when(F.col(f"ideal_{k}") == 0, 0.0).otherwise(F.col(f"dcg_{k}") / F.col(f"ideal_{k}")))
+        ideal = total(F.transform(F.slice("_ideal", 1, k), lambda g, i: g / F.log2(i + 2)))
+        found = found.withColumn(f"ndcg_{k}", F.when(ideal == 0, 0.0).otherwise(F.col(f"dcg_{k}") / ideal))
     composite = 0.50 * F.col("ndcg_10") + 0.30 * F.col("ndcg_50") + 0.15 * F.col("map") + 0.05 * F.col("p_10")
-    return out.withColumn("composite", composite).drop(*(f"{x}_{k}" for x in ("dcg", "ideal") for k in CUTS))
+    return found.withColumn("composite", composite).drop("_ideal", *(f"dcg_{k}" for k in CUTS))
 
 
 def mean_rank(ranked: DataFrame, members: DataFrame, key: str) -> DataFrame:

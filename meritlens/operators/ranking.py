@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meritlens.functions import scalars as sc
-from meritlens.functions.ranges import bounds_of, range_of
+from meritlens.functions.ranges import order_bounds, order_of, range_of
 
 EPSILON = 0.000001
 
@@ -66,25 +66,30 @@ def rerank(ranked: DataFrame, second: str, k: int = 50, blend: float = 0.5, scor
     return again.unionByName(tail.withColumns({"blended": F.col(score), "new_rank": F.col("rank")}))
 
 
-def rank_all(rows: DataFrame, score: str, key: str, by: Sequence[str] = (), ranges: int = 64, name: str = "rank") -> DataFrame:
+def rank_all(rows: DataFrame, score: str, key: str, by: Sequence[str] = (), ranges: int | None = None, name: str = "rank") -> DataFrame:
     """Every row with its rank by (score desc, key), of all or within groups, without one task that sorts everything.
 
-    Rows are numbered within a score and a range of keys, after an offset for each of those; scores
-    must be of few values (shares of a word list's weight, millionths).  A null score counts as the lowest."""
-    low = F.coalesce(F.col(score), F.lit(-1).cast(rows.schema[score].dataType))  # scores start at 0
-    kind = rows.schema[key].dataType.simpleString()
-    place = ["_s", "_r", *by]
-    dealt = rows.withColumns({"_s": low, "_r": range_of(F.col(key), bounds_of(rows, key, ranges), kind)})
-    counts = dealt.groupBy(*place).count()
-    before = Window.partitionBy(*by).orderBy(F.col("_s").desc(), "_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(place)), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy(key)))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(place)]
+    Rows are dealt out by ranges of (score, key), so that a score that most rows have is cut by its keys;
+    they are numbered within a range, after the count of all ranges before it.  Only those counts, one for
+    each group and range (as many as shuffle partitions), meet in a window.  Counts are taken from the
+    dealt rows themselves, with a digest over all columns, so that Spark deals rows out (and works their scores
+    out) once.  A null score ranks last."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = order_of(score, key)
+    kind = rows.select(order.alias("o")).schema["o"].dataType.simpleString()
+    placed = rows.withColumn("_r", range_of(order, order_bounds(rows, score, key, max(2, ranges)), kind))
+    dealt = placed.repartition(*by, "_r")
+    counts = dealt.groupBy(*by, "_r").agg(F.count("*").alias("_count"), F.bit_xor(F.xxhash64(*(F.col(f"`{c}`") for c in placed.columns))).alias("_all"))
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_count").over(before), F.lit(0))
+    starts = counts.where("_all is not null").select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_r"])), start.alias("_start"))
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_r").orderBy(order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_r"])]
     rank = (F.col("_start") + F.col("_n")).cast("int")
-    return numbered.join(starts, same).withColumn(name, rank).drop("_s", "_r", "_n", "_start", *(f"_k{i}" for i in range(len(place))))
+    return numbered.join(starts, same).withColumn(name, rank).drop("_r", "_n", "_start", *(f"_k{i}" for i in range(len(by) + 1)))
 
 
-def rank_by_keywords(rows: DataFrame, score: str, key: str, ranges: int = 64) -> DataFrame:
+def rank_by_keywords(rows: DataFrame, score: str, key: str, ranges: int | None = None) -> DataFrame:
     """Every row with ``keyword_rank`` by (score desc, key)."""
     return rank_all(rows, score, key, ranges=ranges, name="keyword_rank")
 
