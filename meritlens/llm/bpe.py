@@ -5,9 +5,10 @@ once: pieces of like byte length form one padded matrix of token ids, and in eac
 merges its leftmost pair of least rank.  Pairs are looked up in an open-addressing hash table; the
 rows are compacted after each merge, and finished rows leave the matrix.
 
-A piece of over ``LONG`` bytes is a matrix of its own, in which a round merges every occurrence of the
-least rank, leftmost first.  The ids are the same as long as the merged id is part of no pair of lower
-rank; for the few ids that are (``fickle``), a round merges the leftmost occurrence alone.
+A piece of over ``LONG`` bytes is a row of its own, whose ids are linked instead of compacted and whose pairs
+wait by rank, so that its cost grows with its merges.  A round merges every occurrence of the least
+rank, leftmost first.  The ids are the same as long as the merged id is part of no pair of lower rank; for the
+few ids that are (``fickle``), a round ends with the first occurrence that gives such a pair.
 
 Edge cases: null text counts as empty and encodes to no ids; repeated texts give equal rows; very long
 texts are encoded whole; pairs of one rank go leftmost first, and no other ties arise; an empty table
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -151,25 +153,69 @@ class ByteBPE:
         return out
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, all occurrences of a pair in one round."""
-        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
-        rank = self.pairs.find(ids[:-1], ids[1:])
-        while len(rank) and (least := rank.min()) != NONE:
-            at = np.flatnonzero(rank == least)
-            if not self.fickle[least]:
-                begins = np.concatenate([[True], np.diff(at) > 1])  # of neighbouring pairs every other one merges
-                at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
-            else:
-                at = at[:1]
-            ids[at] = least
-            kept = np.ones(len(ids), dtype=bool)
-            kept[at + 1] = False
-            ids = ids[kept]
-            rank = rank[kept[1:]]
-            place = at - np.arange(len(at))
-            for near in (place[place > 0] - 1, place[place < len(rank)]):
-                rank[near] = self.pairs.find(ids[near], ids[near + 1])
-        return ids
+        """The same merges for one long piece: a row whose ids are linked, so that a round costs what it merges.
+
+        Pairs wait by rank; a round takes those of the least rank, leftmost first, and only pairs that
+        it has changed are looked up again."""
+        n = len(piece)
+        ids = np.append(self.byte_ids[np.frombuffer(piece, dtype=np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, NONE)
+        rank[: n - 1] = self.pairs.find(ids[: n - 1], ids[1:n])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            ranks = rank[at]
+            edges = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)]
+            for start, stop in zip(edges, edges[1:]):
+                if start < stop:
+                    if (r := int(ranks[start])) not in waiting:
+                        waiting[r] = []
+                        heappush(heap, r)
+                    waiting[r].append(at[start:stop])
+
+        wait(np.arange(n - 1))
+        while heap:
+            least = heappop(heap)
+            every = np.unique(np.concatenate(waiting.pop(least)))
+            every = every[rank[every] == least]
+            at = self._apart(every, after)
+            if self.fickle[least] and len(at) > 1:
+                at = self._until_lower(at, least, ids, after, before)
+                wait(every[every > at[-1]])
+            gone = after[at]
+            ids[at], rank[gone] = least, NONE
+            after[at] = following = after[gone]
+            before[following] = at
+            left = before[at]
+            changed = np.concatenate([left[left >= 0], at[following < n]])
+            rank[at[following >= n]] = NONE
+            rank[changed] = self.pairs.find(ids[changed], ids[after[changed]])
+            ids[gone] = -1
+            wait(changed)
+        return ids[ids >= 0]
+
+    @staticmethod
+    def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of pairs that overlap in a run, every other one from its left end."""
+        begins = np.ones(len(at), dtype=bool)
+        begins[1:] = at[1:] != after[at[:-1]]
+        if begins.all():
+            return at
+        place = np.arange(len(at))
+        return at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+
+    def _until_lower(self, at: np.ndarray, least: int, ids: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The merges up to the first one that gives a pair of lower rank, which then comes next."""
+        following = after[after[at]]
+        left = ids[before[at]]  # at the left end this is the mark behind the right end, -1
+        left[1:][following[:-1] == at[1:]] = least
+        new = np.minimum(self.pairs.find(left, np.full(len(at), least)), self.pairs.find(np.full(len(at), least), ids[following]))
+        low = np.flatnonzero(new < least)
+        return at[: low[0] + 1] if len(low) else at
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -80,6 +81,30 @@ def test_single_merges(own, monkeypatch):
     assert [x.tolist() for x in own.encode_pieces(pieces)] == several
 
 
+def random_letters(n, letters="abcdefghijklmnopqrstuvwxyz", seed=1):
+    return "".join(np.random.default_rng(seed).choice(list(letters), n))
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "acgt", "ab", "0123456789abcdef", "etaoin漢é"])
+def test_long_random_pieces(own, reference, letters):
+    for n in (129, 1000, 20_000):
+        text = random_letters(n, letters, n)
+        assert own.encode_texts([text])[0].tolist() == reference.encode_ordinary(text)
+
+
+def test_long_pieces_cost_what_they_merge(own, reference):
+    """Ten times the bytes take at most about twelve times the time, and ids equal the library's."""
+    took = {}
+    for n in (100_000, 1_000_000):
+        text = random_letters(n)
+        began = time.process_time()
+        ids = own._merge_long(text.encode())
+        took[n] = time.process_time() - began
+        if n == 100_000:  # the library itself is quadratic here
+            assert ids.tolist() == reference.encode_ordinary(text)
+    assert took[1_000_000] < 15 * took[100_000] + 1
+
+
 def test_forgetting(own, reference, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 3)
     for i in range(4):
