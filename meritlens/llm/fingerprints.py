@@ -1,12 +1,13 @@
 """Threshold-scaled document fingerprints, in DataFrame operations only.
 
-A sketch holds every 5-word shingle hash below a fixed fraction of the hash range, so its size
-follows the document, the sketch of a union is the union of sketches, and containment of a short
+A sketch holds every 5-word shingle hash below a fixed fraction of the range of hashes (31 bits), so its
+size follows the document, the sketch of a union is the union of sketches, and containment of a short
 text in a long one can be estimated from the two sketches alone; likeness follows from the two
-containments.  A text of fewer than five words has one shingle, one without words none.  The sketch
-of a text none of whose hashes is that low is empty; its written fingerprint is then the smallest
-hash after a "~", so that different texts are told apart, and its likeness to another text, of which
-an empty sketch says nothing, is counted on all hashes of both (:func:`with_comparable`).
+containments.  A text of fewer than five words has one shingle, one without words none.  A text none of whose hashes
+is that low keeps its least hash alone, which is recognised by its value.  All estimates use nothing but
+sketches: two texts with lone hashes are alike with 1 if those are equal, else 0, which is right on average, as
+least hashes are equal with the probability of the similarity; a lone hash against a filled sketch gives 0, as
+the sketch has hashes in the sampled range and the other text has none.
 
 ``neighbours`` pairs each row with the next one by descending doc_id without a global sort: ids are
 cut into ranges at quantiles, each range's first row is also sent to the end of the range before
@@ -27,59 +28,49 @@ from pyspark.sql.window import Window
 from meritlens.functions.ranges import range_of
 
 SHINGLE = 5
-#: One hash in so many is kept.
-SCALE = 4
+#: Hashes are below RANGE; one in SCALE is kept.
+RANGE, SCALE = 1 << 31, 4
 #: Ranges of doc_id for each shuffle partition, and at most.
 RANGES, MOST_RANGES = 4, 1 << 16
 LOWEST = -(1 << 63)
 
 
-def with_hashes(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with all 63-bit shingle hashes of column ``text``, in its order and with repeats."""
-    plain = F.translate(F.lower(F.col(text)), "\t\n\x0b\f\r", "     ")
-    hashed = df.withColumn(
-        "_w", F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
-    )
-    at = lambda i: F.get(F.col("_w"), i)
-    shingle = lambda i: F.shiftrightunsigned(F.xxhash64(*(at(i + k) for k in range(SHINGLE))), 1)
-    n = F.size("_w")
-    all_hashes = (
-        F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE), shingle))
-        .when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(F.col("_w")), 1)))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
-    return hashed.withColumn(name, all_hashes).drop("_w")
-
+def hashes_of(text: Column) -> Column:
+    """All 31-bit shingle hashes of a text, in its order and with repeats."""
+    plain = F.translate(F.lower(text), "\t\n\x0b\f\r", "     ")
+    words = F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    short = lambda h: F.shiftrightunsigned(h, 33).cast("int")
 
-def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
-    """``df`` with the sketch of column ``text``, an ascending array of 63-bit hashes, and ``<name>_least``,
-    its smallest hash of all (null without words)."""
-    listed = with_hashes(df, text, "_h")
-    low = F.filter("_h", lambda h: h < (1 << 63) // scale)
-    return listed.withColumns({name: F.sort_array(F.array_distinct(low)), f"{name}_least": F.array_min("_h")}).drop("_h")
+    def shingled(w: Column) -> Column:
+        at = lambda i, k: F.get(w, i + k)
+        n = F.size(w)
+        return (
+            F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: short(F.xxhash64(*(at(i, k) for k in range(SHINGLE))))))
+            .when(n > 0, F.array(short(F.xxhash64(w))))
+            .otherwise(F.array().cast("array<int>"))
+        )
 
+    return F.get(F.transform(F.array(words), shingled), 0)  # the words are worked out once
 
-def with_comparable(df: DataFrame, a: tuple[str, str], b: tuple[str, str], names: tuple[str, str]) -> DataFrame:
-    """``df`` with two arrays to compare, of the (text, sketch) columns ``a`` and ``b``.
 
-    They are the sketches, but where one is empty all hashes of both texts; only then are texts hashed."""
-    out = df.withColumn("_all", (F.size(a[1]) == 0) | (F.size(b[1]) == 0))
-    for (text, sketch), name in zip((a, b), names):
-        out = with_hashes(out.withColumn("_t", F.when(F.col("_all"), F.col(text)).otherwise("")), "_t", "_h")
-        out = out.withColumn(name, F.when(F.col("_all"), F.array_distinct("_h")).otherwise(F.col(sketch))).drop("_h", "_t")
-    return out.drop("_all")
+def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
+    """``df`` with the sketch of column ``text``: ascending 31-bit hashes, all below the cut, or the least alone."""
+    listed = df.withColumn("_h", hashes_of(F.col(text)))
+    low = F.sort_array(F.array_distinct(F.filter("_h", lambda h: h < RANGE // scale)))
+    lone = F.filter(F.array(F.array_min("_h")), lambda h: h.isNotNull())
+    return listed.withColumn(name, F.when(F.size(low) > 0, low).otherwise(lone)).drop("_h")
 
 
 def written(sketch: str) -> Column:
-    """A sketch as text: 16 hex digits for each hash; "~" and the smallest hash if it is empty."""
-    digits = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
-    lone = F.coalesce(F.concat(F.lit("~"), digits(F.col(f"{sketch}_least"))), F.lit(""))
-    return F.when(F.size(sketch) > 0, F.array_join(F.transform(sketch, digits), "")).otherwise(lone)
+    """A sketch as text: 8 hex digits for each hash."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
-def merged(a: str, b: str) -> Column:
+def merged(a: str, b: str, scale: int = SCALE) -> Column:
     """Sketch of two texts together (shingles across the seam aside)."""
-    return F.sort_array(F.array_union(a, b))
+    both = F.sort_array(F.array_union(a, b))
+    low = F.filter(both, lambda h: h < RANGE // scale)
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -135,19 +126,15 @@ def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
             F.substring(F.col("next_text"), F.lit(1), third),
         ),
     )
-    sketched = with_sketch(
-        edited.select("doc_id", "n_chars", "text", "sketch", "sketch_least", "next_text", "next_sketch", "edited"), "edited", "edited_sketch"
-    )
-    beside = with_comparable(sketched, ("text", "sketch"), ("edited", "edited_sketch"), ("own_e", "edited_e"))
-    beside = with_comparable(beside, ("text", "sketch"), ("next_text", "next_sketch"), ("own_n", "next_n"))
-    return beside.select(
+    sketched = with_sketch(edited.select("doc_id", "n_chars", "sketch", "next_sketch", "edited"), "edited", "edited_sketch")
+    return sketched.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         written("sketch").alias("fingerprint"),
         written("edited_sketch").alias("edited_fingerprint"),
-        likeness("own_e", "edited_e").alias("near_edited"),
-        likeness("own_n", "next_n").alias("near_next"),
-        containment("own_e", "edited_e").alias("kept_in_edited"),
-        containment("own_n", "next_n").alias("kept_in_next"),
+        likeness("sketch", "edited_sketch").alias("near_edited"),
+        likeness("sketch", "next_sketch").alias("near_next"),
+        containment("sketch", "edited_sketch").alias("kept_in_edited"),
+        containment("sketch", "next_sketch").alias("kept_in_next"),
     )

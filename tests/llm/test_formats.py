@@ -186,7 +186,7 @@ def shingle_set(text):
 
 
 def plain_hashes(text):
-    """All 63-bit shingle hashes: words, then five of their hashes, through XXH64 with the last hash as seed."""
+    """All 31-bit shingle hashes: words, then five of their hashes, through XXH64 with the last hash as seed."""
     folded = (text or "").lower().translate({c: " " for c in range(9, 14)})
     words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in folded.split(" ") if w]
     out = set()
@@ -194,23 +194,29 @@ def plain_hashes(text):
         h = 42
         for w in words[i : i + 5]:
             h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed=h)
-        out.add(h >> 1)
+        out.add(h >> 33)
     return out
 
 
+def plain_low(hashes):
+    return {h for h in hashes if h < (1 << 31) // fingerprints.SCALE}
+
+
 def plain_sketch(hashes):
-    return {h for h in hashes if h < (1 << 63) // fingerprints.SCALE}
+    return plain_low(hashes) or set(sorted(hashes)[:1])
 
 
 def plain_written(hashes):
-    low = sorted(plain_sketch(hashes))
-    return "".join(f"{h:016x}" for h in low) if low else f"~{min(hashes):016x}" if hashes else ""
+    return "".join(f"{h:08x}" for h in sorted(plain_sketch(hashes)))
+
+
+def read_back(fingerprint):
+    return {int(fingerprint[i : i + 8], 16) for i in range(0, len(fingerprint), 8)}
 
 
 def plain_likeness(a, b, contained=False):
-    a, b = plain_hashes(a), plain_hashes(b)
-    if plain_sketch(a) and plain_sketch(b):
-        a, b = plain_sketch(a), plain_sketch(b)
+    """From two fingerprints as written, and nothing else."""
+    a, b = read_back(a), read_back(b)
     whole = a if contained else a | b
     return len(a & b) / len(whole) if whole else 1.0
 
@@ -247,7 +253,9 @@ def test_fingerprints(spark):
             edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
             if r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest():
                 assert r.edited_fingerprint == plain_written(plain_hashes(edited))
-                assert r.near_edited == plain_likeness(t, edited) and r.kept_in_edited == plain_likeness(t, edited, True)
+                assert r.near_next == plain_likeness(r.fingerprint, plain_written(plain_hashes(n)))
+        assert r.near_edited == plain_likeness(r.fingerprint, r.edited_fingerprint)
+        assert r.kept_in_edited == plain_likeness(r.fingerprint, r.edited_fingerprint, True)
 
 
 def test_neighbours_wrap_and_null_ids(spark):
@@ -349,26 +357,36 @@ def test_mined_rules_match_brute_force(spark):
 
 def test_merged_is_the_sketch_of_both(spark):
     """Also where a short text has no low hash."""
-    rows = [(prose(k, 5 + k % 12), prose(1000 + k, 400 if k % 2 else 8)) for k in range(60)]
+    rows = [(prose(k, 5 + k % 12), prose(1000 + k, (400, 8, 6)[k % 3])) for k in range(60)]
     table = spark.createDataFrame(rows, "a string, b string")
     for c in "ab":
         table = fingerprints.with_sketch(table, c, f"s{c}")
     got = table.select("a", "b", "sa", fingerprints.merged("sa", "sb").alias("m")).collect()
-    assert sum(not r.sa for r in got) > 5
+    assert sum(not plain_low(plain_hashes(r.a)) for r in got) > 5
     for r in got:
         assert r.m == sorted(plain_sketch(plain_hashes(r.a) | plain_hashes(r.b)))
 
 
-def test_short_texts_without_low_hashes_meet_long_ones(spark):
-    """A text whose sketch is empty is compared by all hashes, so a text that holds it is near."""
-    texts = {}
-    for k in range(40):
-        short = prose(k, 8)
-        texts |= {2 * k + 1: short, 2 * k: f"{short} {prose(900 + k, 80)}"}
+def test_likeness_follows_from_fingerprints_alone(spark):
+    """Every row of a table of mostly short texts, recomputed from the returned strings; lone hashes among them."""
+    texts = {k: prose(k % 50, 4 + k % 9) if k % 3 else "" if k % 2 else f"{prose(k % 50, 8)} {prose(900 + k, 80)}" for k in range(200)}
     rows = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in texts.items()], frame(spark).schema)
-    lone = [i for i in range(1, 80, 2) if not plain_sketch(plain_hashes(texts[i]))]
-    assert len(lone) > 5
     got = {r.doc_id: r for r in fingerprints.op9(spark, rows).collect()}
-    assert all(got[i].near_next > 0 and got[i].kept_in_next == 1.0 for i in lone)
-    for i in range(1, 80, 2):
-        assert got[i].near_next == plain_likeness(texts[i], texts[i - 1])
+    assert sum(1 for t in texts.values() if t and not plain_low(plain_hashes(t))) > 10
+    for i, r in got.items():
+        assert r.fingerprint == plain_written(plain_hashes(texts[i]))
+        assert r.near_edited == plain_likeness(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == plain_likeness(r.fingerprint, got[i - 1 if i else 199].fingerprint)
+
+
+def test_lone_hashes_are_right_on_average(spark):
+    """Pairs of texts of six shingles, four in common of eight: without low hashes they are alike with a chance of one half."""
+    pairs = []
+    for k in range(3000):
+        words = [f"w{k}x{i}" for i in range(10)]
+        pairs.append((k, " ".join(words), " ".join([*words[:8], f"y{k}", f"z{k}"])))
+    table = spark.createDataFrame(pairs, "k int, a string, b string")
+    for c in "ab":
+        table = fingerprints.with_sketch(table, c, f"s{c}")
+    rows = [r for r in table.select("a", "b", fingerprints.likeness("sa", "sb").alias("x")).collect() if not plain_low(plain_hashes(r.a) | plain_hashes(r.b))]
+    assert len(rows) > 200 and abs(np.mean([r.x for r in rows]) - 0.5) < 0.12
