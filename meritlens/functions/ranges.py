@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 
 
-def bounds_of(rows: DataFrame, column: str, ranges: int) -> list[Any]:
-    """At most ``ranges`` - 1 ascending values that cut the column into ranges of like size.
-
-    They come from at most about SAMPLE values, chosen by a hash: the same rows give the same bounds.
-    Bounds only deal work out; no result depends on them."""
-    values = rows.where(F.col(column).isNotNull()).select(column)
-    n = values.count()
-    step = max(1, n // SAMPLE)
-    picked = values.where(F.pmod(F.xxhash64(column), F.lit(step)) == 0).distinct().limit(4 * SAMPLE).collect()
+def value_bounds(rows: DataFrame, column: str, ranges: int, distinct: int) -> list[Any]:
+    """At most ``ranges`` - 1 ascending values that cut the column's different values, ``distinct`` in all, into
+    ranges of like number; a frequent value counts once.
+
+    They come from about SAMPLE values, chosen by a hash: the same rows give the same bounds.  Bounds only deal
+    work out; no result depends on them."""
+    step = max(1, distinct // SAMPLE)
+    picked = rows.select(column).where(F.pmod(F.xxhash64(column), F.lit(step)) == 0).distinct().limit(4 * SAMPLE).collect()
     found = sorted(r[0] for r in picked)
     return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
 

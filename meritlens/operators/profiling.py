@@ -10,43 +10,67 @@ from pyspark.sql.window import Window
 
 from meritlens.functions import scalars as sc
 from meritlens.functions import text as tx
-from meritlens.functions.ranges import bounds_of, range_of
+from meritlens.functions.ranges import range_of, value_bounds
 from meritlens.operators.audits import risk_flags
 
 
+#: Different values that one task counts at most, about, when a percentile is looked for.
+MOST_VALUES = 1 << 17
+
+
 def most_common(rows: DataFrame, column: str, k: int) -> DataFrame:
     """The k most frequent values (the smaller of equals first)."""
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(column)).limit(k)
 
 
-def nearest_rank(rows: DataFrame, column: str, shares: Sequence[float], ranges: int = 256) -> DataFrame:
+def narrowed(values: DataFrame, shares: Sequence[float], ranges: int = 256, most: int = MOST_VALUES) -> dict[float, tuple]:
+    """{share: (low, high, place)}: a range of ``value`` that holds the place asked for, counted from the range's start.
+
+    Each round counts the pieces of the ranges that still have over ``most`` different values (by an estimate);
+    a value that most rows have is one value.  At most ``ranges`` counts for each share reach the driver at once."""
+    n, distinct = values.agg(F.count("*"), F.approx_count_distinct("value")).first()
+    kind = values.schema["value"].dataType.simpleString()
+    held = {float(s): (None, None, min(n - 1, int(n * s)), distinct) for s in shares} if n else {}
+    while large := {(low, high, different) for low, high, _, different in held.values() if different > most}:
+        pieces = {}
+        for low, high, different in large:
+            own = values.where(_inside(low, high, kind))
+            cuts = value_bounds(own, "value", ranges, different)
+            counted = own.groupBy(range_of(F.col("value"), cuts, kind).alias("piece"))
+            edges, start, listed = [low, *cuts, high], 0, []
+            for piece, count, few in sorted(counted.agg(F.count("*"), F.approx_count_distinct("value")).collect()):
+                # a range that no bound cuts is as small as the sample can make it
+                listed.append((start, start + count, edges[piece], edges[piece + 1], few if cuts else most))
+                start += count
+            pieces[low, high] = listed
+        for share, (low, high, place, different) in held.items():
+            if different > most:
+                start, _, low, high, few = next(p for p in pieces[low, high] if p[0] <= place < p[1])
+                held[share] = (low, high, place - start, few)
+    return {share: (low, high, place) for share, (low, high, place, _) in held.items()}
+
+
+def nearest_rank(rows: DataFrame, column: str, shares: Sequence[float], ranges: int = 256, most: int = MOST_VALUES) -> DataFrame:
     """(share, value) with value = sorted[min(n - 1, int(n * share))].
 
-    Rows are counted by ranges of values (at most ``ranges`` numbers reach the driver); only the ranges
-    that hold a wanted place are then looked at value by value."""
-    kind = rows.schema[column].dataType.simpleString()
+    Ranges that hold a wanted place are narrowed down first; then the values of each such range are counted one
+    by one and looked through in a task of its own, of about ``most`` values."""
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
-    dealt = values.withColumn("range", range_of(F.col("value"), bounds_of(rows, column, ranges), kind))
-    sizes = sorted((r.range, r.n) for r in dealt.groupBy("range").agg(F.count("*").alias("n")).collect())
-    n, wanted = sum(c for _, c in sizes), []
-    for share in shares if n else ():
-        place = min(n - 1, int(n * share))
-        for range_, count in sizes:
-            if place < count:
-                wanted.append((float(share), range_, place))
-                break
-            place -= count
-    # the few places are literals of their range, so that no join condition is inferred on the ranges
-    ranges_wanted = sorted({r for _, r, _ in wanted})
-    inside = F.lit(None).cast("array<struct<share:double,place:bigint>>")
-    for r in ranges_wanted:
-        own = [F.struct(F.lit(s).alias("share"), F.lit(p).cast("long").alias("place")) for s, q, p in wanted if q == r]
-        inside = F.when(F.col("range") == r, F.array(*own)).otherwise(inside)
-    counts = dealt.where(F.col("range").isin(*ranges_wanted) if ranges_wanted else F.lit(False)).groupBy("range", "value").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counts.withColumn("last", F.sum("n").over(upto) - 1)
-    hit = F.filter(inside, lambda x: (x["place"] <= F.col("last")) & (x["place"] > F.col("last") - F.col("n")))
-    return running.select(F.explode(hit).alias("x"), "value").select("x.share", "value")
+    kind = values.schema["value"].dataType.simpleString()
+    held = narrowed(values, shares, ranges, most)
+    wanted = [F.struct(_inside(low, high, kind).alias("inside"), F.lit(s).alias("share"), F.lit(place).cast("long").alias("place")) for s, (low, high, place) in held.items()]
+    listed = F.array(*wanted).cast("array<struct<inside:boolean,share:double,place:bigint>>")
+    counts = values.where(F.exists(listed, lambda x: x["inside"])).groupBy("value").agg(F.count("*").alias("n"))
+    placed = counts.select("value", "n", F.explode(F.filter(listed, lambda x: x["inside"])).alias("x")).select("value", "n", "x.share", "x.place")
+    upto = Window.partitionBy("share").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = placed.withColumn("last", F.sum("n").over(upto) - 1)
+    return running.where((F.col("place") <= F.col("last")) & (F.col("place") > F.col("last") - F.col("n"))).select("share", "value")
+
+
+def _inside(low, high, kind: str) -> Column:
+    """Whether ``value`` is at least ``low`` and under ``high`` (None: no bound)."""
+    above = F.lit(True) if low is None else F.col("value") >= F.lit(low).cast(kind)
+    return above if high is None else above & (F.col("value") < F.lit(high).cast(kind))
 
 
 def archetypes() -> Column:

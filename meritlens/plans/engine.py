@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from pathlib import Path
 from typing import Any
 
@@ -123,14 +123,20 @@ def rank(
     if engine == "hybrid" and index is None and embedder is None:
         notes.append("no vectors: matched by words alone")
     pool = score_pool(rows, spec, engine, index, embedded, embedder)
-    head = rank_pool(pool, spec, top_n)
-    if second_score is not None:
-        try:
-            again = ranking.rerank(second_score(head), "second", rerank_k)
-            head = again.drop("rank").withColumnRenamed("new_rank", "rank")
-        except Exception as error:  # noqa: BLE001  the first ranking is still good
-            notes.append(f"not reranked: {type(error).__name__}")
-    return RankResult(spec, engine, head, pool, tuple(notes))
+    head, more = _finished(pool, spec, top_n, second_score, rerank_k)
+    return RankResult(spec, engine, head, pool, (*notes, *more))
+
+
+def _finished(scored: DataFrame, spec: Spec, top_n: int, second_score: Callable[[DataFrame], DataFrame] | None, rerank_k: int) -> tuple[DataFrame, list[str]]:
+    """The head of scored rows, reranked if a second score is given, and notes."""
+    head = rank_pool(scored, spec, top_n)
+    if second_score is None:
+        return head, []
+    try:
+        again = ranking.rerank(second_score(head), "second", rerank_k)
+        return again.drop("rank").withColumnRenamed("new_rank", "rank"), []
+    except Exception as error:  # noqa: BLE001  the first ranking is still good
+        return head, [f"not reranked: {type(error).__name__}"]
 
 
 def rank_file(spark: SparkSession, job: Any, path: str, **options) -> RankResult:
@@ -161,29 +167,87 @@ def rank_to_csv(spark: SparkSession, job: Any, candidates: Any, path: str, **opt
     return result
 
 
+def content(rows: DataFrame) -> tuple[int, int, int]:
+    """Number of rows and two sums of row hashes: independent of row order, and of a union the sums."""
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"})
+    sums = (F.coalesce(F.sum(F.xxhash64(whole, F.lit(k)).cast("decimal(38,0)")), F.lit(0)) for k in (1, 2))
+    return tuple(map(int, rows.agg(F.count("*"), *sums).first()))
+
+
 def pool_fingerprint(candidates: DataFrame) -> str:
     """Digest of a pool's scored fields, independent of row order."""
-    row = fingerprint(*(F.col(c) for c in ("candidate_id", "profile", "career_history", "skills", "signals")))
-    low = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
-    r = candidates.select(low.alias("h")).agg(F.count("*"), F.sum("h")).first()
-    return hashlib.sha1(f"{r[0]}:{r[1]}".encode()).hexdigest()[:16]
+    return hashlib.sha1(":".join(map(str, _scored_content(candidates))).encode()).hexdigest()[:16]
+
+
+def _scored_content(candidates: DataFrame) -> tuple[int, int, int]:
+    return content(candidates.select(fingerprint(*(F.col(c) for c in ("candidate_id", "profile", "career_history", "skills", "signals"))).alias("row")))
+
+
+def option_key(value: Any) -> Any:
+    """What stands for an option: DataFrames go by content, plain values by themselves, functions by identity."""
+    if value is None or isinstance(value, (str, bool, int, float)):
+        return (type(value).__name__, value)
+    if isinstance(value, Spec):
+        return ("spec", *(option_key(getattr(value, f.name)) for f in fields(value)))
+    if isinstance(value, requirements.Requirement):
+        return ("requirement", *(option_key(getattr(value, f.name)) for f in fields(value)))
+    if isinstance(value, DataFrame):
+        return ("rows", tuple(value.columns), content(value))
+    if isinstance(value, Mapping):
+        return ("mapping", tuple(sorted((str(k), option_key(v)) for k, v in value.items())))
+    if isinstance(value, (list, tuple)):
+        return ("list", tuple(map(option_key, value)))
+    if callable(value):
+        return value
+    raise TypeError(f"no cache key for an option of type {type(value).__name__}")
 
 
 class Cache:
-    """Heads kept by job, options and pool fingerprint, until invalidated."""
+    """Heads kept by job, options and content of the pool, until invalidated.
+
+    A head goes with the scored rows that it was made of (as many as the head has), so that rows that
+    are added to a pool are scored alone and meet those."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.kept: dict[tuple, DataFrame] = {}
+        self.scored: dict[tuple, tuple[Spec, DataFrame]] = {}
+
+    def _key(self, job: Any, options: Mapping[str, Any], pool: tuple[int, int, int]) -> tuple:
+        return (option_key(job), option_key(options), pool)
+
+    def _keep(self, key: tuple, spec: Spec, head: DataFrame, scored: DataFrame, top_n: int) -> DataFrame:
+        self.scored[key] = (spec, ranking.top(scored, top_n, ranking.rank_order()).drop("rank").cache())
+        self.kept[key] = head.cache()
+        return self.kept[key]
 
     def rank(self, job: Any, candidates: DataFrame, **options) -> DataFrame:
-        key = (str(job), tuple(sorted((k, str(v)) for k, v in options.items())), pool_fingerprint(candidates))
+        key = self._key(job, options, _scored_content(candidates))
         if key not in self.kept:
-            self.kept[key] = rank(self.spark, job, candidates, **options).head.cache()
+            found = rank(self.spark, job, candidates, **options)
+            return self._keep(key, found.spec, found.head, found.pool, options.get("top_n", 100))
         return self.kept[key]
 
+    def append(self, job: Any, candidates: DataFrame, added: DataFrame, **options) -> DataFrame:
+        """The head of ``candidates`` and ``added`` together; if that of ``candidates`` is kept, only ``added`` is scored.
+
+        A candidate's score depends on no other row, so the head of the union is among both heads."""
+        old, new = _scored_content(candidates), _scored_content(added)
+        key = self._key(job, options, tuple(a + b for a, b in zip(old, new)))
+        before = self._key(job, options, old)
+        if key in self.kept:
+            return self.kept[key]
+        if before not in self.scored:
+            return self.rank(job, candidates.unionByName(added), **options)
+        spec, scored = self.scored[before]
+        top_n = options.get("top_n", 100)
+        fresh = rank(self.spark, spec, added, **{k: v for k, v in options.items() if k not in ("second_score", "rerank_k")}).pool
+        both = scored.unionByName(fresh)
+        head, _ = _finished(both, spec, top_n, options.get("second_score"), options.get("rerank_k", 50))
+        return self._keep(key, spec, head, both, top_n)
+
     def invalidate(self) -> None:
-        for df in self.kept.values():
+        for df in (*self.kept.values(), *(rows for _, rows in self.scored.values())):
             df.unpersist()
         self.kept.clear()
-
+        self.scored.clear()

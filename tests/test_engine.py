@@ -170,6 +170,40 @@ def test_many_jobs_and_cache(spark, pools):
     cache.invalidate()
 
 
+def test_cache_tells_indexes_apart(spark, pools):
+    """Two indexes of one schema give two heads; equal rows in another order give one."""
+    rows = pools["search", "full"][0]
+    spec = engine.resolve_job(synthetic.ROLES["search"].job)
+    embedded = [[1.0, 0.0] for _ in spec.requirements]
+    vectors = lambda near: rows.select("candidate_id", F.when(F.col("candidate_id").rlike(near), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vec"))
+    cache = engine.Cache(spark)
+    heads = [cache.rank(spec, rows, top_n=5, index=vectors(near), embedded=embedded) for near in ("[02468]$", "[13579]$", "[02468]$")]
+    assert heads[0] is heads[2] and heads[0] is not heads[1]
+    assert heads[0].collect() != heads[1].collect()
+    assert cache.rank(spec, rows, top_n=5, index=vectors("[02468]$").orderBy(F.rand(1)), embedded=embedded) is heads[0]
+    with pytest.raises(TypeError):
+        cache.rank(spec, rows, top_n=object())
+    cache.invalidate()
+
+
+def test_appended_rows_alone_are_scored(spark, pools, monkeypatch):
+    """The head after an append equals that of the whole pool, which is then kept under the pool's content."""
+    rows = pools["search", "full"][0]
+    old, new = rows.where(F.xxhash64("candidate_id") % 3 != 0), rows.where(F.xxhash64("candidate_id") % 3 == 0)
+    job = synthetic.ROLES["search"].job
+    cache, scored = engine.Cache(spark), []
+    score = engine.score_pool
+    monkeypatch.setattr(engine, "score_pool", lambda candidates, *a, **k: scored.append(candidates.count()) or score(candidates, *a, **k))
+    cache.rank(job, old, top_n=12)
+    head = cache.append(job, old, new, top_n=12)
+    assert scored == [old.count(), new.count()] and 0 < scored[1] < scored[0]
+    shown = ["rank", "candidate_id", "display_score", "reasoning", "risk_flags"]
+    assert head.select(shown).orderBy("rank").collect() == engine.rank(spark, job, rows, top_n=12).head.select(shown).orderBy("rank").collect()
+    assert cache.rank(job, rows, top_n=12) is head
+    assert cache.append(job, rows.limit(3), new.limit(2), top_n=5).count() == 5  # nothing kept of that pool
+    cache.invalidate()
+
+
 def test_failing_second_score_becomes_a_note(spark, pools):
     def broken(head):
         raise RuntimeError("no model")

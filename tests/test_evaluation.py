@@ -217,3 +217,21 @@ def test_plans_scan_once(spark):
     for q in ("q53_attack_resistance", "q55_name_invariance"):
         own = driver_queries.QUERIES[q](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert own.count("FileScan") == 1 and "Join" not in own
+
+
+@pytest.mark.parametrize("most, ranges", [(1 << 17, 256), (40, 8)])
+def test_percentiles_of_skewed_values(spark, monkeypatch, most, ranges):
+    """One value holds two thirds of the rows, and most others crowd in a thousandth of the scale."""
+    from meritlens.functions import ranges as rg
+
+    monkeypatch.setattr(rg, "SAMPLE", 200)
+    numbers = [7.0] * 6000 + [5.0 + i / 1e6 for i in range(2500)] + [float(i) for i in range(500)]
+    rows = spark.createDataFrame([(v,) for v in numbers], "v double").repartition(4)
+    shares = (0.0, 0.01, 0.2, 0.277, 0.278, 0.3, 0.5, 0.9, 0.99, 1.0)
+    found = profiling.nearest_rank(rows, "v", shares, ranges, most)
+    ordered = sorted(numbers)
+    assert {r.share: r.value for r in found.collect()} == {s: ordered[min(len(ordered) - 1, int(len(ordered) * s))] for s in shares}
+    values = rows.withColumnRenamed("v", "value")
+    for low, high, _ in profiling.narrowed(values, shares, ranges, most).values():
+        inside = F.lit(True) if low is None else F.col("value") >= low
+        assert values.where(inside if high is None else inside & (F.col("value") < high)).distinct().count() <= 1.2 * most
