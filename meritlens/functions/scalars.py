@@ -59,9 +59,9 @@ def seniority(years: Column, preferred: tuple[float, float], strongest: tuple[fl
     )
 
 
-def quality(parts: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
-    """Weighted mean of the generic factors over their own weights."""
-    total = sum(weights.get(k, 0.0) for k in GENERIC) or 1.0
+def quality(parts: Mapping[str, Column], weights: Mapping[str, float | Column], total: Column | None = None) -> Column:
+    """Weighted mean of the generic factors over their own weights (whose ``total`` is given if they are columns)."""
+    total = (sum(weights.get(k, 0.0) for k in GENERIC) or 1.0) if total is None else total
     return clamp(sum((F.lit(weights.get(k, 0.0)) * parts[k] for k in GENERIC), F.lit(0.0)) / total)
 
 

@@ -54,6 +54,19 @@ def term_words(term: str) -> list[str]:
     return [w for w in re.split(r"[\s/\-]+", term.lower()) if len(w) >= 3 or w in lx.SHORT_SKILLS]
 
 
+def coverage_of(tokens: Column | str, terms: Column) -> Column:
+    """:func:`term_coverage` of terms that stand in a column, each as the list of its words (:func:`term_words`)."""
+    have = as_column(tokens)
+
+    def credit(words: Column) -> Column:
+        hits = F.size(F.filter(words, lambda w: F.array_contains(have, w)))
+        enough = F.when(F.size(words) == 1, hits >= 1).otherwise((hits >= 2) | (hits / F.size(words) >= 0.6))
+        return F.when(F.size(words) == 0, 0.0).when(enough, 1.0).when(hits >= 1, 0.4).otherwise(0.0)
+
+    total = F.aggregate(F.transform(terms, credit), F.lit(0.0), lambda a, x: a + x)
+    return F.coalesce(F.when(F.size(terms) > 0, total / F.size(terms)), F.lit(0.0))
+
+
 def term_coverage(tokens: Column | str, terms: Sequence[str]) -> Column:
     """Mean credit of the terms over a token set.
 

@@ -10,16 +10,17 @@ from meritlens.functions import scalars as sc
 from meritlens.functions import text as tx
 from meritlens.operators import audits
 from meritlens.operators.features import has_activity, insufficient_evidence
+from meritlens.operators.jobs import AI_CATEGORY, Job, job_of  # noqa: F401  the category is used by callers
 from meritlens.operators.requirements import Spec
 
-AI_CATEGORY = "ai_ml_search_ranking"
 NO_DATA = "the record has too little in it to assess"
 
 
-def logistics(spec: Spec) -> Column:
-    city = F.exists(tx.strings([c.lower() for c in spec.locations]), lambda c: F.contains(F.lower("location"), c))
+def logistics(spec: Spec | Job) -> Column:
+    job = job_of(spec)
+    city = F.exists(job.cities, lambda c: F.contains(F.lower("location"), c))
     return sc.clamp(
-        F.when(F.lower("country") == spec.country.lower(), 0.55).otherwise(0.15)
+        F.when(F.lower("country") == job.country, 0.55).otherwise(0.15)
         + F.when(city, 0.25).otherwise(0.0)
         + F.when(F.col("willing_to_relocate"), 0.15).otherwise(0.0)
         + F.when(F.col("preferred_work_mode").isin("hybrid", "flexible"), 0.05).otherwise(0.0)
@@ -56,71 +57,75 @@ def trust() -> Column:
     )
 
 
-def coverages(rows: DataFrame, spec: Spec) -> DataFrame:
+def coverages(rows: DataFrame, job: Job) -> DataFrame:
     """Feature rows with the coverage of the spec's texts."""
     return rows.withColumns({
-        "must_cov": tx.term_coverage("tokens", spec.must),
-        "nice_cov": tx.term_coverage("tokens", spec.nice),
-        "career_must": tx.term_coverage("career_tokens", spec.must),
-        "career_nice": tx.term_coverage("career_tokens", spec.nice),
-        "title_cov": tx.term_coverage("title_tokens", (spec.title,)),
-        "disq_cov": tx.term_coverage("tokens", spec.disqualifiers),
+        "must_cov": job.coverage("tokens", "must"),
+        "nice_cov": job.coverage("tokens", "nice"),
+        "career_must": job.coverage("career_tokens", "must"),
+        "career_nice": job.coverage("career_tokens", "nice"),
+        "title_cov": job.coverage("title_tokens", "title"),
+        "disq_cov": job.coverage("tokens", "disqualifiers"),
     })
 
 
-def technical(spec: Spec) -> Column:
+def technical(job: Job) -> Column:
     n = lambda c: F.size(F.col(c))
     capped = lambda c, step, most: F.least(F.lit(most), step * n(c))
-    if spec.category == AI_CATEGORY:
-        base = (
+    base = job.pick(
+        job.ai,
+        lambda: (
             capped("career_retrieval_terms", 0.07, 0.28) + capped("vector_terms", 0.045, 0.18) + capped("eval_terms", 0.04, 0.16)
             + capped("career_production_terms", 0.045, 0.18) + capped("ml_terms", 0.015, 0.12)
             + 0.12 * F.col("must_cov") + 0.04 * F.col("nice_cov")
-        )
-    else:
-        base = (
+        ),
+        lambda: (
             0.48 * F.col("must_cov") + 0.24 * F.col("career_must") + 0.12 * F.col("nice_cov") + 0.08 * F.col("career_nice")
             + F.when(n("career_production_terms") > 0, 0.08).otherwise(0.0)
-        )
+        ),
+    )
     best = F.col("skill_assessment_max")
     return sc.clamp(base + F.when(best >= 70, 0.08).when(best >= 50, 0.04).otherwise(0.0))
 
 
-def career(spec: Spec) -> Column:
+def career(job: Job) -> Column:
     has = lambda c: F.size(F.col(c)) > 0
     give = lambda c, x: F.when(c, x).otherwise(0.0)
     industry = F.lower("current_industry")
-    if spec.category == AI_CATEGORY:
-        base = (
+    base = job.pick(
+        job.ai,
+        lambda: (
             F.when(F.col("ai_title"), 0.32).when(F.col("adjacent_title"), 0.18).otherwise(0.0)
             + give(has("career_retrieval_terms"), 0.16) + give(has("career_production_terms"), 0.12)
             - give(F.col("non_tech_title") & ~has("career_retrieval_terms"), 0.18)
             - give(F.col("service_only") & (F.col("product_company_count") == 0), 0.12)
-        )
-    else:
-        base = (
+        ),
+        lambda: (
             0.22 * F.col("title_cov") + 0.24 * F.col("career_must") + 0.10 * F.col("career_nice")
             + give(has("career_production_terms"), 0.10)
-        )
+        ),
+    )
     named = F.contains(industry, F.lit("hr")) | F.contains(industry, F.lit("ai")) | F.contains(industry, F.lit("software"))
     return sc.clamp(
         base + give(F.col("product_company_count") > 0, 0.18) + 0.12 * F.col("career_must") + 0.04 * F.col("career_nice") + give(named, 0.10)
     )
 
 
-def lexical_relevance(spec: Spec) -> Column:
+def lexical_relevance(job: Job) -> Column:
     must, title, nice = F.col("must_cov"), F.col("title_cov"), F.col("nice_cov")
-    if not spec.must:
-        return sc.clamp(F.greatest(must, title, 0.5 * nice, F.lit(0.4)))
-    return sc.clamp(F.greatest(F.col("career_must"), 0.85 * must, 0.5 * title) + 0.10 * nice)
+    return job.pick(
+        job.has_must,
+        lambda: sc.clamp(F.greatest(F.col("career_must"), 0.85 * must, 0.5 * title) + 0.10 * nice),
+        lambda: sc.clamp(F.greatest(must, title, 0.5 * nice, F.lit(0.4))),
+    )
 
 
-def _finish(rows: DataFrame, spec: Spec, engine: str) -> DataFrame:
+def _finish(rows: DataFrame, job: Job, engine: str) -> DataFrame:
     """From the parts to the final score, eligibility and rounded columns."""
     none = F.col("no_evidence")
     parts = {k: F.col(k) for k in sc.GENERIC}
     gated = rows.withColumn("role_relevance", F.when(none, 0.0).otherwise(F.col("role_relevance"))).withColumns({
-        "general_quality": sc.quality(parts, spec.weights),
+        "general_quality": sc.quality(parts, job.weights, job.total),
         "risk_flags": F.when(none, F.array_append("risk_flags", F.lit("insufficient_evidence"))).otherwise(F.col("risk_flags")),
     })
     scored = gated.withColumns({
@@ -135,22 +140,23 @@ def _finish(rows: DataFrame, spec: Spec, engine: str) -> DataFrame:
     return scored.withColumns({c: F.round(F.col(c), 6) for c in rounded}).drop("soft_penalty", "confidence_parts", "no_evidence")
 
 
-def score_lexical(rows: DataFrame, spec: Spec) -> DataFrame:
-    """Audited feature rows scored by token coverage."""
-    covered = coverages(rows, spec).withColumn("risks", audits.risk_flags())
+def score_lexical(rows: DataFrame, spec: Spec | Job) -> DataFrame:
+    """Audited feature rows scored by token coverage, for one job or for the job that stands in each row."""
+    job = job_of(spec)
+    covered = coverages(rows, job).withColumn("risks", audits.risk_flags())
     loose = (F.col("disq_cov") >= 0.34) & (F.col("must_cov") < 0.34)
     soft = (
         sc.risk_penalty(F.col("risks")) + F.when(loose, 0.06).otherwise(0.0)
         + F.when(F.col("impossible"), 0.0).otherwise(F.col("audit_penalty"))
     )
-    relevance = lexical_relevance(spec)
+    relevance = lexical_relevance(job)
     none = insufficient_evidence()
     grounded = F.when(F.size("career_production_terms") > 0, 0.10).otherwise(0.0)
     scored = covered.withColumns({
-        "technical_evidence": technical(spec),
-        "career_fit": career(spec),
-        "seniority": sc.seniority(F.col("years"), spec.preferred, spec.strongest),
-        "logistics": logistics(spec),
+        "technical_evidence": technical(job),
+        "career_fit": career(job),
+        "seniority": sc.seniority(F.col("years"), job.preferred, job.strongest),
+        "logistics": logistics(job),
         "behavioral": behavioral(),
         "trust": trust(),
         "role_relevance": relevance,
@@ -164,7 +170,7 @@ def score_lexical(rows: DataFrame, spec: Spec) -> DataFrame:
         "confidence_parts": 0.6 * relevance + 0.25 * F.col("career_must") + grounded,
         "concern_notes": F.when(none, F.array(F.lit(NO_DATA))).otherwise(F.array().cast("array<string>")),
     })
-    return _finish(scored.drop("risks"), spec, "spine")
+    return _finish(scored.drop("risks"), job, "spine")
 
 
 def score_hybrid(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -203,4 +209,4 @@ def score_hybrid(rows: DataFrame, spec: Spec) -> DataFrame:
         + F.when(F.col("career_lexical") >= 0.34, 0.15).otherwise(0.0) + 0.10 * signal("engagement"),
         "concern_notes": F.when(none, F.slice(F.array_prepend(details, F.lit(NO_DATA)), 1, 3)).otherwise(details),
     })
-    return _finish(scored, spec, "hybrid")
+    return _finish(scored, job_of(spec), "hybrid")

@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meritlens.functions import scalars as sc
 from meritlens.functions.text import fingerprint
 from meritlens.operators import audits, explain, matching, ranking, requirements, scoring, signals
 from meritlens.operators.features import features
+from meritlens.operators.jobs import JobTable
 from meritlens.operators.requirements import Spec
 from meritlens.sources import readers, sinks
 
@@ -147,17 +149,19 @@ def rank_file(spark: SparkSession, job: Any, path: str, **options) -> RankResult
 def rank_many(spark: SparkSession, jobs: Mapping[str, Any], candidates: DataFrame, *, top_n: int = 100, categories: Mapping[str, str] | None = None) -> DataFrame:
     """(job_id, rank, candidate_id, final_score) of many jobs over one pool.
 
-    Features are worked out once a row, every job adds its score to the same rows, and the heads of all
-    jobs come from one group limit."""
-    rows = audits.audited(features(candidates))
-    kept, listed = rows.columns, []
-    for k, (name, job) in enumerate(jobs.items()):
-        spec = resolve_job(job, (categories or {}).get(name, "ai_ml_search_ranking"))
-        own = F.struct(F.lit(name).alias("job_id"), "final_score", F.col("reach.score").alias("reach"), "risk_flags")
-        listed.append(f"_job{k}")
-        rows = scoring.score_lexical(rows, spec).select(*kept, *listed[:-1], own.alias(listed[-1]))
-    scored = rows.select("candidate_id", "title", F.explode(F.array(*listed)).alias("_job")).select("candidate_id", "title", "_job.*")
-    head = ranking.top(scored, top_n, ranking.rank_order(reach="reach"), by=["job_id"])
+    Jobs are rows of a table, not expressions: features are worked out once a row, then each row meets, of one
+    constant array, the jobs that share a word with it, and the heads of all jobs come from one group limit.  The
+    plan is the same for two jobs and for a thousand.  All other pairs score 0 and go by reachability
+    and id; those that could be in a head are among the pool's first ``top_n`` by these, which meet all jobs."""
+    specs = {name: resolve_job(job, (categories or {}).get(name, "ai_ml_search_ranking")) for name, job in jobs.items()}
+    rows, every = audits.audited(features(candidates)), JobTable.rows(specs)
+    touched = JobTable.touching(every, "tokens", "career_tokens", "title_tokens")
+    reach = sc.reachability(F.col("last_active_months"), F.col("response_rate"), F.col("open_to_work"))["score"]
+    first = rows.withColumn("_reach", reach).orderBy(F.col("_reach").desc(), "candidate_id").limit(top_n).drop("_reach")
+    pairs = rows.withColumn("_job", F.explode(touched)).unionByName(first.withColumn("_job", F.explode(F.array_except(every, touched))))
+    scored = scoring.score_lexical(pairs, JobTable("_job"))
+    listed = scored.select("candidate_id", "title", "_job.job_id", "final_score", F.col("reach.score").alias("reach"), "risk_flags")
+    head = ranking.top(listed, top_n, ranking.rank_order(reach="reach"), by=["job_id"])
     return head.select("job_id", "rank", "candidate_id", "final_score", "title", "risk_flags")
 
 

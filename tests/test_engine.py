@@ -1,9 +1,11 @@
+import dataclasses
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from meritlens.operators import adversarial, audits, evaluation, explain, profiling, signals, synthetic
+from meritlens.functions import lexicons
+from meritlens.operators import adversarial, audits, evaluation, explain, profiling, ranking, requirements, signals, synthetic
 from meritlens.operators.features import features
 from meritlens.plans import engine, reports
 from meritlens.sources import readers, sinks
@@ -170,6 +172,36 @@ def test_many_jobs_and_cache(spark, pools):
     cache.invalidate()
 
 
+def own_job(spec, title, *must):
+    wanted = tuple(requirements.Requirement(t, lexicons.MUST, 1.0, tuple(t.split())) for t in must)
+    return dataclasses.replace(spec, id=title, title=title, category="craft", requirements=wanted)
+
+
+def test_many_jobs_equal_one_by_one(spark, pools):
+    """Heads of the job table equal those of each job alone, filled up with rows that share no word with the job."""
+    rows = pools["search", "full"][0].limit(40)
+    jobs = {n: engine.resolve_job(r.job, category=c) for (n, r), c in zip(synthetic.ROLES.items(), ("ai_ml_search_ranking", "other"))}
+    jobs["strange"] = own_job(jobs["search"], "Glassblower", "furnace blowing", "annealing glass")
+    jobs["empty"] = own_job(jobs["search"], "Anything")
+    got = {}
+    for r in engine.rank_many(spark, jobs, rows, top_n=15).collect():
+        got.setdefault(r.job_id, []).append((r["rank"], r.candidate_id, r.final_score))
+    for name, spec in jobs.items():
+        head = ranking.top(engine.score_pool(rows, spec), 15, ranking.rank_order()).select("rank", "candidate_id", "final_score").collect()
+        assert sorted(got[name]) == sorted((r["rank"], r.candidate_id, r.final_score) for r in head)
+
+
+def test_many_jobs_are_one_plan(spark, pools):
+    """As many plan nodes for a thousand jobs as for two, and one scan for the pairs."""
+    rows = pools["search", "full"][0]
+    spec = engine.resolve_job(synthetic.ROLES["search"].job)
+    nodes = set()
+    for n in (2, 1000):
+        plan = engine.rank_many(spark, {f"j{i}": own_job(spec, f"Role {i}", f"skill{i} python", "retrieval") for i in range(n)}, rows, top_n=5)._jdf.queryExecution().optimizedPlan()
+        nodes.add(plan.collectLeaves().size() * 1000 + len([x for x in plan.treeString().split("\n") if x.strip()]))
+    assert len(nodes) == 1
+
+
 def test_cache_tells_indexes_apart(spark, pools):
     """Two indexes of one schema give two heads; equal rows in another order give one."""
     rows = pools["search", "full"][0]
