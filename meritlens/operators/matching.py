@@ -5,6 +5,7 @@ shuffle.  Tables of requirements are matched by :func:`match_table`."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meritlens.functions import lexicons as lx
+from meritlens.functions import scalars as sc
 from meritlens.functions import text as tx
 from meritlens.functions import vectors as vx
+from meritlens.operators import ranking
 from meritlens.operators.requirements import Requirement
 
 COVERED = 0.30
@@ -125,16 +128,78 @@ def aggregate_table(pairs: DataFrame, requirements: DataFrame, id_col: str, rows
     )
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = 64) -> DataFrame:
-    """(query, key, score): the rescaled cosine of every row with every query but itself.
-
-    Queries are dealt into blocks, and each row meets a block at a time; callers keep the best of each
-    query, which Spark does before anything is shuffled."""
-    blocks = max(1, -(-queries.count() // block))
-    held = queries.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col(key).alias("query"), F.col(vector).alias("v"))).alias("_q"))
-    dealt = rows.select(key, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
-    scored = F.transform("_q", lambda q: F.struct(q["query"].alias("query"), vx.rescaled_cosine(F.col(vector), q["v"]).alias("score")))
-    return dealt.join(held, "_b").select(key, F.explode(scored).alias("x")).select("x.query", key, "x.score").where(F.col("query") != F.col(key))
+#: Pivots of a vector search, queries that a row meets at once, and slack of its bounds.
+PIVOTS, BLOCK, SLACK = 32, 64, 1e-7
+
+
+class Nearest:
+    """The ``k`` best rows of each query by rescaled cosine (in units of 1 / ``units``, then key), itself excluded; exact.
+
+    Each row belongs to the cell of its nearest pivot and keeps its angle to it.  Angles obey the triangle inequality,
+    so that a query's angle to a pivot and the cell's least and greatest angle bound every score in the cell.  A query
+    first visits its best cells until they hold ``k`` rows; their k-th score then rules cells out, and rows within cells.
+    Vectors that are null or zero are a cell of their own, of score 0.  Visits meet rows by cell, BLOCK queries at a time.
+    ``pivots`` vectors and one line for each cell reach the driver."""
+
+    def __init__(self, queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, units: int = 100_000, pivots: int = PIVOTS):
+        self.key, self.k, self.units = key, k, units
+        length = vx.length(F.col(vector))
+        picked = rows.where(length > 0).orderBy(F.xxhash64(key), key).limit(pivots).select(F.col(vector).alias("v"), length.alias("n")).collect()
+        centres = F.from_json(F.lit(json.dumps([[float(x) / r.n for x in r.v] for r in picked])), "array<array<double>>")  # folded into a constant
+        angles = F.when(F.col("_length") > 0, F.transform(centres, lambda p: F.acos(sc.clamp(vx.dot(F.col(vector), p) / F.col("_length"), -1.0, 1.0))))
+        told = lambda df: df.select(key, vector, length.alias("_length")).withColumn("angles", angles)
+        self.rows = told(rows).withColumn("cell", F.coalesce(F.array_position("angles", F.array_min("angles")).cast("int"), F.lit(0))).select(
+            key, F.col(vector).alias("v"), "cell", F.array_min("angles").alias("angle")
+        )
+        cells = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
+        listed = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in r.asDict().items())) for r in cells)).cast("array<struct<cell:int,n:bigint,low:double,high:double>>")
+        asked = told(queries).select(F.col(key).alias("query"), F.col(vector).alias("q"), "angles")
+        theta = lambda c: F.get(F.col("angles"), c["cell"] - 1)
+        apart = lambda c: F.greatest(F.lit(0.0), theta(c) - c["high"], c["low"] - theta(c))
+        ordered = F.array_sort(F.transform(listed, lambda c: F.struct(
+            (-self.most(apart(c))).alias("most"), c["cell"].alias("cell"), c["n"].alias("n"), theta(c).alias("theta"))))
+        before = lambda i: F.aggregate(F.slice("ordered", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        self.asked = asked.withColumn("ordered", ordered).withColumn(
+            "cells", F.transform("ordered", lambda c, i: F.struct((-c["most"]).alias("most"), c["cell"].alias("cell"), c["theta"].alias("theta"), (before(i) <= k).alias("first")))
+        ).select("query", "q", "cells")
+        self.blocks = max(1, -(-queries.count() // BLOCK))
+
+    def rounded(self, score: Column) -> Column:
+        return F.floor(score * self.units + 0.5).cast("long")
+
+    def most(self, apart: Column) -> Column:
+        """The greatest score, in units, at this angle or more; 0 where an angle is missing."""
+        cosine = F.cos(F.greatest(apart - SLACK, F.lit(0.0)))
+        return self.rounded(F.coalesce(sc.clamp((cosine - vx.COSINE_FLOOR) / (vx.COSINE_CEILING - vx.COSINE_FLOOR) + SLACK), F.lit(0.0)))
+
+    def pairs(self, visits: DataFrame) -> DataFrame:
+        """(query, key, score) of the visits (query, q, cell, theta, least) but for pairs under ``least``."""
+        held = visits.groupBy("cell", F.pmod(F.xxhash64("query"), F.lit(self.blocks)).alias("block")).agg(
+            F.collect_list(F.struct("query", "q", "theta", "least")).alias("asking")
+        )
+        open_ = F.filter("asking", lambda q: (q["query"] != F.col(self.key)) & (self.most(F.abs(q["theta"] - F.col("angle"))) >= q["least"]))
+        scored = F.transform(open_, lambda q: F.struct(q["query"].alias("query"), self.rounded(vx.rescaled_cosine(F.col("v"), q["q"])).alias("score")))
+        return self.rows.join(held, "cell").select(self.key, F.explode(scored).alias("x")).select("x.query", self.key, "x.score")
+
+    def first(self) -> DataFrame:
+        """Pairs with the cells that a query visits first."""
+        visits = self.asked.select("query", "q", F.explode(F.filter("cells", lambda c: c["first"])).alias("c"))
+        return self.pairs(visits.select("query", "q", "c.cell", "c.theta", F.lit(0).cast("long").alias("least")))
+
+    def rest(self, best: DataFrame) -> DataFrame:
+        """Pairs with the other cells that may hold a row as good as the k-th of ``best``."""
+        least = best.groupBy("query").agg(F.when(F.count("*") == self.k, F.min("score")).otherwise(0).alias("least"))
+        known = self.asked.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(0).cast("long")))
+        visits = known.select("query", "q", "least", F.explode(F.filter("cells", lambda c: ~c["first"] & (c["most"] >= F.col("least")))).alias("c"))
+        return self.pairs(visits.select("query", "q", "c.cell", "c.theta", "least"))
+
+    def best(self, pairs: DataFrame) -> DataFrame:
+        return ranking.top(pairs, self.k, [F.col("score").desc(), F.col(self.key)], by=["query"])
+
+    def result(self) -> DataFrame:
+        """(query, key, score, rank)."""
+        near = self.best(self.first()).drop("rank")
+        return self.best(near.unionByName(self.rest(near)))
 
 
 def top_matches(matched: str = "matches", most: int = 4) -> Column:
