@@ -26,6 +26,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,7 @@ def _refinement(correction: np.ndarray) -> tuple[list[int], np.ndarray]:
     return symbols, np.concatenate(bits)
 
 
+@lru_cache(maxsize=256)
 def _mcu_order(columns: int, rows: int) -> np.ndarray:
     """Blocks (luma, Cb, Cr one after another) in the order of interleaved scans."""
     luma = np.arange(4 * rows * columns).reshape(rows, 2, columns, 2).transpose(0, 2, 1, 3).reshape(rows * columns, 4)
@@ -154,6 +156,19 @@ def write(payload: bytes) -> bytes:
     return b"".join([*out, b"\xff\xd9"])
 
 
+@lru_cache(maxsize=256)
+def _block_orders(down: int, across: int, height: int, width: int, v: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks in the order of a scan of one component, and of interleaved scans (units, blocks of one)."""
+    own = (np.arange(down)[:, None] * width + np.arange(across)).ravel()
+    grid = np.arange(height * width).reshape(height // v, v, width // h, h).transpose(0, 2, 1, 3)
+    return own, grid.reshape(-1, v * h)
+
+
+def _taken(blocks: np.ndarray) -> slice | np.ndarray:
+    """An index of these blocks: a slice, which copies nothing, where they follow each other."""
+    return slice(int(blocks[0]), int(blocks[-1]) + 1) if blocks[-1] - blocks[0] == len(blocks) - 1 else blocks
+
+
 @dataclass
 class Component:
     """Sampling factors, quantisers and accumulated coefficients (zigzag order) of a component."""
@@ -171,10 +186,7 @@ class Component:
 
     def __post_init__(self):
         self.coefficients = np.zeros((self.height * self.width, 64), dtype=np.int32)
-        self.own_blocks = (np.arange(self.down)[:, None] * self.width + np.arange(self.across)).ravel()
-        rows, columns = self.height // self.v, self.width // self.h
-        grid = np.arange(self.height * self.width).reshape(rows, self.v, columns, self.h).transpose(0, 2, 1, 3)
-        self.unit_blocks = grid.reshape(rows * columns, self.v * self.h)
+        self.own_blocks, self.unit_blocks = _block_orders(self.down, self.across, self.height, self.width, self.v, self.h)
 
 
 class Codes(dict):
@@ -256,6 +268,7 @@ class Image:
         return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+@lru_cache(maxsize=256)
 def _code_table(counts: bytes, symbols: bytes) -> Codes:
     """Canonical codes, written as text of 0 and 1."""
     out, code, k = Codes(), 0, 0
@@ -301,11 +314,14 @@ def _read_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int)
         # a table of one symbol without a run: every coefficient has a code and ``size`` bits
         code = len(next(iter(codes)))
         sent = bits.take(len(blocks) * width * (code + size)).reshape(len(blocks), width, code + size)[:, :, code:]
-        value = np.zeros((len(blocks), width), dtype=np.int32)
-        for k in range(size):
-            value = value << 1 | sent[:, :, k]
-        value = np.where(sent[:, :, 0] == 1, value, value - (1 << size) + 1)
-        c.coefficients[blocks, ss : se + 1] = value << al
+        if size <= 8:
+            value = (np.packbits(sent, axis=2)[:, :, 0] >> (8 - size)).astype(np.int32)
+        else:
+            value = np.zeros((len(blocks), width), dtype=np.int32)
+            for k in range(size):
+                value = value << 1 | sent[:, :, k]
+        value -= (sent[:, :, 0] == 0) * np.int32((1 << size) - 1)
+        c.coefficients[_taken(blocks), ss : se + 1] = value << al
         return
     run = 0
     for b in blocks:
@@ -328,6 +344,10 @@ def _read_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int)
 
 def _correct(bits: Bits, part: np.ndarray, al: int) -> None:
     """One correction bit for each coefficient of ``part`` that is not zero."""
+    if np.count_nonzero(part) == part.size:
+        sent = bits.take(part.size).reshape(part.shape).astype(np.int32) << al
+        part += np.where(part > 0, sent, -sent)
+        return
     flat = part.ravel()
     there = np.flatnonzero(flat)
     sent = bits.take(len(there)).astype(np.int32) << al
@@ -347,7 +367,7 @@ def _refine_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int
                 run = (1 << r) + bits.number(r)
                 rest = row[k : se + 1].copy()
                 if run > 1 and k == ss:  # a run of whole blocks
-                    own = blocks[at : at + run]
+                    own = _taken(blocks[at : at + run])
                     part = c.coefficients[own, ss : se + 1]
                     _correct(bits, part, al)
                     c.coefficients[own, ss : se + 1] = part
@@ -356,7 +376,7 @@ def _refine_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int
                     _correct(bits, rest, al)
                     row[k : se + 1] = rest
                     if run > 1:
-                        own = blocks[at + 1 : at + run]
+                        own = _taken(blocks[at + 1 : at + run])
                         part = c.coefficients[own, ss : se + 1]
                         _correct(bits, part, al)
                         c.coefficients[own, ss : se + 1] = part
