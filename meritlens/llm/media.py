@@ -261,11 +261,14 @@ class Image:
         """(height, width, 3) tensor of 8-bit samples."""
         planes = self.planes()
         if len(planes) == 1:
-            out = np.repeat(planes[0][:, :, None], 3, axis=2)
+            channels = [planes[0]] * 3
         else:
             y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-            out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+            channels = [y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb]
+        out = np.empty((*planes[0].shape, 3), dtype=np.uint8)
+        for k, channel in enumerate(channels):
+            out[:, :, k] = np.clip(np.rint(channel), 0, 255)
+        return out
 
 
 @lru_cache(maxsize=256)
@@ -464,9 +467,9 @@ def payload_of(image: Image) -> bytes:
 
 def feature(rgb: np.ndarray) -> str:
     """Size, mean and spread of each channel, and a 16-bin histogram of the luma-like mean."""
-    flat = rgb.reshape(-1, 3)
-    counts = np.array([np.bincount(flat[:, k], minlength=256) for k in range(3)])
-    levels, n = np.arange(256), len(flat)
+    # one count over three ranges of 256 levels, one for each channel
+    counts = np.bincount((rgb.reshape(-1, 3) + np.array([0, 256, 512])).ravel(), minlength=768).reshape(3, 256)
+    levels, n = np.arange(256), rgb.shape[0] * rgb.shape[1]
     mean = counts @ levels / n
     spread = np.sqrt(np.maximum(counts @ levels**2 / n - mean**2, 0))
     bins = counts.sum(axis=0).reshape(16, 16).sum(axis=1) / (3 * n)
