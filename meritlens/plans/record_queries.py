@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from meritlens.functions import lexicons as lx
 from meritlens.functions import scalars as sc
-from meritlens.operators import adversarial, audits, matching, profiling, requirements, scoring, signals
+from meritlens.functions import text as tx
+from meritlens.operators import adversarial, audits, explain, matching, profiling, ranking, requirements, scoring, signals, validation
 from meritlens.operators.features import features, has_activity, insufficient_evidence
 from meritlens.plans import engine
 from meritlens.plans.driver_queries import _clamp_sql, _coverage_sql, _list, _tokens_sql, query, read
@@ -398,6 +399,86 @@ def q50(spark, sf):
     return engine.rank_many(spark, {"search": SPEC, "backend": OTHER}, records(spark, sf), top_n=40).select("job_id", _id(), "rank")
 
 
+# Reasons of the head and their audit.
+
+def _variant_sql(options) -> str:
+    seed = "list_sum(list_transform(regexp_extract_all(lpad(doc_id::VARCHAR, 12, '0'), '.'), lambda c: ascii(c))) + rank"
+    return f"{_list(options)}[(({seed}) % {len(options)})::INTEGER + 1]"
+
+
+_SEEN = "(months <= 3 OR rate >= 0.4)"
+_REACH_LABEL = (
+    f"(CASE WHEN NOT {_ACTIVE} AND coalesce(open, false) THEN 'reachable' WHEN NOT {_ACTIVE} THEN 'unknown' WHEN {_SEEN} AND NOT coalesce(open, true) THEN 'passive' "
+    f"WHEN {_SEEN} THEN 'reachable' WHEN months >= 6 OR rate < 0.15 THEN 'stale' ELSE 'passive' END)"
+)
+_MUST_WORDS = [w for t in SPEC.must for w in tx.keywords_of(t)]
+_TERMS_SQL = (
+    f"list_concat(list_filter({_list(_MUST_WORDS)}, lambda w: list_contains(tokens, w)), "
+    f"list_filter({_list(sorted(lx.RETRIEVAL_TERMS))}, lambda t: contains(career_text, t) AND list_contains(tokens, t)))"
+)
+_LEADS_SQL = "list_filter([" + ", ".join(
+    f"CASE WHEN round({k}, 6) - round(lead({k}) OVER (ORDER BY rank), 6) >= {explain.CLEAR_LEAD}::DOUBLE THEN '{v.lower()}' END" for k, v in explain.FACTOR_LABELS.items()
+) + "], lambda x: x IS NOT NULL)[1]"
+#: The first of equal elements stays, in order.
+_DISTINCT_SQL = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def _reasons_sql(n: int) -> str:
+    """The head of the lexical path with its reasons."""
+    head = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(final_score, 3) DESC, reach DESC, doc_id)::INTEGER AS rank FROM ({_spine_sql()})) WHERE rank <= {n}"""
+    parts = f"""SELECT *, CASE WHEN rank <= 5 THEN 'top' WHEN rank <= 20 THEN 'high' WHEN rank <= 60 THEN 'mid' ELSE 'low' END AS band, {_TERMS_SQL} AS named,
+      {_LEADS_SQL} AS led, {_REACH_LABEL} AS label, CASE WHEN none THEN list_append(flags, 'insufficient_evidence') ELSE flags END AS all_flags FROM ({head})"""
+    opener = "CASE band " + " ".join(f"WHEN '{k}' THEN {_variant_sql(v)}" for k, v in explain.OPENERS.items()) + " END"
+    strength = f"""(CASE WHEN trim(title) <> '' THEN title || ', ' ELSE '' END) || printf('%.1f years', years) ||
+      (CASE WHEN round(role_relevance, 6) >= 0.7 THEN '; covers most of what the role asks for: ' WHEN round(role_relevance, 6) >= 0.45 THEN '; covers much of the role: '
+        WHEN round(role_relevance, 6) >= 0.25 THEN '; covers some of the role: ' ELSE '; covers little of the role: ' END) ||
+      coalesce(nullif(array_to_string({_DISTINCT_SQL.format('named')}[1:4], ', '), ''), 'related work') || '.'"""
+    reach = """CASE WHEN band IN ('top', 'high') THEN CASE label WHEN 'reachable' THEN 'Likely to answer.' WHEN 'stale' THEN 'Has been inactive for long.'
+      WHEN 'passive' THEN 'Not looking, but active.' END END"""
+    caution = """CASE WHEN len(all_flags) > 0 THEN 'To check: ' || replace(array_to_string(flags_in_order[1:2], '; '), '_', ' ') || '.'
+      WHEN band = 'low' THEN 'Check the main requirements before a call.' END"""
+    ordered = _DISTINCT_SQL.format("list_concat(risks, codes)")
+    return f"""SELECT *, CASE WHEN none THEN 'The record has too little usable data to assess; check its format.' ELSE left(concat_ws(' ', {opener}, {strength},
+      CASE WHEN rank <= 25 AND led IS NOT NULL THEN 'Ahead of #' || (rank + 1) || ' on ' || led || '.' END, {reach}, {caution}), 500) END AS reasoning
+      FROM (SELECT *, {ordered} AS flags_in_order FROM ({parts}))"""
+
+
+@query("q57_reasons", f"SELECT doc_id, rank, reasoning FROM ({_reasons_sql(100)})")
+def q57(spark, sf):
+    """The head of 100 with its reasons, as the ranking facade gives them."""
+    return engine.rank(spark, SPEC, records(spark, sf), engine="spine").head.select(_id(), F.col("rank").cast("int").alias("rank"), "reasoning")
+
+
+_GROUNDS = {
+    "career_retrieval_terms": ("career_text", lx.RETRIEVAL_TERMS), "career_production_terms": ("career_text", lx.PRODUCTION_TERMS),
+    "skill_retrieval_terms": ("skill_text", lx.RETRIEVAL_TERMS), "skill_vector_terms": ("skill_text", lx.VECTOR_TERMS), "skill_ml_terms": ("skill_text", lx.ML_TERMS),
+    "vector_terms": ("all_text", lx.VECTOR_TERMS), "eval_terms": ("all_text", lx.EVAL_TERMS), "production_terms": ("all_text", lx.PRODUCTION_TERMS),
+}
+_EVIDENCE_SQL = (
+    "list_concat(regexp_extract_all(lower(all_text || ' ' || career_text || ' ' || skill_text || ' ' || title), '[a-z0-9+#./]+'), [lower(title), lower(location), lower(country)]"
+    + "".join(f", list_filter({_list(sorted(terms))}, lambda t: contains({c}, t))" for c, terms in _GROUNDS.values()) + ")"
+)
+_CLAIMS_SQL = "list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(lower(trim(reasoning)), '\\b{t}\\b') AND NOT list_contains(evidence, '{t}') THEN '{t}' END" for t in validation.CHECKED_TERMS
+) + "], lambda x: x IS NOT NULL)"
+_PROBLEMS_SQL = f"""list_filter([CASE WHEN count(*) OVER (PARTITION BY whose, trim(reasoning)) > 1 THEN 'duplicate' END, CASE WHEN trim(reasoning) = '' THEN 'empty' END,
+  CASE WHEN length(trim(reasoning)) < 40 THEN 'short' END, CASE WHEN length(trim(reasoning)) > 500 THEN 'long' END,
+  CASE WHEN rank > 75 AND contains(lower(reasoning), 'excellent') THEN 'overstated' END,
+  CASE WHEN len({_CLAIMS_SQL}) > 0 THEN 'not_in_record: ' || array_to_string({_CLAIMS_SQL}, ', ') END], lambda x: x IS NOT NULL)"""
+
+
+@query("q58_grounding_audit", f"""WITH head AS (SELECT *, {_EVIDENCE_SQL} AS evidence FROM ({_reasons_sql(100)})),
+  told AS (SELECT 'own' AS whose, doc_id, rank, reasoning, evidence FROM head UNION ALL
+    SELECT 'next', doc_id, rank, coalesce(lead(reasoning) OVER (ORDER BY rank), ''), evidence FROM head)
+SELECT whose, doc_id, unnest({_PROBLEMS_SQL}) AS problem FROM told""")
+def q58(spark, sf):
+    """The audit of the head's reasons, and of the same head with each reason moved up by one row, which must be found out."""
+    head = validation.evidence_tokens(engine.rank(spark, SPEC, records(spark, sf), engine="spine").head)
+    moved = ranking.with_neighbour(head.drop("neighbour"), ["reasoning"]).withColumn("reasoning", F.col("neighbour.reasoning"))
+    found = [validation.reason_problems(rows, "evidence").select(F.lit(whose).alias("whose"), _id(), "problem") for whose, rows in (("own", head), ("next", moved))]
+    return found[0].unionByName(found[1])
+
+
 # The hybrid path.
 
 def _vector_list(v) -> str:

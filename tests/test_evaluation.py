@@ -156,6 +156,26 @@ def test_reason_problems(spark):
     assert got == {("a", "not_in_record: faiss"), ("b", "short"), ("c", "overstated"), ("d", "duplicate"), ("e", "duplicate")}
 
 
+def test_grounding_of_any_terms(spark):
+    """Words at the borders of other words, terms of several words, nulls, repeated blanks and the number of rows."""
+    long = " and so on, at some length, as reasons must be"
+    rows = spark.createDataFrame([
+        ("in_words", 1, "researching pre-search_terms, kafkaesque éranking" + long, ["x"]), ("borders", 2, "(search)/KAFKA-mrr." + long, ["search"]),
+        ("phrase", 3, "Vector\nSearch, then vector, search engines" + long, ["vector"]), ("known", 4, "vector search with kafka" + long, ["kafka", "search", "vector"]),
+        ("null", None, None, None), ("blank", 5, "  ", []), ("weak", None, "Excellent" + long, []), ("fine", 75, "excellent " + long + " x" * 200, []),
+        ("long", 6, "y" * 501, []),
+    ], "candidate_id string, rank int, reasoning string, tokens array<string>")
+    terms = (*validation.CHECKED_TERMS, "vector search", "search engines at")
+    got = {}
+    for r in validation.reason_problems(rows, expected=10, terms=terms).collect():
+        got.setdefault(r.candidate_id, set()).add(r.problem)
+    assert got == {
+        "borders": {"not_in_record: mrr, kafka"}, "phrase": {"not_in_record: search, vector search"}, "null": {"duplicate", "empty", "short"},
+        "blank": {"duplicate", "empty", "short"}, "weak": {"overstated"}, "long": {"long"}, None: {"row_count: 9"},
+    }
+    assert validation.reason_problems(rows.limit(0)).count() == 0 and validation.reason_problems(rows, expected=9).where("candidate_id is null").count() == 0
+
+
 def test_ranks_where_one_score_holds_most_rows(spark):
     """Nine of ten rows have one score: its keys are dealt out, no range holds them all, and ranks are those of a full sort."""
     from meritlens.functions.ranges import order_bounds, order_of, range_of
