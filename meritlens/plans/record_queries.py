@@ -17,6 +17,7 @@ from meritlens.operators import adversarial, audits, explain, matching, profilin
 from meritlens.operators.features import features, has_activity, insufficient_evidence
 from meritlens.plans import engine
 from meritlens.plans.driver_queries import _clamp_sql, _coverage_sql, _list, _tokens_sql, query, read
+from meritlens.sources import repair
 from meritlens.sources.schema import CANDIDATE
 
 
@@ -578,3 +579,70 @@ def q55(spark, sf):
 def q56(spark, sf):
     reach = sc.reachability(F.col("last_active_months"), F.col("response_rate"), F.col("open_to_work"))
     return features(records(spark, sf)).select(_id(), units(reach["score"], 1000).alias("reach"))
+
+
+# Repair of lines that hold records, whole or damaged.
+
+_QUOTED = "coalesce(text, '')"
+for _raw, _shown in ((92, "chr(92) || chr(92)"), (34, "chr(92) || chr(34)"), (10, "chr(92) || 'n'"), (13, "chr(92) || 'r'"), (9, "chr(92) || 't'")):
+    _QUOTED = f"replace({_QUOTED}, chr({_raw}), {_shown})"
+_SUMMARY = f"'\"summary\":\"' || {_QUOTED} || '\"'"
+
+
+def _piece(of: int, *values: str) -> str:
+    """One of the SQL texts by doc_id; the last for the rest."""
+    return f"CASE doc_id % {of} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values[:-1])) + f" ELSE {values[-1]} END"
+
+
+_RECORD = "'{' || " + " || ',' || ".join(f"({p})" for p in (
+    _piece(7, "'\"other\":1'", "'\"candidate_id\":null'", "'\"candidate_id\":\"D' || CAST(doc_id AS STRING) || '\"'"),
+    _piece(5, "'\"profile\":3'", f"'\"profile\":{{' || {_SUMMARY} || '}}'", f"'\"profile\":{{' || {_SUMMARY} || ',\"location\":\"Pune\",\"current_title\":\"Cook\",\"years_of_experience\":4.5}}'",
+           f"'\"profile\":{{\"years_of_experience\":0,\"current_title\":\"\",' || {_SUMMARY} || '}}'", "'\"profile\":{\"years_of_experience\":\"7\",\"current_company\":\"Own\"}'"),
+    _piece(4, "'\"career_history\":null'", "'\"career_history\":[{\"title\":\"A\",\"company\":\"X\",\"duration_months\":' || CAST(doc_id % 90 AS STRING) || '},\"x\",{\"title\":\"B\",\"is_current\":true,\"duration_months\":\"15\"}]'",
+           "'\"career_history\":[{\"title\":\"C\",\"company\":\"Z\",\"duration_months\":2.7},{\"company\":\"W\",\"duration_months\":null}]'", "'\"career_history\":{}'"),
+    _piece(3, "'\"skills\":null'", "'\"skills\":[\"Python\",{\"name\":\"SQL\"}]'", "'\"skills\":\"x\"'"),
+    _piece(6, "'\"signals\":{\"verified_email\":true}'", "'\"signals\":{\"profile_completeness_score\":77}'", "'\"signals\":5'", "'\"signals\":null'", "'\"education\":[]'"),
+)) + " || '}'"
+LINE = _piece(13, f"left({_RECORD}, length({_RECORD}) - 1)", f"'[' || {_RECORD} || ']'", "'  '", "'not json: ' || coalesce(text, '')", _RECORD)
+
+_JOBS_SQL = """CASE WHEN json_type(r, '$.career_history') = 'ARRAY' THEN list_filter(CAST(r->'$.career_history' AS JSON[]), lambda x: json_type(x) = 'OBJECT') ELSE [] END"""
+_NONE = "coalesce({0}, '') = ''"
+
+
+@query("q59_repair", f"""WITH lines AS (SELECT doc_id, {LINE} AS line FROM documents),
+  j AS (SELECT doc_id, CASE WHEN trim(line) = '' THEN 'blank' WHEN NOT json_valid(line) THEN 'not_json' WHEN json_type(line) <> 'OBJECT' THEN 'not_object' END AS error,
+    CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' THEN line ELSE '{{}}' END::JSON AS r FROM lines),
+  a AS (SELECT *, {_JOBS_SQL} AS jobs, json_type(r, '$.profile') = 'OBJECT' AS has_profile, json_array_length(r, '$.career_history') AS n_items,
+    CASE WHEN json_type(r, '$.skills') = 'ARRAY' THEN json_array_length(r, '$.skills') ELSE 0 END AS n_skills FROM j),
+  b AS (SELECT *, coalesce(list_sum(list_transform(jobs, lambda x: floor(coalesce(try_cast(x->>'$.duration_months' AS DOUBLE), 0)))), 0)::BIGINT AS months,
+    coalesce(list_filter(jobs, lambda x: x->>'$.is_current' = 'true')[1], jobs[1]) AS now, r->>'$.profile.current_title' AS given_title,
+    try_cast(r->>'$.profile.years_of_experience' AS DOUBLE) AS given_years, r->>'$.profile.current_company' AS given_company FROM a),
+  c AS (SELECT *, coalesce(given_years, 0) = 0 AND months <> 0 AS no_years, {_NONE.format('given_title')} AND now IS NOT NULL AS no_title FROM b),
+  d AS (SELECT *, no_title AND {_NONE.format('given_company')} AS no_company, CASE WHEN no_title THEN coalesce(now->>'$.title', '') ELSE given_title END AS title FROM c),
+  e AS (SELECT *, list_filter([CASE WHEN NOT coalesce(has_profile, false) THEN 'profile' END, CASE WHEN coalesce(json_type(r, '$.career_history'), '') <> 'ARRAY' THEN 'career_history' END,
+    CASE WHEN coalesce(json_type(r, '$.education'), '') <> 'ARRAY' THEN 'education' END, CASE WHEN coalesce(json_type(r, '$.skills'), '') <> 'ARRAY' THEN 'skills' END,
+    CASE WHEN coalesce(json_type(r, '$.signals'), '') <> 'OBJECT' THEN 'signals' END, CASE WHEN {_NONE.format("r->>'$.candidate_id'")} THEN 'id' END,
+    CASE WHEN len(jobs) < n_items THEN 'jobs' END, CASE WHEN no_years THEN 'years' END, CASE WHEN no_title THEN 'title' END, CASE WHEN no_company THEN 'company' END,
+    CASE WHEN (r->>'$.signals.profile_completeness_score') IS NULL THEN 'completeness' END, CASE WHEN (r->>'$.signals.verified_email') IS NULL THEN 'verified' END], lambda x: x IS NOT NULL) AS fixed,
+    coalesce((r->>'$.signals.profile_completeness_score')::BIGINT, 20 + 16 * ((NOT {_NONE.format("r->>'$.profile.summary'")})::INTEGER + (NOT {_NONE.format('title')})::INTEGER
+      + (NOT {_NONE.format("r->>'$.profile.location'")})::INTEGER + (len(jobs) > 0)::INTEGER + (n_skills > 0)::INTEGER))::BIGINT AS complete FROM d)
+SELECT doc_id, error, CASE WHEN error IS NULL THEN array_to_string(fixed, '|') ELSE '' END AS fixes, CASE WHEN error IS NULL THEN r->>'$.candidate_id' END AS given_id,
+  CASE WHEN error IS NULL THEN sha256(coalesce(r->>'$.profile.summary', '')) END AS summary_sha256,
+  CASE WHEN error IS NULL THEN CASE WHEN no_years THEN (months * 10 // 12 + CASE WHEN months * 10 % 12 > 6 OR (months * 10 % 12 = 6 AND months * 10 // 12 % 2 = 1) THEN 1 ELSE 0 END)::BIGINT
+    ELSE round(given_years * 10)::BIGINT END END AS years_tenths,
+  CASE WHEN error IS NULL THEN title END AS title, CASE WHEN error IS NULL THEN CASE WHEN no_company THEN coalesce(now->>'$.company', '') ELSE given_company END END AS company,
+  CASE WHEN error IS NULL THEN complete END AS complete, CASE WHEN error IS NULL THEN coalesce(r->>'$.signals.verified_email', 'false') END AS verified,
+  CASE WHEN error IS NULL THEN len(jobs)::INTEGER END AS n_jobs, CASE WHEN error IS NULL THEN n_skills::INTEGER END AS n_skills FROM e""")
+def q59(spark, sf):
+    """Every line gives a row: what was repaired and to what, or why it was turned away."""
+    lines = read(spark, sf, "documents").select("doc_id", F.expr(LINE).alias("line"))
+    rows = repair.repaired(lines, "line", position="doc_id", keep=("doc_id",))
+    fine = F.col("error").isNull()
+    given = F.when(fine & ~F.array_contains("fixes", "id"), F.col("candidate_id"))
+    return rows.select(
+        "doc_id", F.col("error.kind").alias("error"), F.array_join("fixes", "|").alias("fixes"), given.alias("given_id"),
+        F.when(fine, F.sha2(F.coalesce("profile.summary", F.lit("")), 256)).alias("summary_sha256"),
+        F.round(F.col("profile.years_of_experience") * 10).cast("long").alias("years_tenths"), F.col("profile.current_title").alias("title"),
+        F.col("profile.current_company").alias("company"), F.col("signals.profile_completeness_score").cast("long").alias("complete"),
+        F.col("signals.verified_email").alias("verified"), F.when(fine, F.size("career_history")).alias("n_jobs"), F.when(fine, F.size("skills")).alias("n_skills"),
+    )

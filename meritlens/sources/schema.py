@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,12 @@ PROFILE_FIELDS = (
 )
 
 
-def from_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+def from_json_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Candidate rows from JSON text, one record each.
 
     Containers that are missing, null or of another kind become empty; a skill may be an object or
-    a bare string; signals keep every field as JSON text, so their vocabulary is open."""
+    a bare string; signals keep every field as JSON text, so their vocabulary is open.  The columns
+    of ``lines`` named in ``keep`` come first."""
     v = F.try_parse_json(F.col(column))
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     text = lambda path: get(path, "string")
@@ -39,9 +42,11 @@ def from_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         *(get(f"$.profile.{f}", "double" if f == "years_of_experience" else "string").alias(f) for f in PROFILE_FIELDS)
     )
     variants = lambda path: F.coalesce(get(path, "array<variant>"), F.array().cast("array<variant>"))
-    inner = lambda x, fields: F.struct(
-        *(F.try_variant_get(x, f"$.{name}", kind).alias(name) for name, kind in fields)
+    # months may be fractions or text; what they hold beyond whole numbers is cut
+    field = lambda x, name, kind: (
+        F.try_variant_get(x, f"$.{name}", "double").try_cast("int") if name == "duration_months" else F.try_variant_get(x, f"$.{name}", kind)
     )
+    inner = lambda x, fields: F.struct(*(field(x, name, kind).alias(name) for name, kind in fields))
     career = (
         ("company", "string"), ("title", "string"), ("start_date", "string"), ("end_date", "string"),
         ("duration_months", "int"), ("is_current", "boolean"), ("industry", "string"), ("company_size", "string"),
@@ -69,6 +74,7 @@ def from_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     kept = F.map_filter(F.coalesce(signals, F.create_map().cast("map<string,variant>")), lambda k, x: ~F.is_variant_null(x))
     is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     return lines.where(v.isNotNull() & is_object).select(
+        *keep,
         text("$.candidate_id").alias("candidate_id"),
         profile.alias("profile"),
         F.transform(variants("$.career_history"), lambda x: inner(x, career)).alias("career_history"),
