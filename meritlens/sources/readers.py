@@ -90,10 +90,14 @@ def json_adapter(spark: SparkSession, source: Any) -> DataFrame:
     else:
         whole = spark.read.text(text, wholetext=not text.lower().removesuffix(".gz").endswith(("jsonl", "ndjson")))
     parsed = F.try_parse_json("value")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    # the parser ignores what follows a value, so a first line that is an object by itself tells lines from one object
+    by_line = F.startswith(F.schema_of_variant(F.try_parse_json(F.try_element_at(lines, F.lit(1)))), F.lit("OBJECT"))
     items = F.coalesce(
+        F.when(by_line, F.transform(lines, F.try_parse_json)),
         F.try_variant_get(parsed, "$", "array<variant>"),
         F.when(parsed.isNotNull(), F.array(parsed)),
-        F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), F.try_parse_json),
+        F.transform(lines, F.try_parse_json),
     )
     listed = whole.select(F.explode(items).alias("v")).where("v is not null")
     return listed.where(F.schema_of_variant("v").startswith("OBJECT")).select(F.to_json("v").alias("value"))

@@ -52,7 +52,8 @@ def repaired(lines: DataFrame, column: str = "value", position: str | None = Non
     years of experience (0 counts as missing), title and company follow from the jobs.  Completeness and a verified
     address (false) are filled in; the open-to-work flag never is.  A record without an id is named by its position
     if a column gives one, else by the hash of its line, so that equal lines have equal ids.  Other columns of
-    ``lines`` are dropped, those of ``keep`` too if their names are taken here.  Lines that are blank or null, no JSON, or no object keep null in all candidate columns."""
+    ``lines`` are dropped, those of ``keep`` too if their names are taken here.  Lines that are blank or null, no JSON, or no object keep null in all candidate columns.
+    What follows a whole value on its line is not looked at."""
     own = [F.col(c) for c in keep if c not in ("source", "error", "fixes", *CANDIDATE_COLUMNS)]
     kept = [*own, F.col(column).alias("source")] + ([F.col(position).cast("long").alias("_position")] if position else [])
     judged = _judged(lines, column).select(*kept, "error", "fixes", "_line")
