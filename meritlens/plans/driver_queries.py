@@ -155,15 +155,20 @@ def q05(spark, sf):
     return rows.select("doc_id", micro(tx.term_coverage("tokens", MUST + NICE)).alias("coverage"))
 
 
-def _keywords_sql(text: str) -> str:
+def _telling_sql(text: str) -> str:
+    """All telling words in order, repeats included."""
     from meritlens.functions import lexicons as lx
 
     found = f"regexp_extract_all(lower({text}), '[a-zA-Z][a-zA-Z0-9+#/.-]*|[.][a-zA-Z]+')"
     bare = f"list_transform({found}, lambda t: regexp_replace(t, '^[-/]+|[-/]+$', '', 'g'))"
-    kept = (
+    return (
         f"list_filter({bare}, lambda t: (length(t) >= 3 OR list_contains({_list(lx.SHORT_SKILLS)}, t)) "
         f"AND NOT list_contains({_list(lx.STOPWORDS)}, t))"
     )
+
+
+def _keywords_sql(text: str) -> str:
+    kept = _telling_sql(text)
     first = f"list_filter({kept}, lambda t, i: list_position({kept}, t) = i)"
     return f"({first})[1:6]"
 

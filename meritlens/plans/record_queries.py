@@ -16,7 +16,7 @@ from meritlens.functions import text as tx
 from meritlens.operators import adversarial, audits, explain, matching, profiling, ranking, requirements, scoring, signals, validation
 from meritlens.operators.features import features, has_activity, insufficient_evidence
 from meritlens.plans import engine
-from meritlens.plans.driver_queries import _clamp_sql, _coverage_sql, _list, _tokens_sql, query, read
+from meritlens.plans.driver_queries import _clamp_sql, _coverage_sql, _list, _telling_sql, _tokens_sql, query, read
 from meritlens.sources import repair
 from meritlens.sources.schema import CANDIDATE
 
@@ -646,3 +646,62 @@ def q59(spark, sf):
         F.col("profile.current_company").alias("company"), F.col("signals.profile_completeness_score").cast("long").alias("complete"),
         F.col("signals.verified_email").alias("verified"), F.when(fine, F.size("career_history")).alias("n_jobs"), F.when(fine, F.size("skills")).alias("n_skills"),
     )
+
+
+# Job descriptions, one for each document: the whole text among sections of requirements.
+
+_NL = " || chr(10) || "
+DESCRIPTION = _NL.join((
+    _pick("Senior Search Engineer.", "We hire", "Accountant, Pune", "Data Engineer (Remote).", ""),
+    _pick("5-9 years.", "Pune or Noida", "6+ years of experience in retrieval, ranking and search", "About the role:", "3 to 5 yrs, Berlin", "Must have 4-8 years, Mumbai, ideally more"),
+    "coalesce(text, '')",
+    _pick("Must have strong Python, SQL and Spark.", "You need:", "Requirements: retrieval/ranking, vector search or embeddings", "Experience with Kafka; monitoring; and on-call work.", "", "We need people who ship. Deep knowledge of NDCG, recall and offline tests is critical."),
+    _pick("Nice to have:", "Bonus points for LoRA, distillation, and quantisation work.", "Things you would like", ""),
+    _pick("Terraform and Helm", "open source work on search engines, or papers; talks/blogs", "Python, SQL and Spark.", "a, b, c", "go, r and c++ in .NET shops"),
+    _pick("Not a fit: pure research careers.", "We will not move forward with keyword lists.", "", "Red flag: job hopping every year, or no shipped work.", "We do not want consultants"),
+    _pick("Relocation to Pune is possible.", "10+ years", "python and sql.", "Must have Python, SQL and Spark."),
+))
+
+
+def _has(c: str, cues) -> str:
+    return f"len(list_filter({_list(cues)}, lambda x: contains({c}, x))) > 0"
+
+
+def _matches(c: str, pattern: str) -> str:
+    return f"regexp_matches({c}, '{pattern}')"
+
+
+_CUT_SQL = "regexp_replace(description, '([.!?;:])\\s+', '\\1' || chr(1), 'g')"
+# white space behind line ends is a second cut
+_CUT_SQL = f"regexp_replace(regexp_replace({_CUT_SQL}, '\\n+[ \\t\\f\\r]\\s*', chr(1) || chr(1), 'g'), '\\n+', chr(1), 'g')"
+_CITY_SQL = f"(?i)\\b({'|'.join(lx.CITIES)})\\b"
+_REST_SQL = f"regexp_replace(regexp_replace(regexp_replace(low, '{tx.YEARS_BAND}', '', 'g'), '{tx.YEARS_FROM}', '', 'g'), '{_CITY_SQL}', '', 'g')"
+_BARE_SQL = f"rtrim(regexp_replace(trim(regexp_replace(s, '{requirements.LEAD_CUE}', '')), '\\.+$', ''))"
+_ITEMS_SQL = f"list_transform(string_split_regex({_BARE_SQL}, '{requirements.LIST_SEPARATOR}'), lambda p: regexp_replace(p, '^[ .,:]+|[ .,:]+$', '', 'g'))"
+
+
+@query("q60_job_descriptions", f"""WITH pieces AS (SELECT doc_id, string_split({_CUT_SQL}, chr(1)) AS p FROM (SELECT doc_id, {DESCRIPTION} AS description FROM documents)),
+  told AS (SELECT doc_id, pos, s, lower(s) AS low, len(string_split(s, ' ')) AS words, len(list_distinct({_telling_sql('s')})) AS n_keywords FROM
+    (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS pos, trim(regexp_replace(unnest(p), '\\s+', ' ', 'g')) AS s FROM pieces) WHERE s <> ''),
+  kinds AS (SELECT *, coalesce(last_value(cue IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '{lx.MUST}') AS kind,
+    {_matches('low', tx.YEARS_BAND)} OR {_matches('low', tx.YEARS_FROM)} AS years, {_matches('s', _CITY_SQL)} AS placed, {_has('low', lx.EMPHASIS_CUES)} AS stressed,
+    len(list_filter(regexp_extract_all({_REST_SQL}, '[a-z]{{3,}}'), lambda t: NOT list_contains({_list([*lx.STOPWORDS, *requirements.NOT_SUBSTANCE])}, t))) AS rest FROM
+    (SELECT *, CASE WHEN {_has('low', lx.DISQUALIFIER_CUES)} THEN '{lx.DISQUALIFIER}' WHEN {_has('low', lx.NICE_CUES)} THEN '{lx.NICE}' WHEN {_has('low', lx.MUST_CUES)} THEN '{lx.MUST}' END AS cue FROM told)),
+  kept AS (SELECT *, {_ITEMS_SQL} AS raw_items FROM kinds WHERE n_keywords >= 2 AND NOT (words <= 6 AND s LIKE '%:')
+    AND NOT ((years OR placed) AND ((rest <= 2 AND words <= 12) OR (years AND NOT {_has('low', lx.DISQUALIFIER_CUES)} AND {_matches('s', '^\\s*[0-9]')})))
+    AND NOT (pos < 4 AND words <= 12 AND NOT {_matches('s', requirements.REQUIREMENT_VERB)} AND NOT (contains(s, ',') AND words >= 4) AND (words <= 6 OR {_matches('s', requirements.ROLE_WORD)}))),
+  items AS (SELECT *, list_filter(raw_items, lambda p: length(p) >= 2 AND len({_telling_sql('p')}) >= 1) AS own FROM kept),
+  parts AS (SELECT doc_id, pos, kind, stressed, unnest(generate_series(0, len(texts) - 1)) AS item, unnest(texts) AS text FROM (SELECT *,
+    CASE WHEN len(own) >= 2 AND len(list_filter(own, lambda p: len(string_split_regex(trim(p), '\\s+')) > 5)) = 0 THEN own ELSE [s] END AS texts FROM items)),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, left(lower(text), 80) ORDER BY pos, item) AS n FROM parts),
+  named AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(told), lambda t: {{'i': list_position(told, t), 't': t}}))[1:6], lambda x: x.t) AS keywords
+    FROM (SELECT *, {_telling_sql('text')} AS told FROM firsts WHERE n = 1))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, item) - 1)::INTEGER AS req_idx, text, kind,
+  CASE WHEN kind = '{lx.NICE}' THEN 40 WHEN kind = '{lx.MUST}' AND stressed THEN 125 ELSE 100 END::INTEGER AS weight_percent, array_to_string(keywords, '|') AS keywords
+FROM named WHERE len(keywords) >= 1""")
+def q60(spark, sf):
+    """Descriptions to weighted requirements: sections, list items, emphasis, what is left out, the first of equals."""
+    jobs = read(spark, sf, "documents").select("doc_id", F.expr(DESCRIPTION).alias("description"))
+    return requirements.parse_table(jobs, "doc_id", "description").select(
+        F.col("job_id").alias("doc_id"), "req_idx", "text", "kind", F.round(F.col("weight") * 100).cast("int").alias("weight_percent"), F.array_join("keywords", "|").alias("keywords"),
+    )
