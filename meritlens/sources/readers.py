@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritlens.sources import records as rec
-from meritlens.sources.resume import parse_resumes, split_pasted
+from meritlens.sources.resume import split_pasted
+from meritlens.sources.resume_columns import parse_resumes
 from meritlens.sources.schema import from_json_lines, generated_id
 
 Adapter = Callable[[SparkSession, Any], DataFrame]

@@ -1,12 +1,16 @@
 import gzip
 import hashlib
 import json
+import random
+import re
+import time
 
 import pytest
 
 from meritlens.plans import engine
 from meritlens.sources import readers, records
 from meritlens.sources import resume as rs
+from meritlens.sources import resume_columns as rc
 from meritlens.sources.schema import generated_id
 
 RESUMES = {
@@ -40,6 +44,45 @@ def test_resume_details():
     assert [j["company"] for j in split] == ["Gamma Labs", "Delta"]
 
 
+RESUME_LINES = (
+    "EXPERIENCE", "Work History:", "Skills", "Education :", "Summary", "Senior Engineer at Acme (2019 - present)", "Data Engineer", "Gamma Labs",
+    "2018 - 2022", "- built x", "• y", "LEAD ARCHITECT | OMEGA | 2018-PRESENT", "Manager, Beta, 2010 to 2012", "", "  ", "\t  Staff ML engineer  ",
+    "a b c d e f g h i j", "Technical Skills: Java, AWS, Kubernetes", "Python; c++, go | rust · x", "B.Tech, Some Institute 2016", "MSc 1999 Paris",
+    "London, United Kingdom", "Pune", "x.y@z.io", "+91 98765 43210", "7.5 years in search", "ai", "full-stack developer", "2001 - 2003", "0 years",
+    "Engineer @ X at Y, Z", "engineer at at b", "(2019 - 2020) Head at", "skills - scikit-learn, fine-tuning", "Ünïcode ÄRGER", "head,of , , x",
+    "12 months", "Intern\u00a0at  Foo\u2003",
+)
+
+
+def test_resumes_in_columns_equal_single_ones(spark):
+    rnd = random.Random(11)
+    made = (rnd.choice(("\n", "\n", "\r\n", "\x0b", "\u2028")).join(rnd.choices(RESUME_LINES, k=rnd.randint(1, 24))) for _ in range(300))
+    texts = [*RESUMES.values(), "x", " \n", "", "head\n\n\nfoo", *made]
+    rows = [(i, t, "kept") for i, t in enumerate(texts)] + [(-1, None, "kept")]
+    got = {r.id: r for r in rc.records(spark.createDataFrame(rows, "id int, value string, _name string")).collect()}
+    assert set(got) == {i for i, t in enumerate(texts) if t.strip()}  # null and blank texts give none
+    for i, row in got.items():
+        assert row["_name"] == "kept" and row.record.asDict(recursive=True) == rs.parse_resume(texts[i]), texts[i]
+
+
+def test_resume_parsing_is_linear(spark):
+    """Long runs without a break, very many heads and headings."""
+    runs = ["w" * 400_000, " " * 200_000 + "x", "x" + " \t" * 200_000 + "y", ":" * 300_000, "Engineer at A\n" * 20_000, "skills\nx\n" * 10_000, "1." * 200_000]
+    started = time.monotonic()
+    lines = rc.parse_resumes(spark.createDataFrame([(t,) for t in runs], "value string")).collect()
+    assert len(lines) == len(runs) and time.monotonic() - started < 60
+    assert len(json.loads(lines[4].value)["career_history"]) == 10
+
+
+def test_resume_tables_start_no_python(spark, tmp_path):
+    spark.range(3).selectExpr("'x' as value").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    plan = rc.parse_resumes(texts)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("EvalPython|MapIn|pythonUDF|Exchange", plan)
+    assert plan.count("u0085") == 2  # lines are cut once, after one last line end is dropped
+    assert rc.parse_resumes(texts.where("false")).count() == 0
+
+
 def test_pasted_resumes(spark):
     pasted = "\n\n\n".join(RESUMES[k] for k in ("bullets", "split"))
     assert len(rs.split_pasted(pasted)) == 2 and len(rs.split_pasted("a\n\n\nb")) == 1
