@@ -17,7 +17,7 @@ from meritlens.operators import adversarial, audits, explain, matching, profilin
 from meritlens.operators.features import features, has_activity, insufficient_evidence
 from meritlens.plans import engine
 from meritlens.plans.driver_queries import _clamp_sql, _coverage_sql, _list, _telling_sql, _tokens_sql, query, read
-from meritlens.sources import repair
+from meritlens.sources import repair, resume_columns
 from meritlens.sources.schema import CANDIDATE
 
 
@@ -705,3 +705,79 @@ def q60(spark, sf):
     return requirements.parse_table(jobs, "doc_id", "description").select(
         F.col("job_id").alias("doc_id"), "req_idx", "text", "kind", F.round(F.col("weight") * 100).cast("int").alias("weight_percent"), F.array_join("keywords", "|").alias("keywords"),
     )
+
+
+# Resumes, one for each document: the whole text among headings, jobs, schools and skills.
+
+RESUME = _NL.join((
+    _pick("Asha Rao", "SUMMARY", "Lead Analyst, Delta, 2009 to 2011", "", "x.y@host.io"),
+    _pick("Pune, India", "9 years in search", "Work History:", "  Experience", "Berlin"),
+    _pick("Senior Engineer at Acme (2019 - present)", "Data Engineer", "LEAD ARCHITECT | OMEGA | 2018-PRESENT", "2018 - 2022", "- built things", "Head of sales and of everything else that there was to do, Beta"),
+    _pick("Gamma Labs", "2016 - 2018", "Analyst", "one two three four five", "- shipped", "Manager (2001 to 2004)", "Employment"),
+    _pick("2014 - 2016", "Beta Corp", "", "Intern @ Zeta", "x"),
+    "coalesce(text, '')",
+    _pick("Education", "Director, Kappa, 2011 - current", "skills:", "Consultant"),
+    _pick("B.Tech, Some Institute 2016", "Omega", "1999 - 2001", "about", "  Staff Scientist at Iota  "),
+    _pick("Technical Skills", "Career", "1997 - 1999", ""),
+    _pick("Python, SQL; Kafka", "Engineer", "Theta"),
+))
+
+
+def _whole_word_sql(c: str, choice: str) -> str:
+    """A caseless word between what is no letter, digit or line, as other engines' word ends know ASCII alone."""
+    return _matches(c, f"(?i)(^|[^\\p{{L}}\\p{{N}}_]){choice}($|[^\\p{{L}}\\p{{N}}_])")
+
+
+_TITLES = "(engineer|developer|analyst|manager|lead|architect|scientist|consultant|designer|director|head|specialist|administrator|sde|intern|principal|staff|senior|advisory|associate)"
+_SPAN = "(?i)\\b((?:19|20)\\d{2})\\b\\s*[-–to]+\\s*((?:19|20)\\d{2}\\b|present|current)"
+_HEADS = {
+    "experience": "work\\s+experience|work\\s+history|experience|employment|professional\\s+experience|career", "education": "education|academic",
+    "skills": "technical\\s+skills|core\\s+competencies|technologies|skills", "summary": "summary|profile|objective|about",
+}
+_HEADING_SQL = "CASE WHEN words > 3 THEN NULL " + " ".join(f"WHEN regexp_full_match(trim(rtrim(lower(s), ':')), '{p}') THEN '{n}'" for n, p in _HEADS.items()) + " END"
+_JOB = "(b.(?:.n(?:.w)?|.w(?:.n)?|...[nw])?|c.(?:.n|...n)?|s.(?:.w|...w)?|f.)((?:-.)*)"
+
+
+def _parts_sql(line: str, span: str) -> str:
+    bare = f"trim(regexp_replace(CASE WHEN {span} <> '' THEN replace({line}, {span}, ' ') ELSE {line} END, '[()]', ' ', 'g'), ' ,-|')"
+    return f"list_filter(list_transform(string_split_regex({bare}, '\\s*[|@]\\s*|\\s+at\\s+|\\s*,\\s*'), lambda p: trim(p)), lambda p: p <> '')"
+
+
+@query("q61_resumes", f"""WITH texts AS (SELECT doc_id, string_split({RESUME}, chr(10)) AS p FROM documents),
+  lines AS (SELECT doc_id, pos, s, CASE WHEN s = '' THEN 0 ELSE len(string_split_regex(s, '\\s+')) END AS words, regexp_extract(s, '{_SPAN}') AS span, {_whole_word_sql('s', _TITLES)} AS titled FROM
+    (SELECT doc_id, unnest(generate_series(1, len(p))) AS pos, regexp_replace(unnest(p), '^\\s+|\\s+$', '', 'g') AS s FROM texts)),
+  headed AS (SELECT *, {_HEADING_SQL} AS heading, {_parts_sql('s', 'span')} AS parts FROM lines),
+  held AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'summary') AS section FROM headed),
+  owned AS (SELECT *, count(*) FILTER (section = 'experience' AND heading IS NULL) OVER (PARTITION BY doc_id) AS n_own FROM held),
+  lettered AS (SELECT *, CASE WHEN left(s, 1) IN ('-', '•', '·', '*') OR NOT (span <> '' OR (titled AND (contains(s, '|') OR words <= 8)) OR {_matches('s', '^(.{3,60}?)\\s+(?:at|@|,)\\s+(.{2,60})$')}) THEN '-'
+      WHEN len(parts) >= 2 THEN CASE WHEN span <> '' THEN 'f' ELSE 's' END WHEN span <> '' THEN 'c' ELSE 'b' END
+    || CASE WHEN words > 4 THEN 'o' WHEN span <> '' THEN 'w' WHEN left(s, 1) IN ('-', '•') OR titled THEN 'o' ELSE 'n' END AS letters
+    FROM owned WHERE s <> '' AND (n_own = 0 OR (section = 'experience' AND heading IS NULL))),
+  marked AS (SELECT doc_id, string_agg(letters, '' ORDER BY pos) AS marks, list(struct_pack(s := s, span := span, parts := parts) ORDER BY pos) AS own FROM lettered GROUP BY doc_id),
+  matched AS (SELECT *, regexp_extract_all(marks, '{_JOB}') AS found, regexp_extract_all(marks, '{_JOB}', 1) AS heads FROM marked),
+  placed AS (SELECT doc_id, marks, own, found, unnest(generate_series(1, least(len(found), 10))) AS k, heads FROM matched),
+  looked AS (SELECT doc_id, k, own, heads[k] AS head, ((length(marks) - list_sum(list_transform(found, lambda f: length(f))) + coalesce(list_sum(list_transform(found[1:k-1], lambda f: length(f))), 0)) / 2)::BIGINT + 1 AS here,
+    length(found[k]) // 2 AS n FROM placed),
+  told AS (SELECT doc_id, k, coalesce(own[here].parts[1], trim(regexp_replace(replace(own[here].s, CASE WHEN own[here].span = '' THEN chr(1) ELSE own[here].span END, ' '), '[()]', ' ', 'g'), ' ,-|')) AS title,
+    CASE WHEN len(own[here].parts) > 1 THEN own[here].parts[2] WHEN head[4] = 'n' THEN own[here + 1].s WHEN head[6] = 'n' THEN own[here + 2].s ELSE '' END AS company,
+    CASE WHEN own[here].span <> '' THEN own[here].span WHEN head[4] = 'w' THEN own[here + 1].s WHEN head[6] = 'w' THEN own[here + 2].s ELSE '' END AS dates,
+    left(trim(array_to_string(list_transform(own[here + length(head) // 2 : here + n - 1], lambda x: x.s), ' ')), 800) AS body FROM looked),
+  dated AS (SELECT *, regexp_extract(dates, '{_SPAN}', 1) AS y0, regexp_extract(regexp_extract(dates, '{_SPAN}', 2), '^\\d+$') AS y1 FROM told),
+  jobs AS (SELECT doc_id, count(*)::INTEGER AS n_jobs, string_agg(left(trim(title), 60) || '@' || left(trim(company), 60) || '@' || y0 || '@' || y1, '|' ORDER BY k) AS jobs,
+    sha256(string_agg(body, chr(10) ORDER BY k)) AS bodies_sha256, sum(CASE WHEN y0 = '' THEN 0 ELSE greatest(0, CASE WHEN y1 = '' THEN 12 * 2026 + 6 ELSE 12 * y1::BIGINT + 1 END - 12 * y0::BIGINT - 1) END)::BIGINT AS months
+    FROM dated GROUP BY doc_id),
+  counted AS (SELECT doc_id, count(*) FILTER (section = 'education' AND heading IS NULL AND s <> '')::INTEGER AS n_school_lines, count(*) FILTER (heading IS NOT NULL)::INTEGER AS n_headings, count(*)::INTEGER AS n_lines FROM held GROUP BY doc_id)
+SELECT c.doc_id, c.n_lines, c.n_headings, c.n_school_lines, coalesce(m.marks, '') AS marks, coalesce(j.n_jobs, 0)::INTEGER AS n_jobs, coalesce(j.jobs, '') AS jobs,
+  coalesce(j.bodies_sha256, sha256('')) AS bodies_sha256, coalesce(j.months, 0)::BIGINT AS months FROM counted c LEFT JOIN marked m ON c.doc_id = m.doc_id LEFT JOIN jobs j ON c.doc_id = j.doc_id""")
+def q61(spark, sf):
+    """Resumes to lines, sections, the kinds of all lines of the career, and the jobs that those tell of."""
+    texts = read(spark, sf, "documents").select("doc_id", F.expr(RESUME).alias("resume"))
+    rows = resume_columns.described(texts, "resume").withColumn("_jobs", resume_columns.jobs(F.col("_lines")))
+    year = lambda c: F.coalesce(F.left(c, F.lit(4)), F.lit(""))
+    shown = F.transform("_jobs", lambda j: F.concat_ws("@", j["title"], j["company"], year(j["start_date"]), year(j["end_date"])))
+    return rows.select(
+        "_row.doc_id", F.size("_every").alias("n_lines"), F.size(F.filter("_every", lambda x: x["heading"].isNotNull())).alias("n_headings"),
+        F.size(resume_columns.told(F.col("_under.education"))).alias("n_school_lines"), resume_columns.marks(F.col("_lines")).alias("marks"),
+        F.size("_jobs").alias("n_jobs"), F.array_join(shown, "|").alias("jobs"), F.sha2(F.array_join(F.transform("_jobs", lambda j: j["description"]), "\n"), 256).alias("bodies_sha256"),
+        F.aggregate("_jobs", F.lit(0).cast("long"), lambda a, j: a + j["duration_months"]).alias("months"),
+    )

@@ -65,7 +65,8 @@ def heading(line: Column) -> Column:
     name = F.lit(None).cast("string")
     for section, pattern in reversed(rs.SECTIONS.items()):
         name = F.when(has(low, rf"^{pattern}\b\z"), section).otherwise(name)
-    return F.when(words(line) <= 3, name)
+    # most lines begin with no section word, which is told without reading them
+    return F.when(has(line, rf"^(?:{'|'.join(rs.SECTIONS.values())})\b", True) & (words(line) <= 3), name)
 
 
 def lines_of(text: Column) -> Column:
@@ -109,6 +110,12 @@ def joined(lines: Column) -> Column:
 # Jobs.
 
 
+def span_of(line: Column) -> Column:
+    """The dates that a line names, empty without."""
+    century = F.contains(line, F.lit("19")) | F.contains(line, F.lit("20"))
+    return F.when(century, found(line, rs.DATES.pattern)).otherwise("")
+
+
 def pieces(line: Column, span: Column) -> Column:
     """What a head holds beside its dates: title, company and more."""
     bare = F.btrim(F.regexp_replace(F.when(span != "", F.replace(line, span, F.lit(" "))).otherwise(line), "[()]", " "), F.lit(" ,-|"))
@@ -119,17 +126,16 @@ def letters(line: Column) -> Column:
     """Two letters of a line: what it lacks as a job's head, and what it could add to the head before it."""
 
     def told_by(d: Column) -> Column:
-        start, titled, dated = F.left(line, F.lit(1)), d["titled"], d["span"] != ""
-        opens = ~start.isin(*"-•·*") & (dated | (titled & (F.contains(line, F.lit("|")) | (d["words"] <= 8))) | has(line, rs.AT.pattern))
+        start, dated = F.left(line, F.lit(1)), d["span"] != ""
+        # a title word matters in short lines and in those with bars
+        titled = ((d["words"] <= 8) | F.contains(line, F.lit("|"))) & has(line, rs.TITLE_WORD.pattern, True)
+        opens = ~start.isin(*"-•·*") & (dated | titled | has(line, rs.AT.pattern))
         named = F.size(pieces(line, d["span"])["parts"]) > 1
         lacks = F.when(~opens, rs.NO_HEAD).when(named, F.when(dated, rs.NOTHING).otherwise(rs.SPAN)).otherwise(F.when(dated, rs.COMPANY).otherwise(rs.BOTH))
         adds = F.when(d["words"] > 4, rs.OTHER).when(dated, rs.WHEN).when(start.isin(*"-•") | titled, rs.OTHER).otherwise(rs.NAME)
         return F.concat(lacks, adds)
 
-    seen = F.struct(
-        found(line, rs.DATES.pattern).alias("span"), words(line).alias("words"), has(line, rs.TITLE_WORD.pattern, True).alias("titled")
-    )
-    return held(seen, told_by)
+    return held(F.struct(span_of(line).alias("span"), words(line).alias("words")), told_by)
 
 
 def marks(lines: Column) -> Column:
@@ -161,7 +167,7 @@ def jobs(lines: Column) -> Column:
 
         def made(x: Column) -> Column:
             line, gives = F.get(lines, x["at"]), lambda i: F.substring(x["head"], 2 * i + 2, 1)
-            span = found(line, rs.DATES.pattern)
+            span = span_of(line)
             end = (F.length(x["head"]) / 2).cast("int")
             body = F.array_join(F.slice(lines, x["at"] + end + 1, (F.length(x["all"]) / 2).cast("int") - end), " ")
 
