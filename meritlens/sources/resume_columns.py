@@ -311,5 +311,8 @@ def records(texts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def parse_resumes(texts: DataFrame, column: str = "value") -> DataFrame:
-    """JSON lines of records from a column of resumes; null and blank texts give none."""
-    return records(texts.select(F.col(column).alias("value"))).select(F.to_json("record", {"ignoreNullFields": "false"}).alias("value"))
+    """JSON lines of records from a column of resumes; null and blank texts give none.
+
+    The explode of one line keeps readers, which take many fields and filters from it, from working it out for each."""
+    line = F.to_json("record", {"ignoreNullFields": "false"})
+    return records(texts.select(F.col(column).alias("value"))).select(F.explode(F.array(line)).alias("value"))
