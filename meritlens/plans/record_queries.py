@@ -584,8 +584,8 @@ def q56(spark, sf):
 # Repair of lines that hold records, whole or damaged.
 
 _QUOTED = "coalesce(text, '')"
-for _raw, _shown in ((92, "chr(92) || chr(92)"), (34, "chr(92) || chr(34)"), (10, "chr(92) || 'n'"), (13, "chr(92) || 'r'"), (9, "chr(92) || 't'")):
-    _QUOTED = f"replace({_QUOTED}, chr({_raw}), {_shown})"
+for _raw, _escaped in ((92, "chr(92) || chr(92)"), (34, "chr(92) || chr(34)"), (10, "chr(92) || 'n'"), (13, "chr(92) || 'r'"), (9, "chr(92) || 't'")):
+    _QUOTED = f"replace({_QUOTED}, chr({_raw}), {_escaped})"
 _SUMMARY = f"'\"summary\":\"' || {_QUOTED} || '\"'"
 
 

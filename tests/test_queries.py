@@ -54,3 +54,7 @@ def test_plans_push_down(spark):
     assert "TakeOrderedAndProject" in top
     groups = driver_queries.QUERIES["q17_top4_per_group"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in groups
+
+
+def test_module_loops_leave_helpers_callable():
+    assert all(callable(getattr(record_queries, h)) for h in ("_shown", "_spine", "_units", "_hybrid", "_id"))
