@@ -18,6 +18,14 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """c to ``digits`` places by its scaled value, ties away from zero: what SQL engines round doubles to.
+
+    Spark's own round goes by the shortest decimal that names the double, which tells other ties."""
+    scale = float(10**digits)
+    return F.round(c * scale) / scale
+
+
 def steps(c: Column, *bounds: tuple[float, float], otherwise: float) -> Column:
     """The value of the first bound that c does not exceed."""
     out = None
@@ -76,7 +84,7 @@ def gate(relevance: Column, quality_: Column, soft: Column | None = None, keep:
 def reachability(months: Column, rate: Column, flag: Column) -> Column:
     """struct(label, score): observed activity first, the flag second; unknown without either."""
     active = (months < 999) | (rate > 0)
-    score = F.round(clamp(0.45 * recency_factor(months) + 0.35 * rate + 0.20 * open_term(flag, months)), 3)
+    score = rounded(clamp(0.45 * recency_factor(months) + 0.35 * rate + 0.20 * open_term(flag, months)), 3)
     seen = (months <= 3) | (rate >= 0.4)
     is_open, closed = F.coalesce(flag, F.lit(False)), F.coalesce(~flag, F.lit(False))
     label = (
@@ -96,14 +104,14 @@ def blended(values: list[tuple[Column, float]]) -> Column:
 
 
 def hireability(availability: Column, engagement: Column, trust: Column) -> Column:
-    return F.round(0.40 * availability + 0.35 * engagement + 0.25 * trust, 4)
+    return rounded(0.40 * availability + 0.35 * engagement + 0.25 * trust, 4)
 
 
 def account_activity(repos: Column, stars: Column, followers: Column, active: Column) -> Column:
     """Activity score of a code-hosting account from log counts."""
     part = lambda c, full: F.least(F.lit(1.0), F.log1p(c) / F.log1p(F.lit(float(full))))
     recent = F.when(active, 1.0).otherwise(0.4)
-    return F.round(0.35 * part(repos, 40) + 0.35 * part(stars, 500) + 0.15 * part(followers, 300) + 0.15 * recent, 3)
+    return rounded(0.35 * part(repos, 40) + 0.35 * part(stars, 500) + 0.15 * part(followers, 300) + 0.15 * recent, 3)
 
 
 def risk_penalty(flags: Column) -> Column:

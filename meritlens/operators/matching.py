@@ -70,10 +70,10 @@ def summary(matched: str = "matches") -> Column:
     score, lexical = (lambda m: m["score"]), (lambda m: m["lexical"])
     covered = F.size(F.filter(must, lambda m: m["score"] >= COVERED))
     return F.struct(
-        F.round(F.least(F.lit(1.0), 0.85 * mean(must, score) + 0.15 * mean(own(lx.NICE), score)), 4).alias("semantic_fit"),
-        F.round(mean(F.col(matched), lexical), 4).alias("lexical_fit"),
-        F.round(F.when(F.size(must) > 0, covered / F.size(must)).otherwise(0.0), 4).alias("coverage"),
-        F.round(F.coalesce(F.array_max(F.transform(own(lx.DISQUALIFIER), score)), F.lit(0.0)), 4).alias("disqualifier"),
+        sc.rounded(F.least(F.lit(1.0), 0.85 * mean(must, score) + 0.15 * mean(own(lx.NICE), score)), 4).alias("semantic_fit"),
+        sc.rounded(mean(F.col(matched), lexical), 4).alias("lexical_fit"),
+        sc.rounded(F.when(F.size(must) > 0, covered / F.size(must)).otherwise(0.0), 4).alias("coverage"),
+        sc.rounded(F.coalesce(F.array_max(F.transform(own(lx.DISQUALIFIER), score)), F.lit(0.0)), 4).alias("disqualifier"),
     )
 
 
@@ -96,35 +96,40 @@ def match_table(rows: DataFrame, requirements: DataFrame, id_col: str, tokens: s
     )
 
 
-def aggregate_table(pairs: DataFrame, requirements: DataFrame, id_col: str, rows: DataFrame, score: str = "lexical") -> DataFrame:
+def aggregate_table(
+    pairs: DataFrame, requirements: DataFrame, id_col: str, rows: DataFrame, score: str = "lexical", digits: int | None = 4
+) -> DataFrame:
     """(id, job_id, semantic_fit, lexical_fit, coverage, disqualifier) of every row of ``rows`` (id) for each
-    job, from pairs of :func:`match_table`.
+    job, from pairs of :func:`match_table`; not rounded if ``digits`` is None.
 
     The denominators come from the requirements, so pairs that were not formed count as 0, and a row
-    without any has 0 throughout.  Jobs are few and become literals."""
-    kinds = {"must": ~F.col("kind").isin(lx.NICE, lx.DISQUALIFIER), "nice": F.col("kind") == lx.NICE}
-    totals = requirements.groupBy("job_id").agg(
-        F.sum("weight").alias("all_weight"),
-        *(F.sum(F.when(c, F.col("weight")).otherwise(0.0)).alias(f"{k}_weight") for k, c in kinds.items()),
-        F.count_if(kinds["must"]).alias("must_count"),
-    )
-    sums = pairs.groupBy(id_col, "job_id").agg(
-        F.sum(F.col("weight") * F.col("lexical")).alias("lexical_sum"),
-        *(F.sum(F.when(c, F.col("weight") * F.col(score)).otherwise(0.0)).alias(f"{k}_sum") for k, c in kinds.items()),
-        F.count_if(kinds["must"] & (F.col(score) >= COVERED)).alias("covered"),
-        F.max(F.when(F.col("kind") == lx.DISQUALIFIER, F.col(score))).alias("worst"),
-    )
+    without any has 0 throughout.  Sums go by the order of requirements, so that no shuffle moves a last digit;
+    a row's pairs are at most a job's requirements.  Jobs are few and become literals."""
+    kinds = {"must": lambda x: ~x["kind"].isin(lx.NICE, lx.DISQUALIFIER), "nice": lambda x: x["kind"] == lx.NICE, "all": lambda x: F.lit(True)}
+    every = lambda *own: F.sort_array(F.collect_list(F.struct("req_idx", "kind", "weight", *own))).alias("x")
+    total = lambda k, f: F.aggregate(F.filter("x", kinds[k]), F.lit(0.0), lambda a, x: a + f(x))
+    count = lambda f: F.size(F.filter("x", f)).cast("long")
+    totals = requirements.groupBy("job_id").agg(every()).select(
+        "job_id", *(total(k, lambda x: x["weight"]).alias(f"{k}_weight") for k in kinds), count(kinds["must"]).alias("must_count")
+    )
+    scored = {"must": score, "nice": score, "all": "lexical"}
+    sums = pairs.groupBy(id_col, "job_id").agg(every(*dict.fromkeys(("lexical", score)))).select(
+        id_col, "job_id", *(total(k, lambda x, c=c: x["weight"] * x[c]).alias(f"{k}_sum") for k, c in scored.items()),
+        count(lambda x: kinds["must"](x) & (x[score] >= COVERED)).alias("covered"),
+        F.array_max(F.transform(F.filter("x", lambda x: x["kind"] == lx.DISQUALIFIER), lambda x: x[score])).alias("worst"),
+    )
     jobs = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in t.asDict().items())) for t in totals.collect()))
     wanted = rows.select(id_col, F.explode(jobs).alias("job")).select(id_col, "job.*")
-    found = wanted.join(sums, [id_col, "job_id"], "left").na.fill(0.0, ["lexical_sum", "must_sum", "nice_sum", "worst"]).na.fill(0, ["covered"])
+    found = wanted.join(sums, [id_col, "job_id"], "left").na.fill(0.0, ["all_sum", "must_sum", "nice_sum", "worst"]).na.fill(0, ["covered"])
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    shown = lambda c: c if digits is None else sc.rounded(c, digits)
     return found.select(
         id_col,
         "job_id",
-        F.round(F.least(F.lit(1.0), 0.85 * over("must_sum", "must_weight") + 0.15 * over("nice_sum", "nice_weight")), 4).alias("semantic_fit"),
-        F.round(over("lexical_sum", "all_weight"), 4).alias("lexical_fit"),
-        F.round(over("covered", "must_count"), 4).alias("coverage"),
-        F.round("worst", 4).alias("disqualifier"),
+        shown(F.least(F.lit(1.0), 0.85 * over("must_sum", "must_weight") + 0.15 * over("nice_sum", "nice_weight"))).alias("semantic_fit"),
+        shown(over("all_sum", "all_weight")).alias("lexical_fit"),
+        shown(over("covered", "must_count")).alias("coverage"),
+        shown(F.col("worst")).alias("disqualifier"),
     )
 
 
