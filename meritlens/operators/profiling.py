@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,16 @@ from meritlens.operators.audits import risk_flags
 MOST_VALUES = 1 << 17
 
 
+def sums_in_order(rows: DataFrame, by: str, order: str, sums: Mapping[str, Column], first: Mapping[str, Column] | None = None) -> DataFrame:
+    """(by, sums.., first..) of each key; doubles are added one by one in the order of ``order``.
+
+    Sums of partial sums have other last digits with every layout of the table.  The sums run along a window, which holds
+    no group whole, and the last of them stay.  ``first`` are aggregates that no order moves."""
+    along = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumns({**{k: F.sum(c).over(along) for k, c in sums.items()}, "_at": F.count("*").over(along)})
+    return running.groupBy(by).agg(*(F.max_by(k, "_at").alias(k) for k in sums), *(c.alias(k) for k, c in (first or {}).items()))
+
+
 def most_common(rows: DataFrame, column: str, k: int) -> DataFrame:
     """The k most frequent values (the smaller of equals first)."""
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(column)).limit(k)
