@@ -81,7 +81,7 @@ def audited(rows: DataFrame) -> DataFrame:
     """Feature rows with ``consistency``, ``codes``, ``audit_penalty`` and ``impossible``."""
     flagged = rows.withColumn("consistency", consistency_flags())
     codes = F.transform("consistency", lambda f: f["code"])
-    penalty = F.round(F.least(F.lit(0.6), F.aggregate("consistency", F.lit(0.0), lambda a, f: a + f["severity"])), 4)
+    penalty = sc.rounded(F.least(F.lit(0.6), F.aggregate("consistency", F.lit(0.0), lambda a, f: a + f["severity"])), 4)
     return flagged.withColumns(
         {"codes": codes, "audit_penalty": penalty, "impossible": F.arrays_overlap(codes, tx.strings(lx.IMPOSSIBLE_CODES))}
     )
