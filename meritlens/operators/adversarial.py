@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meritlens.functions import scalars as sc
 from meritlens.operators import evaluation
 from meritlens.operators.requirements import Spec
 
@@ -106,4 +107,4 @@ def location_effect(candidates: DataFrame, places: list[tuple[str, str]], score:
     changes = [partial(_profile, location=F.lit(city), country=F.lit(country)) for city, country in places]
     rows = variants(candidates, changes, score, ("logistics",))
     moved = F.array(*(F.col(f"_v{k}.logistics") for k in range(len(places))))
-    return rows.select("candidate_id", F.round(F.array_max(moved) - F.array_min(moved), 4).alias("spread"))
+    return rows.select("candidate_id", sc.rounded(F.array_max(moved) - F.array_min(moved), 4).alias("spread"))

@@ -16,7 +16,7 @@ EPSILON = 0.000001
 
 def rank_order(score: str = "final_score", reach: str = "reach.score", key: str = "candidate_id") -> list[Column]:
     """Score to three places, then reachability, then id."""
-    return [F.round(F.col(score), 3).desc(), F.col(reach).desc(), F.col(key).asc()]
+    return [sc.rounded(F.col(score), 3).desc(), F.col(reach).desc(), F.col(key).asc()]
 
 
 def top(rows: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
@@ -60,7 +60,7 @@ def rerank(ranked: DataFrame, second: str, k: int = 50, blend: float = 0.5, scor
     Rows without the second score and those behind the head keep their places' order."""
     head, tail = ranked.where(F.col("rank") <= k), ranked.where(F.col("rank") > k)
     whole = Window.partitionBy()
-    mixed = head.withColumn("_m", F.round((1 - blend) * F.col(score) + blend * sc.min_max(F.col(second), whole), 6))
+    mixed = head.withColumn("_m", sc.rounded((1 - blend) * F.col(score) + blend * sc.min_max(F.col(second), whole), 6))
     mixed = mixed.withColumn("blended", F.coalesce("_m", F.col(score))).drop("_m")
     again = mixed.withColumn("new_rank", F.row_number().over(Window.orderBy(F.col("blended").desc(), F.col("rank"))))
     return again.unionByName(tail.withColumns({"blended": F.col(score), "new_rank": F.col("rank")}))

@@ -137,7 +137,7 @@ def _finish(rows: DataFrame, job: Job, engine: str) -> DataFrame:
         "reach": sc.reachability(F.col("last_active_months"), F.col("response_rate"), F.col("open_to_work")),
     })
     rounded = ("final_score", *lx.FACTORS, "confidence", "penalty", "role_relevance", "general_quality", "requirement_coverage")
-    return scored.withColumns({c: F.round(F.col(c), 6) for c in rounded}).drop("soft_penalty", "confidence_parts", "no_evidence")
+    return scored.withColumns({c: sc.rounded(F.col(c), 6) for c in rounded}).drop("soft_penalty", "confidence_parts", "no_evidence")
 
 
 def score_lexical(rows: DataFrame, spec: Spec | Job) -> DataFrame:
@@ -203,8 +203,8 @@ def score_hybrid(rows: DataFrame, spec: Spec) -> DataFrame:
             F.filter("matches", lambda m: (m["kind"] == lx.DISQUALIFIER) & (m["score"] >= 0.5)), lambda m: m["text"]),
         "no_evidence": none,
         "requirement_coverage": fit("coverage"),
-        "semantic_fit": F.round(fit("semantic_fit"), 6),
-        "lexical_fit": F.round(fit("lexical_fit"), 6),
+        "semantic_fit": sc.rounded(fit("semantic_fit"), 6),
+        "lexical_fit": sc.rounded(fit("lexical_fit"), 6),
         "confidence_parts": 0.50 * relevance + 0.20 * fit("coverage")
         + F.when(F.col("career_lexical") >= 0.34, 0.15).otherwise(0.0) + 0.10 * signal("engagement"),
         "concern_notes": F.when(none, F.slice(F.array_prepend(details, F.lit(NO_DATA)), 1, 3)).otherwise(details),
