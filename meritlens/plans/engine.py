@@ -94,8 +94,10 @@ def score_pool(
 
 
 def rank_pool(scored: DataFrame, spec: Spec, top_n: int = 100) -> DataFrame:
-    """The head with rank, display score and reasons; those are made for the head alone."""
-    head = ranking.top(scored, top_n, ranking.rank_order())
+    """The head with rank, display score and reasons; those are made for the head alone.
+
+    The head is kept, as every later step that takes it up again would score the whole pool once more."""
+    head = ranking.top(scored, top_n, ranking.rank_order()).cache()
     shown = ranking.display_scores(head)
     return explain.reasons(ranking.with_neighbour(shown, [*explain.FACTOR_LABELS, "candidate_id"]), spec)
 
