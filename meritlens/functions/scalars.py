@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ def rounded(c: Column, digits: int) -> Column:
     return F.round(c * scale) / scale
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once a row, also where f takes it many times or within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def steps(c: Column, *bounds: tuple[float, float], otherwise: float) -> Column:
     """The value of the first bound that c does not exceed."""
     out = None

@@ -29,17 +29,20 @@ def skill_exceeds(years: Column, months: Column) -> Column:
 
 def consistency_flags() -> Column:
     """array<struct<code, detail, severity>> over the columns of a feature row."""
+    return sc.once(F.filter("skills", lambda s: tx.norm(s["proficiency"]) == "expert"), _flags_of)
+
+
+def _flags_of(experts: Column) -> Column:
     years = F.col("years")
     months = F.aggregate("career_history", F.lit(0), lambda a, j: a + F.coalesce(j["duration_months"], F.lit(0)))
-    experts = F.filter("skills", lambda s: tx.norm(s["proficiency"]) == "expert")
     unused = F.filter(experts, lambda s: s["duration_months"] == 0)
     longest = F.coalesce(F.array_max(F.transform("skills", lambda s: F.coalesce(s["duration_months"], F.lit(0)))), F.lit(0))
     bad_job = F.get(
         F.filter("career_history", lambda j: dt.is_future(j["start_date"]) | dt.date_before(j["end_date"], j["start_date"])), F.lit(0)
     )
     words = lambda s: F.filter(F.split(F.lower(s["name"]), r"[\s/\-.]+"), lambda w: F.length(w) >= 3)
-    blob = evidence_blob()
-    ghosts = F.filter(experts, lambda s: (F.size(words(s)) > 0) & ~F.exists(words(s), lambda w: F.contains(blob, w)))
+    unnamed = lambda blob: F.filter(experts, lambda s: sc.once(words(s), lambda own: (F.size(own) > 0) & ~F.exists(own, lambda w: F.contains(blob, w))))
+    ghosts = sc.once(evidence_blob(), unnamed)
     names = lambda c: F.array_join(F.slice(F.transform(c, lambda s: s["name"]), 1, 3), ", ")
     scores = F.from_json(F.try_element_at("signals", F.lit("skill_assessment_scores")), "map<string,double>")
     assessed = F.coalesce(F.array_max(F.map_values(scores)), F.lit(0.0))
