@@ -5,17 +5,21 @@ shuffle.  Tables of requirements are matched by :func:`match_table`."""
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from meritlens.functions import cosines
 from meritlens.functions import lexicons as lx
 from meritlens.functions import scalars as sc
 from meritlens.functions import text as tx
 from meritlens.functions import vectors as vx
+from meritlens.functions.cosines import ship_package
 from meritlens.operators import ranking
 from meritlens.operators.requirements import Requirement
 
@@ -133,8 +137,8 @@ def aggregate_table(
     )
 
 
-#: Pivots of a vector search, queries that a row meets at once, and slack of its bounds.
-PIVOTS, BLOCK, SLACK = 32, 64, 1e-7
+#: Pivots of a vector search, bytes of a block of vectors (as doubles), slack of its bounds, and the cell that has none.
+PIVOTS, BLOCK_BYTES, SLACK, WILD = 32, 4 << 20, 1e-7, -1
 
 
 class Nearest:
@@ -142,32 +146,54 @@ class Nearest:
 
     Each row belongs to the cell of its nearest pivot and keeps its angle to it.  Angles obey the triangle inequality,
     so that a query's angle to a pivot and the cell's least and greatest angle bound every score in the cell.  A query
-    first visits its best cells until they hold ``k`` rows; their k-th score then rules cells out, and rows within cells.
-    Vectors that are null or zero are a cell of their own, of score 0.  Visits meet rows by cell, BLOCK queries at a time.
+    first visits its best cells until they hold ``k`` rows; their k-th score then rules cells out.
+    Vectors that are null or zero are a cell of their own, of score 0; so are those without a finite length, which no bound rules out.
+    Visits meet rows in blocks: a block of a cell's queries and a block of its rows are one product of matrices, of which
+    each query keeps its ``k`` best.  Tasks hold a few blocks, however large a cell is, and are as many as the blocks need.
     ``pivots`` vectors and one line for each cell reach the driver."""
 
     def __init__(self, queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, units: int = 100_000, pivots: int = PIVOTS):
-        self.key, self.k, self.units = key, k, units
+        self.key, self.k, self.units, self.spark = key, k, units, rows.sparkSession
+        ship_package(self.spark)
         length = vx.length(F.col(vector))
-        picked = rows.where(length > 0).orderBy(F.xxhash64(key), key).limit(pivots).select(F.col(vector).alias("v"), length.alias("n")).collect()
-        centres = F.from_json(F.lit(json.dumps([[float(x) / r.n for x in r.v] for r in picked])), "array<array<double>>")  # folded into a constant
-        angles = F.when(F.col("_length") > 0, F.transform(centres, lambda p: F.acos(sc.clamp(vx.dot(F.col(vector), p) / F.col("_length"), -1.0, 1.0))))
-        told = lambda df: df.select(key, vector, length.alias("_length")).withColumn("angles", angles)
-        self.rows = told(rows).withColumn("cell", F.coalesce(F.array_position("angles", F.array_min("angles")).cast("int"), F.lit(0))).select(
-            key, F.col(vector).alias("v"), "cell", F.array_min("angles").alias("angle")
-        )
+        plain = rows.where((length > 0) & (length < float("inf")))
+        picked = [[float(x) for x in r.v] for r in plain.orderBy(F.xxhash64(key), key).limit(pivots).select(F.col(vector).alias("v")).collect()]
+        told = lambda df: self.told(df.where(F.col(key).isNotNull()).select(key, F.col(vector).alias("v")), picked)
+        self.rows = told(rows).select(key, "v", "cell", F.array_min("angles").alias("angle"))
         cells = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
         listed = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in r.asDict().items())) for r in cells)).cast("array<struct<cell:int,n:bigint,low:double,high:double>>")
-        asked = told(queries).select(F.col(key).alias("query"), F.col(vector).alias("q"), "angles")
+        asked = told(queries).select(F.col(key).alias("query"), F.col("v").alias("q"), "angles", (F.col("cell") == WILD).alias("wild"))
         theta = lambda c: F.get(F.col("angles"), c["cell"] - 1)
         apart = lambda c: F.greatest(F.lit(0.0), theta(c) - c["high"], c["low"] - theta(c))
-        ordered = F.array_sort(F.transform(listed, lambda c: F.struct(
-            (-self.most(apart(c))).alias("most"), c["cell"].alias("cell"), c["n"].alias("n"), theta(c).alias("theta"))))
+        most = lambda c: F.when(F.col("wild") | (c["cell"] == WILD), F.lit(units).cast("long")).otherwise(self.most(apart(c)))
+        ordered = F.array_sort(F.transform(listed, lambda c: F.struct((-most(c)).alias("most"), c["cell"].alias("cell"), c["n"].alias("n"))))
         before = lambda i: F.aggregate(F.slice("ordered", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["n"])
         self.asked = asked.withColumn("ordered", ordered).withColumn(
-            "cells", F.transform("ordered", lambda c, i: F.struct((-c["most"]).alias("most"), c["cell"].alias("cell"), c["theta"].alias("theta"), (before(i) <= k).alias("first")))
+            "cells", F.transform("ordered", lambda c, i: F.struct((-c["most"]).alias("most"), c["cell"].alias("cell"), (before(i) <= k).alias("first")))
         ).select("query", "q", "cells")
-        self.blocks = max(1, -(-queries.count() // BLOCK))
+        most_rows = max(1, BLOCK_BYTES // (8 * max(1, max(map(len, picked), default=1))))
+        self.blocks = max(1, -(-queries.count() // most_rows))
+        parts = {r.cell: -(-r.n // most_rows) for r in cells}
+        self.part = F.pmod(F.xxhash64(key), F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("cell"))) if parts else F.lit(0)
+        met, cores = sum(parts.values()) * self.blocks, self.spark.sparkContext.defaultParallelism
+        self.tasks = max(1, min(met, 4 * cores), met // 16)
+
+    def told(self, vectors: DataFrame, pivots: list[list[float]]) -> DataFrame:
+        """(key, v) with ``angles`` to the pivots and the ``cell``: from 1 the nearest pivot, 0 without direction, WILD without a finite length."""
+        schema = vectors.schema
+
+        def run(batches):
+            centres = cosines.Vectors(pa.array(pivots, pa.list_(pa.float64())))
+            for batch in batches:
+                own = cosines.Vectors(batch.column(1))
+                angles = np.arccos(np.clip(np.nan_to_num(cosines.cosines(own, centres)), -1.0, 1.0))
+                angles[(own.dims[:, None] != centres.dims)] = np.pi  # no cosine, so no pivot of theirs
+                cell = np.where(own.wild, WILD, np.where(own.plain, angles.argmin(axis=1) + 1 if pivots else 0, 0))
+                ends = np.concatenate([[0], np.cumsum(own.plain * len(pivots))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(angles[own.plain].ravel()), mask=pa.array(~own.plain))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(cell, pa.int32())], names=[*schema.names, "angles", "cell"])
+
+        return vectors.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL("angles array<double>, cell int").fields]))
 
     def rounded(self, score: Column) -> Column:
         return F.floor(score * self.units + 0.5).cast("long")
@@ -178,25 +204,35 @@ class Nearest:
         return self.rounded(F.coalesce(sc.clamp((cosine - vx.COSINE_FLOOR) / (vx.COSINE_CEILING - vx.COSINE_FLOOR) + SLACK), F.lit(0.0)))
 
     def pairs(self, visits: DataFrame) -> DataFrame:
-        """(query, key, score) of the visits (query, q, cell, theta, least) but for pairs under ``least``."""
+        """(query, key, score) of the visits (query, q, cell, least): all that may be among the ``k`` best, none under ``least``."""
         held = visits.groupBy("cell", F.pmod(F.xxhash64("query"), F.lit(self.blocks)).alias("block")).agg(
-            F.collect_list(F.struct("query", "q", "theta", "least")).alias("asking")
+            F.collect_list(F.struct("query", "q", "least")).alias("asking")
         )
-        open_ = F.filter("asking", lambda q: (q["query"] != F.col(self.key)) & (self.most(F.abs(q["theta"] - F.col("angle"))) >= q["least"]))
-        scored = F.transform(open_, lambda q: F.struct(q["query"].alias("query"), self.rounded(vx.rescaled_cosine(F.col("v"), q["q"])).alias("score")))
-        return self.rows.join(held, "cell").select(self.key, F.explode(scored).alias("x")).select("x.query", self.key, "x.score")
+        rows = self.rows.groupBy("cell", self.part.alias("part")).agg(F.collect_list(F.struct(self.key, "v")).alias("rows"))
+        met = rows.join(held, "cell").repartition(self.tasks, "cell", "part", "block").select("asking", "rows")
+        k, units = self.k, self.units
+
+        def run(batches):
+            for batch in batches:
+                for i in range(len(batch)):
+                    asking, rows = (c.slice(i, 1).flatten().flatten() for c in batch.columns)
+                    yield from cosines.nearest(*asking, *rows, k, units)
+
+        kind = self.rows.schema[self.key].dataType
+        found = met.mapInArrow(run, StructType([StructField("query", kind), StructField("key", kind), StructField("score", LongType())]))
+        return found.select("query", F.col("key").alias(self.key), "score")
 
     def first(self) -> DataFrame:
         """Pairs with the cells that a query visits first."""
         visits = self.asked.select("query", "q", F.explode(F.filter("cells", lambda c: c["first"])).alias("c"))
-        return self.pairs(visits.select("query", "q", "c.cell", "c.theta", F.lit(0).cast("long").alias("least")))
+        return self.pairs(visits.select("query", "q", "c.cell", F.lit(0).cast("long").alias("least")))
 
     def rest(self, best: DataFrame) -> DataFrame:
         """Pairs with the other cells that may hold a row as good as the k-th of ``best``."""
         least = best.groupBy("query").agg(F.when(F.count("*") == self.k, F.min("score")).otherwise(0).alias("least"))
         known = self.asked.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(0).cast("long")))
         visits = known.select("query", "q", "least", F.explode(F.filter("cells", lambda c: ~c["first"] & (c["most"] >= F.col("least")))).alias("c"))
-        return self.pairs(visits.select("query", "q", "c.cell", "c.theta", "least"))
+        return self.pairs(visits.select("query", "q", "c.cell", "least"))
 
     def best(self, pairs: DataFrame) -> DataFrame:
         return ranking.top(pairs, self.k, [F.col("score").desc(), F.col(self.key)], by=["query"])

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from meritlens.operators import matching
+from meritlens.functions import vectors as vx
+from meritlens.operators import matching, ranking
 
 SCHEMA = "id long, v array<double>"
 
@@ -63,3 +65,28 @@ def test_zero_null_and_equal_vectors(spark):
     assert found(matching.Nearest(none, none, "id", "v", 3)) == {0: [(1, 0)], 1: [(0, 0)]}
     assert matching.Nearest(table, table.limit(0), "id", "v", 3).result().count() == 0
     assert matching.Nearest(table.limit(0), table, "id", "v", 3).result().count() == 0
+
+
+def test_odd_vectors_score_as_the_column_does(spark):
+    """No finite length, null entries, other lengths: each pair as vectors.rescaled_cosine has it, equal keys left out, a null key never met."""
+    nan, inf = float("nan"), float("inf")
+    odd = [[1.0, nan], [inf, 1.0], [1e200, 1.0], [1.0, None], [1.0], [0.5, 0.5, 0.5], [], None, [0.0, 0.0], [-inf, inf], [nan]]
+    rows = list(enumerate(odd + [[1.0, 0.1 * i] for i in range(20)] + [[2.0, 0.2 * i] for i in range(20)]))
+    rows += [(3, [1.0, 0.3]), (None, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, SCHEMA)
+    a, b = table.toDF("q", "a"), table.toDF("id", "b")
+    score = F.floor(vx.rescaled_cosine(F.col("b"), F.col("a")) * 100_000 + 0.5)
+    for k in (3, 30):
+        want = ranking.top(a.join(b, F.col("q") != F.col("id")).withColumn("s", score), k, [F.col("s").desc(), F.col("id")], by=["q"]).select("q", "rank", "id", "s")
+        got = matching.Nearest(table, table, "id", "v", k, pivots=5).result().select("query", "rank", "id", "score")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_of_a_cell_are_tasks_of_their_own(spark, monkeypatch):
+    """However few bytes the vectors hold: one crowded cell is cut, and copies of a vector tie by key."""
+    rows = [(i, [1.0, 0.001 * (i % 7), 0.0]) for i in range(400)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 50 * 24, raising=False)
+    search = matching.Nearest(table.where("id % 40 = 0"), table, "id", "v", 5, pivots=1)
+    assert search.first().select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert found(search) == plain(rows, [r for r in rows if r[0] % 40 == 0], 5)
