@@ -23,6 +23,7 @@ table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -42,6 +43,7 @@ BANDS = ((1, 5), (6, 63))
 DC_TOP = 1  # bits of a DC coefficient that are left to a refinement
 TOP = 4  # bits of an AC coefficient that are left to refinements
 RUN_MOST = (1 << 15) - 1
+MARKER = re.compile(b"\xff[^\x00]", re.DOTALL)
 
 
 def _zigzag() -> np.ndarray:
@@ -63,47 +65,64 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _codes(kind: int, place: int, symbols: list[int]) -> bytes:
+@lru_cache(maxsize=256)
+def _codes(kind: int, place: int, symbols: tuple[int, ...]) -> bytes:
     """A Huffman table whose n-th symbol has a code of n bits (n - 1 ones and a zero)."""
     counts = bytes(1 if n < len(symbols) else 0 for n in range(16))
     return _segment(0xC4, bytes([kind << 4 | place]) + counts + bytes(symbols))
 
 
-def _scan(components: list[int], ss: int, se: int, ah: int, al: int, bits: np.ndarray) -> bytes:
+@lru_cache(maxsize=256)
+def _scan_head(components: tuple[int, ...], ss: int, se: int, ah: int, al: int) -> bytes:
+    return _segment(0xDA, bytes([len(components)]) + b"".join(bytes([c, 0]) for c in components) + bytes([ss, se, ah << 4 | al]))
+
+
+def _scan(components: tuple[int, ...], ss: int, se: int, ah: int, al: int, bits: np.ndarray) -> bytes:
     """Scan header and entropy-coded bits, filled up with ones and stuffed."""
-    head = bytes([len(components)]) + b"".join(bytes([c, 0]) for c in components) + bytes([ss, se, ah << 4 | al])
-    fill = np.ones(-len(bits) % 8, dtype=np.uint8)
-    data = np.packbits(np.concatenate([bits, fill])).tobytes()
-    return _segment(0xDA, head) + data.replace(b"\xff", b"\xff\x00")
+    packed = np.packbits(bits)
+    packed[-1:] |= np.uint8((1 << -len(bits) % 8) - 1)
+    return _scan_head(tuple(components), ss, se, ah, al) + packed.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 #: Bit lengths that a difference of DC coefficients may have.
 DC_SIZES = tuple(range(10))
 
 
+def _difference_codes() -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each difference from -511, filled up to a row, and which of them count."""
+    most = DC_SIZES[-1]
+    bits = np.zeros((2 ** (most + 1) - 1, 4 + most), dtype=np.uint8)
+    counts = np.zeros(bits.shape, dtype=bool)
+    for row, step in enumerate(range(1 - 2**most, 2**most)):
+        size = abs(step).bit_length()
+        word = _number(size, 4) + _number(step + (1 << size) - 1 if step < 0 else step, size)
+        bits[row, : len(word)], counts[row, : len(word)] = word, True
+    return bits, counts
+
+
 def _differences(units: np.ndarray) -> np.ndarray:
     """Bits of a first DC scan from (units, 6) values: four luma blocks and two of chroma."""
     luma = np.diff(units[:, :4].ravel(), prepend=0).reshape(-1, 4)
     chroma = np.diff(units[:, 4:], axis=0, prepend=0)
     steps = np.concatenate([luma, chroma], axis=1).ravel()
-    sizes = np.frexp(np.abs(steps).astype(float))[1]
-    lengths = 4 + sizes
-    words = sizes << sizes | np.where(steps < 0, steps + (1 << sizes) - 1, steps)
-    place = np.repeat(np.cumsum(lengths), lengths) - 1 - np.arange(lengths.sum())  # from the right
-    return (np.repeat(words, lengths) >> place & 1).astype(np.uint8)
+    bits, counts = (table[steps + (len(table) >> 1)] for table in DIFFERENCES)
+    return bits[counts]
 
 
 def _number(value: int, bits: int) -> list[int]:
     return [value >> k & 1 for k in range(bits - 1, -1, -1)]
 
 
-def _refinement(correction: np.ndarray) -> tuple[list[int], np.ndarray]:
+DIFFERENCES = _difference_codes()
+
+
+def _refinement(correction: np.ndarray) -> tuple[tuple[int, ...], np.ndarray]:
     """Symbols used and bits of a refinement without new coefficients, from (blocks, band) bits."""
     runs = []
     for at in range(0, len(correction), RUN_MOST):
         n = min(RUN_MOST, len(correction) - at)
         runs.append((n.bit_length() - 1, n, at))
-    symbols = list(dict.fromkeys(r << 4 for r, _, _ in runs))
+    symbols = tuple(dict.fromkeys(r << 4 for r, _, _ in runs))
     bits = []
     for r, n, at in runs:
         k = symbols.index(r << 4)
@@ -128,7 +147,7 @@ def write(payload: bytes) -> bytes:
     data = np.zeros(units * 6 * UNIT, dtype=np.uint16)
     data[: len(payload)] = np.frombuffer(payload, dtype=np.uint8)
     blocks = (data + OFFSET).reshape(-1, UNIT)
-    parts = {1: blocks[: 4 * units], 2: blocks[4 * units : 5 * units], 3: blocks[5 * units :]}
+    parts = {1: slice(4 * units), 2: slice(4 * units, 5 * units), 3: slice(5 * units, 6 * units)}
     out = [
         b"\xff\xd8",
         _segment(0xFE, b"payload %d" % len(payload)),
@@ -138,21 +157,22 @@ def write(payload: bytes) -> bytes:
     ]
     order = _mcu_order(columns, rows)
     dc = blocks[order, 0].astype(np.int64)
-    out.append(_scan([1, 2, 3], 0, 0, 0, DC_TOP, _differences((dc >> DC_TOP).reshape(-1, 6))))
-    out += [_scan([1, 2, 3], 0, 0, al + 1, al, (dc >> al & 1).astype(np.uint8)) for al in range(DC_TOP - 1, -1, -1)]
-    out.append(_codes(1, 0, [9 - TOP]))
+    out.append(_scan((1, 2, 3), 0, 0, 0, DC_TOP, _differences((dc >> DC_TOP).reshape(-1, 6))))
+    out += [_scan((1, 2, 3), 0, 0, al + 1, al, (dc >> al & 1).astype(np.uint8)) for al in range(DC_TOP - 1, -1, -1)]
+    out.append(_codes(1, 0, (9 - TOP,)))
+    top = (blocks >> TOP << 2).astype(np.uint8)  # code 0, then five bits
+    top = np.unpackbits(top[:, :, None], axis=2, count=6)
     for ss, se in BANDS:
-        for c, own in parts.items():
-            top = (own[:, ss : se + 1] >> TOP << 2).astype(np.uint8)  # code 0, then five bits
-            out.append(_scan([c], ss, se, 0, TOP, np.unpackbits(top.reshape(-1, 1), axis=1)[:, :6].ravel()))
-    table = None
+        out += [_scan((c,), ss, se, 0, TOP, top[own, ss : se + 1].ravel()) for c, own in parts.items()]
+    table, low = None, blocks[:, 1:].astype(np.uint8)
     for al in range(TOP - 1, -1, -1):
+        correction = low >> al & 1
         for c, own in parts.items():
-            symbols, bits = _refinement((own[:, 1:] >> al & 1).astype(np.uint8))
+            symbols, bits = _refinement(correction[own])
             if symbols != table:
                 out.append(_codes(1, 0, symbols))
                 table = symbols
-            out.append(_scan([c], 1, 63, al + 1, al, bits))
+            out.append(_scan((c,), 1, 63, al + 1, al, bits))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -210,9 +230,13 @@ class Bits:
             raise ValueError("the scan ends early")
         return out
 
-    def number(self, n: int) -> int:
+    def digits(self) -> bytes:
         if self.text is None:
             self.text = (self.bits + 48).tobytes()
+        return self.text
+
+    def number(self, n: int) -> int:
+        self.digits()
         if self.at + n > len(self.text):
             raise ValueError("the scan ends early")
         out = int(self.text[self.at : self.at + n], 2) if n else 0
@@ -220,11 +244,10 @@ class Bits:
         return out
 
     def symbol(self, codes: Codes) -> int:
-        if self.text is None:
-            self.text = (self.bits + 48).tobytes()
+        text, at = self.digits(), self.at
         for n in codes.lengths:
-            if (found := codes.get(self.text[self.at : self.at + n])) is not None:
-                self.at += n
+            if (found := codes.get(text[at : at + n])) is not None:
+                self.at = at + n
                 return found
         raise ValueError("no such code")
 
@@ -298,16 +321,36 @@ def _read_dc(bits: Bits, image: Image, members: list[tuple[Component, dict]], ah
             c.coefficients[order, 0] |= sent[:, at : at + order.shape[1]]
             at += order.shape[1]
         return
-    last = [0] * len(members)
     values = [[] for _ in members]
+    turns = [(codes.get, codes.lengths, own.append) for (_, codes), order, own in zip(members, orders, values) for _ in range(order.shape[1])]
+    text, at = bits.digits(), bits.at  # symbol() and signed() in place: there is one of each for a block
     for _ in range(len(orders[0])):
-        for m, (_, codes) in enumerate(members):
-            for _ in range(orders[m].shape[1]):
-                if size := bits.symbol(codes):
-                    last[m] += bits.signed(size)
-                values[m].append(last[m])
+        for get, lengths, append in turns:
+            for n in lengths:
+                if (size := get(text[at : at + n])) is not None:
+                    break
+            else:
+                raise ValueError("no such code")
+            at += n
+            if size:
+                value = int(text[at : at + size], 2)
+                append(value if text[at] == 49 else value - (1 << size) + 1)
+                at += size
+            else:
+                append(0)
+    if at > len(text):
+        raise ValueError("the scan ends early")
+    bits.at = at
     for (c, _), order, own in zip(members, orders, values):
-        c.coefficients[order.ravel(), 0] = np.array(own, dtype=np.int32) << al
+        c.coefficients[order.ravel(), 0] = np.cumsum(own, dtype=np.int32) << al
+
+
+@lru_cache(maxsize=256)
+def _weights(code: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a code's bits and those behind it add up by, and the signed value of each sum."""
+    sums = np.arange(1 << size, dtype=np.int32)
+    weights = np.array([0] * code + [1 << k for k in range(size - 1, -1, -1)], dtype=np.uint8 if size <= 8 else np.uint16)
+    return weights, np.where(sums >> size - 1, sums, sums - np.int32((1 << size) - 1)).astype(np.int32)
 
 
 def _read_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int) -> None:
@@ -316,15 +359,9 @@ def _read_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int)
     if len(codes) == 1 and 0 < (size := next(iter(codes.values()))) < 16:
         # a table of one symbol without a run: every coefficient has a code and ``size`` bits
         code = len(next(iter(codes)))
-        sent = bits.take(len(blocks) * width * (code + size)).reshape(len(blocks), width, code + size)[:, :, code:]
-        if size <= 8:
-            value = (np.packbits(sent, axis=2)[:, :, 0] >> (8 - size)).astype(np.int32)
-        else:
-            value = np.zeros((len(blocks), width), dtype=np.int32)
-            for k in range(size):
-                value = value << 1 | sent[:, :, k]
-        value -= (sent[:, :, 0] == 0) * np.int32((1 << size) - 1)
-        c.coefficients[_taken(blocks), ss : se + 1] = value << al
+        sent = bits.take(len(blocks) * width * (code + size)).reshape(-1, code + size)
+        weights, signed = _weights(code, size)
+        c.coefficients[_taken(blocks), ss : se + 1] = (signed[sent @ weights] << al).reshape(-1, width)
         return
     run = 0
     for b in blocks:
@@ -347,6 +384,9 @@ def _read_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int)
 
 def _correct(bits: Bits, part: np.ndarray, al: int) -> None:
     """One correction bit for each coefficient of ``part`` that is not zero."""
+    if part.min(initial=1) > 0:
+        part += (bits.take(part.size) << np.int32(al)).reshape(part.shape)
+        return
     if np.count_nonzero(part) == part.size:
         sent = bits.take(part.size).reshape(part.shape).astype(np.int32) << al
         part += np.where(part > 0, sent, -sent)
@@ -358,6 +398,14 @@ def _correct(bits: Bits, part: np.ndarray, al: int) -> None:
     part[...] = flat.reshape(part.shape)
 
 
+def _correct_blocks(bits: Bits, c: Component, blocks: np.ndarray, ss: int, se: int, al: int) -> None:
+    own = _taken(blocks)
+    part = c.coefficients[own, ss : se + 1]
+    _correct(bits, part, al)
+    if not isinstance(own, slice):  # else ``part`` is no copy
+        c.coefficients[own, ss : se + 1] = part
+
+
 def _refine_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int) -> None:
     """Refinement of a spectral band."""
     blocks = c.own_blocks
@@ -370,19 +418,13 @@ def _refine_ac(bits: Bits, c: Component, codes: Codes, ss: int, se: int, al: int
                 run = (1 << r) + bits.number(r)
                 rest = row[k : se + 1].copy()
                 if run > 1 and k == ss:  # a run of whole blocks
-                    own = _taken(blocks[at : at + run])
-                    part = c.coefficients[own, ss : se + 1]
-                    _correct(bits, part, al)
-                    c.coefficients[own, ss : se + 1] = part
+                    _correct_blocks(bits, c, blocks[at : at + run], ss, se, al)
                     at += run - 1
                 else:
                     _correct(bits, rest, al)
                     row[k : se + 1] = rest
                     if run > 1:
-                        own = _taken(blocks[at + 1 : at + run])
-                        part = c.coefficients[own, ss : se + 1]
-                        _correct(bits, part, al)
-                        c.coefficients[own, ss : se + 1] = part
+                        _correct_blocks(bits, c, blocks[at + 1 : at + run], ss, se, al)
                         at += run - 1
                 break
             new = (1 if bits.number(1) else -1) << al if size else 0
@@ -443,9 +485,9 @@ def read(media: bytes) -> Image:
             members = [(image.components[body[1 + 2 * i]], body[2 + 2 * i]) for i in range(n)]
             ss, se, approximation = body[1 + 2 * n : 4 + 2 * n]
             ah, al = divmod(approximation, 16)
-            end = media.index(b"\xff", at)
-            while media[end + 1] == 0:
-                end = media.index(b"\xff", end + 2)
+            if (found := MARKER.search(media, at)) is None:
+                raise ValueError("the scan ends early")
+            end = found.start()
             bits = Bits(media[at:end])
             at = end
             if ss == 0:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -175,6 +176,26 @@ def test_media_awkward(spark):
     assert all((t.width, t.height, t.rgb) == (by[t.doc_id].width, by[t.doc_id].height, by[t.doc_id].rgb) for t in tensors)
 
 
+def test_media_image_of_usual_size_costs_few_steps():
+    """Texts are short, so what an image costs beside its bytes is most of the work."""
+
+    def calls(f, value):
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            out = f(value)
+        finally:
+            sys.setprofile(None)
+        return out, len(seen)
+
+    payload = bytes(range(256)) * 10 + bytes(128)
+    media.read(media.write(payload))  # tables that all images share
+    stored, writing = calls(media.write, payload)
+    image, reading = calls(media.read, stored)
+    assert media.payload_of(image) == payload
+    assert writing < 600 and reading < 800
+
+
 def test_media_refuses_other_files():
     with pytest.raises(ValueError):
         media.read(b"GIF89a")
